@@ -1,0 +1,316 @@
+"""Each query against a plain computation over the same rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from siftmark.llm import binary_ids, fingerprints, licenses, packing, pieces, quality, registry, rollups, secrets
+from siftmark.llm.common import U64
+from siftmark.llm.tokenizing import Encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def rows(df, *names):
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables(spark, empty_dir, name):
+    assert registry.QUERIES[name](spark, empty_dir).count() == 0
+
+
+def test_sentencepiece(spark, tables, docs):
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter((i, len(x := m.encode(t)), crc(x)) for i, t in docs)
+    got = pieces.op1_sentencepiece(spark, tables)
+    assert rows(got, "doc_id", "n_tokens", "ids_crc32") == want
+    assert all(r.round_trip for r in got.collect())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abehlotr s\n▁éœ<0>\U0001f600", max_size=40))
+def test_sentencepiece_any_text(text):
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    p = pieces.load("piece_bpe_32k.model", "bpe")
+    assert np.frombuffer(p.encode(text), "<u4").tolist() == m.encode(text)
+    assert p.decode(p.encode(text)) == text.replace("▁", " ")
+
+
+def test_sentencepiece_unigram_is_best():
+    """The one-pass Viterbi against all segmentations of short strings."""
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
+
+    def best(s):
+        return max((p.score[s[:i]] + (best(s[i:]) if s[i:] else 0) for i in range(1, len(s) + 1) if s[:i] in p.score), default=float("-inf"))
+
+    for s in ("▁hello", "another", "▁internet", "aaaa"):
+        assert sum(p.score[x] for x in p.best(s)) == best(s)
+
+
+def test_packing(spark, tables, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.op2_packing(spark, tables).collect()
+    ids = defaultdict(list)
+    for i, text in docs:
+        ids[i].append(t.encode(text, add_special_tokens=False).ids + [2])
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+        assert any(len(x) == r.doc_tokens and crc(x[r.start : r.start + r.length]) == r.ids_crc32 for x in ids[r.doc_id])
+    assert sum(r.length for r in got) == sum(len(x) for v in ids.values() for x in v)
+    for b in bins.values():
+        b.sort()
+        n = sum(x for _, x in b)
+        assert [o for o, _ in b] == [sum(x for _, x in b[:i]) for i in range(len(b))]
+        assert n <= 4096 and len(b) <= 256 and n & (n - 1) == 0  # no padding at all
+    if len(set(i for i, _ in docs)) == len(docs):
+        covered = defaultdict(list)
+        for r in got:
+            covered[r.doc_id].append((r.start, r.length))
+        for i, text in docs:
+            at = 0
+            for s, n in sorted(covered[i]):
+                assert s == at
+                at += n
+            assert at == len(ids[i][0])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 90)), max_size=40), st.booleans())
+def test_packer_limits(examples, cut):
+    p = packing.Packer((64, 4, 40), cut, window=8)
+    bins, put = [], []
+    for k, (n, prompt) in enumerate(examples):
+        x = packing.Item(k, b"", n, 0, n, min(prompt, n))
+        if not cut and (n > 64 or x.loss() > 40):
+            with pytest.raises(ValueError):
+                list(p.add(x))
+            continue
+        put.append(x)
+        bins += p.add(x)
+    bins += p.finish()
+    for b in bins:
+        assert b and sum(x.end - x.start for x in b) <= 64 and len(b) <= 4 and sum(x.loss() for x in b) <= 40
+    seen = defaultdict(list)
+    for b in bins:
+        for x in b:
+            seen[x.key].append((x.start, x.end))
+    for x in put:
+        spans = sorted(seen[x.key])
+        assert spans[0][0] == 0 and spans[-1][1] == x.end and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert cut or len(spans) == 1
+
+
+def test_packing_prompts_bear_no_loss(spark):
+    df = spark.createDataFrame([(1, "question one", "the answer"), (2, None, "only answer"), (3, "only question", None)], "id long, ask string, text string")
+    got = {r.id: (r.doc_tokens, r.loss_tokens) for r in packing.pack(df, "word_bpe_49k.json", False, 2, id_column="id", prompt_column="ask", cut=False).collect()}
+    assert got[1][0] > got[1][1] > 1 and got[2][0] == got[2][1] and got[3][1] == 1
+
+
+def test_quality(spark, tables, docs):
+    want = Counter()
+    for i, t in docs:
+        w = WORD.findall(t)
+        tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(tri)
+        rep = len({k + j for k, x in enumerate(tri) if n[x] > 1 for j in range(3)})
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want[i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), rep, len(w) < 50 or 100 * rep > 50 * len(w)] += 1
+    got = quality.op3_quality_rules(spark, tables)
+    assert rows(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+    assert not any(r.kept and r.base_failed for r in got.collect())
+
+
+def test_quality_sql(spark, sf_dir):
+    got = quality.op3_quality_rules(spark, sf_dir)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = db.execute(quality.OP3_SQL)
+    names = [d[0] for d in want.description]
+    assert set(names) == set(got.columns)
+    assert rows(got, *names) == Counter(want.fetchall())
+
+
+def test_quality_order_does_not_change_verdicts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = rows(quality.cascade(docs).selectExpr("doc_id", "rejected_by IS NULL AS kept"), "doc_id", "kept")
+    assert a == rows(quality.cascade(docs, tuple(reversed(quality.RULES)), 5).selectExpr("doc_id", "rejected_by IS NULL AS kept"), "doc_id", "kept")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    wrong = quality.cascade(docs).join(labels, "doc_id").where("quality = 1 AND rejected_by NOT IN ('few_words')")
+    assert wrong.count() == 0  # documents of good quality stay but for the base rule
+
+
+def test_quality_order():
+    m = {"few_words": (1e-6, 0.01), "repeated_windows": (1e-4, 0.5), "word_length": (1e-6, 0.0), "symbols": (1e-6, 0.2), "repeated_lines": (1e-5, 0.1)}
+    assert [r.name for r in quality.ordered(quality.RULES, m)] == ["symbols", "few_words", "repeated_lines", "repeated_windows", "word_length"]
+
+
+def test_token_binary(spark, tables, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = binary_ids.op4_token_binary(spark, tables)
+    want, at = Counter(), 0
+    for i, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        want[i, at, len(ids), crc(ids)] += 1
+        at += len(ids)
+    assert rows(got, "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 32), st.data())
+def test_bit_packing(bits, data):
+    ids = np.array(data.draw(st.lists(st.integers(0, 2**bits - 1), max_size=50)), np.uint32)
+    assert binary_ids.unpack(binary_ids.pack(ids, bits), bits, len(ids)).tolist() == ids.tolist()
+
+
+def test_id_file_random_access(tmp_path):
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 32_000, 20_000).astype(np.uint32)
+    starts = np.array([0, 5, 5, 9_000, 20_000])
+    (tmp_path / "x.ids").write_bytes(b"".join(bytes(x) for x in binary_ids.layout(ids, starts, np.arange(4), binary_ids.width(32_000))))
+    f = binary_ids.IdFile(str(tmp_path / "x.ids"))
+    assert f.bits == 15 and (f.ids(8_190, 8_200) == ids[8_190:8_200]).all() and (f.document(2) == ids[5:9_000]).all() and len(f.document(1)) == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab's \n\t \x1c!1éé　<|>", max_size=30))
+def test_chunks_are_safe(text):
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = Encoder(name, spaced)
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_licenses(spark, tables, docs):
+    want = Counter()
+    for i, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        at = [(k, label) for p, label in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        want[i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))] += 1
+    got = licenses.op6_license_scan(spark, tables)
+    assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got.collect() if r.base_labels)
+
+
+def test_license_overlaps():
+    rules = licenses.signatures()
+    assert 200 < len(rules)
+    labels = lambda t: [x[2] for x in licenses.scan(t.encode(), rules)[2]]
+    assert labels("This is licensed under the GNU General Public License version 3, truly.") == ["gpl-3"]
+    assert labels("SPDX-License-Identifier: LGPL-2.1-or-later") == ["lgpl-2.1"]
+    assert labels("under the MIT License under the MIT license") == ["mit", "mit"]
+    assert licenses.scan(b"under the MIT License under the mit license", rules)[1] == [(0, 4, "mit"), (4, 8, "mit")]
+    assert labels("a permit license for the ruby shoes, not under any terms, by the sea") == []
+    assert labels("") == []
+
+
+def test_secrets(spark, tables, docs):
+    want = Counter()
+    for i, t in docs:
+        spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        n = Counter(s[3] for s in spans)
+        want[i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)).encode()).hexdigest()] += 1
+    assert rows(secrets.op7_secret_scan(spark, tables), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab1F", min_size=1, max_size=60), st.integers(1, 24))
+def test_incremental_entropy(s, w):
+    def plain(x):
+        return -sum(n / len(x) * np.log2(n / len(x)) for n in Counter(x).values())
+
+    w = min(w, len(s))
+    assert abs(secrets.best_entropy(s, w) - max(plain(s[i : i + w]) for i in range(len(s) - w + 1))) < 1e-9
+
+
+def test_entropy_spans_and_allow_list():
+    found = lambda t: [t[a:b] for a, b, k in secrets.scan(t.encode())[1] if k == "entropy"]
+    key = "h8Kz3Qp9Xw2Lm7Rt5Vy1Nc4B"
+    assert found(f"café {key}.") == [f"{key}."] or found(f"café {key} x") == [key]
+    assert found("https://www.site.org/some/Path1/with-Many2/Words3/in4it") == []
+    assert found("3f2504e0-4f89-11d3-9a0c-0305e82c3301 EXAMPLEkey1234567890abcdefGH Donaudampfschifffahrtsgesellschaft") == []
+    assert secrets.redact("x é token=abcdef1 y".encode(), secrets.scan("x é token=abcdef1 y".encode())[1]) == "x é [SECRET] y"
+
+
+def test_token_counts(spark, tables, docs):
+    a, b = (Tokenizer.from_file(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    toxic = {r.doc_id for r in spark.read.parquet(f"{tables}/labels.parquet").where("toxic = 1").collect()}
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{tables}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            t, name = (a, "byte_bpe_50k") if r.lang == "en" else (b, "word_bpe_49k")
+            x = want[r.source, r.lang, name]
+            x[0] += 1
+            x[1] += len(t.encode(r.text or "", add_special_tokens=False).ids)
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rollups.op8_token_counts(spark, tables).collect()}
+    assert got == want
+
+
+def test_rollup_survives_a_crash(spark, tmp_path):
+    r = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    row = spark.createDataFrame([("a", "en", "t", 1, 5)], rollups.DELTA)
+    assert r.totals().count() == 0
+    assert r.commit("1", row, row) and not r.commit("1", row)
+    (tmp_path / "r/2").mkdir()
+    (tmp_path / "r/2/part-0.parquet").write_bytes(b"half a file")  # its writer died
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 2, 10)]
+    assert r.commit("2", row.selectExpr("source", "lang", "tokenizer", "-2L AS n_docs", "-10L AS n_tokens"))
+    assert r.totals().count() == 0
+
+
+def test_fingerprints(spark, tables, docs):
+    got = fingerprints.op9_document_fingerprints(spark, tables).collect()
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        n = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+    def windows(t):
+        w = t.translate(LOWER).split() if t.isascii() else [x for x in WORD.findall(t.translate(LOWER))]
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    if len({i for i, _ in docs}) == len(docs):
+        by = {r.doc_id: r for r in got}
+        for k, (i, t) in enumerate(order):
+            n = len(t) // 4
+            a, b = windows(t), windows(t[: len(t) - n] + order[(k + 1) % len(order)][1][:n])
+            j = len(a & b) / len(a | b) if a | b else 1.0
+            assert abs(by[i].near_edited - j) < 0.2 and (len(a | b) > 128 or abs(by[i].near_edited - j) < 1e-9)
+
+
+def test_sketches_merge():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2**63, 3000).astype(U64), rng.integers(0, 2**63, 2000).astype(U64)
+    b[:1500] = a[:1500]
+    S = lambda x: fingerprints.Sketch(x * U64(2))
+    both = S(a).merge(S(b))
+    assert (both.low == S(np.concatenate([a, b])).low).all() and not both.full
+    assert abs(both.count() / 3500 - 1) < 0.3
+    assert abs(S(a).resemblance(S(b)) - 1500 / 3500) < 0.15 and abs(S(b).containment(S(a)) - 0.75) < 0.25
+    assert (fingerprints.Sketch.parse(both.text()).low == both.low).all()
+    assert S(a[:50]).merge(S(a[:60])).full and S(a[:50]).count() == 50
+
+
+def test_merged_fingerprints(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (1, "c d e f g h"), (2, None), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: fingerprints.Sketch.parse(r.fingerprint).count() for r in fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()}
+    assert got == {1: 4, 2: 0, None: 1}
