@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, fingerprints, licenses, packing, pieces, quality, rollups, secrets
+from . import binary_ids, fingerprints, jaccard, licenses, packing, pieces, quality, rollups, secrets
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         secrets.op7_secret_scan,
         rollups.op8_token_counts,
         fingerprints.op9_document_fingerprints,
+        jaccard.op10_ngram_jaccard,
     )
 }
 ORACLES = {"op3_quality_rules": quality.OP3_SQL}
