@@ -82,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered for a bounded number of words."""
 
-    most = 400_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

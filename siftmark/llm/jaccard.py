@@ -8,9 +8,10 @@ choose by the same order, so their choices meet (the prefix principle). A set wi
 shingle, which it shares with each partner of its own kind. So no pair is missed, whatever the hashes.
 
 Sets, not documents, are joined: equal sets are one class from the start. Round one links each class to the first class of a
-few of its groups, which joins most copies in a number of links in proportion to the classes. Round two looks at the groups
-whose members are still apart, and there compares only members of different components, first by the Hamming distance of
-their parity bits, which never exceeds the number of differing shingles. All candidates are verified on whole texts.
+few of its groups, which joins most copies in a number of links in proportion to the classes. Later rounds look at the groups whose
+members are still apart, and there compare only members of different components, first by the Hamming distance of their
+parity bits, which never exceeds the number of differing shingles. Round two takes as many of these pairs as could join
+everything; round three takes all that are then still between components. All candidates are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, shared_dir, shingles, table, write_file
 
-FIRST_KEYS = 2  # of a band, for round one
+FIRST_KEYS = 3  # of a band, for round one
 GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
 FALLBACK = U64(0xA5A5_5A5A_0F0F_F0F0)
 
@@ -120,7 +121,7 @@ def groups(docs: DataFrame, n: int) -> DataFrame:
                         sent.add(c)
                         cls.append(c)
                         made.append(block_keys(s))
-                if len(sent) > 2_000_000:
+                if len(sent) > 500_000:
                     sent.clear()  # copies sent again are found again below
                 if not cls:
                     continue
@@ -284,8 +285,11 @@ def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def compared(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs of members of different components in one group whose parity bits allow that they are similar."""
+def compared(rows: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
+    """Distinct pairs of members of different components in one group whose parity bits allow that they are similar.
+
+    forest: of these, only as many as join what they can join, fewer than the group has components.
+    """
     parts = F.expr(f"cast(ceil(size / {GROUP}) AS int)")
     mine = F.pmod(F.xxhash64("cls"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
@@ -300,15 +304,30 @@ def compared(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         def close() -> None:
             size = min(len(r[7]) for r in held)
             bits = np.stack([folded(np.frombuffer(r[7], np.uint8), size) for r in held]).view(U64)
-            label, n = np.array([r[5] for r in held]), np.array([r[6] for r in held])
-            part, cls = np.array([r[3] for r in held]), [r[4] for r in held]
-            names, count = np.unique(label, return_counts=True)
-            for x in np.flatnonzero(label != names[count.argmax()]):  # the largest component's members meet the others from their side
+            n, part, cls = np.array([r[6] for r in held]), np.array([r[3] for r in held]), [r[4] for r in held]
+            names, label = np.unique([r[5] for r in held], return_inverse=True)
+            over = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while over[x] != x:
+                    over[x] = x = over[over[x]]
+                return x
+
+            for x in np.flatnonzero(label != np.bincount(label).argmax()):  # the largest component's members meet the others from their side
                 far = np.bitwise_count(bits ^ bits[x]).sum(1)
                 ok = (far <= (n + n[x]) // 9) & (label != label[x])
                 if cell[1] != cell[2]:
                     ok &= part != part[x]
-                found.update((min(cls[x], cls[y]), max(cls[x], cls[y])) for y in np.flatnonzero(ok))
+                at = np.flatnonzero(ok)
+                if forest:
+                    at = at[np.unique(label[at], return_index=True)[1]]
+                for y in at:
+                    if forest:
+                        p, q = root(label[x]), root(label[y])
+                        if p == q:
+                            continue
+                        over[p] = q
+                    found.add((min(cls[x], cls[y]), max(cls[x], cls[y])))
 
         def flush() -> pa.RecordBatch:
             pairs = list(found)
@@ -352,10 +371,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links, f"{folder}/stars-one")
     apart(shared.where("kind = 1").selectExpr("a AS key", "b AS cls"), labels).write.parquet(f"{folder}/apart")
     rest = spark.read.parquet(f"{folder}/apart")
-    sketches = representatives(docs, base, rest, f"{folder}/sketches", n, "cls long, n long, bits binary", lambda c, x, s: (c, len(s), parity(s).tobytes()))
-    compared(rest, sketches).join(stars, ["a", "b"], "left_anti").write.parquet(f"{folder}/pairs")
-    more = linked(spark.read.parquet(f"{folder}/pairs"), docs, base, f"{folder}/two", n)
-    labels = components(labels.selectExpr("node AS a", "label AS b").unionByName(more), f"{folder}/stars-two")
+    made = representatives(docs, base, rest, f"{folder}/sketches", n, "cls long, n long, bits binary", lambda c, x, s: (c, len(s), parity(s).tobytes()))
+    made.write.parquet(f"{folder}/sketches/bits")
+    sketches, tried = spark.read.parquet(f"{folder}/sketches/bits"), stars
+    for step in ("two", "three"):  # first what joins components, then every pair that is still open
+        compared(rest, sketches, step == "two").join(tried, ["a", "b"], "left_anti").write.parquet(f"{folder}/{step}/pairs")
+        pairs = spark.read.parquet(f"{folder}/{step}/pairs")
+        more, tried = linked(pairs, docs, base, f"{folder}/{step}", n), tried.unionByName(pairs)
+        labels = components(labels.selectExpr("node AS a", "label AS b").unionByName(more), f"{folder}/stars-{step}")
+        if step == "two":
+            apart(rest.select("key", "cls"), labels).write.parquet(f"{folder}/apart-two")
+            rest = spark.read.parquet(f"{folder}/apart-two")
     named = base.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
