@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, fingerprints, jaccard, licenses, packing, pieces, quality, rollups, secrets
+from . import binary_ids, fingerprints, jaccard, language_model, licenses, packing, pieces, quality, rollups, secrets
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         packing.op2_packing,
         quality.op3_quality_rules,
         binary_ids.op4_token_binary,
+        language_model.op5_lm_scoring,
         licenses.op6_license_scan,
         secrets.op7_secret_scan,
         rollups.op8_token_counts,
