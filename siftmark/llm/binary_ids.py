@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_file, ordered_parts, partitions, prepare, shared_dir, table, write_file
-from .tokenizing import Encoder
+from .tokenizing import encoder
 
 MAGIC = b"SMIDS001"
 BLOCK = 4096  # ids; each block starts at a byte of its own
@@ -94,7 +94,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, spaced: bool, end: int
     n = max(1, len(bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, spaced, end)
+        coder = encoder(tokenizer, spaced, end)
         keys: list[int] = []
         chunks: list[np.ndarray] = []
         part = None
@@ -110,7 +110,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, spaced: bool, end: int
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 some = b.slice(at, 500)
-                coded = encoder.encode([x or "" for x in some.column("text").to_pylist()])
+                coded = coder.encode([x or "" for x in some.column("text").to_pylist()])
                 for p, k, c in zip(some.column("part").to_pylist(), some.column("doc_id").to_pylist(), coded, strict=True):
                     if keys and p != part:
                         yield close()

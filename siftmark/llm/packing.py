@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
-from .tokenizing import Encoder
+from .tokenizing import encoder
 
 
 @dataclass
@@ -119,7 +119,7 @@ def pack(df: DataFrame, tokenizer: str, spaced: bool, end: int, limits: tuple[in
     names = ["start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(tokenizer, spaced, end), Encoder(tokenizer, spaced) if prompt_column else None
+        coder, first = encoder(tokenizer, spaced, end), encoder(tokenizer, spaced) if prompt_column else None
         packer = Packer(limits, cut)
         base, count = TaskContext.get().partitionId() << 32, 0
         out: list[list] = [[] for _ in range(8)]
@@ -147,7 +147,7 @@ def pack(df: DataFrame, tokenizer: str, spaced: bool, end: int, limits: tuple[in
             kind = b.column(0).type
             for i in range(0, b.num_rows, 500):
                 some = b.slice(i, 500)
-                coded = encoder.encode([x or "" for x in some.column(1).to_pylist()])
+                coded = coder.encode([x or "" for x in some.column(1).to_pylist()])
                 prompts = first.encode([x or "" for x in some.column(2).to_pylist()]) if first else [b""] * len(coded)
                 for key, p, c in zip(some.column(0).to_pylist(), prompts, coded, strict=True):
                     n = (len(p) + len(c)) // 4

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, shared_dir, table
-from .tokenizing import Encoder
+from .tokenizing import encoder
 
 KEY = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -20,9 +20,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, spaced: bool) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, spaced)
+        coder = encoder(tokenizer, spaced)
         for b in batches:
-            n = [len(x) // 4 for x in encoder.encoded([x or "" for x in b.column(3).to_pylist()])]
+            n = [len(x) // 4 for x in coder.encoded([x or "" for x in b.column(3).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
     counted = docs.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, n_tokens long")

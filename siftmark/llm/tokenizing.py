@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,10 @@ from tokenizers import Tokenizer
 ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏    　﻿]")
 #: A cut before white space that follows other characters never parts a token of these tokenizers.
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: In texts of these characters only, neither does one between a letter and another character: no apostrophes, marks or other letters.
+PLAIN = re.compile(r"[^\t\n\x20-&(-~¡-©«-´¶-¹»-ÿ]")
+SPACED_RUN = re.compile(r"\s*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[^\sA-Za-zÀ-ÖØ-öø-ÿ]+)|\s+")
+RUN = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 
 
 @lru_cache(maxsize=4)
@@ -23,10 +28,10 @@ def load(name: str) -> Tokenizer:
 
 
 class Encoder:
-    """encode(texts) -> arrays of ids, equal to the tokenizer's own on each whole text.
+    """encode(texts) -> ids, equal to the tokenizer's own on each whole text.
 
-    spaced: a word's ids depend on the space before it (byte-level BPE); else white space only separates.
-    The memory of chunks is bounded and cleared when full.
+    spaced: a word's ids depend on the space before it, and on case (byte-level BPE); else white space only separates, and
+    case is dropped. Chunks are remembered in two generations of bounded size, so that frequent ones stay.
     """
 
     most = 300_000
@@ -35,26 +40,45 @@ class Encoder:
         self.tokenizer, self.spaced = load(name), spaced
         self.tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
+        if not PLAIN.search(text) and "<|" not in text:
+            return SPACED_RUN.findall(text) if self.spaced else RUN.findall(text.lower())
         if ODD.search(text) or "<|" in text:
             return [text]
         return CHUNK.findall(text) if self.spaced else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [self.chunks(t) for t in texts]
-        new = list({c for t in cut for c in t if c not in known})
+        new = []
+        for c in set().union(*cut).difference(known):
+            ids = older.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                known[c] = ids
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+                known[c] = array("I", e.ids).tobytes()
         get = known.__getitem__
-        return [b"".join(map(get, t)) + self.tail for t in cut]
+        out = [b"".join(map(get, t)) + self.tail for t in cut]
+        for t in cut:
+            if len(t) == 1 and len(t[0]) > 200:
+                known.pop(t[0], None)  # a whole text is no word
+        return out
 
     def encoded(self, texts: list[str], step: int = 500) -> list[bytes]:
-        """encode() in steps, so that the memory is cleared in time."""
+        """encode() in steps, so that the memory is renewed in time."""
         return [x for i in range(0, len(texts), step) for x in self.encode(texts[i : i + step])]
+
+
+@lru_cache(maxsize=4)
+def encoder(name: str, spaced: bool, end: int | None = None) -> Encoder:
+    """One of each kind in a worker process, which keeps its memory from task to task."""
+    return Encoder(name, spaced, end)

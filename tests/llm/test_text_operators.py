@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from siftmark.llm import binary_ids, fingerprints, licenses, packing, pieces, quality, registry, rollups, secrets
 from siftmark.llm.common import U64
-from siftmark.llm.tokenizing import Encoder
+from siftmark.llm import tokenizing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -189,10 +189,10 @@ def test_id_file_random_access(tmp_path):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab's \n\t \x1c!1éé　<|>", max_size=30))
+@given(st.text(alphabet="abAÀß'’µ.,&s \n\t \x1c!1éé　<|>", max_size=30))
 def test_chunks_are_safe(text):
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        e = Encoder(name, spaced)
+        e = tokenizing.Encoder(name, spaced)
         assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
