@@ -173,7 +173,7 @@ class Members:
 
     @staticmethod
     def write(ids: DataFrame, folder: str, n: int) -> Members:
-        """ids: one long column. Null stands for itself as the least value."""
+        """ids: one long column, and if need be another that the files are dealt by. Null stands for itself as the least value."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
@@ -184,8 +184,8 @@ class Members:
                 write_file(f"{folder}/{s:06d}.members", [np.unique(np.array(got, np.int64))])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())})
 
-        name = ids.columns[0]
-        rows = ids.select(F.pmod(F.xxhash64(F.coalesce(name, F.lit(-(2**63)))), F.lit(n)).cast("int").alias("shard"), F.coalesce(name, F.lit(-(2**63))).alias("id")).distinct()
+        name, by = ids.columns[0], ids.columns[-1]
+        rows = ids.select(F.pmod(F.xxhash64(F.coalesce(by, F.lit(-(2**63)))), F.lit(n)).cast("int").alias("shard"), F.coalesce(name, F.lit(-(2**63))).alias("id")).distinct()
         rows.repartitionById(n, F.col("shard")).mapInArrow(run, "shard int").write.parquet(f"{folder}/shards")
         return Members(folder, n)
 
@@ -351,16 +351,11 @@ def compared(rows: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links of similarity 0.8 or more reach.
-
-    Null and empty texts have an empty set and stay alone under their own id. Texts of fewer than five words are one shingle
-    and link to texts with the same words. Repeated rows and copies are in one component; rows without id take part, and a
-    component of such rows alone has a null id. Other columns of docs are not read.
-    """
+def classified(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n, cls, label) of each document: its set's size and class, and the least class that links reach; null for an empty set."""
     spark = docs.sparkSession
     prepare(spark)
-    folder, n = shared_dir(spark, "near-duplicates"), partitions(spark)
+    n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     describe(docs).write.parquet(f"{folder}/base")
     base = spark.read.parquet(f"{folder}/base")
@@ -382,10 +377,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if step == "two":
             apart(rest.select("key", "cls"), labels).write.parquet(f"{folder}/apart-two")
             rest = spark.read.parquet(f"{folder}/apart-two")
-    named = base.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
+    named = base.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    return named.select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links of similarity 0.8 or more reach.
+
+    Null and empty texts have an empty set and stay alone under their own id. Texts of fewer than five words are one shingle
+    and link to texts with the same words. Repeated rows and copies are in one component; rows without id take part, and a
+    component of such rows alone has a null id. Other columns of docs are not read.
+    """
+    named = classified(docs, shared_dir(docs.sparkSession, "near-duplicates"))
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, less all but one of each component: that of the smallest doc_id.
+
+    Rows without text, or with white space only, all stay. Of repeated rows one stays. Rows without id stay only if their
+    component has no other. Texts are filtered where they are read, by memory-mapped files, and not shuffled.
+    """
+    spark = docs.sparkSession
+    folder, n = shared_dir(spark, "near-duplicates"), partitions(spark)
+    named = classified(docs, folder)
+    named.write.parquet(f"{folder}/named")
+    named = spark.read.parquet(f"{folder}/named")
+    kept = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("k")).select("k.doc_id", "k.cls")
+    kept.write.parquet(f"{folder}/kept")
+    kept = spark.read.parquet(f"{folder}/kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    members = Members.write(kept.select(key.bitwiseXOR(F.col("cls")).alias("id"), key.alias("by")), f"{folder}/keep", n)
+    text, names = docs.columns.index("text"), docs.columns
+    clash = {c.lower() for c in names}
+    shard_name, id_name = (next(f"{x}{i}" for i in range(len(names) + 1) if f"{x}{i}" not in clash) for x in ("shard", "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, mine = WordHash(), Members(members.folder, members.n)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                shards, ids = (some.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                sets = [shingle_set(x or b"", cache) for x in some.column(text).cast(pa.binary()).to_pylist()]
+                cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+                keep = mine.has(shards, ids ^ cls) | np.array([not len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([some.column(i).filter(pa.array(keep)) for i in range(len(names))], names)
+
+    shard = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    out = docs.select("*", shard.alias(shard_name), key.alias(id_name)).mapInArrow(run, docs.schema)
+    repeats = named.join(kept, (named.cls == kept.cls) & named.doc_id.eqNullSafe(kept.doc_id), "left_semi").groupBy("doc_id", "cls").count().where("count > 1")
+    if repeats.limit(1).count():
+        empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+        out = out.where(empty).unionByName(out.where(~empty).dropDuplicates(["doc_id", "text"]))
+    return out
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
