@@ -103,12 +103,13 @@ def ordered(rules: tuple[Rule, ...], measured: dict[str, tuple[float, float]]) -
 def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, sample_seed: int = 7, with_base: bool = False) -> DataFrame:
     """df plus `rejected_by` (the first rule in cascade order that fails, null if kept) and, on request, the base measures.
 
-    Only costs and selectivities come from the sample (at most sample_rows rows); each document is judged on its whole text.
+    Only costs and selectivities come from the sample (a share that gives about sample_rows rows); each document is judged on its whole text.
     Null text is empty text: no words, rejected by few_words. Repeated rows are judged alike. An empty table gives an empty
     result. Existing columns of the added names are replaced.
     """
     prepare(df.sparkSession)
-    plan = ordered(rules, measure(df.select("text").sample(0.5, sample_seed).limit(sample_rows), rules))
+    share = min(1.0, sample_rows / max(1, df.count()))
+    plan = ordered(rules, measure(df.select("text").sample(share, sample_seed), rules))
     added = (*BASE, "rejected_by") if with_base else ("rejected_by",)
     kept = df.drop(*added)
 
