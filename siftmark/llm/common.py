@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +74,13 @@ def map_file(uri: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def release() -> None:
+    """Give a task's freed memory back to the system, as a worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer, so that sums and products of hashes spread over all bits."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
@@ -82,7 +91,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered for a bounded number of words."""
 
-    most = 250_000
+    most = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -123,6 +132,7 @@ def packed(df: DataFrame, n: int, emit: Callable, merge: Callable, schema: str)
         for some in emit(batches):
             shards, blobs = zip(*some, strict=True) if some else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+        release()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -131,6 +141,7 @@ def packed(df: DataFrame, n: int, emit: Callable, merge: Callable, schema: str)
                 by.setdefault(s, []).append(x)
         for s in sorted(by):
             yield from merge(s, by.pop(s))
+        release()
 
     sent = df.mapInArrow(send, "shard int, blob binary")
     return sent.repartitionById(n, F.col("shard")).mapInArrow(take, schema)

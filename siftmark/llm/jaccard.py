@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, shared_dir, shingles, table, write_file
+from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, release, shared_dir, shingles, table, write_file
 
 FIRST_KEYS = 3  # of a band, for round one
 GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
@@ -98,10 +98,13 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for b in batches:
-            sets = [shingle_set(x or b"", cache) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, cls], ["doc_id", "n", "cls"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sets = [shingle_set(x or b"", cache) for x in b.column(1).cast(pa.binary()).to_pylist()]
+                n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, cls], ["doc_id", "n", "cls"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long")
 
@@ -112,16 +115,16 @@ def groups(docs: DataFrame, n: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
         cache, sent = WordHash(), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
+            for at in range(0, batch.num_rows, 1500):
                 cls: list[int] = []
                 made: list[tuple[np.ndarray, np.ndarray]] = []
-                for x in batch.slice(at, 4000).column(0).cast(pa.binary()).to_pylist():
+                for x in batch.slice(at, 1500).column(0).cast(pa.binary()).to_pylist():
                     s = shingle_set(x or b"", cache)
                     if len(s) and (c := class_of(s)) not in sent:
                         sent.add(c)
                         cls.append(c)
                         made.append(block_keys(s))
-                if len(sent) > 500_000:
+                if len(sent) > 200_000:
                     sent.clear()  # copies sent again are found again below
                 if not cls:
                     continue
@@ -222,6 +225,7 @@ def representatives(docs: DataFrame, base: DataFrame, classes: DataFrame, folder
                 rows = [make(class_of(s), x, s) for x in raws if x and len(s := shingle_set(x, cache))]
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, kinds, strict=True))))
+        release()
 
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
@@ -249,6 +253,7 @@ def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, folder: str, n: i
                 keep.append(similar(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+        release()
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     joined.mapInArrow(run, "a long, b long").write.parquet(f"{folder}/links")
@@ -346,6 +351,7 @@ def compared(rows: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
         if held:
             close()
         yield flush()
+        release()
 
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -423,6 +429,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                 cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
                 keep = mine.has(shards, ids ^ cls) | np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([some.column(i).filter(pa.array(keep)) for i in range(len(names))], names)
+        release()
 
     shard = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     out = docs.select("*", shard.alias(shard_name), key.alias(id_name)).mapInArrow(run, docs.schema)

@@ -281,8 +281,8 @@ def count_grams(texts: DataFrame, vocabulary: Vocabulary, folder: str, order: in
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
         cache = WordHash()
         for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                h, lengths = sequences([x or b"" for x in b.column(0).slice(at, 5000).cast(pa.binary()).to_pylist()], cache)
+            for at in range(0, b.num_rows, 3000):
+                h, lengths = sequences([x or b"" for x in b.column(0).slice(at, 3000).cast(pa.binary()).to_pylist()], cache)
                 ids = placed(h, vocabulary)[0]
                 first = np.cumsum(lengths) - lengths
                 flat = np.full(len(ids) + len(lengths) * order, nil, np.int64)  # a start mark before, order - 1 times nil behind each text
@@ -389,8 +389,8 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", extra: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                some = b.slice(at, 4000)
+            for at in range(0, b.num_rows, 2000):
+                some = b.slice(at, 2000)
                 got = model.score([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], cache)
                 arrays = [pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*kept, "n_tokens", "n_known", "base_score", "score"])
