@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partiti
 
 FIRST_KEYS = 3  # of a band, for round one
 GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
+NONE = -(2**63)
+ALL_ONES = b"\xff" * 8  # of a blob of documents; other blobs start with a number of keys
 FALLBACK = U64(0xA5A5_5A5A_0F0F_F0F0)
 
 
@@ -93,37 +96,32 @@ def folded(p: np.ndarray, size: int) -> np.ndarray:
     return p
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls) of each document; cls is null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                sets = [shingle_set(x or b"", cache) for x in b.column(1).cast(pa.binary()).to_pylist()]
-                n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), n, cls], ["doc_id", "n", "cls"])
-        release()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long")
-
-
 def groups(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of classes that share a key. kind 0: (first class of a group, another) for round one; kind 1: (key, class)."""
+    """kind 0: (first class of a group, another) for round one; 1: (key, class) of classes that share a key; 2: (doc_id, class, size) of each document.
+
+    A null doc_id is the least value here, and so is the class of an empty set.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        cache, sent = WordHash(), set()
+        cache, sent, turn = WordHash(), set(), TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 1500):
                 cls: list[int] = []
                 made: list[tuple[np.ndarray, np.ndarray]] = []
-                for x in batch.slice(at, 1500).column(0).cast(pa.binary()).to_pylist():
+                own_cls, sizes = [], []
+                some = batch.slice(at, 1500)
+                for x in some.column(1).cast(pa.binary()).to_pylist():
                     s = shingle_set(x or b"", cache)
-                    if len(s) and (c := class_of(s)) not in sent:
+                    c = class_of(s) if len(s) else NONE
+                    own_cls.append(c)
+                    sizes.append(len(s))
+                    if len(s) and c not in sent:
                         sent.add(c)
                         cls.append(c)
                         made.append(block_keys(s))
+                ids = some.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
+                turn += 1
+                yield [(turn % n, b"".join(a.astype(np.int64).tobytes() for a in (np.array([-1, len(ids)]), ids, np.array(own_cls), np.array(sizes))))]
                 if len(sent) > 200_000:
                     sent.clear()  # copies sent again are found again below
                 if not cls:
@@ -143,6 +141,12 @@ def groups(docs: DataFrame, n: int) -> DataFrame:
 
     def merge(_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ks, cs, fs = [], [], []
+        rows = [np.frombuffer(x, np.int64).reshape(-1)[2:].reshape(3, -1) for x in blobs if x[:8] == ALL_ONES]
+        blobs = [x for x in blobs if x[:8] != ALL_ONES]
+        for ids, own_cls, sizes in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), 2, np.int32)), *map(pa.array, (ids, own_cls, sizes))], ["kind", "a", "b", "n"])
+        if not blobs:
+            return
         for x in blobs:
             n_keys, n_own = np.frombuffer(x, np.int64, 2)
             ks.append(np.frombuffer(x, U64, n_keys, 16))
@@ -163,9 +167,9 @@ def groups(docs: DataFrame, n: int) -> DataFrame:
         for kind, a, b in ((0, head[near], cls[near]), (1, keys[several].view(np.int64), cls[several])):
             for i in range(0, len(a), 100_000):
                 m = len(a[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(a[i : i + m]), pa.array(b[i : i + m])], ["kind", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(a[i : i + m]), pa.array(b[i : i + m]), pa.nulls(m, pa.int64())], ["kind", "a", "b", "n"])
 
-    return packed(docs.select("text"), n, emit, merge, "kind int, a long, b long")
+    return packed(docs.select("doc_id", "text"), n, emit, merge, "kind int, a long, b long, n long")
 
 
 class Members:
@@ -363,10 +367,11 @@ def classified(docs: DataFrame, folder: str) -> DataFrame:
     prepare(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    describe(docs).write.parquet(f"{folder}/base")
-    base = spark.read.parquet(f"{folder}/base")
     groups(docs, n).write.parquet(f"{folder}/groups")
-    shared = spark.read.schema("kind int, a long, b long").parquet(f"{folder}/groups")
+    shared = spark.read.parquet(f"{folder}/groups")
+    known = lambda c: F.when(F.col(c) != NONE, F.col(c))
+    shared.where("kind = 2").select(known("a").alias("doc_id"), "n", known("b").alias("cls")).write.parquet(f"{folder}/base")
+    base = spark.read.parquet(f"{folder}/base")
     stars = shared.where("kind = 0").select("a", "b").distinct()
     links = linked(stars, docs, base, f"{folder}/one", n)
     labels = components(links, f"{folder}/stars-one")
