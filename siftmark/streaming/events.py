@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def merge(events: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """One alert per user, type and window: how many events, their first and last time, and the sum of values."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events  # a watermark needs a zoned time
     out = source.groupBy(F.window("ts", window).alias("w"), "user_id", "event_type").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("value").alias("total"))
     return out.select("user_id", "event_type", F.col("w.start").alias("window_start"), "n_events", "first_ts", "last_ts", "total")
 
