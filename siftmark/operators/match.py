@@ -85,5 +85,6 @@ def scan(files: DataFrame, samples: DataFrame, keywords: list[tuple], combined:
         total([keyword_match(t, w, k).cast("int") for w, k in keywords]), total([combined_match(t, c, how).cast("int") for c, how in combined]), F.size(label_hits(t, labels, hints)),
     )
     sha = F.col("sample_id").isNotNull()
-    out = named.select("doc_id", "source", "sha256", sha.alias("sha_hit"), F.when(sha, F.lit(100)).otherwise(value).alias("score"))
+    # a generator, so that what uses the score does not compute all rules again
+    out = named.select("doc_id", "source", "sha256", sha.alias("sha_hit"), F.explode(F.array(F.when(sha, F.lit(100)).otherwise(value))).alias("score"))
     return out.withColumns({"confidence_level": confidence(F.col("score")), "risk_level": risk(F.col("score"))})
