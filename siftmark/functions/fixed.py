@@ -62,3 +62,31 @@ LABEL_HINTS = {
 HIGH_RISK_LABELS = ("运维账号", "安全漏洞信息", "客户名单", "报价信息")
 RISKS = ("info", "low", "medium", "high", "critical")
 CONFIDENCE = ("clean", "low_confidence", "suspected", "sensitive")
+
+UNCLASSIFIED = "未分类敏感文件"
+SAMPLE_HIT = "样本指纹命中"
+
+# File kinds by suffix, and folders that a scan leaves out.
+SERVER_TEXT = "txt csv json xml md py java go sql conf config yaml yml ini log".split()
+UNSUPPORTED = ".ppt .pptx .doc .xls .png .jpg .jpeg .bmp .gif .tiff .eml .msg".split()
+SKIP_DIRS = ".git .hg .svn .venv venv node_modules __pycache__ dist build target out .mypy_cache .pytest_cache .idea .vscode".split()
+
+# Fixed value: the prompt for an optional language model.
+PROMPT = """请分析以下文档内容, 判断其是否包含敏感信息, 并返回 JSON 格式的分析结果.
+
+请严格按照以下 JSON 格式返回(不要包含 markdown 代码块或其他文字):
+{
+  "semantic_labels": ["标签1", "标签2"],
+  "sensitive_type": "敏感类型分类",
+  "risk_level": "high/medium/low",
+  "explanation": "判断依据的简要说明"
+}
+
+可选语义标签: 客户名单, 报价信息, 财务预算, 薪资明细, 保密协议, 研发设计文档, 源代码说明, 运维账号, 安全漏洞信息, 战略规划. 也可以根据内容添加新标签.
+风险等级规则: 包含账号密码/密钥/漏洞信息为 high, 包含客户/报价/薪资/财务/战略为 high, 包含一般业务关键词为 medium, 仅少量命中的为 low.
+
+用户提示 - 敏感类型: {{SENSITIVE_TYPE}}, 风险等级: {{RISK_LEVEL}}
+
+文档内容:
+{{DOCUMENT_TEXT}}
+"""

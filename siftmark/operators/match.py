@@ -1,10 +1,12 @@
 """Rule matching, scores and verdicts, all as Columns: rules are compiled into the plan, never joined to documents."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dialect
 from ..functions.dialect import to_java
 from ..functions.fixed import BUILTIN_RULES, LABEL_HINTS
 from ..functions.hashing import is_card
@@ -88,3 +90,14 @@ def scan(files: DataFrame, samples: DataFrame, keywords: list[tuple], combined:
     # a generator, so that what uses the score does not compute all rules again
     out = named.select("doc_id", "source", "sha256", sha.alias("sha_hit"), F.explode(F.array(F.when(sha, F.lit(100)).otherwise(value))).alias("score"))
     return out.withColumns({"confidence_level": confidence(F.col("score")), "risk_level": risk(F.col("score"))})
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the shared folder spark.checkpoint.dir names; a folder is set here only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or f"file:///tmp/checkpoints/{uuid.uuid4().hex[:12]}")
+    return df.checkpoint()

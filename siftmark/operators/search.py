@@ -57,3 +57,23 @@ def find_samples(samples: DataFrame, text: str | None = None, source: str | None
     out = out.where(F.contains(F.lower("text"), F.lit(text.lower()))) if text else out
     out = out.where(F.contains(F.lower("source"), F.lit(source.lower()))) if source else out
     return out.orderBy(F.desc("doc_id")).limit(limit)
+
+
+def lookup_hash(samples: DataFrame, sha256: str, key: str = "sample_id") -> DataFrame:
+    """The first sample of that content, by key; no row where there is none."""
+    return samples.where(F.col("sha256") == sha256).orderBy(key).limit(1)
+
+
+def query_file(samples: DataFrame, key: str, file_hash: str = "", file_name: str = "", file_path: str = "") -> DataFrame:
+    """One row: is such a file known? By hash if given, else by a part of the name, else by the last part of the path.
+
+    Names are compared without regard to case; the first sample by key answers.
+    """
+    file_hash, file_name, file_path = file_hash.strip(), file_name.strip(), file_path.strip()
+    name = file_name or file_path.rstrip("/").rpartition("/")[2]
+    if not file_hash and not name:
+        raise ValueError("a hash or a name is needed")
+    how = "sha256" if file_hash else "filename_like" if file_name else "filepath_basename_like"
+    held = F.col("sha256") == file_hash if file_hash else F.contains(F.lower("file_name"), F.lit(name.lower()))
+    first = samples.where(held).agg(F.min_by(F.struct(F.col(key).alias("sensitive_file_id"), "file_name", "sensitive_type", "risk_level"), key).alias("s"))
+    return first.select(F.col("s").isNotNull().alias("sensitive"), F.when(F.col("s").isNotNull(), how).alias("match_type"), "s.*")

@@ -6,9 +6,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import fixed, hashing
 from ..functions.fixed import BUILTIN_RULES
-from ..operators import library, match, search
+from ..operators import generate, library, match, scanning, search
 from ..sources import extract
 from ..streaming import events as ev
 
@@ -149,7 +149,7 @@ RULES = [(f"builtin_{n}", "regex", n, r, "builtin", 0, n != "domain", False) for
 def rule_sync(spark, d):
     live, deleted, newest = library.sync(spark.createDataFrame(RULES, library.RULE), 4)
     rows = live.select("rule_id", F.lit("live").alias("state")).unionByName(deleted.select("rule_id", F.lit("deleted").alias("state")))
-    return rows.crossJoin(F.broadcast(newest))  # one row
+    return rows.select("*", newest.scalar().alias("version"))
 
 
 def rules_values() -> str:
@@ -220,7 +220,116 @@ def zip_scan(spark, d):
     return match.content_scan(extract.texts(files), "path")
 
 
-QUERIES = {f.__name__: f for f in (content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, scan, confidence_hist, list_results, keyword_extract, rule_sync, rule_delete, tag_upsert, semantic_search, list_samples, find_samples, event_merge, top_users, trend, event_filter, zip_scan)}
+LABELLED = [("s1", ["secrets", "licenses"], "e1"), ("s0", ["licenses"], "e0")]
+SCAN_RULES = [
+    *({"rule_id": f"builtin_{n}", "rule_type": "regex", "sensitive_type": n, "risk_level": r, "content": {"name": n, "pattern": p}} for n, p, r in BUILTIN_RULES),
+    {"rule_id": "k", "rule_type": "keyword", "sensitive_type": "words", "risk_level": "medium", "content": {"keywords": KEYWORDS, "min_hits": 3}},
+    {"rule_id": "c", "rule_type": "combined", "sensitive_type": "both", "risk_level": "high", "content": {"logic": "AND", "conditions": [{"type": "keyword", "value": COMBINED[0][1], "min_hits": 1}, {"type": "regex", "value": COMBINED[1][1]}]}},
+]
+TEMPLATES_HERE = (("license terms", ["license", "under", "token"], 2, COMBINED[1][1], "high", ["license", "token"]),)
+
+
+def scan_library(spark, d):
+    prints = read(spark, d, "benchmark").where("text IS NOT NULL").select(F.concat(F.lit("b"), "item_id").alias("sensitive_file_id"), F.sha2("text", 256).alias("sha256"), hashing.simhash("text").alias("simhash"))
+    labels = spark.createDataFrame(LABELLED, "sensitive_file_id string, semantic_labels array<string>, embedding_id string")
+    return scanning.Library(SCAN_RULES, prints, labels, hints=HINTS)
+
+
+def library_scan(spark, d):
+    """The whole scan of documents against the benchmark's fingerprints, rules of all kinds and labels."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return scanning.scan_texts(docs, scan_library(spark, d)).drop("match_detail")
+
+
+def library_scan_sql() -> str:
+    count = lambda words: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words)
+    rx = lambda n, p: f"len(list_filter(regexp_extract_all(t, '{p}'), lambda m: {LUHN})) > 0" if n == "bank_card" else f"regexp_matches(t, '{p}')"
+    label = lambda name: "(" + " OR ".join(f"contains(t, '{w}')" for w in [*HINTS[name], name]) + ")"
+    first = " ".join(f"WHEN {rx(n, p)} THEN '{n}'" for n, p, _ in BUILTIN_RULES)
+    sims = SIMHASH_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")
+    grade = "".join(f" + CASE WHEN {rx(n, p)} THEN {30 if r in ('high', 'critical') else 15} ELSE 0 END" for n, p, r in BUILTIN_RULES)
+    return f"""
+WITH ids AS (SELECT sha256(text) AS h, min('b' || item_id) AS sha_id FROM benchmark WHERE text IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(text) AS file_hash, sha_id FROM documents LEFT JOIN ids ON sha256(text) = h),
+sd AS (SELECT doc_id, CAST('0x' || simhash AS UBIGINT) AS b FROM ({SIMHASH_SQL})), sb AS (SELECT item_id, CAST('0x' || simhash AS UBIGINT) AS b FROM ({sims})),
+near AS (SELECT doc_id, arg_min('b' || item_id, (bit_count(CAST(xor(sd.b, sb.b) AS BIT)), 'b' || item_id)) AS near_id FROM sd JOIN sb ON bit_count(CAST(xor(sd.b, sb.b) AS BIT)) <= 3 GROUP BY doc_id),
+m AS (SELECT doc_id, t, file_hash, sha_id, CASE WHEN sha_id IS NULL AND t != '' THEN near_id END AS near_id, ({count(KEYWORDS)}) >= 3 AS k, ({count(COMBINED[0][1])}) >= 1 AND regexp_matches(t, '{COMBINED[1][1]}') AS c, {label("secrets")} AS ls, {label("licenses")} AS ll FROM d LEFT JOIN near USING (doc_id)),
+s AS (SELECT *, CASE WHEN sha_id IS NOT NULL THEN 100 ELSE least(100, (CASE WHEN near_id IS NOT NULL THEN 70 ELSE 0 END){grade} + (CASE WHEN k THEN 30 ELSE 0 END) + (CASE WHEN c THEN 50 ELSE 0 END) + least(30, (CASE WHEN ls THEN 20 ELSE 0 END) + (CASE WHEN ll THEN 40 ELSE 0 END))) END AS n FROM m)
+SELECT CAST(doc_id AS VARCHAR) AS path, file_hash, n >= 80 AS sensitive, CASE WHEN sha_id IS NOT NULL THEN '{fixed.SAMPLE_HIT}' WHEN k THEN 'words' WHEN c THEN 'both' {first} WHEN ll THEN 'licenses' WHEN ls THEN 'secrets' END AS sensitive_type,
+  CASE WHEN n >= 80 THEN 'high' WHEN n >= 50 THEN 'medium' WHEN n >= 30 THEN 'low' ELSE 'info' END AS risk_level, coalesce(sha_id, near_id, CASE WHEN ll THEN 's0' WHEN ls THEN 's1' END) AS sensitive_file_id, CAST(n AS INT) AS match_score,
+  CASE WHEN n >= 80 THEN 'sensitive' WHEN n >= 50 THEN 'suspected' WHEN n >= 30 THEN 'low_confidence' ELSE 'clean' END AS confidence_level FROM s"""
+
+
+def scan_summary(spark, d):
+    return scanning.summary(scan(spark, d))
+
+
+def rule_generate(spark, d):
+    """Rules from documents as samples: their source is the type, their language the description."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("sensitive_type"), F.when(F.col("doc_id") % 2 == 0, "low").otherwise("").alias("risk_level"), F.col("lang").alias("description"))
+    made = generate.rules(docs, "doc_id", terms=TERMS, stop_words=STOPS, templates=TEMPLATES_HERE)
+    words = F.array_join(F.from_json("content", "keywords array<string>").keywords, ",")
+    return made.select("doc_id", "place", "rule_name", "rule_type", "sensitive_type", "risk_level", F.when(F.col("rule_type") == "keyword", words).alias("words"))
+
+
+def rule_generate_sql() -> str:
+    k = "coalesce(nullif(source, ''), '{}')".format(fixed.UNCLASSIFIED)
+    d = f"SELECT doc_id, coalesce(text, '') AS t, {k} AS k, coalesce(lang, '') AS ds, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'medium' END AS risk FROM documents"
+    order = "['info', 'low', 'medium', 'high', 'critical']"
+    higher = lambda r: f"CASE WHEN list_position({order}, '{r}') > list_position({order}, risk) THEN '{r}' ELSE risk END"
+    rx = lambda n, p: f"len(list_filter(regexp_extract_all(t, '{p}'), lambda m: {LUHN})) > 0" if n == "bank_card" else f"regexp_matches(t, '{p}')"
+    parts = [f"SELECT doc_id, {i} AS place, '{n}' AS rule_name, 'regex' AS rule_type, k AS sensitive_type, {higher(r)} AS risk_level, NULL::VARCHAR AS words FROM d WHERE {rx(n, p)}" for i, (n, p, r) in enumerate(BUILTIN_RULES)]
+    for i, (n, _, _, _, r, triggers) in enumerate(TEMPLATES_HERE):
+        seen = " OR ".join(f"contains({c}, '{w}')" for w in triggers for c in ("t", "ds", "k"))
+        parts.append(f"SELECT doc_id, {len(BUILTIN_RULES) + 1 + i}, '{n}', 'combined', k, {higher(r)}, NULL FROM d WHERE {seen}")
+    parts.append(f"SELECT doc_id, {len(BUILTIN_RULES)}, k || '关键词识别', 'keyword', k, risk, words FROM d JOIN best USING (doc_id)")
+    stops, terms = (", ".join(f"'{x}'" for x in xs) for xs in (STOPS, TERMS))
+    held = lambda c, n: f"CASE WHEN contains(lower({c}), lower(x)) THEN {n} ELSE 0 END"
+    whole = "t || ' ' || k || ' ' || ds"
+    return rf"""
+WITH d AS ({d}),
+w AS (SELECT doc_id, unnest(regexp_extract_all({whole}, '[\p{{L}}\p{{Nd}}]+')) AS word FROM d),
+own AS (SELECT doc_id, word, count(*) AS s FROM w WHERE length(word) BETWEEN 2 AND 32 AND NOT regexp_full_match(word, '\p{{Nd}}+') AND lower(word) NOT IN ({stops}) GROUP BY ALL),
+held AS (SELECT doc_id, x AS word, {held(whole, 80)} + {held("k", 30)} + {held("ds", 40)} AS s FROM d, (SELECT unnest([{terms}]) AS x)),
+b AS (SELECT doc_id, word, sum(s) AS s FROM (SELECT * FROM own UNION ALL SELECT * FROM held WHERE s > 0) GROUP BY ALL),
+best AS (SELECT doc_id, string_agg(word, ',' ORDER BY p) AS words FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, word) AS p FROM b) WHERE p <= 12 GROUP BY doc_id)
+{" UNION ALL ".join(parts)}"""
+
+
+LABELS_HERE = {"运维账号": ["TOKEN", "password"], "保密协议": ["LICENSE"]}
+
+
+def label_analysis(spark, d):
+    a = generate.analyse(F.col("text"), F.lit(""), F.lit(""), LABELS_HERE)
+    return read(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", F.array_join("a.semantic_labels", "/").alias("labels"), "a.sensitive_type", "a.risk_level", "a.model_name")
+
+
+def query_file(spark, d):
+    """Three lookups: by hash, by a part of a name, by a path; the documents' sources serve as names."""
+    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("file_name"), F.col("lang").alias("sensitive_type"), F.lit("low").alias("risk_level"))
+    one = lambda n, **q: search.query_file(docs, "doc_id", **q).withColumn("n", F.lit(n))
+    return one(1, file_hash="0" * 64).unionByName(one(2, file_name="-7.txt")).unionByName(one(3, file_path="/a/b/-12.txt"))
+
+
+def embedding_ids(spark, d):
+    return read(spark, d, "documents").select("doc_id", generate.embedding_id(F.lit("model-a"), F.coalesce("text", F.lit(""))).alias("embedding_id"), F.length(F.substring("text", 1, 4000)).alias("n_sent"))
+
+
+def clean_text(spark, d):
+    text = extract.clean(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.sha2(text, 256).alias("sha256"), F.length(text).alias("n_chars"))
+
+
+def rule_apply(spark, d):
+    """A host's copy after an incremental sync."""
+    rules = spark.createDataFrame(RULES, library.RULE)
+    live, deleted, _ = library.sync(rules, 4)
+    cache = rules.where("version <= 6").withColumn("risk_level", F.lit("old"))
+    return library.apply(cache, live, deleted, False).select("rule_id", "risk_level", "version")
+
+
+
+QUERIES = {f.__name__: f for f in (content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, scan, confidence_hist, list_results, keyword_extract, rule_sync, rule_delete, tag_upsert, semantic_search, list_samples, find_samples, event_merge, top_users, trend, event_filter, zip_scan, library_scan, scan_summary, rule_generate, label_analysis, query_file, embedding_ids, clean_text, rule_apply)}
 
 _hits = "list_filter([" + ", ".join(f"'{w}'" for w in KEYWORDS) + "], lambda w: contains(text, w))"
 _cond = "(" + " OR ".join(f"contains(coalesce(text, ''), '{w}')" for w in COMBINED[0][1]) + ")", f"regexp_matches(coalesce(text, ''), '{COMBINED[1][1]}')"
@@ -251,4 +360,15 @@ ORACLES = {
     "top_users": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type = 'click' GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 10",
     "trend": "SELECT day, event_type, n AS n_events, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
     "event_filter": "SELECT user_id, event_type, event_id, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'info' ELSE 'high' END AS level, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'known' END AS reason, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'high' END AS old_level FROM events WHERE event_type != 'view'",
+    "library_scan": library_scan_sql(),
+    "scan_summary": f"SELECT count(*) AS total, count(*) FILTER (confidence_level = 'sensitive') AS sensitive, count(*) FILTER (confidence_level = 'suspected') AS suspected, count(*) FILTER (confidence_level = 'low_confidence') AS low_confidence FROM ({scan_sql()})",
+    "rule_generate": rule_generate_sql(),
+    "label_analysis": f"SELECT doc_id, CASE WHEN l = '' THEN '{fixed.UNCLASSIFIED}' ELSE l END AS labels, CASE WHEN l = '' THEN '{fixed.UNCLASSIFIED}' ELSE l END AS sensitive_type, CASE WHEN contains(l, '运维账号') THEN 'high' WHEN l != '' THEN 'medium' ELSE 'low' END AS risk_level, 'rule-fallback' AS model_name FROM (SELECT doc_id, concat_ws('/', CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') THEN '运维账号' END, CASE WHEN contains(lower(text), 'license') THEN '保密协议' END) AS l FROM documents)",
+    "query_file": """WITH d AS (SELECT doc_id, sha256(text) AS sha256, source || '-' || doc_id || '.TXT' AS file_name, lang AS sensitive_type FROM documents),
+q(n, how, x) AS (VALUES (1, 'sha256', repeat('0', 64)), (2, 'filename_like', '-7.txt'), (3, 'filepath_basename_like', '-12.txt')),
+f AS (SELECT n, how, min(doc_id) AS i FROM q LEFT JOIN d ON CASE WHEN n = 1 THEN sha256 = x ELSE contains(lower(file_name), x) END GROUP BY ALL)
+SELECT n, i IS NOT NULL AS sensitive, CASE WHEN i IS NOT NULL THEN how END AS match_type, i AS sensitive_file_id, file_name, sensitive_type, CASE WHEN i IS NOT NULL THEN 'low' END AS risk_level FROM f LEFT JOIN d ON doc_id = i""",
+    "embedding_ids": "SELECT doc_id, 'emb_' || substr(sha256('model-a' || chr(0) || coalesce(text, '')), 1, 16) AS embedding_id, CAST(length(substr(text, 1, 4000)) AS INT) AS n_sent FROM documents",
+    "clean_text": r"SELECT page_id, sha256(t) AS sha256, CAST(length(t) AS INT) AS n_chars FROM (SELECT page_id, trim(regexp_replace(replace(html, chr(0), ' '), '\s+', ' ', 'g')) AS t FROM pages)",
+    "rule_apply": f"WITH r AS (SELECT *, (source = 'builtin' OR version > 4) AND enabled AND NOT deleted AS live, (NOT enabled OR deleted) AND version > 4 AS gone FROM {rules_values()}) SELECT rule_id, CASE WHEN live THEN CASE WHEN source = 'builtin' THEN risk ELSE 'medium' END ELSE 'old' END AS risk_level, version FROM (SELECT r.*, b.risk FROM r LEFT JOIN (VALUES {', '.join(f"('builtin_{n}', '{r}')" for n, _, r in BUILTIN_RULES)}) AS b(id, risk) ON id = rule_id) WHERE live OR (version <= 6 AND NOT gone)",
 }

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.fixed import UNSUPPORTED
 
-TEXT = {".txt", ".md", ".csv", ".json", ".log", ".xml", ".html", ".yaml", ".yml", ".ini", ".conf", ".py", ".go", ".java", ".js", ".ts", ".sql", ".env"}
-UNSUPPORTED = {".ppt", ".pptx", ".doc", ".xls"}
 MAX_DEPTH, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 2, 200, 50 << 20, 100 << 20
 
 
@@ -56,10 +57,25 @@ def local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def docx(data: bytes) -> str:
+def docx_root(data: bytes) -> ElementTree.Element:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    return "\n".join(filter(None, ("".join(t.text or "" for t in p.iter() if local(t.tag) == "t") for p in root.iter() if local(p.tag) == "p")))
+        return ElementTree.fromstring(z.read("word/document.xml"))
+
+
+def docx(data: bytes) -> str:
+    """Paragraphs, then the cells of tables, one a line."""
+    root = docx_root(data)
+    told = lambda e: "".join(t.text or "" for t in e.iter() if local(t.tag) == "t")
+    cells = [c for t in root.iter() if local(t.tag) == "tbl" for c in t.iter() if local(c.tag) == "tc"]
+    inside = {id(p) for c in cells for p in c.iter()}
+    lines = [told(p) for p in root.iter() if local(p.tag) == "p" and id(p) not in inside]
+    lines += ["\n".join(told(p) for p in c.iter() if local(p.tag) == "p") for c in cells]
+    return "\n".join(filter(None, lines))
+
+
+def docx_flat(data: bytes) -> str:
+    """All character data, trimmed and joined by spaces: the text of a sample, where docx() is the text of a scanned file."""
+    return " ".join(x for x in (t.strip() for t in docx_root(data).itertext()) if x)
 
 
 def xlsx(data: bytes) -> str:
@@ -103,6 +119,134 @@ def extract(path: str, data: bytes) -> tuple[str, str | None]:
     return decode(data), None
 
 
+def repaired(data: bytes) -> str:
+    """UTF-8; each byte that is none becomes a space."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace").replace("\ufffd", " ")
+
+
+def clean(text: Column) -> Column:
+    """Runs of white space and NULs become one space each, none at the ends."""
+    return F.trim(F.regexp_replace(F.translate(text, "\x00", " "), r"[\t\n\f\r\x20]+", " "))
+
+
+def sample_text(name: str, data: bytes, pdf=None) -> tuple[str, str | None]:
+    """(text before clean(), warning) of an uploaded sample. pdf: an optional reader (name, bytes) -> text, such as OCR."""
+    suffix = posixpath.splitext(name.lower())[1]
+    try:
+        if suffix == ".docx":
+            return docx_flat(data), None
+        if suffix == ".xlsx":
+            return xlsx(data), None
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
+        return "", f"extract_error: {e}"
+    if suffix != ".pdf":
+        return repaired(data), None
+    text = pdf(name, data) if pdf else ""
+    return (text, None) if text else (pdf_visible(data), "pdf_fallback")
+
+
+def sample_texts(samples: DataFrame, pdf=None) -> DataFrame:
+    """samples (file_name, content, ...) with `text` and `extract_warning`; null content is empty."""
+    kept = samples.drop("text", "extract_warning")
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sample_text(n or "", x or b"", pdf) for n, x in zip(b.column(names.index("file_name")).to_pylist(), b.column(names.index("content")).to_pylist(), strict=True)]
+            yield b.append_column("text", pa.array([t for t, _ in got], pa.string())).append_column("extract_warning", pa.array([w for _, w in got], pa.string()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, schema + ", text string, extract_warning string").withColumn("text", clean(F.col("text")))
+
+
+def strict_members(data: bytes, most: int = 200, most_entry: int = 20 << 20, most_total: int = 100 << 20) -> dict[str, bytes]:
+    """The members of an uploaded archive; one that breaks a limit, is nested or has an unsafe name fails the whole. Of equal names the last stays."""
+    out: dict[str, bytes] = {}
+    total = 0
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        infos = [x for x in z.infolist() if not x.is_dir()]
+        if len(infos) > most:
+            raise ValueError(f"over {most} files")
+        for x in infos:
+            total += x.file_size
+            if not is_safe_member(x.filename) or not valid_name(x.filename):
+                raise ValueError(f"unsafe name {x.filename}")
+            if x.filename.lower().endswith(".zip"):
+                raise ValueError(f"nested archive {x.filename}")
+            if x.file_size > most_entry or total > most_total:
+                raise ValueError(f"too large: {x.filename}")
+            out[posixpath.normpath(x.filename.replace("\\", "/"))] = z.read(x)
+    return out
+
+
+def valid_name(name: str) -> bool:
+    """Not blank, 255 characters at most, and neither absolute nor above its folder."""
+    n = posixpath.normpath(name.strip().replace("\\", "/"))
+    return bool(name.strip()) and len(name) <= 255 and n != "." and not n.startswith("/") and n.split("/")[0] != ".."
+
+
+def upload_error(name: Column, size: Column, most: int = 50 << 20) -> Column:
+    """Why a sample may not be uploaded, or null."""
+    path = F.regexp_replace(F.trim(name), r"\\", "/")
+    up = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("d"), F.lit(False).alias("bad")), _step, lambda s: s.bad | (s.d == 0))
+    bad = (F.length(F.trim(F.coalesce(name, F.lit("")))) == 0) | (F.length(name) > 255) | path.startswith("/") | up
+    return F.when(bad, "bad_name").when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too_large")
+
+
+def _step(state: Column, part: Column) -> Column:
+    """Depth below the folder while a path is followed; a leading climb is bad, one later only goes back up."""
+    depth = F.when(part == "..", state.d - 1).when(part.isin("", "."), state.d).otherwise(state.d + 1)
+    return F.struct(depth.alias("d"), (state.bad | (depth < 0)).alias("bad"))
+
+
+def ocr_text(reply) -> str:
+    """The text of an OCR service's parsed JSON reply: `text`, else what `result`, else `data` holds."""
+    def inner(v) -> str:
+        if isinstance(v, str):
+            return v
+        if isinstance(v, list):
+            return "\n".join(filter(None, map(inner, v)))
+        if isinstance(v, dict):
+            return next(filter(None, (inner(v.get(k)) for k in ("text", "content", "recognized_text", "ocr_text", "lines"))), "")
+        return ""
+
+    text = reply.get("text")
+    found = text if isinstance(text, str) and text else inner(reply.get("result")) or inner(reply.get("data"))
+    if not found:
+        raise ValueError("no text in the reply")
+    return found
+
+
+def expand(files: DataFrame) -> DataFrame:
+    """(path, content) with archives replaced by their members; null content is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = members(path, data or b"") if path.lower().endswith(".zip") else [(path, data or b"")]
+                for p, x in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([x], pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+def file_texts(files: DataFrame, skip: str) -> DataFrame:
+    """files (path, content, ...) with `text` and `skip_reason` for `content`; rows where the boolean column `skip` holds are not read."""
+    names = files.columns
+    rest = [n for n in names if n != "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [("", None) if k else extract(p, x or b"") for p, x, k in zip(*(b.column(names.index(c)).to_pylist() for c in ("path", "content", skip)), strict=True)]
+            yield b.select(rest).append_column("text", pa.array([t for t, _ in got], pa.string())).append_column("skip_reason", pa.array([r for _, r in got], pa.string()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
+    return files.mapInArrow(run, schema + ", text string, skip_reason string")
+
+
 def texts(files: DataFrame) -> DataFrame:
     """(path, content) -> (path, text, skip_reason); an archive becomes its members. Null content is empty."""
 
