@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby, pairwise
 
 import ahocorasick
 import numpy as np
@@ -18,8 +19,21 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 SPACE = "▁"
-#: Spaces and the word after them, line breaks, other spaces: no piece reaches from one chunk into the next.
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+
+
+def joined_with(pieces: Iterable[str], char: str) -> set[str]:
+    """The characters that pieces join to `char`, directly or through others; no piece holds one of them beside any other character."""
+    beside: dict[str, set[str]] = {}
+    for p in pieces:
+        for a, b in pairwise(p.lstrip(SPACE)):
+            beside.setdefault(a, set()).add(b)
+            beside.setdefault(b, set()).add(a)
+    found, waiting = {char}, [char]
+    while waiting:
+        new = beside.get(waiting.pop(), set()) - found
+        found |= new
+        waiting += new
+    return found
 
 
 class Pieces:
@@ -31,7 +45,7 @@ class Pieces:
     holds for exactly one piece at each position that a prefix's encoding can end in.
     """
 
-    most = 200_000
+    most = 150_000
 
     def __init__(self, model: str, kind: str = "bpe"):
         m = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -48,14 +62,20 @@ class Pieces:
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for v, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([v])
+        self.piece = {i: p for p, i in self.id.items()}
+        self.size = [len(self.piece.get(i, "")) for i in range(n)]
         self.chars = {p for p in self.id if len(p) == 1}
+        #: Spaces and the word or the marks after them, line breaks, other spaces: no piece reaches from one chunk into the next.
+        word = "".join(map(re.escape, sorted(joined_with(self.id, "e") - {"\n", SPACE})))
+        self.cut = re.compile(f"{SPACE}*(?:[{word}]+|[^{word}{SPACE}\n]+)|\n|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
-        for p in self.id:
+        for p, i in self.id.items():
             if kind == "unigram" or self.merged(p) == [p]:  # merging never makes other pieces
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, s: str) -> list[str]:
         """Merging by definition, for short strings: the pair with the best score first, the leftmost of equal ones."""
@@ -70,66 +90,76 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays(self, a: str, b: str) -> bool:
-        key = (a, b)
-        got = self.apart.get(key)
-        if got is None:
-            if len(self.apart) > self.most:
-                self.apart.clear()
-            got = self.apart[key] = self.merged(a + b) == [a, b]
+    def stays(self, key: int) -> bool:
+        """Whether merging keeps two pieces apart; key: the first's id times the number of ids, plus the second's."""
+        if len(self.apart) > self.most:
+            self.apart.clear()
+        a, b = (self.piece[i] for i in divmod(key, len(self.size)))
+        self.apart[key] = got = self.merged(a + b) == [a, b]
         return got
 
     def best(self, s: str) -> list[str]:
         """The pieces of a string of known characters."""
+        return [self.piece[i] for i in self.way(s)]
+
+    def way(self, s: str) -> list[int]:
+        """Their ids."""
         if self.kind == "bpe" and s.startswith(SPACE * 2):  # runs of spaces have equal scores, where only merging itself decides
-            return self.merged(s)
-        n = len(s)
-        last: list[str | None] = [None] * (n + 1)
+            return [self.id[p] for p in self.merged(s)]
+        n, size = len(s), self.size
+        last = [-1] * (n + 1)
         if self.kind == "unigram":
             total = [0.0] + [float("-inf")] * n
-            for end, p in self.automaton.iter(s):
-                value = total[end + 1 - len(p)] + self.score[p]
+            for end, i in self.automaton.iter(s):
+                value = total[end + 1 - size[i]] + self.score[self.piece[i]]
                 if value > total[end + 1]:
-                    total[end + 1], last[end + 1] = value, p
+                    total[end + 1], last[end + 1] = value, i
         else:
-            for end, p in self.automaton.iter(s):
-                if last[end + 1] is None:
-                    start = end + 1 - len(p)
-                    if not start or (last[start] is not None and self.stays(last[start], p)):
-                        last[end + 1] = p
+            apart, many = self.apart.get, len(size)
+            for end, i in self.automaton.iter(s):
+                end += 1
+                if last[end] < 0:
+                    start = end - size[i]
+                    if start:
+                        if last[start] < 0:
+                            continue
+                        key = last[start] * many + i
+                        far = apart(key)
+                        if not (self.stays(key) if far is None else far):
+                            continue
+                    last[end] = i
         out = []
         while n:
-            p = last[n]
-            out.append(p)
-            n -= len(p)
+            out.append(last[n])
+            n -= size[last[n]]
         return out[::-1]
 
     def chunk(self, s: str) -> bytes:
         """Ids of a chunk as little-endian 32-bit integers; characters that are no piece become their bytes' pieces."""
+        if self.chars.issuperset(s):
+            return array("I", self.way(s)).tobytes()
         ids: list[int] = []
-        run = ""
-        for c in s + "\n":
-            if c in self.chars:
-                run += c
-                continue
-            if run:
-                ids += [self.id[p] for p in self.best(run)]
-                run = ""
-            ids += [self.byte[v] for v in c.encode("utf-8", "replace")]
-        ids = ids[: -1]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        for known, run in groupby(s, self.chars.__contains__):
+            part = "".join(run)
+            ids += self.way(part) if known else [self.byte[v] for v in part.encode("utf-8", "replace")]
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as the model's library gives them: a space before the text, and no other normalisation. Empty text has none."""
+        """Ids as the model's library gives them: a space before the text, and no other normalisation. Empty text has none.
+
+        Short chunks are remembered in two generations of bounded size, so that frequent ones stay.
+        """
         if not text:
             return b""
-        known, out = self.known, []
-        for c in CHUNK.findall(SPACE + text.replace(" ", SPACE)):
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
+        for c in self.cut.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(c)
             if ids is None:
-                if len(known) >= self.most:
-                    known.clear()
-                ids = self.chunk(c)
+                ids = older.get(c)
+                if ids is None:
+                    ids = self.chunk(c)
                 if len(c) < 64:
                     known[c] = ids
             out.append(ids)
