@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby, pairwise
 
 import ahocorasick
@@ -68,15 +68,20 @@ class Pieces:
         #: Spaces and the word or the marks after them, line breaks, other spaces: no piece reaches from one chunk into the next.
         word = "".join(map(re.escape, sorted(joined_with(self.id, "e") - {"\n", SPACE})))
         self.cut = re.compile(f"{SPACE}*(?:[{word}]+|[^{word}{SPACE}\n]+)|\n|{SPACE}+")
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            if kind == "unigram" or self.merged(p) == [p]:  # merging never makes other pieces
-                self.automaton.add_word(p, i)
-        self.automaton.make_automaton()
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Made when first asked for; a worker that only decodes needs none."""
+        out = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            if self.kind == "unigram" or self.merged(p) == [p]:  # merging never makes other pieces
+                out.add_word(p, i)
+        out.make_automaton()
+        return out
+
     def merged(self, s: str) -> list[str]:
         """Merging by definition, for short strings: the pair with the best score first, the leftmost of equal ones."""
         parts = list(s)
