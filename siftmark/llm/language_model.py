@@ -24,7 +24,7 @@ from .binary_ids import pack
 from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, shared_dir, table, write_file
 
 END = b"\n"  # the token after each text; no word holds a line break
-ORDER = 2
+ORDER = 3
 
 
 def words_of(raw: bytes) -> list[bytes]:

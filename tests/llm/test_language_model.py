@@ -117,3 +117,12 @@ def test_held_out_texts_are_more_likely_than_by_single_words(spark, sf_dir):
     rows = [r for r in lm.op5_lm_scoring(spark, sf_dir).collect() if r.held_out and r.n_tokens > 50]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert sum(r.score > r.base_score for r in rows) > 0.5 * len(rows)
+
+
+def test_query_uses_three_words(spark, sf_dir):
+    held = "crc32(encode(coalesce(cast(doc_id as string), ''), 'UTF-8')) % 7 = 2"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pairs = lm.train(docs.where(f"NOT {held}").select("text"), shared_dir(spark, "lm-test"), 2)
+    of_pairs = sum(r.score for r in lm.score(docs.where(held), pairs).collect())
+    rows = [r for r in lm.op5_lm_scoring(spark, sf_dir).collect() if r.held_out]
+    assert sum(r.score for r in rows) > of_pairs + 0.1 * sum(r.n_tokens for r in rows)  # log10
