@@ -55,6 +55,12 @@ FAMILIES = (
     ("ruby", "ruby", ()),
     ("unlicense", "unlicense", ()),
 )
+#: Of each family with versions, what one of must stand in a text that names it.
+NAMES = {
+    "apache": (" apache",), "gpl": (" gpl", "general public licen"), "lgpl": (" lgpl", "general public licen"), "agpl": (" agpl", " affero"), "gfdl": (" gfdl", "free documentation"), "mpl": (" mpl", "mozilla public"), "epl": (" epl", "eclipse public"),
+    "cddl": (" cddl", "common development"), "eupl": (" eupl", "european union public"), "bsl": (" bsl", "boost software"), "artistic": (" artistic",), "afl": (" afl", "academic free"), "osl": (" osl", "open software"), "ofl": (" ofl", "open font"),
+    "busl": (" busl", "business source"), "sspl": (" sspl", "server side public"), "elastic": ("elastic licen",), "cecill": (" cecill",), "zpl": (" zpl", "zope public"), "odbl": (" odbl", "database licen"),
+}
 #: (label, regex, keyword): wordings that name no family.
 WORDINGS = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted"),
@@ -78,7 +84,7 @@ CC_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0")
 class Signature:
     label: str
     pattern: re.Pattern[bytes]
-    keyword: bytes
+    keywords: tuple[bytes, ...]  # every match holds one of them
     priority: int  # the larger wins an overlap
     score: float
 
@@ -88,8 +94,9 @@ def signatures() -> tuple[Signature, ...]:
     """Some hundred rules by family, version and wording; the most specific first. A match starts and ends at a word's edge."""
     rules: list[Signature] = []
 
-    def add(label: str, words: str, keyword: str, priority: int, score: float) -> None:
-        rules.append(Signature(label, re.compile(rf"(?<= ){words}(?= )".encode()), keyword.encode(), priority, score))
+    def add(label: str, words: str, keywords: str | tuple[str, ...], priority: int, score: float) -> None:
+        gate = (keywords,) if isinstance(keywords, str) else keywords
+        rules.append(Signature(label, re.compile(rf"(?<= ){words}(?= )".encode()), tuple(k.encode() for k in gate), priority, score))
 
     for phrase, label in BASE:
         add(label, phrase, phrase, 100, 1.0)
@@ -98,22 +105,21 @@ def signatures() -> tuple[Signature, ...]:
     for kind in CC_KINDS:
         label, short, long = "cc-" + "-".join(kind), "cc " + " ".join(kind), " ".join(dict(CC_PARTS)[x] for x in kind)
         for v in CC_VERSIONS:
-            add(f"{label}-{v.replace(' ', '.')}", f"(?:{short}|creative commons {long}) (?:licen[sc]e )?(?:version )?{v}", "creative commons" if len(kind) == 1 else short.split()[0] + " " + short.split()[1], 70 + len(kind), 0.98)
+            add(f"{label}-{v.replace(' ', '.')}", f"(?:{short}|creative commons {long}) (?:licen[sc]e )?(?:version )?{v}", ("cc by", "creative commons"), 70 + len(kind), 0.98)
         add(label, f"creative commons {long}(?: licen[sc]e)?", "creative commons", 60 + len(kind), 0.9)
-        if len(kind) > 1:
-            add(label, short, short, 50 + len(kind), 0.9)
+        add(label, short, short, 50 + len(kind), 0.9 if len(kind) > 1 else 0.6)  # "cc by" alone may be plain words
         add(label, f"creativecommons org licenses {' '.join(kind)}", "creativecommons", 60 + len(kind), 0.98)
-    add("cc0", "(?:cc0|creative commons zero)(?: licen[sc]e)?(?: 1 0)?", "cc0", 60, 0.95)
+    add("cc0", "(?:cc0|creative commons zero)(?: licen[sc]e)?(?: 1 0)?", ("cc0", "creative commons zero"), 60, 0.95)
     add("cc0", "creative commons zero(?: 1 0)?", "creative commons", 60, 0.95)
     for name, words, versions in FAMILIES:
-        keyword = "licen"
         for number, suffix in versions:
-            add(name + suffix, f"(?:the )?{words}(?: licen[sc]e)? (?:version |v ?)?{number}(?: or (?:any )?later)?(?: licen[sc]e)?", keyword, 40, 0.85)
-            add(name + suffix, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{words}(?: licen[sc]e)? (?:version |v ?)?{number}", "under", 45, 0.95)
+            joined = f"{words}(?:(?: licen[sc]e)? (?:version |v ?)?|v?){number}"
+            add(name + suffix, f"(?:the )?{joined}(?: or (?:any )?later)?(?: licen[sc]e)?", NAMES[name], 40, 0.85)
+            add(name + suffix, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{joined}", "under", 45, 0.95)
             add(name + suffix, f"spdx license identifier {name} {number}(?: only| or later)?", "spdx", 90, 1.0)
         add(name, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{words}(?: licen[sc]e)?", "under", 35, 0.9)
-        add(name, f"(?:the )?{words} licen[sc]e", keyword, 30, 0.75)
-        add(name, f"licen[sc]e (?:is )?{words}", keyword, 20, 0.6)
+        add(name, f"(?:the )?{words} licen[sc]e", "licen", 30, 0.75)
+        add(name, f"licen[sc]e (?:is )?{words}", "licen", 20, 0.6)
         add(name, f"spdx license identifier {name.replace('-', ' ')}", "spdx", 85, 1.0)
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
@@ -141,9 +147,10 @@ def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int,
     base = [(word(at + 1), word(at + 1) + len(p.split()), label) for p, label in BASE for at in places(norm, f" {p} ".encode())]
     found: list[tuple[int, int, str, float, int]] = []
     for r in rules:
-        if r.keyword not in heard:
-            heard[r.keyword] = r.keyword in norm
-        if heard[r.keyword]:
+        for k in r.keywords:
+            if k not in heard:
+                heard[k] = k in norm
+        if any(heard[k] for k in r.keywords):
             found.extend((m.start(), m.end(), r.label, r.score, r.priority) for m in r.pattern.finditer(norm))
     kept: list[tuple[int, int, str, float, int]] = []
     for x in sorted(found, key=lambda x: (-x[4], x[0] - x[1], x[0], x[2])):

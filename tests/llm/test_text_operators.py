@@ -1,5 +1,6 @@
 """Each query against a plain computation over the same rows."""
 
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -219,6 +220,20 @@ def test_license_overlaps():
     assert labels("") == []
 
 
+def test_license_gates_lose_nothing(spark, sf_dir):
+    rules = licenses.signatures()
+    ungated = tuple(dataclasses.replace(r, keywords=(b" ",)) for r in rules)
+    labels = lambda t: [x[2] for x in licenses.scan(t.encode(), rules)[2]]
+    want = {
+        "licensed under CC BY 4.0": ["cc-by-4.0"], "shared as CC-BY": ["cc-by"], "Creative Commons Attribution-ShareAlike 4.0": ["cc-by-sa-4.0"], "Creative Commons Zero License 1.0": ["cc0"],
+        "GPL version 3": ["gpl-3"], "this is GPLv3 code": ["gpl-3"], "LGPLv2.1 or later": ["lgpl-2.1"], "MPL 2.0": ["mpl-2"], "released under the Apache2": ["apache-2"], "Eclipse Public v2": ["epl-2"],
+    }
+    assert {t: labels(t) for t in want} == want
+    spelled = [f"{x} {v}" for _, family, vs in licenses.FAMILIES for x in (family, *re.findall("[a-z ]+", family)) for v in ("2", "v3", "version 1.1", *(n for n, _ in vs))]
+    texts = [*want, *spelled, *(r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect())]
+    assert all(licenses.scan(t[:5000].encode(), rules) == licenses.scan(t[:5000].encode(), ungated) for t in texts)
+
+
 def test_secrets(spark, tables, docs):
     want = Counter()
     for i, t in docs:
