@@ -152,8 +152,12 @@ def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int,
                 heard[k] = k in norm
         if any(heard[k] for k in r.keywords):
             found.extend((m.start(), m.end(), r.label, r.score, r.priority) for m in r.pattern.finditer(norm))
+    # what holds a whole base phrase says more than the phrase, so it goes before all others
+    phrases = [x for x in found if x[4] == 100]
+    wider = lambda x: any(x[0] <= p[0] and p[1] <= x[1] and p[1] - p[0] < x[1] - x[0] for p in phrases)
+    ranked = [(*x[:4], x[4] + 1000 * wider(x)) for x in found] if phrases else found
     kept: list[tuple[int, int, str, float, int]] = []
-    for x in sorted(found, key=lambda x: (-x[4], x[0] - x[1], x[0], x[2])):
+    for x in sorted(ranked, key=lambda x: (-x[4], x[0] - x[1], x[0], x[2])):
         # an overlapped detection goes if a stronger one contains it, or if it reaches out of a strictly stronger one
         if not any(x[0] < y[1] and y[0] < x[1] and (y[0] <= x[0] and x[1] <= y[1] or y[4] > x[4]) for y in kept):
             kept.append(x)
@@ -164,7 +168,8 @@ def license_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: words, base places, labels, best score and the kept detections as (first word, end word, label, score).
 
     Null and empty texts have no words and no labels, score 0. Repeated rows are scanned alike, other columns are not carried.
-    A detection is dropped when a stronger one overlaps it; base phrases always stay in base_labels and labels.
+    A detection is dropped when a stronger one overlaps it; one that holds a whole base phrase and more is stronger than the
+    phrase. Base phrases always stay in base_labels and labels.
     """
     prepare(df.sparkSession)
 

@@ -234,6 +234,16 @@ def test_license_gates_lose_nothing(spark, sf_dir):
     assert all(licenses.scan(t[:5000].encode(), rules) == licenses.scan(t[:5000].encode(), ungated) for t in texts)
 
 
+def test_license_wider_than_a_base_phrase():
+    rules = licenses.signatures()
+    labels = lambda t: [x[2] for x in licenses.scan(t.encode(), rules)[2]]
+    for parts in ("NC", "NC-SA", "NC-ND"):
+        assert labels(f"shared as CC BY-{parts}") == [f"cc-by-{parts.lower()}"]
+        assert labels(f"shared as CC BY-{parts} 4.0 here") == [f"cc-by-{parts.lower()}-4.0"]
+    assert labels("CC BY-NC and CC BY-NC-SA 3.0") == ["cc-by-nc", "cc-by-nc-sa-3.0"]
+    assert labels("under the MIT License; licensed under the Apache License Version 2.0") == ["mit", "apache-2"]
+
+
 def test_secrets(spark, tables, docs):
     want = Counter()
     for i, t in docs:
