@@ -173,6 +173,12 @@ def semantic_search(spark, d):
     return search.semantic_search(v, v.orderBy("vec_id").first()["embedding"]).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def semantic_search_all(spark, d):
+    """Every vector whose id is divisible by 20 asks all vectors."""
+    v = read(spark, d, "embeddings")
+    return search.semantic_search_all(v, v.where("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))
+
+
 def list_samples(spark, d):
     return search.find_samples(read(spark, d, "documents"), limit=50).select("doc_id", "source")
 
@@ -329,7 +335,7 @@ def rule_apply(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, scan, confidence_hist, list_results, keyword_extract, rule_sync, rule_delete, tag_upsert, semantic_search, list_samples, find_samples, event_merge, top_users, trend, event_filter, zip_scan, library_scan, scan_summary, rule_generate, label_analysis, query_file, embedding_ids, clean_text, rule_apply)}
+QUERIES = {f.__name__: f for f in (content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, scan, confidence_hist, list_results, keyword_extract, rule_sync, rule_delete, tag_upsert, semantic_search, semantic_search_all, list_samples, find_samples, event_merge, top_users, trend, event_filter, zip_scan, library_scan, scan_summary, rule_generate, label_analysis, query_file, embedding_ids, clean_text, rule_apply)}
 
 _hits = "list_filter([" + ", ".join(f"'{w}'" for w in KEYWORDS) + "], lambda w: contains(text, w))"
 _cond = "(" + " OR ".join(f"contains(coalesce(text, ''), '{w}')" for w in COMBINED[0][1]) + ")", f"regexp_matches(coalesce(text, ''), '{COMBINED[1][1]}')"
@@ -354,6 +360,7 @@ ORACLES = {
     + ") AS r(rule_id, risk_level, version, enabled, deleted)",
     "tag_upsert": "SELECT source AS file_path, sha256(text) AS file_hash, min(doc_id) AS first_detected_at, max(doc_id) + 100 AS last_detected_at, 20 AS match_score FROM documents GROUP BY ALL",
     "semantic_search": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY round(score, 6) DESC, vec_id LIMIT 5",
+    "semantic_search_all": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) <= 5",
     "list_samples": "SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 50",
     "find_samples": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed under') AND contains(lower(source), 'src1') ORDER BY doc_id DESC LIMIT 100",
     "event_merge": "SELECT user_id, event_type, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -139,6 +139,17 @@ def test_limits(spark):
         search.at_least("unknown")
 
 
+def test_search_of_many_equals_search_of_each(spark):
+    rows = [(i, [float(i * 7 % 11 - 5), float(i * 3 % 13 - 6), 1.0]) for i in range(400)] + [(400, [0.0, 0.0, 0.0]), (401, None), (402, [1.0]), (403, [1.0, None, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = {i: x for i, x in rows if i % 40 == 0 or i == 402}
+    got = search.semantic_search_all(v, v.where("vec_id % 40 = 0 OR vec_id = 402"), 3, 0.2).collect()
+    for i, x in asked.items():
+        want = [(r.vec_id, round(r.score, 6)) for r in search.semantic_search(v, x, 3, 0.2).collect()]
+        assert sorted((r.vec_id, round(r.score, 6)) for r in got if r.query_id == i) == sorted(want)
+    assert len({r.query_id for r in got}) == 11  # ten of the first 400 and the short one
+
+
 def test_event_merge_as_a_stream(spark, sf_dir, tmp_path):
     src = spark.read.parquet(f"{sf_dir}/events.parquet")
     src.coalesce(2).write.parquet(f"{tmp_path}/in")
