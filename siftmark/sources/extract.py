@@ -25,15 +25,18 @@ def members(path: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes
     """(outer!inner, bytes) of an archive, nested ones included; a broken archive gives what was read before."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            total = 0
-            for k, info in enumerate(x for x in z.infolist() if not x.is_dir()):
-                if k >= MAX_ENTRIES:
+            total = read = 0
+            for info in z.infolist():
+                if info.is_dir():
+                    continue
+                if read >= MAX_ENTRIES:
                     return
                 if not is_safe_member(info.filename) or info.file_size > MAX_ENTRY:
                     continue
                 total += info.file_size
                 if total > MAX_TOTAL:
                     return
+                read += 1  # entries that are skipped above don't count
                 inner = z.read(info)
                 if info.filename.lower().endswith(".zip"):
                     if depth + 1 < MAX_DEPTH:

@@ -127,6 +127,16 @@ def test_library(spark):
     assert [one(spark, library.normal_risk(F.lit(x))) for x in (" HIGH ", "", "odd")] == ["high", "medium", "medium"]
 
 
+def test_skipped_members_do_not_count():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(200):
+            z.writestr(f"../{i}", "x")
+        for i in range(201):
+            z.writestr(f"in{i}.txt", "y")
+    assert [n for n, _ in extract.members("a.zip", out.getvalue())] == [f"a.zip!in{i}.txt" for i in range(200)]
+
+
 def test_tag_upsert_keeps_the_first_time(spark):
     tags = spark.createDataFrame([("p", "h", 1, 1, 10)], "file_path string, file_hash string, first_detected_at long, last_detected_at long, match_score int")
     assert [tuple(r) for r in library.upsert_tags(tags, tags.selectExpr("file_path", "file_hash", "9L AS first_detected_at", "9L AS last_detected_at", "90 AS match_score")).collect()] == [("p", "h", 1, 9, 90)]
