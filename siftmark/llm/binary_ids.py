@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_file, ordered_parts, partitions, prepare, shared_dir, table, write_file
+from .common import map_file, ordered_parts, partitions, prepare, release, shared_dir, table, write_file
 from .tokenizing import encoder
 
 MAGIC = b"SMIDS001"
@@ -120,6 +120,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, spaced: bool, end: int
                     chunks.append(ids.astype(np.uint16) if bits <= 16 else ids)
         if keys:
             yield close()
+        release()
 
     deal = parts.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "text")
     return deal.mapInArrow(run, "file int, uri string, documents long, ids long")
@@ -144,6 +145,8 @@ def read_ids(spark: SparkSession, manifest_uri: str) -> DataFrame:
                     cuts = f.starts[i : j + 1] - f.starts[i]
                     crc += [zlib.crc32(ids[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(base + f.starts[:-1], pa.int64()), pa.array(np.diff(f.starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del f
+        release()
 
     rows = spark.createDataFrame([(u, a) for u, a in first.items()], "uri string, first long").repartition(max(1, min(len(first), partitions(spark))))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -339,3 +339,18 @@ def test_merged_fingerprints(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "c d e f g h"), (2, None), (None, "x")], "doc_id long, text string")
     got = {r.doc_id: fingerprints.Sketch.parse(r.fingerprint).count() for r in fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()}
     assert got == {1: 4, 2: 0, None: 1}
+
+
+@pytest.mark.parametrize("name, spaced, end", [("byte_bpe_50k.json", True, 0), ("word_bpe_49k.json", False, 2)])
+def test_batched_encoding_equals_the_tokenizer(name, spaced, end):
+    """Small steps and a small memory, so that cuts of long texts and forgotten chunks come up."""
+    import random
+
+    from siftmark.llm.tokenizing import Encoder
+
+    r, e = random.Random(5), Encoder(name, spaced, end)
+    e.step, e.most = 200, 300
+    signs = ["a", "B", "the", " ", "  ", "\n", "\t", "1", "23", ",", "~", "<", "|", "é", "Ä", "ß", "÷", "-", "'s", "\x85", "中", "word", "¡"]
+    for _ in range(400):
+        t = "".join(r.choice(signs[: r.choice([8, 14, 18, 23])]) for _ in range(r.choice([0, 1, 5, 30, 300, 1000])))
+        assert np.frombuffer(e.encode([t, "x y", t])[2], "<u4").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, end]
