@@ -1,13 +1,15 @@
 """LM scoring: an n-gram trie with Elias-Fano pointers and quantised smoothed probabilities in memory-mapped levels.
 
 Words are the positions of their 64-bit hashes in a sorted vocabulary, kept in files by ranges of hashes. N-grams are dealt by
-their first word; each shard is a trie file of its own. A node's children are the words after its context, in ascending order,
-between two neighbouring pointers; a lookup goes down from context to context by a successor search between these.
+their first word, those that begin with a frequent word by their first two; each shard is a trie file of its own. A node's
+children are the words after its context, in ascending order, between two neighbouring pointers; the search for a longer
+n-gram starts at the node of its context, which the shorter n-gram that ends one word before has found.
 
 Smoothing is interpolated absolute discounting: P(w | h) = max(c(hw) - D, 0) / c(h) + D * T(h) / c(h) * P(w | h'), with T the
-number of distinct words after h, h' the context without its first word, and D from the shard's counts of counts. Where h is
-unseen, P(w | h'). Single words have P(w) = (c + 1) / (N + V + 1), which leaves mass for unknown words, so each context's
-probabilities sum to one but for the rounding of the 256 levels that each kind of value is rounded to.
+number of distinct words after h, h' the context without its first word, and D per length from the counts of counts of all
+n-grams. Where h is unseen, P(w | h'). Single words have P(w) = (c + 1) / (N + V + 1), which leaves mass for unknown words, so
+each context's probabilities sum to one but for rounding. Both factors are kept as one of 4096 steps of their logarithm, the
+same steps whatever the data, so a score depends neither on the number of shards nor on how the n-grams are dealt.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_ids import pack
-from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, shared_dir, table, write_file
+from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, release, shared_dir, table, write_file
 
 END = b"\n"  # the token after each text; no word holds a line break
 ORDER = 3
+STEPS, DEEPEST = 4096, 40.0  # of a logarithm: 12 bits from 1 down to exp(-40)
+CODE = 12
+STEP = 3 << 20  # bytes of text that are taken at once
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -78,16 +84,33 @@ class Monotone:
         place = word * 64 + ranked(self.bits[word], i - self.before[word])
         return ((place - i) << self.low) | unpacked(self.lows, self.low, i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at i and i + 1, of which the second is mostly the next set bit of the same word."""
+        word = np.searchsorted(self.before, i, "right") - 1
+        bits = self.bits[word]
+        place = ranked(bits, i - self.before[word])
+        rest = bits & (U64(0xFFFFFFFFFFFFFFFE) << place.astype(U64))
+        lowest = rest & (~rest + U64(1))
+        following = word * 64 + np.bitwise_count(lowest - U64(1)).astype(np.int64)
+        beyond = np.flatnonzero(rest == 0)
+        out = ((word * 64 + place - i) << self.low) | unpacked(self.lows, self.low, i)
+        following = ((following - i - 1) << self.low) | unpacked(self.lows, self.low, i + 1)
+        following[beyond] = self.at(i[beyond] + 1)
+        return out, following
+
+
+def coded(values: np.ndarray) -> np.ndarray:
+    """Values in (0, 1] as packed steps of their logarithm."""
+    code = np.rint(-np.log(np.maximum(values, 1e-300)) * ((STEPS - 1) / DEEPEST))
+    return packed_bits(np.clip(code, 0, STEPS - 1).astype(np.uint32), CODE)
+
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and their 256 values: means of equally full classes of the logarithm."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(256, "<f8")
-    logs = np.log(values)
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, 257)[1:-1]))
-    code = np.searchsorted(edges, logs, "right")
-    n = np.bincount(code, minlength=256)
-    return code.astype(np.uint8), np.exp(np.bincount(code, logs, 256) / np.maximum(n, 1)).astype("<f8")
+BOOK = np.exp(-np.arange(STEPS) * (DEEPEST / (STEPS - 1)))
+
+
+def packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """pack() with room behind for windows()."""
+    return np.concatenate([pack(values.astype(np.uint32), bits), np.zeros(8, np.uint8)])
 
 
 def save(uri: str, parts: list[np.ndarray]) -> None:
@@ -108,16 +131,19 @@ def load(uri: str) -> list[np.ndarray]:
 
 
 class Trie:
-    """One shard. Level 1 has the first words; level k + 1 has the children of level k's nodes, in their order."""
+    """One shard: level 1 has the first words; level k + 1 has the children of level k's nodes, in their order.
+
+    It is written twice: n-grams and counts as they are merged (the structure), then the probabilities, once the counts of
+    counts of all shards are known.
+    """
 
     @staticmethod
-    def layout(grams: np.ndarray, counts: np.ndarray, nil: int) -> list[np.ndarray]:
+    def structure(grams: np.ndarray, counts: np.ndarray, nil: int) -> list[np.ndarray]:
         """grams: sorted distinct rows of word ids, `nil` behind the end of a text; counts: how often each starts somewhere."""
         order = grams.shape[1]
         bits = nil.bit_length()
         parts = [np.array([order, bits], "<i8")]
-        parent = np.zeros(len(grams), np.int64)  # of each gram at the level above
-        sums = np.array([counts.sum()], np.int64)
+        parent, above = np.zeros(len(grams), np.int64), 1  # of each gram at the level above, and how many nodes that has
         for level in range(1, order + 1):
             real = grams[:, level - 1] != nil
             g, c, up = grams[real], counts[real], parent[real]
@@ -126,64 +152,88 @@ class Trie:
                 new[1:] = (up[1:] != up[:-1]) | (g[1:, level - 1] != g[:-1, level - 1])
             starts = np.flatnonzero(new)
             count = np.add.reduceat(c, starts) if len(starts) else np.zeros(0, np.int64)
-            word, above = g[starts, level - 1], up[starts]
+            word = g[starts, level - 1]
             if level > 1:
-                inside = np.bincount(above, count, len(sums))  # continuations of each context
-                kinds = np.bincount(above, minlength=len(sums))
-                once, twice = (count == 1).sum(), (count == 2).sum()
-                cut = once / (once + 2 * twice) if once and twice else 0.5
-                inside = np.maximum(inside, 1)
-                code, book = quantised((count - cut) / inside[above])
-                less, back = quantised(np.maximum(cut * kinds / inside, 1e-12))
-                parts += Monotone.layout(np.concatenate([[0], np.cumsum(kinds)]))
-                parts += [less, back, (kinds > 0).astype(np.uint8), np.concatenate([pack(word.astype(np.uint32), bits), np.zeros(8, np.uint8)]), code, book]
+                parts += Monotone.layout(np.concatenate([[0], np.cumsum(np.bincount(up[starts], minlength=above))]))
+                parts += [packed_bits(word, bits)]
             else:
                 parts += [word.astype("<u4")]
-            sums = count
-            grams, counts, parent = g, c, np.cumsum(new) - 1
+            large = np.flatnonzero(count > 254)
+            parts += [np.minimum(count, 255).astype(np.uint8), large.astype("<i8"), count[large].astype("<i8")]
+            grams, counts, parent, above = g, c, np.cumsum(new) - 1, len(starts)
         return parts
 
-    def __init__(self, parts: list[np.ndarray]):
+    def __init__(self, parts: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.order, self.bits = (int(x) for x in parts[0].view("<i8"))
         self.first = parts[1].view("<u4")
-        self.levels = []
+        self.counted = [parts[2:5]]
+        self.pointers, self.words = [], []
         for k in range(self.order - 1):
-            p = parts[2 + 10 * k : 12 + 10 * k]
-            self.levels.append((Monotone(p[:4]), p[4], p[5].view("<f8"), p[6], windows(p[7]), p[8], p[9].view("<f8")))
-
-    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rows of k words: the discounted probability of the last word (0 if unseen), the mass left to shorter contexts, and whether the context has been seen."""
-        q, k = grams.shape
-        share, left, seen = np.zeros(q), np.ones(q), np.zeros(q, bool)
-        live = np.arange(q)
+            p = parts[5 + 8 * k : 13 + 8 * k]
+            self.pointers.append(Monotone(p[:4]))
+            self.words.append(windows(p[4]))
+            self.counted.append(p[5:8])
+        self.share = [windows(x) for x in values[0::2]] if values else []
+        self.left = [windows(x) for x in values[1::2]] if values else []
+
+    def counts(self, level: int) -> np.ndarray:
+        """How often each node's n-gram occurs."""
+        small, large, value = self.counted[level - 1]
+        out = small.astype(np.int64)
+        out[large.view("<i8")] = value.view("<i8")
+        return out
+
+    def children(self, level: int) -> np.ndarray:
+        n = len(self.counted[level - 1][0])
+        ends = self.pointers[level - 1].at(np.arange(n + 1)) if n else np.zeros(1, np.int64)
+        return np.diff(ends)
+
+    def probabilities(self, cuts: list[float], hot: np.ndarray, hot_counts: np.ndarray) -> list[np.ndarray]:
+        """Per level from the second: each node's discounted share, and the mass that its context leaves; cuts: D by length.
+
+        The counts of frequent first words, whose n-grams lie in several shards, are given; they leave what the model says.
+        """
+        out = []
+        for level in range(2, self.order + 1):
+            kinds, count = self.children(level - 1), self.counts(level)
+            above = np.repeat(np.arange(len(kinds)), kinds)
+            inside = np.bincount(above, count, len(kinds))
+            if level == 2 and len(hot):
+                at = np.minimum(np.searchsorted(hot, self.first), len(hot) - 1)
+                inside = np.where(hot[at] == self.first, hot_counts[at], inside)
+            inside = np.maximum(inside, 1)
+            cut = cuts[level - 2]
+            out += [coded((count - cut) / inside[above]), coded(np.maximum(cut * kinds / inside, 1e-12))]
+        return out
+
+    def roots(self, words: np.ndarray) -> np.ndarray:
+        """The nodes of single words, -1 where there is none."""
         if not len(self.first):
-            return share, left, seen
-        node = np.minimum(np.searchsorted(self.first, grams[:, 0]), len(self.first) - 1)
-        ok = self.first[node] == grams[:, 0]
-        live, node = live[ok], node[ok].astype(np.int64)
-        for level in range(1, k):
-            pointers, less, back, filled, words, code, book = self.levels[level - 1]
-            ok = filled[node] > 0
-            live, node = live[ok], node[ok]
-            if level == k - 1:
-                seen[live] = True
-                left[live] = back[less[node]]
-            wanted = grams[live, level].astype(np.int64)
-            low, end = pointers.at(node), pointers.at(node + 1)
-            high = end.copy()
-            open_ = np.flatnonzero(low < high)
-            while len(open_):  # the first child that is not less than the wanted word
-                mid = (low[open_] + high[open_]) >> 1
-                less_than = unpacked(words, self.bits, mid) < wanted[open_]
-                low[open_[less_than]] = mid[less_than] + 1
-                high[open_[~less_than]] = mid[~less_than]
-                open_ = open_[low[open_] < high[open_]]
-            ok = low < end
-            ok[ok] = unpacked(words, self.bits, low[ok]) == wanted[ok]
-            live, node = live[ok], low[ok]
-            if level == k - 1:
-                share[live] = book[code[node]]
-        return share, left, seen
+            return np.full(len(words), -1, np.int64)
+        node = np.minimum(np.searchsorted(self.first, words), len(self.first) - 1)
+        return np.where(self.first[node] == words, node, -1)
+
+    def step(self, level: int, node: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From nodes of a level to their children of the wanted words: the child or -1, its share (0 if unseen), the mass left to shorter contexts, and whether the node has children."""
+        pointers, words = self.pointers[level - 1], self.words[level - 1]
+        low, end = pointers.pair(node)
+        seen = low < end
+        left = BOOK[unpacked(self.left[level - 1], CODE, node)]
+        high = end.copy()
+        open_ = np.flatnonzero(seen)
+        while len(open_):  # the first child that is not less than the wanted word
+            mid = (low[open_] + high[open_]) >> 1
+            less = unpacked(words, self.bits, mid) < wanted[open_]
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
+            open_ = open_[low[open_] < high[open_]]
+        child = np.full(len(node), -1, np.int64)
+        at = np.flatnonzero(low < end)
+        at = at[unpacked(words, self.bits, low[at]) == wanted[at]]
+        child[at] = low[at]
+        share = np.zeros(len(node))
+        share[at] = BOOK[unpacked(self.share[level - 1], CODE, low[at])]
+        return child, share, left, seen
 
 
 class Vocabulary:
@@ -221,11 +271,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def rows_summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows and the sums of their counts."""
-    if grams.shape[1] == 2:
-        key, counts = summed((grams[:, 0].astype(U64) << U64(32)) | grams[:, 1].astype(U64), counts)
-        return np.stack([key >> U64(32), key & U64(0xFFFFFFFF)], 1).astype(np.int64), counts
-    order = np.lexsort(grams.T[::-1])
+    """Sorted distinct rows of ids below 2**32 and the sums of their counts."""
+    key = (grams[:, 0].astype(U64) << U64(32)) | grams[:, 1].astype(U64)
+    order = np.lexsort((*grams.T[:1:-1], key)) if grams.shape[1] > 2 else np.argsort(key, kind="stable")
     grams, counts = grams[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(1)])) if len(grams) else np.zeros(0, np.int64)
     return grams[starts], np.add.reduceat(counts, starts) if len(starts) else counts
@@ -254,8 +302,16 @@ def count_words(texts: DataFrame, folder: str, n: int) -> DataFrame:
     return packed(texts, n, emit, merge, "shard int, types long, tokens long")
 
 
-def sequences(raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's words and its end, and the texts' lengths."""
+class Local(dict):
+    """word -> its place among the words asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def sequences(raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens, each text's words and its end, as places among the sorted distinct hashes; these hashes; and the texts' lengths."""
     words: list[bytes] = []
     lengths = []
     for x in raws:
@@ -263,37 +319,84 @@ def sequences(raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarra
         words += w
         words.append(END)
         lengths.append(len(w) + 1)
-    return hashed(words, cache), np.array(lengths, np.int64)
+    local = Local()
+    at = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
+    h, back = np.unique(hashed(list(local), cache), return_inverse=True)
+    return back[at], h, np.array(lengths, np.int64)
+
+
+def steps(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a column in turns of bounded size; null is empty."""
+    size = np.cumsum(pa.compute.binary_length(column.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False) + 16)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP)))
+        yield [x or b"" for x in column.slice(at, end - at).cast(pa.binary()).to_pylist()]
+        at = end
+
 
+def dealt(first: np.ndarray, second: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """The shard of n-grams by their first word, or if that is a frequent one, by their first two."""
+    h = mix(first.astype(U64))
+    if len(hot):
+        on = hot[np.minimum(np.searchsorted(hot, first), len(hot) - 1)] == first
+        h[on] = mix(h[on] + second[on].astype(U64) * U64(0x9E3779B97F4A7C15))
+    return (h % U64(n)).astype(np.int64)
 
-def placed(h: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of hashes in any order."""
-    own, back = np.unique(h, return_inverse=True)
-    ids, counts = vocabulary.find(own)
-    return ids[back], counts[back]
 
+def frequent(vocabulary: Vocabulary, spark: SparkSession, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the words that are more than a quarter of a shard's tokens, fewer than four a shard; and of the start mark."""
+    n, folder, first = vocabulary.n, vocabulary.folder, vocabulary.first
 
-def count_grams(texts: DataFrame, vocabulary: Vocabulary, folder: str, order: int, n: int) -> DataFrame:
-    """Write a trie file per shard; (shard, grams) per file. Each n-gram is counted where it starts; a start mark comes before each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                h, counts = (x.view(t) for x, t in zip(load(f"{folder}/{s:06d}.words"), ("<u8", "<i8"), strict=True))
+                at = np.flatnonzero(counts * 4 * n > tokens)
+                end = np.flatnonzero(h == U64(WordHash()[END]))  # as often as texts begin
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(first[s] + at, np.full(len(end), first[-1]))), pa.array(np.append(counts[at], counts[end]))], ["id", "n"])
+
+    used = [s for s in range(n) if first[s] < first[s + 1]]
+    if not used:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = spark.createDataFrame([(s,) for s in used], "shard int").mapInArrow(run, "id long, n long").orderBy("id").collect()
+    return np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+
+
+def count_grams(texts: DataFrame, vocabulary: Vocabulary, hot: np.ndarray, folder: str, order: int, n: int) -> DataFrame:
+    """Write a trie's structure per shard. Each n-gram is counted where it starts; a start mark comes before each text.
+
+    Rows: kind 0 has a length, and how many n-grams of it occur once and twice; kind 1 a frequent word, and how many distinct words follow it.
+    """
     start = int(vocabulary.first[-1])
     nil = start + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
         cache = WordHash()
         for b in batches:
-            for at in range(0, b.num_rows, 3000):
-                h, lengths = sequences([x or b"" for x in b.column(0).slice(at, 3000).cast(pa.binary()).to_pylist()], cache)
-                ids = placed(h, vocabulary)[0]
+            for raws in steps(b.column(0)):
+                at, h, lengths = sequences(raws, cache)
+                names = np.concatenate([vocabulary.find(h)[0], [start, nil]])
                 first = np.cumsum(lengths) - lengths
-                flat = np.full(len(ids) + len(lengths) * order, nil, np.int64)  # a start mark before, order - 1 times nil behind each text
+                flat = np.full(len(at) + len(lengths) * order, len(h) + 1, np.int64)  # a start mark before, order - 1 times nil behind each text
                 text = np.repeat(np.arange(len(lengths)), lengths)
-                flat[np.arange(len(ids)) + text * order + 1] = ids
-                flat[first + np.arange(len(lengths)) * order] = start
-                begin = np.sort(np.concatenate([np.arange(len(ids)) + text * order + 1, first + np.arange(len(lengths)) * order]))
-                begin = begin[flat[begin + 1] != nil]
-                grams, counts = rows_summed(np.stack([flat[begin + k] for k in range(order)], 1), np.ones(len(begin), np.int64))
-                shard = (mix(grams[:, 0].astype(U64)) % U64(n)).astype(np.int64)
-                rank = np.argsort(shard, kind="stable")
+                flat[np.arange(len(at)) + text * order + 1] = at
+                flat[first + np.arange(len(lengths)) * order] = len(h)
+                begin = np.flatnonzero(flat <= len(h))
+                begin = begin[flat[begin + 1] <= len(h)]
+                bits = (len(h) + 2).bit_length()
+                if order * bits <= 64:  # places in one integer sort as the rows of ids do
+                    key = flat[begin].astype(U64)
+                    for k in range(1, order):
+                        key = (key << U64(bits)) | flat[begin + k].astype(U64)
+                    key.sort()
+                    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    counts, key = np.diff(np.append(new, len(key))), key[new]
+                    grams = np.stack([names[((key >> U64(bits * (order - 1 - k))) & U64((1 << bits) - 1)).astype(np.int64)] for k in range(order)], 1)
+                else:
+                    grams, counts = rows_summed(np.stack([names[flat[begin + k]] for k in range(order)], 1), np.ones(len(begin), np.int64))
+                shard = dealt(grams[:, 0], grams[:, 1], hot, n)
+                rank = np.argsort(shard.astype(np.uint16) if n < 1 << 16 else shard, kind="stable")
                 cuts = np.searchsorted(shard[rank], np.arange(n + 1))
                 out = []
                 for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -306,69 +409,111 @@ def count_grams(texts: DataFrame, vocabulary: Vocabulary, folder: str, order: in
     def merge(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         gs, cs = [], []
         for x in blobs:
-            m = np.frombuffer(x, "<u4").reshape(order + 1, -1).astype(np.int64)
-            m[0] = np.cumsum(m[0])
+            m = np.frombuffer(x, "<u4").reshape(order + 1, -1).copy()
+            m[0] = np.cumsum(m[0], dtype=np.uint32)
             gs.append(m[:order].T)
             cs.append(m[order])
-        grams, counts = rows_summed(np.concatenate(gs), np.concatenate(cs))
-        save(f"{folder}/{shard:06d}.trie", Trie.layout(grams, counts, nil))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "grams": [len(grams)]})
+        grams, counts = rows_summed(np.concatenate(gs), np.concatenate(cs).astype(np.int64))
+        parts = Trie.structure(grams, counts, nil)
+        save(f"{folder}/{shard:06d}.trie", parts)
+        trie = Trie(parts)
+        rows = [(0, k, int((trie.counts(k) == 1).sum()), int((trie.counts(k) == 2).sum())) for k in range(2, order + 1)]
+        kinds = trie.children(1)
+        rows += [(1, int(w), int(kinds[i]), 0) for i, w in enumerate(trie.first.tolist()) if w in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["shard", "kind", "a", "b", "c"])
 
-    return packed(texts, n, emit, merge, "shard int, grams long")
+    wanted = frozenset(hot.tolist())
+    return packed(texts, n, emit, merge, "shard int, kind long, a long, b long, c long")
 
 
 class Model:
     """What a scoring task needs: where the files are, and a few totals."""
 
-    def __init__(self, folder: str, vocabulary: Vocabulary, shards: list[int], n: int, order: int, tokens: int):
+    def __init__(self, folder: str, vocabulary: Vocabulary, shards: list[int], n: int, order: int, tokens: int, hot: np.ndarray, hot_left: np.ndarray):
         self.folder, self.vocabulary, self.shards, self.n, self.order, self.tokens = folder, vocabulary, set(shards), n, order, tokens
+        self.hot, self.hot_left = hot, hot_left
         self.types = int(vocabulary.first[-1])
         self.tries: dict[int, Trie] = {}
 
-    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        share, left, seen = np.zeros(len(grams)), np.ones(len(grams)), np.zeros(len(grams), bool)
-        shard = (mix(grams[:, 0].astype(U64)) % U64(self.n)).astype(np.int64)
-        rank = np.argsort(shard, kind="stable")
+    def trie(self, shard: int) -> Trie:
+        if shard not in self.tries:
+            self.tries[shard] = Trie(load(f"{self.folder}/trie/{shard:06d}.trie"), load(f"{self.folder}/trie/{shard:06d}.prob"))
+        return self.tries[shard]
+
+    def step(self, level: int, shard: np.ndarray, node: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Trie.step in all shards; at level 1 a node is given by its word."""
+        child, share, left, seen = np.full(len(node), -1, np.int64), np.zeros(len(node)), np.ones(len(node)), np.zeros(len(node), bool)
+        rank = np.argsort(shard.astype(np.uint16) if self.n < 1 << 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[rank], np.arange(self.n + 1))
         for s in self.shards:
             mine = rank[cuts[s] : cuts[s + 1]]
             if len(mine):
-                if s not in self.tries:
-                    self.tries[s] = Trie(load(f"{self.folder}/trie/{s:06d}.trie"))
-                share[mine], left[mine], seen[mine] = self.tries[s].look(grams[mine])
-        return share, left, seen
+                here, t = node[mine], self.trie(s)
+                if level == 1:
+                    here = t.roots(here)
+                    mine, here = mine[here >= 0], here[here >= 0]
+                child[mine], share[mine], left[mine], seen[mine] = t.step(level, here, wanted[mine])
+        return child, share, left, seen
 
     def score(self, raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
-        h, lengths = sequences(raws, cache)
-        ids, counts = placed(h, self.vocabulary)
-        first = np.cumsum(lengths) - lengths
-        unit = (counts + 1) / (self.tokens + self.types + 1)
-        p = unit
-        before = np.arange(len(ids)) - np.repeat(first, lengths)  # words of the text before each token
-        for k in range(2, self.order + 1):
-            at = np.flatnonzero(before >= k - 2)
-            gram = np.stack([np.where(before[at] - j >= 0, ids[np.maximum(at - j, 0)], self.types) for j in range(k - 1, -1, -1)], 1)
-            fit = (gram >= 0).all(1) | ((gram[:, :-1] >= 0).all(1))  # an unknown context has no node; an unknown word has no share
-            at, gram = at[fit], gram[fit]
-            gram[:, -1] = np.where(gram[:, -1] < 0, self.types + 1, gram[:, -1])
-            if k == 2:  # each distinct pair is looked up once
-                key, back = np.unique((gram[:, 0].astype(U64) << U64(32)) | gram[:, 1].astype(U64), return_inverse=True)
-                got = self.look(np.stack([key >> U64(32), key & U64(0xFFFFFFFF)], 1).astype(np.int64))
-                share, left, seen = (x[back] for x in got)
-            else:
-                share, left, seen = self.look(gram)
-            q = p.copy()
-            q[at] = np.where(seen, share + left * p[at], p[at])
-            p = q
-        if not len(lengths):
-            return lengths, lengths, np.zeros(0), np.zeros(0)
-        total = lambda x: np.add.reduceat(x, first)
-        return lengths, total((counts > 0).astype(np.int64)), total(np.log10(unit)), total(np.log10(p))
+        if not raws:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        at, h, lengths = sequences(raws, cache)
+        own, counts = self.vocabulary.find(h)
+        begin = np.cumsum(lengths + 1) - lengths - 1  # a start mark before each text
+        token = np.ones(len(at) + len(lengths), bool)
+        token[begin] = False
+        flat = np.full(len(token), len(h), np.int64)
+        flat[token] = at
+        ids = np.append(own, self.types)
+        place = np.arange(len(flat)) - np.repeat(begin, lengths + 1)
+        unit = np.append((counts + 1) / (self.tokens + self.types + 1), 1.0)
+        p = unit[flat]
+        here = np.flatnonzero(token)
+        here = here[ids[flat[here - 1]] >= 0]
+        pair, back = np.unique(flat[here - 1] * (len(h) + 1) + flat[here], return_inverse=True)  # each distinct pair is looked up once
+        first, second = ids[pair // (len(h) + 1)], ids[pair % (len(h) + 1)]
+        second = np.where(second < 0, self.types + 1, second)  # a word that no context has
+        shard = dealt(first, second, self.hot, self.n)
+        child, share, left, seen = self.step(1, shard, first, second)
+        if len(self.hot):
+            k = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
+            on = self.hot[k] == first
+            left[on], seen[on] = self.hot_left[k[on]], True
+        p[here] = np.where(seen[back], share[back] + left[back] * p[here], p[here])
+        node, shards = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int64)
+        node[here], shards[here] = child[back], shard[back]
+        for k in range(3, self.order + 1):
+            here = np.flatnonzero(token & (place >= k - 1))
+            here = here[node[here - 1] >= 0]
+            wanted = ids[flat[here]]
+            child, share, left, seen = self.step(k - 1, shards[here - k + 2], node[here - 1], np.where(wanted < 0, self.types + 1, wanted))
+            p[here] = np.where(seen, share + left * p[here], p[here])
+            node = np.full(len(flat), -1, np.int64)
+            node[here] = child
+        total = lambda x: np.add.reduceat(x, begin)
+        known = np.append(counts > 0, False)[flat]
+        return lengths, total(known.astype(np.int64)), total(np.log10(unit)[flat]), total(np.log10(p))
+
+
+def write_probabilities(spark: SparkSession, folder: str, shards: list[int], cuts: list[float], hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                save(f"{folder}/{s:06d}.prob", Trie(load(f"{folder}/{s:06d}.trie")).probabilities(cuts, hot, hot_counts))
+            yield b
+        release()
+
+    return spark.createDataFrame([(s,) for s in shards], "shard int").repartition(max(1, len(shards))).mapInArrow(run, "shard int")
 
 
 def train(texts: DataFrame, folder: str, order: int = ORDER) -> Model:
-    """A model of all rows of one text column, in files under the folder. Only a row per file comes to the driver."""
+    """A model of all rows of one text column, in files under the folder.
+
+    The driver gets a row per file, the totals of each length, and the frequent words, fewer than four a file. Repeated rows
+    count as often as they occur; an empty table gives a model of no words, for which every token is unknown.
+    """
     spark = texts.sparkSession
     prepare(spark)
     n = partitions(spark)
@@ -376,24 +521,38 @@ def train(texts: DataFrame, folder: str, order: int = ORDER) -> Model:
     files = {r["shard"]: r for r in spark.read.parquet(f"{folder}/word-files").collect()}
     vocabulary = Vocabulary(f"{folder}/words", [files[s]["types"] if s in files else 0 for s in range(n)])
     tokens = sum(r["tokens"] for r in files.values())
-    count_grams(texts, vocabulary, f"{folder}/trie", order, n).write.parquet(f"{folder}/trie-files")
-    shards = [r["shard"] for r in spark.read.parquet(f"{folder}/trie-files").select("shard").collect()]
-    return Model(folder, vocabulary, shards, n, order, tokens)
+    hot, hot_counts = frequent(vocabulary, spark, tokens)
+    count_grams(texts, vocabulary, hot, f"{folder}/trie", order, n).write.parquet(f"{folder}/trie-files")
+    told = spark.read.parquet(f"{folder}/trie-files")
+    shards = [r["shard"] for r in told.select("shard").distinct().orderBy("shard").collect()]
+    totals = {(r["kind"], r["a"]): (r["b"], r["c"]) for r in told.groupBy("kind", "a").agg(F.sum("b").alias("b"), F.sum("c").alias("c")).collect()}
+    seen = [totals.get((0, k), (0, 0)) for k in range(2, order + 1)]
+    cuts = [once / (once + 2 * twice) if once and twice else 0.5 for once, twice in seen]
+    kinds = np.array([totals.get((1, int(w)), (0, 0))[0] for w in hot], np.int64)
+    left = np.maximum(cuts[0] * kinds / np.maximum(hot_counts, 1), 1e-12)
+    hot_left = BOOK[unpacked(windows(coded(left)), CODE, np.arange(len(left)))] if len(left) else left
+    if shards:
+        write_probabilities(spark, f"{folder}/trie", shards, cuts, hot, hot_counts).write.parquet(f"{folder}/probability-files")
+    return Model(folder, vocabulary, shards, n, order, tokens, hot, hot_left)
 
 
 def score(df: DataFrame, model: Model, id_column: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, extra columns, n_tokens, n_known, base_score, score) of each row's text; null text is empty: just its end."""
+    """(id, extra columns, n_tokens, n_known, base_score, score) of each row's text; null text is empty: just its end.
+
+    Equal texts have equal scores. Texts are taken whole, however long; other columns are not read.
+    """
     prepare(df.sparkSession)
     kept = [id_column, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                some = b.slice(at, 2000)
-                got = model.score([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], cache)
-                arrays = [pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            at = 0
+            for raws in steps(b.column(0)):
+                some, at = b.slice(at, len(raws)), at + len(raws)
+                arrays = [pa.array(x, t) for x, t in zip(model.score(raws, cache), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*kept, "n_tokens", "n_known", "base_score", "score"])
+        release()
 
     kinds = dict(df.dtypes)
     return df.select("text", *kept).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_tokens long, n_known long, base_score double, score double")
