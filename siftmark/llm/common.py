@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,20 +87,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class WordHash(dict):
-    """word bytes -> 64-bit hash, remembered for a bounded number of words."""
+#: A word's hash is a polynomial of its bytes, which prefix sums give for all words of many texts at once.
+RADIX = 0x9E3779B97F4A7C15
+WHITE = np.array([c in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
+_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
-    most = 120_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def powers(n: int) -> list[np.ndarray]:
+    """The first powers of the radix and of its inverse modulo 2**64, kept for later calls up to some MB."""
+    if len(_powers[0]) >= n:
+        return _powers
+    n = 1 << n.bit_length()
+    made = [np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(r))])) for r in (RADIX, pow(RADIX, -1, 2**64))]
+    if n <= 1 << 23:
+        _powers[:] = made
+    return made
 
 
-def hashed(words: list[bytes], cache: WordHash) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), U64, len(words))
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, with A-Z as a-z, and how many words each text has."""
+    joined = b"\n".join([b"", *raws, b""]).translate(LOWER)
+    data = np.frombuffer(joined, np.uint8)
+    white = WHITE[data]
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    power, inverse = powers(len(data) + 1)
+    sums = np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)])])
+    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64)
+    last = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    return mix(mix(h) + U64(1)), np.diff(np.concatenate([[0], np.searchsorted(starts, last)]))
 
 
 def shingles(h: np.ndarray, width: int = 5) -> np.ndarray:
@@ -117,6 +131,23 @@ def shingles(h: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def shingle_lists(raws: list[bytes], width: int = 5, step: int = 1 << 20) -> Iterator[np.ndarray]:
+    """shingles() of each text, in turns of some MB of texts."""
+    at = 0
+    while at < len(raws):
+        end, size = at, 0
+        while end < len(raws) and (end == at or size + len(raws[end]) <= step):
+            size += len(raws[end])
+            end += 1
+        h, n = word_hashes(raws[at:end])
+        windows = shingles(h, width)
+        first = 0
+        for k in n.tolist():
+            yield windows[first : first + k - width + 1] if k >= width else shingles(h[first : first + k], width)
+            first += k
+        at = end
+
+
 def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

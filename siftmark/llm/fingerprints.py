@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordHash, hashed, ordered_parts, partitions, prepare, shingles, table
+from .common import U64, ordered_parts, partitions, prepare, shingle_lists, table
 
 K = 128
 RANGE = float(2**64)
@@ -57,8 +57,8 @@ class Sketch:
         return Sketch(np.frombuffer(base64.b64decode(text[1:]), "<u8").astype(U64), k, text[0] == "+")
 
 
-def sketch(raw: bytes, cache: WordHash, k: int = K) -> Sketch:
-    return Sketch(shingles(hashed(raw.translate(LOWER).split(), cache)), k)
+def sketches(raws: list[bytes], k: int = K) -> list[Sketch]:
+    return [Sketch(x, k) for x in shingle_lists(raws)]
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", k: int = K) -> DataFrame:
@@ -66,9 +66,8 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", k: int = K) -> DataFr
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in batches:
-            made = [sketch(x or b"", cache, k) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            made = sketches([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.count() for s in made], pa.float64()), pa.array([s.text() for s in made], pa.string())], [id_column, "n_shingles", "fingerprint"])
 
     return df.select(id_column, "text").mapInArrow(run, f"{id_column} {dict(df.dtypes)[id_column]}, n_shingles double, fingerprint string")
@@ -122,40 +121,41 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sorted_parts = spread.repartitionById(n, F.col("part")).sortWithinPartitions("part", "halo", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
-        out: list[list] = [[] for _ in range(7)]
+        done: list[tuple] = []  # id, code points, sketch, the next one's sketch, edited text
         held: tuple | None = None  # the row whose next one is not known yet: part, id, text, sketch
 
         def finish(row: tuple, text: str, s: Sketch) -> None:
             _, key, own, mine = row
             cut = len(own) // 4
-            edited = own[: len(own) - cut] + text[:cut]
-            e = sketch(edited.encode(), cache)
-            for col, v in zip(out, (key, len(own), hashlib.sha256(edited.encode()).hexdigest(), mine.text(), e.text(), mine.resemblance(e), mine.resemblance(s)), strict=True):
-                col.append(v)
+            done.append((key, len(own), mine, s, (own[: len(own) - cut] + text[:cut]).encode()))
 
         def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            rb = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            for c in out:
-                c.clear()
-            return rb
+            keys, sizes, mine, following, edited = zip(*done, strict=True) if done else ((),) * 5
+            made = sketches(list(edited))
+            columns = [
+                pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()), pa.array([s.text() for s in mine], pa.string()), pa.array([s.text() for s in made], pa.string()),
+                pa.array([s.resemblance(e) for s, e in zip(mine, made, strict=True)], pa.float64()), pa.array([s.resemblance(t) for s, t in zip(mine, following, strict=True)], pa.float64()),
+            ]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         closed = None  # the part whose halo row has been used
         for b in batches:
-            for key, raw, part, halo in zip(*(b.column(i).cast(pa.binary()).to_pylist() if i == 1 else b.column(i).to_pylist() for i in range(4)), strict=True):
-                if halo and closed == part:
-                    continue
-                s, text = sketch(raw or b"", cache), (raw or b"").decode("utf-8", "replace")
-                if held is not None and held[0] == part:
-                    finish(held, text, s)
-                    held = None
-                if halo:
-                    closed = part
-                else:
-                    held = (part, key, text, s)
-                if len(out[0]) >= 2000:
-                    yield flush()
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                raws = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
+                for key, raw, part, halo, s in zip(some.column(0).to_pylist(), raws, some.column(2).to_pylist(), some.column(3).to_pylist(), sketches(raws), strict=True):
+                    if halo and closed == part:
+                        continue
+                    text = raw.decode("utf-8", "replace")
+                    if held is not None and held[0] == part:
+                        finish(held, text, s)
+                        held = None
+                    if halo:
+                        closed = part
+                    else:
+                        held = (part, key, text, s)
+                yield flush()
         yield flush()
 
     return sorted_parts.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, release, shared_dir, shingles, table, write_file
+from .common import U64, map_file, mix, packed, partitions, prepare, release, shared_dir, shingle_lists, table, write_file
 
 FIRST_KEYS = 3  # of a band, for round one
 GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
@@ -34,9 +34,9 @@ ALL_ONES = b"\xff" * 8  # of a blob of documents; other blobs start with a numbe
 FALLBACK = U64(0xA5A5_5A5A_0F0F_F0F0)
 
 
-def shingle_set(raw: bytes, cache: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingles(hashed(raw.translate(LOWER).split(), cache)))
+def shingle_sets(raws: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return map(np.unique, shingle_lists([x or b"" for x in raws]))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -103,15 +103,14 @@ def groups(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        cache, sent, turn = WordHash(), set(), TaskContext.get().partitionId()
+        sent, turn = set(), TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 1500):
                 cls: list[int] = []
                 made: list[tuple[np.ndarray, np.ndarray]] = []
                 own_cls, sizes = [], []
                 some = batch.slice(at, 1500)
-                for x in some.column(1).cast(pa.binary()).to_pylist():
-                    s = shingle_set(x or b"", cache)
+                for s in shingle_sets(some.column(1).cast(pa.binary()).to_pylist()):
                     c = class_of(s) if len(s) else NONE
                     own_cls.append(c)
                     sizes.append(len(s))
@@ -220,13 +219,13 @@ def representatives(docs: DataFrame, base: DataFrame, classes: DataFrame, folder
     wanted = Members.write(ids.select("doc_id"), f"{folder}/ids", n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, members = WordHash(), Members(wanted.folder, wanted.n)
+        members = Members(wanted.folder, wanted.n)
         for b in batches:
             shards, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, b.num_rows, 1000):
                 hit = members.has(shards[at : at + 1000], ids[at : at + 1000])
                 raws = b.column(2).slice(at, 1000).filter(pa.array(hit)).cast(pa.binary()).to_pylist()
-                rows = [make(class_of(s), x, s) for x in raws if x and len(s := shingle_set(x, cache))]
+                rows = [make(class_of(s), x, s) for x, s in zip(raws, shingle_sets(raws), strict=True) if len(s)]
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, kinds, strict=True))))
         release()
@@ -246,14 +245,12 @@ def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, folder: str, n: i
     left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), texts.select(F.col("cls").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         seen, mine = None, None  # neighbouring rows often have the same first class
         for b in batches:
             keep = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for a, x, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3).to_pylist()), strict=True):
                 if a != seen:
-                    seen, mine = a, shingle_set(x, cache)
-                other = shingle_set(y, cache)
+                    seen, mine = a, next(shingle_sets([x]))
                 keep.append(similar(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
@@ -425,12 +422,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     shard_name, id_name = (next(f"{x}{i}" for i in range(len(names) + 1) if f"{x}{i}" not in clash) for x in ("shard", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, mine = WordHash(), Members(members.folder, members.n)
+        mine = Members(members.folder, members.n)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)
                 shards, ids = (some.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                sets = [shingle_set(x or b"", cache) for x in some.column(text).cast(pa.binary()).to_pylist()]
+                sets = list(shingle_sets(some.column(text).cast(pa.binary()).to_pylist()))
                 cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
                 keep = mine.has(shards, ids ^ cls) | np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([some.column(i).filter(pa.array(keep)) for i in range(len(names))], names)

@@ -14,7 +14,6 @@ same steps whatever the data, so a score depends neither on the number of shards
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_ids import pack
-from .common import LOWER, U64, WordHash, hashed, map_file, mix, packed, partitions, prepare, release, shared_dir, table, write_file
+from .common import U64, map_file, mix, packed, partitions, prepare, release, shared_dir, table, word_hashes, write_file
 
-END = b"\n"  # the token after each text; no word holds a line break
+END = U64(0x243F6A8885A308D3)  # the hash of the token after each text
 ORDER = 3
 STEPS, DEEPEST = 4096, 40.0  # of a logarithm: 12 bits from 1 down to exp(-40)
 CODE = 12
 STEP = 3 << 20  # bytes of text that are taken at once
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.translate(LOWER).split()
-
-
 def unpacked(window: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     """Integers of `bits` bits at places `at`; window has the 8 bytes from each byte on."""
     if not bits:
@@ -284,14 +279,11 @@ def count_words(texts: DataFrame, folder: str, n: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
         for b in batches:
-            found: Counter = Counter()
-            for x in b.column(0).cast(pa.binary()).to_pylist():
-                found.update(words_of(x or b""))
-            found[END] += b.num_rows
-            h, c = summed(hashed(list(found), WordHash()), np.fromiter(found.values(), np.int64, len(found)))
-            shard = ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(n + 1))
-            yield [(s, h[a:z].tobytes() + c[a:z].tobytes()) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
+            for raws in steps(b.column(0)):
+                h, c = np.unique(np.append(word_hashes(raws)[0], np.full(len(raws), END)), return_counts=True)
+                shard = ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+                cuts = np.searchsorted(shard, np.arange(n + 1))
+                yield [(s, h[a:z].tobytes() + c[a:z].tobytes()) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
 
     def merge(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(x, U64, len(x) // 16) for x in blobs])
@@ -302,27 +294,13 @@ def count_words(texts: DataFrame, folder: str, n: int) -> DataFrame:
     return packed(texts, n, emit, merge, "shard int, types long, tokens long")
 
 
-class Local(dict):
-    """word -> its place among the words asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def sequences(raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens, each text's words and its end, as places among the sorted distinct hashes; these hashes; and the texts' lengths."""
-    words: list[bytes] = []
-    lengths = []
-    for x in raws:
-        w = words_of(x)
-        words += w
-        words.append(END)
-        lengths.append(len(w) + 1)
-    local = Local()
-    at = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
-    h, back = np.unique(hashed(list(local), cache), return_inverse=True)
-    return back[at], h, np.array(lengths, np.int64)
+    words, n = word_hashes(raws)
+    h = np.full(len(words) + len(raws), END)
+    h[np.arange(len(words)) + np.repeat(np.arange(len(raws)), n)] = words
+    own, at = np.unique(h, return_inverse=True)
+    return at, own, n + 1
 
 
 def steps(column: pa.Array) -> Iterator[list[bytes]]:
@@ -353,7 +331,7 @@ def frequent(vocabulary: Vocabulary, spark: SparkSession, tokens: int) -> tuple[
             for s in b.column(0).to_pylist():
                 h, counts = (x.view(t) for x, t in zip(load(f"{folder}/{s:06d}.words"), ("<u8", "<i8"), strict=True))
                 at = np.flatnonzero(counts * 4 * n > tokens)
-                end = np.flatnonzero(h == U64(WordHash()[END]))  # as often as texts begin
+                end = np.flatnonzero(h == END)  # as often as texts begin
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(first[s] + at, np.full(len(end), first[-1]))), pa.array(np.append(counts[at], counts[end]))], ["id", "n"])
 
     used = [s for s in range(n) if first[s] < first[s + 1]]
@@ -372,10 +350,9 @@ def count_grams(texts: DataFrame, vocabulary: Vocabulary, hot: np.ndarray, folde
     nil = start + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        cache = WordHash()
         for b in batches:
             for raws in steps(b.column(0)):
-                at, h, lengths = sequences(raws, cache)
+                at, h, lengths = sequences(raws)
                 names = np.concatenate([vocabulary.find(h)[0], [start, nil]])
                 first = np.cumsum(lengths) - lengths
                 flat = np.full(len(at) + len(lengths) * order, len(h) + 1, np.int64)  # a start mark before, order - 1 times nil behind each text
@@ -455,11 +432,11 @@ class Model:
                 child[mine], share[mine], left[mine], seen[mine] = t.step(level, here, wanted[mine])
         return child, share, left, seen
 
-    def score(self, raws: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
         if not raws:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        at, h, lengths = sequences(raws, cache)
+        at, h, lengths = sequences(raws)
         own, counts = self.vocabulary.find(h)
         begin = np.cumsum(lengths + 1) - lengths - 1  # a start mark before each text
         token = np.ones(len(at) + len(lengths), bool)
@@ -545,12 +522,11 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", extra: tuple[s
     kept = [id_column, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in batches:
             at = 0
             for raws in steps(b.column(0)):
                 some, at = b.slice(at, len(raws)), at + len(raws)
-                arrays = [pa.array(x, t) for x, t in zip(model.score(raws, cache), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                arrays = [pa.array(x, t) for x, t in zip(model.score(raws), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*kept, "n_tokens", "n_known", "base_score", "score"])
         release()
 
