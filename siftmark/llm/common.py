@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: bytes.split() cuts at exactly 0x20 and 0x09-0x0D, the white space of the word rule; UTF-8 keeps other characters above 0x7F.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -32,6 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column_place(df: DataFrame, name: str) -> int:
+    """The place of a column, by Spark's rule for names: without regard to case unless the session asks for it."""
+    fold = (lambda c: c) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    return next(i for i, c in enumerate(df.columns) if fold(c) == fold(name))
+
+
+def with_columns(df: DataFrame, **kinds: str) -> StructType:
+    """df's schema and more columns; as a type, whatever the names in it are."""
+    return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in kinds.items())])
+
+
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(), whose function finds columns by place, for columns of any names."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share; set here only where unset (tests, local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -187,10 +204,12 @@ def ordered_parts(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list[int]
     got = df.agg(F.min(key).alias("low"), F.percentile_approx(key, F.lit(share), 20_000).alias("cuts") if share else F.array().alias("cuts")).first()
     bounds = [] if got["low"] is None else sorted({got["low"], *(got["cuts"] or [])})
 
+    place, names = column_place(df, key), [*(f"_{i}" for i in range(len(df.columns))), "part"]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(bounds[1:], np.int64)
         for b in batches:
-            k = b.column(key).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            yield b.append_column("part", pa.array(np.searchsorted(cuts, k, "right").astype(np.int32)))
+            k = b.column(place).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, k, "right").astype(np.int32))], names)
 
-    return df.mapInArrow(assign, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", part int"), bounds
+    return mapped(df, assign, with_columns(df, part="int")), bounds

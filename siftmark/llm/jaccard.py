@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, map_file, mix, packed, partitions, prepare, release, shared_dir, shingle_lists, table, write_file
+from .common import U64, column_place, map_file, mix, packed, partitions, mapped, prepare, release, shared_dir, shingle_lists, table, write_file
 
 FIRST_KEYS = 3  # of a band, for round one
 GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
@@ -417,7 +417,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = spark.read.parquet(f"{folder}/kept")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     members = Members.write(kept.select(key.bitwiseXOR(F.col("cls")).alias("id"), key.alias("by")), f"{folder}/keep", n)
-    text, names = docs.columns.index("text"), docs.columns
+    text, names = column_place(docs, "text"), docs.columns
     clash = {c.lower() for c in names}
     shard_name, id_name = (next(f"{x}{i}" for i in range(len(names) + 1) if f"{x}{i}" not in clash) for x in ("shard", "key"))
 
@@ -434,7 +434,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         release()
 
     shard = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    out = docs.select("*", shard.alias(shard_name), key.alias(id_name)).mapInArrow(run, docs.schema)
+    out = mapped(docs.select("*", shard.alias(shard_name), key.alias(id_name)), run, docs.schema)
     repeats = named.join(kept, (named.cls == kept.cls) & named.doc_id.eqNullSafe(kept.doc_id), "left_semi").groupBy("doc_id", "cls").count().where("count > 1")
     if repeats.limit(1).count():
         empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0

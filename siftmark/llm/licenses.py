@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -132,6 +132,33 @@ def places(norm: bytes, phrase: bytes) -> Iterator[int]:
         at = norm.find(phrase, at + 1)
 
 
+def resolved(found: list[tuple[int, int, str, float, int]], size: int) -> list[tuple[int, int, str, float, int]]:
+    """The detections that stay: one goes if a stronger one overlaps it, or if one as strong contains it; of equal ones the first label stays.
+
+    What holds a whole base phrase and more is stronger than the phrase. The work grows with the detections' total length.
+    """
+    phrases = sorted(x[:2] for x in found if x[4] == 100)
+    own, starts, ends = set(phrases), [p[0] for p in phrases], [p[1] for p in phrases]
+    for i in range(len(ends) - 2, -1, -1):  # the least end of the phrases from each one on
+        ends[i] = min(ends[i], ends[i + 1])
+    levels: dict[int, list[tuple[int, int, str, float, int]]] = {}
+    for x in found:
+        i = bisect_left(starts, x[0])
+        wider = i < len(starts) and ends[i] <= x[1] and (x[0], x[1]) not in own
+        levels.setdefault(x[4] + 1000 * wider, []).append(x)
+    covered, kept = bytearray(size), []
+    for level in sorted(levels, reverse=True):
+        mine, reach = [], 0
+        for x in sorted(levels[level], key=lambda x: (x[0], -x[1], x[2])):
+            if x[1] > reach and covered.find(1, x[0], x[1]) < 0:
+                mine.append(x)
+                reach = x[1]
+        for x in mine:
+            covered[x[0] : x[1]] = b"\1" * (x[1] - x[0])
+        kept += mine
+    return kept
+
+
 def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
     """Word count, base places and kept detections, as (first word, end word, label[, score])."""
     words = raw.translate(NORMAL).split()
@@ -152,15 +179,7 @@ def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int,
                 heard[k] = k in norm
         if any(heard[k] for k in r.keywords):
             found.extend((m.start(), m.end(), r.label, r.score, r.priority) for m in r.pattern.finditer(norm))
-    # what holds a whole base phrase says more than the phrase, so it goes before all others
-    phrases = [x for x in found if x[4] == 100]
-    wider = lambda x: any(x[0] <= p[0] and p[1] <= x[1] and p[1] - p[0] < x[1] - x[0] for p in phrases)
-    ranked = [(*x[:4], x[4] + 1000 * wider(x)) for x in found] if phrases else found
-    kept: list[tuple[int, int, str, float, int]] = []
-    for x in sorted(ranked, key=lambda x: (-x[4], x[0] - x[1], x[0], x[2])):
-        # an overlapped detection goes if a stronger one contains it, or if it reaches out of a strictly stronger one
-        if not any(x[0] < y[1] and y[0] < x[1] and (y[0] <= x[0] and x[1] <= y[1] or y[4] > x[4]) for y in kept):
-            kept.append(x)
+    kept = resolved(found, len(norm))
     return len(words), base, [(word(a), word(b - 1) + 1, label, s) for a, b, label, s, _ in sorted(kept)]
 
 
@@ -168,8 +187,8 @@ def license_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: words, base places, labels, best score and the kept detections as (first word, end word, label, score).
 
     Null and empty texts have no words and no labels, score 0. Repeated rows are scanned alike, other columns are not carried.
-    A detection is dropped when a stronger one overlaps it; one that holds a whole base phrase and more is stronger than the
-    phrase. Base phrases always stay in base_labels and labels.
+    Detections are resolved by resolved(); base phrases always stay in base_labels and labels. A very long text costs time in
+    proportion to its length, also where it is full of hits.
     """
     prepare(df.sparkSession)
 

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import column_place, mapped, prepare, table, with_columns
 
 SPACE = "▁"
 
@@ -183,16 +183,16 @@ def load(model: str, kind: str) -> Pieces:
 def _mapped(df: DataFrame, source: str, target: str, kind: str, f) -> DataFrame:
     prepare(df.sparkSession)
     kept = df.drop(target)
-    place, t = kept.columns.index(source), {"binary": pa.binary(), "string": pa.string()}[kind]
+    place, t = column_place(kept, source), {"binary": pa.binary(), "string": pa.string()}[kind]
+    names = [f"_{i}" for i in range(len(kept.columns) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 some = b.slice(i, 1000)
-                yield some.append_column(target, pa.array([f(x) for x in some.column(place).to_pylist()], t))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([f(x) for x in some.column(place).to_pylist()], t)], names)
 
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, {target} {kind}")
+    return mapped(kept, run, with_columns(kept, **{target: kind}))
 
 
 def encode(df: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", text: str = "text", ids: str = "ids") -> DataFrame:
