@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import socket
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +38,21 @@ def parser() -> argparse.ArgumentParser:
 
 def sync(local: Store, server: Store) -> int:
     """Brings a host's copy to the server's version: what the answer deletes goes, what it has replaces rows of the same key."""
-    got = server.sync(local.version())
+    snap = local.manifest()
+    got = server.sync(snap["version"])
     full = got["full_sync"]
-    tables = {"rules": library.apply(local.table("rules"), got["rules"], got["deleted"], full)}
+    tables = {"rules": library.apply(local.table("rules", snap), got["rules"], got["deleted"], full)}
     for name in ("fingerprints", "features"):
         new = got[name]
-        tables[name] = new if full else local.table(name).join(new, "sensitive_file_id", "left_anti").unionByName(new)
-    return local.commit(tables, "sync", library_version=got["version"])
+        tables[name] = new if full else local.table(name, snap).join(new, "sensitive_file_id", "left_anti").unionByName(new)
+    return local.commit(snap, tables, "sync", library_version=got["version"], config=got["config"])
 
 
 def library_of(store: Store) -> scanning.Library:
-    live = store.table("rules").where("enabled AND NOT deleted")
-    return scanning.Library(scanning.rule_list(live), store.table("fingerprints"), store.table("features"))
+    """What a host scans with, of one snapshot of its store."""
+    snap = store.manifest()
+    live, config = store.table("rules", snap).where("enabled AND NOT deleted"), snap["config"]
+    return scanning.Library(scanning.rule_list(live), store.table("fingerprints", snap), store.table("features", snap), config["simhash_threshold"], config["semantic_label_hints"])
 
 
 def shown(rows: DataFrame, as_json: bool) -> None:
@@ -77,8 +81,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     if server and not a.no_sync:
         sync(local, server)
     found = scanning.scan_files(read_tree(spark, a.path), library_of(local)).withColumnRenamed("path", "file_path")
-    staged = f"{local.root}/_staged/scan"
-    found.write.mode("overwrite").parquet(staged)  # read by the tags, the report and the screen
+    staged = f"{local.root}/_staged/{uuid.uuid4().hex}"
+    found.write.parquet(staged)  # read by the tags, the report and the screen
     found = spark.read.parquet(staged)
     local.tag(found)
     shown(found, a.json)
@@ -86,6 +90,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
         server.report(found, a.host_id, a.path, datetime.now(UTC).isoformat(timespec="seconds"))
     counts = scanning.summary(found).first().asDict()
     print(json.dumps(counts))
+    local.fs.delete(local._path(staged), True)
     return counts
 
 

@@ -25,51 +25,56 @@ BUILTIN_RULES = (
 
 # Words that count as business terms in keyword extraction.
 BUSINESS_TERMS = (
-    "客户名称 客户名单 联系人 联系方式 报价 报价单 合同 合同编号 合同金额 未公开 保密 不得披露 财务 预算 薪资 工资 奖金 绩效 战略规划 商业计划 招投标 投标 源代码 "
-    "漏洞 运维账号 数据库密码 内部接口 系统架构 研发设计 财报 成本 利润"
-).split() + ["API Key", "access token"] + "履约保证金 付款节点 验收条款 违约责任 甲方 乙方 未公开财报 内部培训资料 研发设计文档".split()
+    "客户名称", "客户名单", "联系人", "联系方式", "报价", "报价单", "合同", "合同编号", "合同金额", "未公开", "保密", "不得披露", "财务", "预算", "薪资", "工资", "奖金", "绩效", "战略规划", "商业计划", "招投标",
+    "投标", "源代码", "漏洞", "运维账号", "数据库密码", "内部接口", "系统架构", "研发设计", "财报", "成本", "利润", "API Key", "access token", "履约保证金", "付款节点", "验收条款", "违约责任", "甲方",
+    "乙方", "未公开财报", "内部培训资料", "研发设计文档",
+)
 
 # Words that are never keywords.
 STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 他 她 它 们 什么 为 所以 因为 但是 可以 这个 那个 进行 使用 以及 通过 需要 "
-    "文件 文档 内容 信息 数据 资料 包含 相关 the and this that with for from have has"
-).split()
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+    "那", "他", "她", "它", "们", "什么", "为", "所以", "因为", "但是", "可以", "这个", "那个", "进行", "使用", "以及", "通过", "需要", "文件", "文档", "内容", "信息", "数据", "资料", "包含",
+    "相关", "the", "and", "this", "that", "with", "for", "from", "have", "has",
+)
 
 # Combined templates as name, keywords, least hits, RE2 pattern, risk, triggers.
 TEMPLATES = (
-    ("客户报价组合识别", "客户名称 报价 合同金额 联系人".split(), 2, r"\d+(\.\d+)?万元", "high", "客户 报价 合同金额 联系人".split()),
-    ("财务预算组合识别", "财务 预算 成本 利润 财报".split(), 2, r"\d+(\.\d+)?(万元|元|%)", "high", "财务 预算 成本 利润 财报".split()),
-    ("薪资绩效组合识别", "薪资 工资 奖金 绩效 员工".split(), 2, r"\d+(\.\d+)?(万元|元)", "high", "薪资 工资 奖金 绩效".split()),
-    ("源码泄露组合识别", "源代码 接口 函数 数据库密码 内部接口".split(), 2, r'(?i)(api[_-]?key|password|passwd|secret|token)[\s:=\"]+[^\s\"]{6,}', "critical", "源代码 接口 数据库密码 内部接口".split()),
-    ("合同保密组合识别", "合同 合同编号 合同金额 保密 不得披露".split(), 2, r"(?i)(合同编号|合同号|contract[ _-]?(no|id|number)).{0,12}[A-Za-z0-9\-_]{6,}", "high", "合同 合同编号 合同金额 保密".split()),
+    ("客户报价组合识别", ("客户名称", "报价", "合同金额", "联系人"), 2, r"\d+(\.\d+)?万元", "high", ("客户", "报价", "合同金额", "联系人")),
+    ("财务预算组合识别", ("财务", "预算", "成本", "利润", "财报"), 2, r"\d+(\.\d+)?(万元|元|%)", "high", ("财务", "预算", "成本", "利润", "财报")),
+    ("薪资绩效组合识别", ("薪资", "工资", "奖金", "绩效", "员工"), 2, r"\d+(\.\d+)?(万元|元)", "high", ("薪资", "工资", "奖金", "绩效")),
+    ("源码泄露组合识别", ("源代码", "接口", "函数", "数据库密码", "内部接口"), 2, r'(?i)(api[_-]?key|password|passwd|secret|token)[\s:=\"]+[^\s\"]{6,}', "critical", ("源代码", "接口", "数据库密码", "内部接口")),
+    ("合同保密组合识别", ("合同", "合同编号", "合同金额", "保密", "不得披露"), 2, r"(?i)(合同编号|合同号|contract[ _-]?(no|id|number)).{0,12}[A-Za-z0-9\-_]{6,}", "high", ("合同", "合同编号", "合同金额", "保密")),
 )
 
 # Semantic labels and the words that hint at them.
 LABEL_HINTS = {
-    "客户名单": "客户 联系人 客户名称 名单 电话 邮箱 手机".split(),
-    "报价信息": "报价 报价单 合同金额 万元 价格 单价 总价".split(),
-    "财务预算": "财务 预算 成本 利润 财报 营收 报表".split(),
-    "薪资明细": "薪资 工资 奖金 绩效 社保 个税".split(),
-    "保密协议": "保密 协议 不得披露 商业机密".split(),
-    "研发设计文档": "研发 设计 架构 技术方案 系统架构".split(),
-    "源代码说明": "源代码 源码 接口 函数 数据库连接 api_key".split(),
-    "内部培训资料": "内部培训 培训资料 课件 培训".split(),
-    "未公开财报": "未公开财报 财报 未公开 利润 营收".split(),
-    "运维账号": "账号 密码 token secret 运维 内网 ssh".split(),
-    "安全漏洞信息": "漏洞 CVE 修复 攻击".split(),
-    "战略规划": "战略 规划 商业计划 未公开".split(),
+    "客户名单": ("客户", "联系人", "客户名称", "名单", "电话", "邮箱", "手机"),
+    "报价信息": ("报价", "报价单", "合同金额", "万元", "价格", "单价", "总价"),
+    "财务预算": ("财务", "预算", "成本", "利润", "财报", "营收", "报表"),
+    "薪资明细": ("薪资", "工资", "奖金", "绩效", "社保", "个税"),
+    "保密协议": ("保密", "协议", "不得披露", "商业机密"),
+    "研发设计文档": ("研发", "设计", "架构", "技术方案", "系统架构"),
+    "源代码说明": ("源代码", "源码", "接口", "函数", "数据库连接", "api_key"),
+    "内部培训资料": ("内部培训", "培训资料", "课件", "培训"),
+    "未公开财报": ("未公开财报", "财报", "未公开", "利润", "营收"),
+    "运维账号": ("账号", "密码", "token", "secret", "运维", "内网", "ssh"),
+    "安全漏洞信息": ("漏洞", "CVE", "修复", "攻击"),
+    "战略规划": ("战略", "规划", "商业计划", "未公开"),
 }
+# Labels that make a sample high-risk, levels in ascending order, and names of results.
 HIGH_RISK_LABELS = ("运维账号", "安全漏洞信息", "客户名单", "报价信息")
 RISKS = ("info", "low", "medium", "high", "critical")
 CONFIDENCE = ("clean", "low_confidence", "suspected", "sensitive")
 
 UNCLASSIFIED = "未分类敏感文件"
+KEYWORD_RULE = "关键词识别"
+EXPLANATION = ("文档命中敏感样本规则, 包含", "等敏感语义或业务关键词.")
+PLACEHOLDER = "[二进制文件: %s, 大小: %d bytes]"
 SAMPLE_HIT = "样本指纹命中"
 
 # File kinds by suffix, and folders that a scan leaves out.
-SERVER_TEXT = "txt csv json xml md py java go sql conf config yaml yml ini log".split()
-UNSUPPORTED = ".ppt .pptx .doc .xls .png .jpg .jpeg .bmp .gif .tiff .eml .msg".split()
-SKIP_DIRS = ".git .hg .svn .venv venv node_modules __pycache__ dist build target out .mypy_cache .pytest_cache .idea .vscode".split()
+UNSUPPORTED = (".ppt", ".pptx", ".doc", ".xls", ".png", ".jpg", ".jpeg", ".bmp", ".gif", ".tiff", ".eml", ".msg")
+SKIP_DIRS = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", "out", ".mypy_cache", ".pytest_cache", ".idea", ".vscode")
 
 # Fixed value: the prompt for an optional language model.
 PROMPT = """请分析以下文档内容, 判断其是否包含敏感信息, 并返回 JSON 格式的分析结果.

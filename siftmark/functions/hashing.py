@@ -1,44 +1,68 @@
 """Hashes and checksums: SHA-256, SimHash over FNV-1a tokens, Hamming distance, Luhn, cosine."""
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: A run of letters and digits; a CJK ideograph ends the token it stands in.
-TOKEN = re.compile(r"(?:[^\W_]|[一-鿿])(?:(?![一-鿿])[^\W_])*[一-鿿]?")
-BITS = np.arange(64, dtype=np.uint64)
+#: A run of letters and decimal digits; a CJK ideograph ends the token it stands in.
+TOKEN = regex.compile(r"(?:[\p{L}\p{Nd}]|[一-鿿])(?:(?![一-鿿])[\p{L}\p{Nd}])*[一-鿿]?")
+OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
+LONG = 64  # bytes of a token that are hashed beside others
 
 
 def fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
+    h = OFFSET
     for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ b) * PRIME & 0xFFFFFFFFFFFFFFFF
     return h
 
 
-def simhash_text(text: str, seen: dict[str, np.ndarray]) -> int:
+def fnv1a_all(tokens: list[bytes]) -> np.ndarray:
+    """fnv1a() of each, a byte of all at a time."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    at, size = (np.cumsum(size) - size)[order], size[order]
+    h = np.full(len(tokens), OFFSET, np.uint64)
+    for i in range(min(LONG, int(size[0]) if len(size) else 0)):
+        live = int(np.searchsorted(-size, -i))  # those longer than i stand first
+        h[:live] = (h[:live] ^ data[at[:live] + i]) * np.uint64(PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    for k in order[: int(np.searchsorted(-size, -LONG))].tolist():
+        out[k] = fnv1a(tokens[k])
+    return out
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
     """A bit is set where more tokens have it than not; a text without tokens is 0."""
-    total = np.zeros(64, np.int64)
-    for t in TOKEN.findall(text.lower()):
-        v = seen.get(t)
-        if v is None:
-            if len(seen) > 100_000:
-                seen.clear()
-            v = seen[t] = ((np.uint64(fnv1a(t.encode())) >> BITS) & np.uint64(1)).astype(np.int64) * 2 - 1
-        total += v
-    return sum(1 << i for i in np.flatnonzero(total > 0).tolist())
+    place: dict[str, int] = {}
+    flat: list[int] = []
+    ends = []
+    for t in texts:
+        flat += [place.setdefault(w, len(place)) for w in TOKEN.findall(t.lower())]
+        ends.append(len(flat))
+    h = fnv1a_all([w.encode() for w in place])
+    signs = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+    out, start, flat = np.zeros(len(texts), np.uint64), 0, np.array(flat, np.int64)
+    for k, end in enumerate(ends):
+        own, n = np.unique(flat[start:end], return_counts=True)
+        votes = n.astype(np.float32) @ signs[own].astype(np.float32) if len(own) else np.zeros(64)
+        out[k] = np.packbits(votes > 0, bitorder="little").view("<u8")[0]
+        start = end
+    return out
 
 
 @F.pandas_udf(StringType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    seen: dict[str, np.ndarray] = {}
     for s in texts:
-        yield s.map(lambda t: f"{simhash_text(t or '', seen):016x}")
+        parts = [simhashes([t or "" for t in s.iloc[i : i + 500]]) for i in range(0, len(s), 500)]
+        yield pd.Series([f"{x:016x}" for p in parts for x in p.tolist()], index=s.index, dtype=object)
 
 
 def simhash_bits(hex16: Column) -> Column:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import BUILTIN_RULES, BUSINESS_TERMS, HIGH_RISK_LABELS, LABEL_HINTS, PROMPT, RISKS, STOP_WORDS, TEMPLATES, UNCLASSIFIED
+from ..functions.fixed import BUILTIN_RULES, BUSINESS_TERMS, EXPLANATION, HIGH_RISK_LABELS, KEYWORD_RULE, LABEL_HINTS, PLACEHOLDER, PROMPT, RISKS, STOP_WORDS, TEMPLATES, UNCLASSIFIED
 from .match import infer_labels, matches
 
 KINDS = ("regex", "keyword", "combined")
@@ -71,7 +71,7 @@ def rules(samples: DataFrame, key: str, text: str = "text", kind: str = "sensiti
     words = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s.word).alias("_words"))  # at most `top` words
     content = F.to_json(F.struct(F.col("_words").alias("keywords"), F.lit("any").alias("match_mode"), F.when(F.size("_words") == 1, 1).otherwise(2).alias("min_hits")))
     by_words = named.drop(text, description).join(words, key).select(
-        key, F.lit(len(BUILTIN_RULES)).alias("place"), F.concat("_type", F.lit("关键词识别")).alias("rule_name"), F.lit("keyword").alias("rule_type"), F.col("_type").alias("sensitive_type"), F.col("_risk").alias("risk_level"), content.alias("content")
+        key, F.lit(len(BUILTIN_RULES)).alias("place"), F.concat("_type", F.lit(KEYWORD_RULE)).alias("rule_name"), F.lit("keyword").alias("rule_type"), F.col("_type").alias("sensitive_type"), F.col("_risk").alias("risk_level"), content.alias("content")
     )
     return out.unionByName(by_words)
 
@@ -86,7 +86,7 @@ def analyse(text: Column, kind: Column, risk: Column, hints: dict[str, list[str]
     labels = infer_labels(F.concat(text, F.lit(" "), kind), hints)
     type_ = F.when(kind != "", kind).when(F.size(labels) > 0, F.array_join(labels, "/")).otherwise(UNCLASSIFIED)
     shown = F.when(F.size(labels) > 0, labels).otherwise(F.array(type_))
-    told = F.concat(F.lit("文档命中敏感样本规则, 包含"), F.array_join(shown, "/"), F.lit("等敏感语义或业务关键词."))
+    told = F.concat(F.lit(EXPLANATION[0]), F.array_join(shown, "/"), F.lit(EXPLANATION[1]))
     return F.struct(shown.alias("semantic_labels"), type_.alias("sensitive_type"), F.coalesce(F.nullif(risk, F.lit("")), infer_risk(labels)).alias("risk_level"), F.lit("rule-fallback").alias("model_name"), told.alias("explanation"))
 
 
@@ -115,4 +115,4 @@ def embedding_id(model: Column, text: Column) -> Column:
 
 def placeholder(text: Column, name: Column, size: Column) -> Column:
     """Stands for the text of a sample that has none."""
-    return F.coalesce(F.nullif(text, F.lit("")), F.format_string("[二进制文件: %s, 大小: %d bytes]", name, size))
+    return F.coalesce(F.nullif(text, F.lit("")), F.format_string(PLACEHOLDER, name, size))

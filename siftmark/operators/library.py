@@ -52,19 +52,13 @@ def upsert_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
     return out.select("file_path", "file_hash", "first_detected_at", "v.*").select(*tags.columns)
 
 
+def list_tags(tags: DataFrame, sensitive_only: bool = False) -> DataFrame:
+    """All tags, latest first; or the sensitive ones, by score. Ties by path."""
+    return tags.where("sensitive").orderBy(F.desc("match_score"), "file_path") if sensitive_only else tags.orderBy(F.desc("last_detected_at"), "file_path")
+
+
 def duplicates(samples: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose content an earlier row has, with that row's key; a window of hashes only, no texts."""
     w = Window.partitionBy("sha256").orderBy(key)
     ranked = samples.select(key, F.sha2("text", 256).alias("sha256")).where("sha256 IS NOT NULL").select("*", F.row_number().over(w).alias("n"), F.first(key).over(w).alias("first_id"))
     return ranked.where("n > 1").select(key, "sha256", "first_id")
-
-
-def keywords(df: DataFrame, key: str, stop_words: list[str], terms: list[str], top: int = 12) -> DataFrame:
-    """Per document the best words: one point an occurrence, 80 for a contained business term; ties by word."""
-    words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
-    fits = F.length("word").between(2, 32) & ~F.col("word").rlike(r"^\p{Nd}+$") & ~F.lower("word").isin(stop_words)
-    own = df.select(key, words.alias("word")).where(fits).groupBy(key, "word").agg(F.count("*").alias("score"))
-    held = df.select(key, F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("text"), t))).alias("word")).withColumn("score", F.lit(80).cast("long"))
-    both = own.unionByName(held).groupBy(key, "word").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "word")
-    return both.select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= top)

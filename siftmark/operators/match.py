@@ -24,6 +24,15 @@ def content_scan(df: DataFrame, key: str, text: str = "text", rules=BUILTIN_RULE
     return df.select(key, F.inline(F.filter(F.array(*hits), lambda h: h.match_count > 0)))
 
 
+def regex_test(text: Column, pattern: str, dialect_: str = "re2") -> Column:
+    """A struct of all full matches, their count and, for a pattern that the dialect refuses, the error; null text has no match."""
+    try:
+        found, error = F.coalesce(F.regexp_extract_all(text, F.lit(to_java(pattern, dialect_)), F.lit(0)), F.array().cast("array<string>")), F.lit(None).cast("string")
+    except dialect.Refused as e:
+        found, error = F.array().cast("array<string>"), F.lit(str(e))
+    return F.struct(found.alias("matches"), F.size(found).alias("count"), error.alias("error"))
+
+
 def keyword_hits(text: Column, words: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
@@ -32,9 +41,9 @@ def keyword_match(text: Column, words: list[str], min_hits: int = 1) -> Column:
     return F.size(keyword_hits(text, words)) >= max(1, min_hits) if words else F.lit(False)
 
 
-def combined_match(text: Column, conditions: list[tuple], logic: str = "AND") -> Column:
+def combined_match(text: Column, conditions: list[tuple], logic: str = "AND", dialect: str = "re2") -> Column:
     """conditions: ("keyword", words, least hits) or ("regex", pattern). Another logic or type of condition never holds."""
-    parts = [keyword_match(text, c[1], c[2]) if c[0] == "keyword" else F.regexp_like(text, F.lit(to_java(c[1]))) if c[0] == "regex" else F.lit(False) for c in conditions]
+    parts = [keyword_match(text, c[1], c[2]) if c[0] == "keyword" else F.regexp_like(text, F.lit(to_java(c[1], dialect))) if c[0] == "regex" else F.lit(False) for c in conditions]
     if not parts or logic not in ("AND", "OR"):
         return F.lit(False)
     return reduce(lambda a, b: a & b if logic == "AND" else a | b, parts)
@@ -72,26 +81,6 @@ def risk(value: Column) -> Column:
     return steps(value, [(80, "high"), (50, "medium"), (30, "low")], "info")
 
 
-def scan(files: DataFrame, samples: DataFrame, keywords: list[tuple], combined: list[tuple], labels: list[str], hints: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, sha_hit, score, confidence_level, risk_level): a hash hit settles a file, other files get all rules.
-
-    keywords: (words, least hits); combined: (conditions, logic). samples: sample_id, sha256.
-    """
-    first = samples.groupBy("sha256").agg(F.min("sample_id").alias("sample_id"))
-    named = files.withColumn("sha256", F.sha2("text", 256)).join(first, "sha256", "left")
-    t = F.coalesce("text", F.lit(""))
-    hit = lambda p, n: (F.size(matches(t, p, card=n == "bank_card")) > 0).cast("int")
-    total = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0))
-    value = score(
-        F.lit(False), F.lit(False), total([hit(p, n) for n, p, r in BUILTIN_RULES if r in ("high", "critical")]), total([hit(p, n) for n, p, r in BUILTIN_RULES if r not in ("high", "critical")]),
-        total([keyword_match(t, w, k).cast("int") for w, k in keywords]), total([combined_match(t, c, how).cast("int") for c, how in combined]), F.size(label_hits(t, labels, hints)),
-    )
-    sha = F.col("sample_id").isNotNull()
-    # a generator, so that what uses the score does not compute all rules again
-    out = named.select("doc_id", "source", "sha256", sha.alias("sha_hit"), F.explode(F.array(F.when(sha, F.lit(100)).otherwise(value))).alias("score"))
-    return out.withColumns({"confidence_level": confidence(F.col("score")), "risk_level": risk(F.col("score"))})
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder spark.checkpoint.dir names; a folder is set here only where that is unset."""
     sc = df.sparkSession.sparkContext

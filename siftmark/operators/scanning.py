@@ -13,9 +13,12 @@ from ..functions.fixed import LABEL_HINTS, SAMPLE_HIT
 from ..sources import extract
 from . import match, search
 
-#: Rules are compiled into one plan; a library with more would not fit it and is refused.
-MOST_RULES = 20_000
-HIT = "array<struct<rule_id string, rule_name string, sensitive_type string, risk_level string, match_count int>>"
+RULE = "rule_id string, rule_name string, sensitive_type string, risk_level string"
+HITS = {
+    "regex": f"array<struct<ord int, {RULE}, pattern string, match_count int>>",
+    "keyword": f"array<struct<ord int, {RULE}, keywords_matched array<string>>>",
+    "combined": f"array<struct<ord int, {RULE}>>",
+}
 
 
 @dataclass
@@ -33,34 +36,52 @@ class Library:
 
 
 def rule_list(rules: DataFrame) -> list[dict]:
-    """Live rules as dicts, in the order of version and rule_ord; content is parsed."""
-    rows = rules.orderBy("version", "rule_ord", "rule_id").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
-    return [{**r.asDict(), "content": json.loads(r.content)} for r in rows]
-
-
-def hits(text: Column, rules: list[dict], kind: str, dialect: str, bad: dict[str, str]) -> Column:
-    """The rules of a kind that match, as an array in rule order; those with a bad pattern or without words never do."""
-    out = []
-    for r in rules:
-        c = r["content"]
-        if r["rule_type"] != kind:
-            continue
-        name = c.get("name", "" if kind == "regex" else r["rule_id"])
-        if kind == "regex":
-            if not c.get("pattern") or c["pattern"] in bad:
-                continue
-            n = F.size(match.matches(text, c["pattern"], dialect, name == "bank_card"))
-            least = 1
-        elif kind == "keyword":
-            n, least = F.size(match.keyword_hits(text, c["keywords"])) if c.get("keywords") else F.lit(0), max(1, c.get("min_hits", 1))
-        else:
-            parts = [("keyword", x["value"], x.get("min_hits", 1)) if x.get("type") == "keyword" else ("regex", x["value"]) if x.get("type") == "regex" and x["value"] not in bad else ("never",) for x in c.get("conditions", [])]
-            n, least = match.combined_match(text, parts, c.get("logic", "AND")).cast("int"), 1
-        hit = F.struct(*[F.lit(x).alias(k) for k, x in (("rule_id", r["rule_id"]), ("rule_name", name), ("sensitive_type", r["sensitive_type"]), ("risk_level", r["risk_level"]))], n.alias("match_count"))
-        out.append(F.when(n >= least, hit))
-    return F.array_compact(F.array(*out)).cast(HIT) if out else F.array().cast(HIT)
+    """Live rules as dicts, in the order of version and rule_ord; content is parsed. The driver holds the library, as a scanning host does."""
+    return [{**r.asDict(), "content": json.loads(r.content)} for r in rules.orderBy("version", "rule_ord", "rule_id").collect()]
+
+
+def constant(values: list, schema: str) -> Column:
+    """Data as one literal, folded once whatever its size, where a Column for each value would make a plan of that size."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), schema)
+
+
+def compiled(text: Column, rules: list[dict], dialect: str, bad: dict[str, str]) -> dict[str, Column]:
+    """By kind, the rules that match, as an array in rule order; those with a bad pattern or without words never do.
+
+    Each distinct pattern is evaluated once and each distinct word once, however many rules have it; the rules themselves are
+    constant data that the indices of what has matched select.
+    """
+    named = [(i, r, {"ord": i, "rule_id": r["rule_id"], "rule_name": r["content"].get("name", "" if r["rule_type"] == "regex" else r["rule_id"]), "sensitive_type": r["sensitive_type"], "risk_level": r["risk_level"]}) for i, r in enumerate(rules)]
+    by_pattern: dict[tuple[str, bool], list[dict]] = {}
+    for _, r, head in named:
+        if r["rule_type"] == "regex" and r["content"].get("pattern") and r["content"]["pattern"] not in bad:
+            by_pattern.setdefault((r["content"]["pattern"], head["rule_name"] == "bank_card"), []).append({**head, "pattern": r["content"]["pattern"]})
+    counts = F.array(*[F.size(match.matches(text, p, dialect, card)) for p, card in by_pattern]) if by_pattern else F.array().cast("array<int>")
+    groups = constant(list(by_pattern.values()), f"array<array<struct<ord int, {RULE}, pattern string>>>")
+    hit = F.filter(F.transform(counts, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda c: c.n > 0)
+    fields = ("ord", "rule_id", "rule_name", "sensitive_type", "risk_level")
+    regex = F.flatten(F.transform(hit, lambda c: F.transform(F.get(groups, c.i), lambda r: F.struct(*[r[f].alias(f) for f in fields], r.pattern.alias("pattern"), c.n.alias("match_count")))))
+
+    keyword = [({**head, "words": r["content"]["keywords"], "least": max(1, r["content"].get("min_hits", 1))}) for _, r, head in named if r["rule_type"] == "keyword" and r["content"].get("keywords")]
+    conditions = [(head, r["content"]) for _, r, head in named if r["rule_type"] == "combined"]
+    words = list(dict.fromkeys([w for k in keyword for w in k["words"]] + [w for _, c in conditions for x in c.get("conditions", []) if x.get("type") == "keyword" for w in x["value"]]))
+    held = F.filter(constant(words, "array<string>"), lambda w: F.contains(text, w)) if words else F.array().cast("array<string>")
+    own = lambda r: F.array_intersect(r.words, held)
+    lists = constant(keyword, f"array<struct<ord int, {RULE}, words array<string>, least int>>")
+    found = F.transform(lists, lambda r: F.struct(*[r[f].alias(f) for f in fields], own(r).alias("keywords_matched"), r.least.alias("least"))) if keyword else None
+    by_words = F.transform(F.filter(found, lambda r: F.size(r.keywords_matched) >= r.least), lambda r: F.struct(*[r[f].alias(f) for f in (*fields, "keywords_matched")])) if keyword else F.array().cast(HITS["keyword"])
+
+    by_condition: dict[str, list[dict]] = {}
+    for head, c in conditions:
+        by_condition.setdefault(json.dumps([c.get("conditions", []), c.get("logic", "AND")], ensure_ascii=False, sort_keys=True), []).append(head)
+    holds = []
+    for key in by_condition:
+        parts, logic = json.loads(key)
+        holds.append(match.combined_match(text, [("keyword", x["value"], x.get("min_hits", 1)) if x.get("type") == "keyword" else ("regex", x["value"]) if x.get("type") == "regex" and x["value"] not in bad else ("never",) for x in parts], logic, dialect))
+    groups2 = constant(list(by_condition.values()), f"array<array<struct<ord int, {RULE}>>>")
+    true = F.filter(F.transform(F.array(*holds), lambda on, i: F.when(on, i)), lambda i: i.isNotNull()) if holds else F.array().cast("array<int>")
+    combined = F.flatten(F.transform(true, lambda i: F.get(groups2, i))) if holds else F.array().cast(HITS["combined"])
+    return {"regex": F.array_sort(regex.cast(HITS["regex"])), "keyword": F.array_sort(by_words.cast(HITS["keyword"])), "combined": F.array_sort(combined.cast(HITS["combined"]))}
 
 
 def patterns(rules: list[dict]) -> list[str]:
@@ -76,46 +97,52 @@ def label_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
     samples = labels.select("sensitive_file_id", F.explode(F.array_distinct("semantic_labels")).alias("semantic_label")).distinct()
     per_label = samples.groupBy("semantic_label").agg(F.min("sensitive_file_id").alias("sensitive_file_id"), F.count("*").alias("n_samples"))
     mine = found.select("path", F.explode("labels_held").alias("semantic_label")).join(per_label, "semantic_label")
-    return mine.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sensitive_file_id", "semantic_label", "n_samples"))).alias("label_hits"))  # at most MOST_RULES labels
+    return mine.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sensitive_file_id", "semantic_label", "n_samples"))).alias("label_hits"))
 
 
-def scan_files(files: DataFrame, library: Library, dialect: str = "re2") -> DataFrame:
+def scan_files(files: DataFrame, library: Library, dialect: str = "re2", pdf=extract.pdf_text) -> DataFrame:
     """files (path, content) to results. Archives count by their members, and a file equal to a sample is not read further.
 
-    Contents stay in their partitions: they meet the samples' hashes by a join of the (path, sha256) that Spark broadcasts
-    while the library is small.
+    A file or member that can't be read is a result with the reason, and ends nothing else. Contents stay in their partitions:
+    they meet the samples' hashes by a join of the (path, sha256) that Spark broadcasts while the library is small.
     """
     opened = extract.expand(files).withColumn("sha256", F.sha2("content", 256))
     first = library.fingerprints.groupBy("sha256").agg(F.min("sensitive_file_id").alias("sha_id"))
     known = opened.join(first, "sha256", "left").withColumn("sha_hit", F.col("sha_id").isNotNull())
-    return results(extract.file_texts(known, "sha_hit"), library, dialect)
+    return results(extract.file_texts(known, "sha_hit", pdf), library, dialect)
 
 
 def scan_texts(texts: DataFrame, library: Library, dialect: str = "re2") -> DataFrame:
     """texts (path, text) to results, as scan_files(); null text is empty and equals no sample."""
     first = library.fingerprints.groupBy("sha256").agg(F.min("sensitive_file_id").alias("sha_id"))
-    known = texts.select("path", "text", F.sha2("text", 256).alias("sha256")).join(first, "sha256", "left")
-    return results(known.withColumns({"sha_hit": F.col("sha_id").isNotNull(), "skip_reason": F.lit(None).cast("string")}), library, dialect)
+    known = spread(texts.select("path", "text")).withColumn("sha256", F.sha2("text", 256)).join(first, "sha256", "left")
+    return results(known.withColumns({"sha_hit": F.col("sha_id").isNotNull(), "skip_reason": F.lit(None).cast("string"), "extract_error": F.lit(None).cast("string")}), library, dialect)
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts over all cores, where one file gives fewer tasks than there are; a large table stays as it lies."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if len(texts.inputFiles()) * 2 <= cores else texts
 
 
 def results(named: DataFrame, library: Library, dialect: str) -> DataFrame:
     """(path, file_hash, sensitive, sensitive_type, risk_level, sensitive_file_id, match_score, confidence_level, match_detail) by path.
 
-    Matched values stay inside; match_detail is JSON of the rules that matched and how often. The id is that of the nearest
-    fingerprint, else of the first labelled sample; equal distances go to the smaller id.
+    Matched values stay inside; match_detail is JSON of the rules that matched with their patterns and counts, the labels and
+    embedding id of the sample that answers, why a file was skipped, and the patterns that were refused. The id is that of the
+    nearest fingerprint, else of the first labelled sample; equal distances go to the smaller id.
     """
     spark = named.sparkSession
-    bad = match.dialect.check(spark, patterns(library.rules))
+    bad = match.dialect.check(spark, patterns(library.rules), dialect)
     t = F.when(~F.col("sha_hit"), F.coalesce("text", F.lit(""))).otherwise("")
     hints = library.hints or LABEL_HINTS
     all_labels: list[str] = []
     if library.labels is not None:
-        all_labels = [r[0] for r in library.labels.select(F.explode("semantic_labels").alias("x")).distinct().orderBy("x").limit(MOST_RULES + 1).collect()]
-        if len(all_labels) > MOST_RULES:
-            raise ValueError(f"over {MOST_RULES} labels")
+        all_labels = [r[0] for r in library.labels.select(F.explode("semantic_labels").alias("x")).distinct().orderBy("x").collect()]
+    rules = compiled(t, library.rules, dialect, bad)
     found = named.select(
-        "path", "sha256", "sha_id", "sha_hit", "skip_reason", (F.length(t) > 0).alias("has_text"), F.when(F.length(t) > 0, hashing.simhash(t)).alias("simhash"),
-        *[hits(t, library.rules, k, dialect, bad).alias(k) for k in ("regex", "keyword", "combined")], match.label_hits(t, all_labels, hints).alias("labels_held"),
+        "path", "sha256", "sha_id", "sha_hit", "skip_reason", "extract_error", F.when(F.length(t) > 0, hashing.simhash(t)).alias("simhash"),
+        *[c.alias(k) for k, c in rules.items()], match.label_hits(t, all_labels, hints).alias("labels_held"),
     )
     found = match.materialise(found)  # small rows without texts, read below more than once
     prints = library.fingerprints.select(F.col("sensitive_file_id").alias("sample_id"), hashing.simhash_bits(F.col("simhash")).alias("bits")).where("bits IS NOT NULL")
@@ -129,12 +156,25 @@ def results(named: DataFrame, library: Library, dialect: str) -> DataFrame:
     labels = F.coalesce("label_hits", none)
     borne = F.aggregate(labels, F.lit(0).cast("bigint"), lambda n, h: n + h.n_samples)
     value = match.score(F.col("sha_hit"), F.col("near_id").isNotNull(), count("regex", grave, True), count("regex", grave, False), F.size("keyword"), F.size("combined"), borne)
-    scored = joined.withColumn("label_hits", labels).withColumn("match_score", value)
+    answers = F.coalesce("sha_id", "near_id", F.get("label_hits", F.lit(0)).sensitive_file_id)
+    scored = joined.withColumn("label_hits", labels).withColumns({"match_score": value, "answers": answers})
+    told = F.array().cast("array<string>")
+    if library.labels is not None:
+        of = library.labels.groupBy(F.col("sensitive_file_id").alias("answers")).agg(F.min_by(F.struct("semantic_labels", "embedding_id"), F.coalesce("embedding_id", F.lit(""))).alias("of"))
+        scored = scored.join(of, "answers", "left").withColumns({"told_labels": F.coalesce("of.semantic_labels", told), "told_id": F.col("of.embedding_id")})
+    else:
+        scored = scored.withColumns({"told_labels": told, "told_id": F.lit(None).cast("string")})
     type_ = F.coalesce(*[F.get(k, F.lit(0)).sensitive_type for k in ("keyword", "combined", "regex")], F.get("label_hits", F.lit(0)).semantic_label)
-    detail = F.to_json(F.struct(F.col("sha_hit").alias("sha256_hit"), F.col("near_id").isNotNull().alias("simhash_hit"), "simhash", F.col("regex").alias("regex_hits"), F.col("keyword").alias("keyword_hits"), F.col("combined").alias("combined_hits"), F.col("label_hits").alias("semantic_label_hits"), "skip_reason"))
+    shown = lambda k: F.transform(k, lambda h: h.dropFields("ord", "sensitive_type")).alias(f"{k}_hits")
+    detail = F.to_json(
+        F.struct(
+            F.col("sha_hit").alias("sha256_hit"), F.col("near_id").isNotNull().alias("simhash_hit"), "simhash", shown("regex"), shown("keyword"), shown("combined"), F.col("label_hits").alias("semantic_label_hits"),
+            F.col("told_labels").alias("semantic_labels"), F.col("told_id").alias("embedding_id"), "skip_reason", "extract_error", F.lit("; ".join(f"{p}: {e}" for p, e in bad.items()) or None).cast("string").alias("refused_patterns"),
+        )
+    )
     return scored.select(
         "path", F.col("sha256").alias("file_hash"), (F.col("match_score") >= 80).alias("sensitive"), F.when(F.col("sha_hit"), SAMPLE_HIT).otherwise(type_).alias("sensitive_type"), match.risk(F.col("match_score")).alias("risk_level"),
-        F.coalesce("sha_id", "near_id", F.get("label_hits", F.lit(0)).sensitive_file_id).alias("sensitive_file_id"), "match_score", match.confidence(F.col("match_score")).alias("confidence_level"), detail.alias("match_detail"),
+        F.col("answers").alias("sensitive_file_id"), "match_score", match.confidence(F.col("match_score")).alias("confidence_level"), detail.alias("match_detail"),
     )
 
 

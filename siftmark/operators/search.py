@@ -1,6 +1,7 @@
 """Lookups, lists and similarity search."""
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +18,21 @@ def first_by_hash(files: DataFrame, library: DataFrame) -> DataFrame:
     return files.join(first, "sha256")
 
 
-def near_by_hamming(files: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
+def near_by_hamming(files: DataFrame, library: DataFrame, most: int = 3, shared: int = 3) -> DataFrame:
     """(doc_id, sample_id, distance): the nearest other sample within `most` bits, the smallest id of equal ones.
 
-    Both sides have doc_id/sample_id and bits. Values, not rows, are joined: bands of the 64 bits, one more than bits may
-    differ, so two near values share one.
+    Both sides have doc_id/sample_id and bits, and are read more than once. Values, not rows, are joined: the 64 bits are cut
+    into most + shared blocks, of which `shared` are equal in two near values, whichever bits differ. A key is such a choice
+    of blocks, so of about 64 * shared / (most + shared) bits, which few values have in common by chance.
     """
-    width = 64 // (most + 1)
-    band = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(most + 1)]))
-    a = files.select(F.col("bits").alias("x")).distinct().select("x", band(F.col("x")).alias("b"))
+    n = most + shared
+    edges = [64 * i // n for i in range(n + 1)]
+    keep = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in choice) for choice in combinations(range(n), shared)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in keep]
+    keys = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)]))
+    a = files.select(F.col("bits").alias("x")).distinct().select("x", keys(F.col("x")).alias("b"))
     few = library.select(F.col("bits").alias("y"), "sample_id", F.row_number().over(Window.partitionBy("bits").orderBy("sample_id")).alias("n")).where("n <= 2")
-    b = few.groupBy("y").agg(F.array_sort(F.collect_list("sample_id")).alias("ids")).select("y", "ids", band(F.col("y")).alias("b"))
+    b = few.groupBy("y").agg(F.array_sort(F.collect_list("sample_id")).alias("ids")).select("y", "ids", keys(F.col("y")).alias("b"))
     pairs = a.join(b, "b").select("x", "y", "ids", hamming(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= most).distinct()
     near = files.join(pairs, F.col("bits") == F.col("x")).select("doc_id", "distance", F.explode("ids").alias("sample_id")).where("sample_id != doc_id")
     return near.groupBy("doc_id").agg(F.min(F.struct("distance", "sample_id")).alias("m")).select("doc_id", "m.sample_id", "m.distance")
@@ -39,6 +44,11 @@ def at_least(level: str, column: str = "confidence_level") -> Column:
     return F.col(column).isin(*CONFIDENCE[CONFIDENCE.index(level) :])
 
 
+def confidence_hist(results: DataFrame) -> DataFrame:
+    """Results by report and confidence."""
+    return results.groupBy("report_id", "confidence_level").agg(F.count("*").alias("n_results"))
+
+
 def list_results(results: DataFrame, reports: DataFrame, host: str | None = None, level: str | None = None, limit: int = 200) -> DataFrame:
     """Newest first; a limit outside 1 to 1000 is ignored."""
     out = results.join(reports.select("report_id", "host_id", "created_at"), "report_id")
@@ -52,7 +62,7 @@ def semantic_search(vectors: DataFrame, query: list[float], top: int = 5, min_sc
     top = 5 if top <= 0 else min(top, 50)
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.select("vec_id", cosine(F.col("embedding").cast("array<double>"), q).alias("score")).where(F.col("score") >= min_score)
-    return scored.orderBy(F.desc(F.round("score", 6)), "vec_id").limit(top)
+    return scored.orderBy(F.desc("score"), "vec_id").limit(top)
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -103,12 +113,22 @@ def semantic_search_all(vectors: DataFrame, queries: DataFrame, top: int = 5, mi
     return found.withColumn("n", rank).where(F.col("n") <= top).select("query_id", "vec_id", "score")
 
 
-def find_samples(samples: DataFrame, text: str | None = None, source: str | None = None, limit: int = 100) -> DataFrame:
-    """Rows that contain the words, without regard to case; newest (largest id) first."""
+def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id") -> DataFrame:
+    """Words in name or text and words in the type, both without regard to case, and the risk level, each if given; newest first, ties by key."""
+    has = lambda c, x: F.contains(F.lower(c), F.lit(x.lower()))
     out = samples
-    out = out.where(F.contains(F.lower("text"), F.lit(text.lower()))) if text else out
-    out = out.where(F.contains(F.lower("source"), F.lit(source.lower()))) if source else out
-    return out.orderBy(F.desc("doc_id")).limit(limit)
+    out = out.where(has("file_name", text) | has("text", text)) if text else out
+    out = out.where(has("sensitive_type", kind)) if kind else out
+    out = out.where(F.col("risk_level") == risk) if risk else out
+    return out.drop("text").orderBy(F.desc("uploaded_at"), key).limit(limit)
+
+
+def feature_search(features: DataFrame, samples: DataFrame, query: list[float], top: int = 5, min_score: float = 0.0, key: str = "sensitive_file_id") -> DataFrame:
+    """semantic_search() over the features that have a vector and its id, with the samples' names where there are such."""
+    vectors = features.where((F.size("embedding") > 0) & (F.col("embedding_id") != "")).withColumn("vec_id", F.col(key))
+    best = semantic_search(vectors, query, top, min_score)
+    names = samples.select(F.col(key).alias("vec_id"), "file_name", "sensitive_type", "risk_level")
+    return best.join(names, "vec_id", "left").orderBy(F.desc("score"), "vec_id")
 
 
 def lookup_hash(samples: DataFrame, sha256: str, key: str = "sample_id") -> DataFrame:

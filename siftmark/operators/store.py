@@ -1,19 +1,25 @@
 """The server's store: versioned Parquet tables under one folder, published by a manifest.
 
-A commit writes new folders and then the manifest of the next version, by a rename that fails where another commit was
-first; readers see whole commits only. A lost executor's task writes again, and an unpublished folder is never read.
+Every operation works on the snapshot of one manifest. A commit writes new folders and then the manifest that follows its
+snapshot, by creating a file that must not exist: where another commit was first it fails, and nothing of it is seen. Readers
+see whole commits only. A lost executor's task writes again, and an unpublished folder is never read. A table of many folders
+is rewritten as one by the commit that finds it so.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..functions.fixed import BUILTIN_RULES
+from ..functions.fixed import BUILTIN_RULES, LABEL_HINTS
 from ..sources import extract
 from . import generate, library, search
 
@@ -26,12 +32,14 @@ SCHEMAS = {
     "results": "id string, report_id string, file_path string, file_hash string, sensitive boolean, sensitive_type string, risk_level string, sensitive_file_id string, match_score int, confidence_level string, match_detail string",
     "tags": "file_path string, file_hash string, sensitive boolean, sensitive_type string, risk_level string, sensitive_file_id string, match_score int, confidence_level string, match_detail string, first_detected_at timestamp, last_detected_at timestamp",
 }
-CHANGES = ("upload", "batch_upload", "zip_upload", "rule_update", "rule_delete")
+CONFIG = {"simhash_threshold": 3, "semantic_label_hints": {k: list(v) for k, v in LABEL_HINTS.items()}}
 MOST_RESULTS = 10_000
+MOST_FOLDERS = 32  # of a table, before it is rewritten as one
+BATCH_FILES, BATCH_BYTES = 50, 200 << 20  # of an upload of several files
 
 
 class Conflict(RuntimeError):
-    """Another commit took the version."""
+    """Another commit came between this one's snapshot and its end."""
 
 
 class Store:
@@ -39,8 +47,13 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        if self._last() is None:
-            self.commit({}, "init", append={"rules": self._builtin()}, library_version=0)
+        snap = self.manifest()
+        missing = library.seed(self.table("rules", snap), self._builtin()).join(self.table("rules", snap).select("rule_id"), "rule_id", "left_anti")
+        if snap["commit"] < 0 or not missing.isEmpty():
+            try:
+                self.commit(snap, {}, "seed", append={"rules": missing})
+            except Conflict:  # another has just opened the store and seeded it
+                pass
 
     def _builtin(self) -> DataFrame:
         rows = [(f"builtin_{n}", "regex", n, r, "builtin", 0, True, False, i, json.dumps({"name": n, "pattern": p}, ensure_ascii=False)) for i, (n, p, r) in enumerate(BUILTIN_RULES)]
@@ -56,52 +69,91 @@ class Store:
     def manifest(self) -> dict:
         last = self._last()
         if last is None:
-            return {"commit": -1, "version": 0, "kind": "none", "tables": {}}
-        stream = self.fs.open(self._path(f"{self.root}/_manifests/{last:012d}.json"))
+            return {"commit": -1, "version": 0, "kind": "none", "tables": {}, "config": dict(CONFIG)}
+        stream = self.fs.open(self._path(self._manifest(last)))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def table(self, name: str) -> DataFrame:
-        folders = self.manifest()["tables"].get(name, [])
+    def _manifest(self, commit: int) -> str:
+        return f"{self.root}/_manifests/{commit:012d}.json"
+
+    def _create(self, commit: int, text: str) -> bool:
+        """Writes a manifest that must not exist yet; False if it does. Local files are linked into place, which is one step; other stores create without overwriting."""
+        self.fs.mkdirs(self._path(f"{self.root}/_manifests"))
+        if self.fs.getScheme() == "file":
+            final = self._path(self._manifest(commit)).toUri().getPath()
+            mine = f"{final}.{uuid.uuid4().hex}"
+            with open(mine, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(mine, final)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(mine)
+        try:
+            out = self.fs.create(self._path(self._manifest(commit)), False)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def table(self, name: str, snap: dict | None = None) -> DataFrame:
+        folders = (snap or self.manifest())["tables"].get(name, [])
         reader = self.spark.read.schema(SCHEMAS[name])
         return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], SCHEMAS[name])
 
     def version(self) -> int:
         return self.manifest()["version"]
 
-    def commit(self, replace: dict[str, DataFrame], kind: str, append: dict[str, DataFrame] | None = None, library_version: int | None = None) -> int:
-        """All tables or none; returns the library's version, which is the given one or stays."""
-        old = self.manifest()
-        tables = {k: list(v) for k, v in old["tables"].items()}
-        for name, df in [*replace.items(), *(append or {}).items()]:
-            folder = f"{name}/{uuid.uuid4().hex}"
-            schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{self.root}/{folder}")
-            tables[name] = [folder] if name in replace else [*tables.get(name, []), folder]
-        version = old["version"] if library_version is None else library_version
-        new = {"commit": old["commit"] + 1, "version": version, "kind": kind, "tables": tables}
-        mine, final = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}"), self._path(f"{self.root}/_manifests/{new['commit']:012d}.json")
-        self.fs.mkdirs(self._path(f"{self.root}/_manifests"))
-        out = self.fs.create(mine, False)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        if self.fs.exists(final) or not self.fs.rename(mine, final):
-            self.fs.delete(mine, False)
+    def config(self) -> dict:
+        """simhash_threshold and semantic_label_hints, as sent to hosts."""
+        return self.manifest()["config"]
+
+    def set_config(self, **changes) -> None:
+        snap = self.manifest()
+        self.commit(snap, {}, "config", config=snap["config"] | changes)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def commit(self, snap: dict, replace: dict[str, DataFrame], kind: str, append: dict[str, DataFrame] | None = None, library_version: int | None = None, config: dict | None = None) -> int:
+        """All tables or none, on top of the snapshot that they were made from; returns the library's version, which is the given one or stays."""
+        tables = {k: list(v) for k, v in snap["tables"].items()}
+        for name, df in replace.items():
+            tables[name] = [self._write(name, df)]
+        for name, df in (append or {}).items():
+            tables[name] = [*tables.get(name, []), self._write(name, df)]
+        for name, folders in tables.items():
+            if len(folders) > MOST_FOLDERS:
+                tables[name] = [self._write(name, self.table(name, {"tables": tables}))]
+        version = snap["version"] if library_version is None else library_version
+        new = {"commit": snap["commit"] + 1, "version": version, "kind": kind, "tables": tables, "config": config or snap["config"]}
+        if not self._create(new["commit"], json.dumps(new, ensure_ascii=False)):
             raise Conflict(f"commit {new['commit']}")
         return version
 
     # samples
 
-    def ingest(self, samples: DataFrame, kind: str = "upload", dialect: str = "re2", pdf=None) -> tuple[int | None, DataFrame]:
+    def ingest(self, samples: DataFrame, kind: str = "upload", dialect: str = "re2", pdf=None, embed: Callable[[list[str]], list[list[float] | None]] | None = None, model: str = "", ask: Callable[[str], str | None] | None = None) -> tuple[int | None, DataFrame]:
         """samples (file_name, content, sensitive_type, risk_level, description) under one new version; (version, duplicates or rejects).
 
         A row that may not be uploaded, or equals an earlier one or a stored sample, rejects the whole: the version is null
-        and the rows say why.
+        and the rows say why. embed gives the vectors of some texts, for the search by meaning; ask answers a prompt for the
+        labels. Where they are not given, fail or answer null, a sample has no vector, or labels by rules.
         """
+        snap = self.manifest()
         named = samples.withColumn("sha256", F.sha2("content", 256)).withColumn("file_size", F.length("content").cast("long"))
-        stored = self.table("samples").groupBy("sha256").agg(F.min_by(F.struct("sensitive_file_id", "file_name"), "sensitive_file_id").alias("old"))
+        stored = self.table("samples", snap).groupBy("sha256").agg(F.min_by(F.struct("sensitive_file_id", "file_name"), "sensitive_file_id").alias("old"))
         w = Window.partitionBy("sha256").orderBy("file_name")
         names = named.select("file_name", "sha256", "file_size", F.row_number().over(w).alias("n"), F.first("file_name").over(w).alias("first_name")).join(stored, "sha256", "left")
         bad = extract.upload_error(F.col("file_name"), F.col("file_size"))
@@ -109,7 +161,7 @@ class Store:
         rejects = names.select("file_name", "sha256", reason.alias("reason"), F.coalesce(F.when(F.col("n") > 1, F.col("first_name")), F.col("old.file_name")).alias("existing_name"), F.when(F.col("n") == 1, F.col("old.sensitive_file_id")).alias("sensitive_file_id")).where("reason IS NOT NULL")
         if not rejects.isEmpty():
             return None, rejects
-        version = self.version() + 1
+        version = snap["version"] + 1
         read = extract.sample_texts(named.withColumn("sensitive_file_id", F.concat(F.lit("file_"), F.substring("sha256", 1, 32))), pdf)
         text = generate.placeholder(F.col("text"), F.col("file_name"), F.col("file_size"))
         ready = read.withColumns({"text": text, "risk_level": library.normal_risk(F.coalesce("risk_level", F.lit(""))), "version": F.lit(version), "uploaded_at": F.current_timestamp()})
@@ -122,29 +174,28 @@ class Store:
             F.concat(F.lit("rule_"), F.substring(F.sha2(F.concat_ws("/", "sensitive_file_id", F.col("place").cast("string")), 256), 1, 32)).alias("rule_id"), "rule_type", "sensitive_type", "risk_level",
             F.lit("sample").alias("source"), F.lit(version).alias("version"), F.lit(True).alias("enabled"), F.lit(False).alias("deleted"), F.col("place").alias("rule_ord"), "content",
         )
-        told = generate.analyse(F.col("text"), F.col("sensitive_type"), F.col("risk_level"))
         prints = ready.select("sensitive_file_id", "sha256", hashing.simhash("text").alias("simhash"), F.octet_length("text").alias("text_length"), "version")
-        features = ready.select("sensitive_file_id", told.alias("a"), "version").select("sensitive_file_id", "a.semantic_labels", F.lit("").alias("embedding_id"), F.lit(None).cast("array<double>").alias("embedding"), "a.model_name", "version")
-        self.commit({}, kind, {"samples": ready, "rules": rules, "fingerprints": prints, "features": features}, version)
+        self.commit(snap, {}, kind, {"samples": ready, "rules": rules, "fingerprints": prints, "features": features(ready, embed, model, ask)}, version)
         self.fs.delete(self._path(staged), True)
         return version, rejects
 
+    def ingest_batch(self, samples: DataFrame, **options) -> tuple[int | None, DataFrame]:
+        """ingest() of 50 files and 200 MiB at most."""
+        n, size = samples.agg(F.count("*"), F.coalesce(F.sum(F.length("content")), F.lit(0))).first()
+        if not 1 <= n <= BATCH_FILES or size > BATCH_BYTES:
+            raise ValueError(f"a batch has 1 to {BATCH_FILES} files and {BATCH_BYTES} bytes at most, not {n} and {size}")
+        return self.ingest(samples, "batch_upload", **options)
+
     def ingest_zip(self, data: bytes, sensitive_type: str = "", risk_level: str = "", description: str = "") -> tuple[int | None, DataFrame]:
         """The members of one archive, of 100 MiB at most, as a batch."""
         rows = [(n, x, sensitive_type, risk_level, description) for n, x in extract.strict_members(data).items()]
         return self.ingest(self.spark.createDataFrame(rows, "file_name string, content binary, sensitive_type string, risk_level string, description string"), "zip_upload")
 
     def list_samples(self) -> DataFrame:
-        return self.table("samples").drop("text").orderBy(F.desc("uploaded_at"), "sensitive_file_id").limit(50)
+        return search.find_samples(self.table("samples"), limit=50)
 
     def find_samples(self, text: str | None = None, kind: str | None = None, risk: str | None = None) -> DataFrame:
-        """Name or text, type, and risk, each if given; the newest hundred."""
-        has = lambda c, x: F.contains(F.lower(c), F.lit(x.lower()))
-        out = self.table("samples")
-        out = out.where(has("file_name", text) | has("text", text)) if text else out
-        out = out.where(has("sensitive_type", kind)) if kind else out
-        out = out.where(F.col("risk_level") == risk) if risk else out
-        return out.drop("text").orderBy(F.desc("uploaded_at"), "sensitive_file_id").limit(100)
+        return search.find_samples(self.table("samples"), text, kind, risk)
 
     def lookup_hash(self, sha256: str) -> DataFrame:
         return search.lookup_hash(self.table("samples"), sha256, "sensitive_file_id")
@@ -153,30 +204,30 @@ class Store:
         return search.query_file(self.table("samples"), "sensitive_file_id", file_hash, file_name, file_path)
 
     def semantic_search(self, query: list[float], top: int = 5, min_score: float = 0.0) -> DataFrame:
-        """Features with a vector, and their samples' names where there are such."""
-        vectors = self.table("features").where((F.size("embedding") > 0) & (F.col("embedding_id") != "")).withColumn("vec_id", F.col("sensitive_file_id"))
-        best = search.semantic_search(vectors, query, top, min_score)
-        names = self.table("samples").select(F.col("sensitive_file_id").alias("vec_id"), "file_name", "sensitive_type", "risk_level")
-        return best.join(names, "vec_id", "left").orderBy(F.desc("score"), "vec_id")
+        snap = self.manifest()
+        return search.feature_search(self.table("features", snap), self.table("samples", snap), query, top, min_score)
 
     # rules
 
     def update_rule(self, rule_id: str, content: dict | None = None, **fields) -> int:
-        if self.table("rules").where(F.col("rule_id") == rule_id).isEmpty():
+        snap = self.manifest()
+        rules = self.table("rules", snap)
+        if rules.where(F.col("rule_id") == rule_id).isEmpty():
             raise KeyError(rule_id)
         if content is not None:
             fields["content"] = json.dumps(content, ensure_ascii=False)
-        version = self.version() + 1
-        return self.commit({"rules": library.update(self.table("rules"), rule_id, version, **fields)}, "rule_delete" if fields.get("deleted") else "rule_update", library_version=version)
+        version = snap["version"] + 1
+        return self.commit(snap, {"rules": library.update(rules, rule_id, version, **fields)}, "rule_delete" if fields.get("deleted") else "rule_update", library_version=version)
 
     def delete_rule(self, rule_id: str) -> int:
         return self.update_rule(rule_id, enabled=False, deleted=True)
 
     def sync(self, since: int = 0) -> dict:
-        """What a host at version `since` needs: live rules, deleted ids, fingerprints, features, the newest version."""
-        live, deleted, _ = library.sync(self.table("rules"), since)
-        newer = lambda name: self.table(name) if since == 0 else self.table(name).where(F.col("version") > since)
-        return {"version": self.version(), "full_sync": since == 0, "rules": live, "deleted": deleted, "fingerprints": newer("fingerprints"), "features": newer("features")}
+        """What a host at version `since` needs: live rules, deleted ids, fingerprints, features, the config, the newest version."""
+        snap = self.manifest()
+        live, deleted, _ = library.sync(self.table("rules", snap), since)
+        newer = lambda name: self.table(name, snap) if since == 0 else self.table(name, snap).where(F.col("version") > since)
+        return {"version": snap["version"], "full_sync": since == 0, "rules": live, "deleted": deleted, "fingerprints": newer("fingerprints"), "features": newer("features"), "config": snap["config"]}
 
     def sync_batch(self, requests: list[tuple[int, str]]) -> list[dict]:
         """One answer for each (version, type); the type comes back and filters nothing."""
@@ -188,32 +239,70 @@ class Store:
         """Stores a scan's results in one commit; a blank confidence is `unknown`, other nulls are empty."""
         if not host_id.strip():
             raise ValueError("host_id is empty")
-        n = results.count()
+        snap, n = self.manifest(), results.count()
         if n > MOST_RESULTS:
             raise ValueError(f"over {MOST_RESULTS} results")
         report_id = f"scan_{uuid.uuid4().hex}"
         blank = [c for c in ("file_path", "sensitive_type", "risk_level", "sensitive_file_id") if c in results.columns]
         rows = results.withColumns({c: F.coalesce(c, F.lit("")) for c in blank}).withColumns({"report_id": F.lit(report_id), "confidence_level": known(F.col("confidence_level")), "id": F.sha2(F.concat_ws("/", F.lit(report_id), "file_path", "file_hash"), 256)})
         head = self.spark.range(1).select(F.lit(report_id).alias("report_id"), F.lit(host_id).alias("host_id"), F.lit(scan_path).alias("scan_path"), F.lit(scanned_at).alias("scanned_at"), F.lit(n).alias("result_count"), F.current_timestamp().alias("created_at"))
-        self.commit({}, "report", {"results": rows, "reports": head})
+        self.commit(snap, {}, "report", {"results": rows, "reports": head})
         return report_id
 
     def list_results(self, host: str | None = None, level: str | None = None, sensitive: bool = False, limit: int = 200) -> DataFrame:
-        rows = self.table("results").where("sensitive") if sensitive else self.table("results")
-        return search.list_results(rows, self.table("reports"), host, level, limit)
+        snap = self.manifest()
+        rows = self.table("results", snap)
+        return search.list_results(rows.where("sensitive") if sensitive else rows, self.table("reports", snap), host, level, limit)
 
     # tags of a scanning host
 
     def tag(self, results: DataFrame) -> None:
-        now = F.current_timestamp()
-        self.commit({"tags": library.upsert_tags(self.table("tags"), results.withColumns({"first_detected_at": now, "last_detected_at": now}))}, "tags")
+        snap, now = self.manifest(), F.current_timestamp()
+        self.commit(snap, {"tags": library.upsert_tags(self.table("tags", snap), results.withColumns({"first_detected_at": now, "last_detected_at": now}))}, "tags")
 
     def list_tags(self, sensitive_only: bool = False) -> DataFrame:
-        tags = self.table("tags")
-        return tags.where("sensitive").orderBy(F.desc("match_score"), "file_path") if sensitive_only else tags.orderBy(F.desc("last_detected_at"), "file_path")
+        return library.list_tags(self.table("tags"), sensitive_only)
 
     def clear_tags(self) -> None:
-        self.commit({"tags": self.table("tags").where("false")}, "tags")
+        snap = self.manifest()
+        self.commit(snap, {"tags": self.table("tags", snap).where("false")}, "tags")
+
+
+def features(samples: DataFrame, embed=None, model: str = "", ask=None) -> DataFrame:
+    """(sensitive_file_id, semantic_labels, embedding_id, embedding, model_name, version) of samples; see Store.ingest()."""
+    told = generate.analyse(F.col("text"), F.col("sensitive_type"), F.col("risk_level"))
+    rows = samples.select("sensitive_file_id", "version", "text", "sensitive_type", "risk_level", told.alias("a"), F.substring("text", 1, 4000).alias("_sent"), generate.prompt(F.col("text"), F.col("sensitive_type"), F.col("risk_level")).alias("_prompt"))
+    rows = rows.withColumns({"_vector": F.lit(None).cast("array<double>"), "_reply": F.lit(None).cast("string")})
+    if embed or ask:
+        names = rows.columns
+        place = {n: i for i, n in enumerate(names)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sent, prompts = b.column(place["_sent"]).to_pylist(), b.column(place["_prompt"]).to_pylist()
+                vectors, replies = [None] * len(sent), [None] * len(prompts)
+                if embed:
+                    try:
+                        vectors = [None if v is None else [float(x) for x in v] for v in embed([x or "" for x in sent])]
+                    except Exception:  # noqa: BLE001  a service that fails leaves samples without vectors
+                        vectors = [None] * len(sent)
+                for i, p in enumerate(prompts if ask else []):
+                    try:
+                        replies[i] = ask(p)
+                    except Exception:  # noqa: BLE001  a service that fails leaves the rules' labels
+                        replies[i] = None
+                columns = b.columns
+                columns[place["_vector"]], columns[place["_reply"]] = pa.array(vectors, pa.list_(pa.float64())), pa.array(replies, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    reply = generate.parse_reply(F.col("_reply"), F.col("sensitive_type"), F.col("risk_level"))
+    rows = rows.withColumn("r", reply)
+    has = F.coalesce(F.size("_vector") > 0, F.lit(False))
+    return rows.select(
+        "sensitive_file_id", F.coalesce("r.semantic_labels", "a.semantic_labels").alias("semantic_labels"), F.when(has, generate.embedding_id(F.lit(model), F.col("text"))).otherwise("").alias("embedding_id"),
+        F.when(has, F.col("_vector")).alias("embedding"), F.when(F.col("r").isNotNull(), F.lit(model)).otherwise(F.col("a.model_name")).alias("model_name"), "version",
+    )
 
 
 def known(level: Column) -> Column:

@@ -1,6 +1,7 @@
 """The engine's queries over the standard tables, and the same in DuckDB's SQL."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed, hashing
 from ..functions.fixed import BUILTIN_RULES
 from ..operators import generate, library, match, scanning, search
+from ..operators.guard import guarded
 from ..sources import extract
 from ..streaming import events as ev
 
 STOPS = ["the", "and", "this", "that", "with", "for", "from", "have", "has"]
 TERMS = ["license", "token", "password"]
 KEYWORDS = ["the", "que", "der", "license"]
-COMBINED = [("keyword", ["token", "license", "under"], 1), ("regex", r'(?i)(api[_-]?key|password|passwd|secret|token)[\s:=\"]+[^\s\"]{6,}')]
+COMBINED = [("keyword", ["token", "license", "under"], 1), ("regex", fixed.TEMPLATES[3][3])]
 HINTS = {"secrets": ["token", "password"], "licenses": ["License", "license"]}
 
 
@@ -24,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def content_scan(spark, d):
-    docs = match.content_scan(read(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "id").withColumn("origin", F.lit("documents"))
+    docs = match.content_scan(scanning.spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id").withColumnRenamed("doc_id", "id").withColumn("origin", F.lit("documents"))
     pages = match.content_scan(read(spark, d, "pages").withColumnRenamed("html", "text"), "page_id").withColumnRenamed("page_id", "id").withColumn("origin", F.lit("pages"))
     return docs.unionByName(pages)
 
@@ -43,11 +45,12 @@ def content_sql() -> str:
 
 
 def regex_test(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.size(match.matches(F.col("text"), r"\b[A-Z][a-z]+\b")).alias("n_matches"))
+    test = match.regex_test(F.col("text"), r"\b[A-Z][a-z]+\b")
+    return read(spark, d, "conversations").select("conv_id", "turn", test.alias("t")).select("conv_id", "turn", F.col("t.count").alias("n_matches"), F.array_join("t.matches", ",").alias("matches"), "t.error")
 
 
 def simhash(spark, d):
-    return read(spark, d, "documents").select("doc_id", hashing.simhash("text").alias("simhash"))
+    return scanning.spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", hashing.simhash("text").alias("simhash"))
 
 
 SIMHASH_SQL = r"""
@@ -63,7 +66,7 @@ SELECT doc_id, lower(lpad(hex(coalesce(b, 0)), 16, '0')) AS simhash FROM documen
 
 
 def near_duplicates(spark, d):
-    own = simhash(spark, d).select("doc_id", hashing.simhash_bits(F.col("simhash")).alias("bits"))
+    own = match.materialise(simhash(spark, d).select("doc_id", hashing.simhash_bits(F.col("simhash")).alias("bits")))  # read three times
     return search.near_by_hamming(own, own.withColumnRenamed("doc_id", "sample_id"))
 
 
@@ -103,46 +106,26 @@ def semantic_labels(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(labels, "/").alias("labels"))
 
 
-def scan(spark, d):
-    samples = read(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), F.sha2("text", 256).alias("sha256"))
-    return match.scan(read(spark, d, "documents"), samples, [(KEYWORDS, 3)], [(COMBINED, "AND")], list(HINTS), HINTS)
-
-
-def scan_sql() -> str:
-    hit = lambda n, p: f"CASE WHEN len({'list_filter(' if n == 'bank_card' else ''}regexp_extract_all(t, '{p}'){f', lambda m: {LUHN})' if n == 'bank_card' else ''}) > 0 THEN 1 ELSE 0 END"
-    high = " + ".join(hit(n, p) for n, p, r in BUILTIN_RULES if r in ("high", "critical"))
-    other = " + ".join(hit(n, p) for n, p, r in BUILTIN_RULES if r not in ("high", "critical"))
-    count = lambda words: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words)
-    labels = " + ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in [*words, name]) + " THEN 1 ELSE 0 END" for name, words in HINTS.items())
-    both = f"CASE WHEN ({count(COMBINED[0][1])}) >= 1 AND regexp_matches(t, '{COMBINED[1][1]}') THEN 1 ELSE 0 END"
-    return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, sha256(text) AS sha256, sha256(text) IN (SELECT sha256(text) FROM benchmark WHERE text IS NOT NULL) AS hit FROM documents),
-s AS (SELECT doc_id, source, sha256, coalesce(hit, false) AS sha_hit, CAST(CASE WHEN hit THEN 100 ELSE least(100, 30 * ({high}) + 15 * ({other}) + 30 * (CASE WHEN ({count(KEYWORDS)}) >= 3 THEN 1 ELSE 0 END) + 50 * ({both}) + least(30, 20 * ({labels}))) END AS INT) AS score FROM d)
-SELECT *, CASE WHEN score >= 80 THEN 'sensitive' WHEN score >= 50 THEN 'suspected' WHEN score >= 30 THEN 'low_confidence' ELSE 'clean' END AS confidence_level,
-  CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'info' END AS risk_level FROM s"""
-
-
-def confidence_hist(spark, d):
-    return scan(spark, d).groupBy(F.col("source").alias("report_id"), "confidence_level").agg(F.count("*").alias("n_results"))
-
-
-def list_results(spark, d):
-    results = scan(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("report_id"), "score", "confidence_level")
-    reports = read(spark, d, "documents").groupBy(F.col("source").alias("report_id")).agg(F.max("doc_id").alias("created_at"), F.concat(F.lit("host-"), F.first("source")).alias("host_id"))
-    return search.list_results(results, reports, level="low_confidence", limit=5000)
+def keyword_extract(spark, d):
+    """Keywords of documents as samples: their source is the type, their language the description."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("sensitive_type"), F.col("lang").alias("description"))
+    return generate.keywords(docs, "doc_id", terms=TERMS, stop_words=STOPS).select("doc_id", "word", "score", "place")
 
 
-def keyword_extract(spark, d):
-    return library.keywords(read(spark, d, "documents"), "doc_id", STOPS, TERMS).select("doc_id", "word", "score", "place")
+def keyword_sql(kind: str) -> str:
+    """Words by place of (doc_id, t, k, ds), the text, type and description of d."""
+    stops, terms = (", ".join(f"'{x}'" for x in xs) for xs in (STOPS, TERMS))
+    held = lambda c, n: f"CASE WHEN contains(lower({c}), lower(x)) THEN {n} ELSE 0 END"
+    whole = "t || ' ' || k || ' ' || ds"
+    return rf"""d AS (SELECT doc_id, coalesce(text, '') AS t, {kind} AS k, coalesce(lang, '') AS ds, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'medium' END AS risk FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all({whole}, '[\p{{L}}\p{{Nd}}]+')) AS word FROM d),
+own AS (SELECT doc_id, word, count(*) AS s FROM w WHERE length(word) BETWEEN 2 AND 32 AND NOT regexp_full_match(word, '\p{{Nd}}+') AND lower(word) NOT IN ({stops}) GROUP BY ALL),
+held AS (SELECT doc_id, x AS word, {held(whole, 80)} + {held("k", 30)} + {held("ds", 40)} AS s FROM d, (SELECT unnest([{terms}]) AS x)),
+b AS (SELECT doc_id, word, CAST(sum(s) AS BIGINT) AS score FROM (SELECT * FROM own UNION ALL SELECT * FROM held WHERE s > 0) GROUP BY ALL),
+placed AS (SELECT doc_id, word, score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS INT) AS place FROM b)"""
 
 
-KEYWORD_SQL = rf"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+')) AS word FROM documents),
-own AS (SELECT doc_id, word, count(*) AS s FROM w WHERE length(word) BETWEEN 2 AND 32 AND NOT regexp_full_match(word, '\p{{Nd}}+') AND lower(word) NOT IN ({", ".join(f"'{x}'" for x in STOPS)}) GROUP BY ALL),
-held AS (SELECT doc_id, t AS word, 80 AS s FROM documents, (SELECT unnest([{", ".join(f"'{x}'" for x in TERMS)}]) AS t) WHERE contains(text, t)),
-b AS (SELECT doc_id, word, CAST(sum(s) AS BIGINT) AS score FROM (SELECT * FROM own UNION ALL SELECT * FROM held) GROUP BY ALL)
-SELECT doc_id, word, score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS place FROM b) WHERE place <= 12
-"""
+KEYWORD_SQL = f"""WITH {keyword_sql("coalesce(source, '')")} SELECT doc_id, word, score, place FROM placed WHERE place <= 12"""
 RULES = [(f"builtin_{n}", "regex", n, r, "builtin", 0, n != "domain", False) for n, _, r in BUILTIN_RULES] + [(f"rule_{i}", "keyword", "x", "medium", "sample", i, i % 3 > 0, i % 5 == 0) for i in range(1, 11)]
 
 
@@ -179,12 +162,88 @@ def semantic_search_all(spark, d):
     return search.semantic_search_all(v, v.where("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))
 
 
+def as_samples(spark, d):
+    """Documents as stored samples: ids and dates by doc_id, names by source."""
+    return read(spark, d, "documents").select(
+        F.col("doc_id").alias("sensitive_file_id"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("file_name"), F.sha2("text", 256).alias("sha256"), "text", F.col("lang").alias("sensitive_type"),
+        F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("risk_level"), F.floor(F.col("doc_id") / 10).alias("uploaded_at"),
+    )
+
+
+SAMPLES_SQL = "SELECT doc_id AS sensitive_file_id, source || '-' || doc_id || '.TXT' AS file_name, sha256(text) AS sha256, text, lang AS sensitive_type, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS risk_level, CAST(floor(doc_id / 10) AS BIGINT) AS uploaded_at FROM documents"
+
+
 def list_samples(spark, d):
-    return search.find_samples(read(spark, d, "documents"), limit=50).select("doc_id", "source")
+    return search.find_samples(as_samples(spark, d), limit=50)
 
 
 def find_samples(spark, d):
-    return search.find_samples(read(spark, d, "documents"), "LICENSED under", "src1").select("doc_id", "source")
+    return search.find_samples(as_samples(spark, d), "LICENSED under", "E", "low")
+
+
+def lookup_hash(spark, d):
+    """The sample with the content of the smallest document, and none for a hash of nothing."""
+    docs = as_samples(spark, d)
+    known = docs.where("sha256 IS NOT NULL").agg(F.min_by("sha256", "sensitive_file_id")).first()[0] or ""
+    hit = search.lookup_hash(docs, known, "sensitive_file_id").unionByName(search.lookup_hash(docs, "0" * 64, "sensitive_file_id"))
+    return hit.select("sensitive_file_id", "file_name", "sha256")
+
+
+def list_tags(spark, d):
+    """Documents as tags, of which the sensitive ones are listed."""
+    tags = read(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), (F.col("doc_id") % 7).cast("int").alias("match_score"), (F.col("doc_id") % 3 == 0).alias("sensitive"))
+    return library.list_tags(tags, True)
+
+
+def rule_seed(spark, d):
+    """Builtin rules, of which one was edited and two are missing, after seeding; and again, which changes nothing."""
+    builtin = spark.createDataFrame([r for r in RULES if r[4] == "builtin"], library.RULE)
+    held = builtin.where("rule_id NOT IN ('builtin_email', 'builtin_domain')").withColumn("risk_level", F.when(F.col("rule_id") == "builtin_passport", "low").otherwise(F.col("risk_level")))
+    return library.seed(library.seed(held, builtin), builtin).select("rule_id", "risk_level", "enabled")
+
+
+NAMES = ("a/b.txt", "", "/abs", "../up", "a/../../b", "a/../b", "..\\w", ".")
+RISKS = (" HIGH ", "low", "odd", "", "Critical", "info", "MEDIUM", "none")
+
+
+def upload_check(spark, d):
+    """Why files of these names and sizes may not be uploaded, and their risk levels brought to form; documents give the turns and sizes."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % 8).cast("int"))
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    return docs.select("doc_id", extract.upload_error(of(NAMES), F.col("size"), 3000).alias("reason"), library.normal_risk(of(RISKS)).alias("risk_level"))
+
+
+def template_rules(spark, d):
+    """The five templates over documents whose type or description names a trigger of one of them."""
+    kinds = F.array(*[F.lit(t[5][0]) for t in fixed.TEMPLATES], F.lit("other"))
+    docs = read(spark, d, "documents").select("doc_id", "text", F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("sensitive_type"), F.lit("low").alias("risk_level"), F.when(F.col("doc_id") % 4 == 0, "不得披露").alias("description"))
+    return generate.rules(docs, "doc_id").where("rule_type = 'combined'").select("doc_id", "place", "rule_name", "sensitive_type", "risk_level", F.sha2("content", 256).alias("content_sha256"))
+
+
+def template_sql() -> str:
+    kinds = "[" + ", ".join(f"'{t[5][0]}'" for t in fixed.TEMPLATES) + ", 'other']"
+    parts = []
+    for i, (n, words, least, pattern, r, triggers) in enumerate(fixed.TEMPLATES):
+        content = json.dumps({"logic": "AND", "conditions": [{"type": "keyword", "value": list(words), "min_hits": least}, {"type": "regex", "value": pattern}]}, ensure_ascii=False).replace("'", "''")
+        seen = " OR ".join(f"contains({c}, '{w}')" for w in triggers for c in ("t", "ds", "k"))
+        parts.append(f"SELECT doc_id, {len(BUILTIN_RULES) + 1 + i} AS place, '{n}' AS rule_name, k AS sensitive_type, '{r}' AS risk_level, sha256('{content}') AS content_sha256 FROM d WHERE {seen}")
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {kinds}[CAST(doc_id % 6 AS INT) + 1] AS k, CASE WHEN doc_id % 4 = 0 THEN '不得披露' ELSE '' END AS ds FROM documents) " + " UNION ALL ".join(parts)
+
+
+def feature_search(spark, d):
+    """A store's search: features without a vector or an id are left out, and samples lend their names."""
+    v = read(spark, d, "embeddings")
+    q = v.orderBy("vec_id").first()
+    features = v.select(F.col("vec_id").alias("sensitive_file_id"), F.when(F.col("vec_id") % 5 != 1, F.col("embedding")).alias("embedding"), F.when(F.col("vec_id") % 7 != 2, F.concat(F.lit("emb_"), F.col("vec_id").cast("string"))).otherwise("").alias("embedding_id"))
+    return search.feature_search(features, as_samples(spark, d), q["embedding"] if q else [1.0], 10, 0.1).withColumn("score", F.round("score", 6))
+
+
+def file_labels(spark, d):
+    """Labels that documents hold, the samples that bear them and the first of these."""
+    held = match.label_hits(F.coalesce("text", F.lit("")), list(HINTS), HINTS)
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), held.alias("labels_held"))
+    hits = scanning.label_matches(docs, spark.createDataFrame(LABELLED, "sensitive_file_id string, semantic_labels array<string>, embedding_id string"))
+    return hits.select("path", F.inline("label_hits"))
 
 
 def event_merge(spark, d):
@@ -206,6 +265,55 @@ def event_filter(spark, d):
     return ev.lower_false_positives(kept, spark.createDataFrame([(1, "click", "known")], "user_id long, event_type string, reason string"), ["user_id", "event_type"])
 
 
+def agent_events(spark, d):
+    """Events with the fields that an agent sends, made from the table's; each tenth is sent twice."""
+    e = read(spark, d, "events")
+    made = e.select(
+        "event_id", "ts", "user_id", "value", "event_type", F.concat(F.lit("host-"), (F.col("user_id") % 5).cast("string")).alias("host_id"), F.concat(F.lit("app"), (F.col("event_id") % 3).cast("string")).alias("process_name"),
+        F.concat(F.lit("C:\\dir\\f"), (F.col("event_id") % 20).cast("string"), F.lit(".XLSX")).alias("file_path"), F.sha2((F.col("event_id") % 20).cast("string"), 256).alias("file_hash"), F.col("event_type").alias("operation"),
+        F.when(F.col("event_id") % 4 == 0, "high").otherwise("low").alias("risk_level"),
+    )
+    return made.unionByName(made.where("event_id % 10 = 0"))
+
+
+def event_alerts(spark, d):
+    """The pipeline: each event once, none of a white-listed program or hour, alike ones merged, known false positives lowered."""
+    e = ev.once(agent_events(spark, d))
+    e = ev.allow(e, spark.createDataFrame([("app2",)], "process_name string"), ["process_name"])
+    e = ev.allow_hours(e, spark.createDataFrame([(None, 22, 2), (3, 9, 12)], "user_id long, from_hour int, to_hour int"))
+    a = ev.alerts(e, "1 hour").withColumnRenamed("risk_level", "level")
+    known = spark.createDataFrame([("host-1", "view", "b"), ("host-1", "view", "a"), ("host-2", "click", "c")], "host_id string, operation string, reason string")
+    out = ev.lower_false_positives(a, known, ["host_id", "operation"])
+    return out.withColumn("files", F.array_join(F.transform("files", lambda f: f.file_path), ","))
+
+
+EVENT_ALERTS_SQL = r"""
+WITH e AS (SELECT event_id, ts, user_id, 'host-' || (user_id % 5) AS host_id, 'app' || (event_id % 3) AS process_name, 'C:\dir\f' || (event_id % 20) || '.XLSX' AS file_path, event_type AS operation, event_id % 4 = 0 AS grave FROM events),
+k AS (SELECT * FROM e WHERE process_name != 'app2' AND NOT (hour(ts) >= 22 OR hour(ts) < 2) AND NOT (user_id = 3 AND hour(ts) >= 9 AND hour(ts) < 12)),
+a AS (SELECT min(event_id) AS event_id, user_id, host_id, process_name, 'xlsx' AS file_type, operation, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n_events, count(DISTINCT file_path) AS file_count,
+  array_to_string(list_sort(list_distinct(list(file_path))), ',') AS files, min(ts) AS first_ts, max(ts) AS last_ts, bool_or(grave) AS grave FROM k GROUP BY user_id, host_id, process_name, operation, time_bucket(INTERVAL '1 hour', ts)),
+r AS (SELECT *, CASE WHEN grave THEN 'high' ELSE 'low' END AS was, CASE WHEN host_id = 'host-1' AND operation = 'view' THEN 'a' WHEN host_id = 'host-2' AND operation = 'click' THEN 'c' END AS reason FROM a)
+SELECT event_id, user_id, host_id, process_name, file_type, operation, window_start, n_events > 1 AS is_merge_event, n_events, file_count, files, first_ts, last_ts, CASE WHEN reason IS NULL THEN was ELSE 'info' END AS level, reason, CASE WHEN reason IS NOT NULL THEN was END AS old_level FROM r
+""".replace("\\\\", "\\")
+
+
+def event_ranking(spark, d):
+    return ev.ranking(read(spark, d, "events"), "user_id")
+
+
+def group_compare(spark, d):
+    """Departments by user: a third of the users each, and some users without one."""
+    e = read(spark, d, "events")
+    groups = e.select("user_id").distinct().where("user_id % 10 != 9").withColumn("department", F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")))
+    return ev.compare(e, groups, "user_id", "department")
+
+
+def guarded_sql(spark, d):
+    """A user's SELECT over the events that they may see, with masked ids."""
+    sql = "SELECT user_id, count(*) AS n_events FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 20"
+    return guarded(spark, sql, {"events": read(spark, d, "events").select("user_id", "event_type", "value")}, masked=("value",), where={"events": "user_id % 2 = 0"})
+
+
 def zip_scan(spark, d):
     """Pages as members of archives, extracted and scanned."""
 
@@ -226,6 +334,10 @@ def zip_scan(spark, d):
     return match.content_scan(extract.texts(files), "path")
 
 
+def zip_sql() -> str:
+    return "SELECT id || '.zip!page.html' AS path, rule_name, risk_level, match_count FROM (" + content_sql() + ") WHERE origin = 'pages'"
+
+
 LABELLED = [("s1", ["secrets", "licenses"], "e1"), ("s0", ["licenses"], "e0")]
 SCAN_RULES = [
     *({"rule_id": f"builtin_{n}", "rule_type": "regex", "sensitive_type": n, "risk_level": r, "content": {"name": n, "pattern": p}} for n, p, r in BUILTIN_RULES),
@@ -266,13 +378,31 @@ SELECT CAST(doc_id AS VARCHAR) AS path, file_hash, n >= 80 AS sensitive, CASE WH
   CASE WHEN n >= 80 THEN 'sensitive' WHEN n >= 50 THEN 'suspected' WHEN n >= 30 THEN 'low_confidence' ELSE 'clean' END AS confidence_level FROM s"""
 
 
+def reported(spark, d):
+    """The scan's results as those of seven reports, dealt by document."""
+    report = F.concat(F.lit("r"), (F.col("path").cast("long") % 7).cast("string"))
+    return library_scan(spark, d).select(F.col("path").cast("long").alias("id"), report.alias("report_id"), F.col("match_score").alias("score"), "confidence_level")
+
+
+REPORTED_SQL = f"SELECT CAST(path AS BIGINT) AS id, 'r' || (CAST(path AS BIGINT) % 7) AS report_id, match_score AS score, confidence_level FROM ({library_scan_sql()})"
+
+
+def confidence_hist(spark, d):
+    return search.confidence_hist(reported(spark, d))
+
+
+def list_results(spark, d):
+    reports = spark.createDataFrame([(f"r{i}", f"host-{i % 2}", 100 - i) for i in range(7)], "report_id string, host_id string, created_at long")
+    return search.list_results(reported(spark, d), reports, host="host-0", level="low_confidence", limit=5000)
+
+
 def scan_summary(spark, d):
-    return scanning.summary(scan(spark, d))
+    return scanning.summary(library_scan(spark, d))
 
 
 def rule_generate(spark, d):
     """Rules from documents as samples: their source is the type, their language the description."""
-    docs = read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("sensitive_type"), F.when(F.col("doc_id") % 2 == 0, "low").otherwise("").alias("risk_level"), F.col("lang").alias("description"))
+    docs = scanning.spread(read(spark, d, "documents")).select("doc_id", "text", F.col("source").alias("sensitive_type"), F.when(F.col("doc_id") % 2 == 0, "low").otherwise("").alias("risk_level"), F.col("lang").alias("description"))
     made = generate.rules(docs, "doc_id", terms=TERMS, stop_words=STOPS, templates=TEMPLATES_HERE)
     words = F.array_join(F.from_json("content", "keywords array<string>").keywords, ",")
     return made.select("doc_id", "place", "rule_name", "rule_type", "sensitive_type", "risk_level", F.when(F.col("rule_type") == "keyword", words).alias("words"))
@@ -280,7 +410,6 @@ def rule_generate(spark, d):
 
 def rule_generate_sql() -> str:
     k = "coalesce(nullif(source, ''), '{}')".format(fixed.UNCLASSIFIED)
-    d = f"SELECT doc_id, coalesce(text, '') AS t, {k} AS k, coalesce(lang, '') AS ds, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'medium' END AS risk FROM documents"
     order = "['info', 'low', 'medium', 'high', 'critical']"
     higher = lambda r: f"CASE WHEN list_position({order}, '{r}') > list_position({order}, risk) THEN '{r}' ELSE risk END"
     rx = lambda n, p: f"len(list_filter(regexp_extract_all(t, '{p}'), lambda m: {LUHN})) > 0" if n == "bank_card" else f"regexp_matches(t, '{p}')"
@@ -288,17 +417,10 @@ def rule_generate_sql() -> str:
     for i, (n, _, _, _, r, triggers) in enumerate(TEMPLATES_HERE):
         seen = " OR ".join(f"contains({c}, '{w}')" for w in triggers for c in ("t", "ds", "k"))
         parts.append(f"SELECT doc_id, {len(BUILTIN_RULES) + 1 + i}, '{n}', 'combined', k, {higher(r)}, NULL FROM d WHERE {seen}")
-    parts.append(f"SELECT doc_id, {len(BUILTIN_RULES)}, k || '关键词识别', 'keyword', k, risk, words FROM d JOIN best USING (doc_id)")
-    stops, terms = (", ".join(f"'{x}'" for x in xs) for xs in (STOPS, TERMS))
-    held = lambda c, n: f"CASE WHEN contains(lower({c}), lower(x)) THEN {n} ELSE 0 END"
-    whole = "t || ' ' || k || ' ' || ds"
-    return rf"""
-WITH d AS ({d}),
-w AS (SELECT doc_id, unnest(regexp_extract_all({whole}, '[\p{{L}}\p{{Nd}}]+')) AS word FROM d),
-own AS (SELECT doc_id, word, count(*) AS s FROM w WHERE length(word) BETWEEN 2 AND 32 AND NOT regexp_full_match(word, '\p{{Nd}}+') AND lower(word) NOT IN ({stops}) GROUP BY ALL),
-held AS (SELECT doc_id, x AS word, {held(whole, 80)} + {held("k", 30)} + {held("ds", 40)} AS s FROM d, (SELECT unnest([{terms}]) AS x)),
-b AS (SELECT doc_id, word, sum(s) AS s FROM (SELECT * FROM own UNION ALL SELECT * FROM held WHERE s > 0) GROUP BY ALL),
-best AS (SELECT doc_id, string_agg(word, ',' ORDER BY p) AS words FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, word) AS p FROM b) WHERE p <= 12 GROUP BY doc_id)
+    parts.append(f"SELECT doc_id, {len(BUILTIN_RULES)}, k || '{fixed.KEYWORD_RULE}', 'keyword', k, risk, words FROM d JOIN best USING (doc_id)")
+    return f"""
+WITH {keyword_sql(k)},
+best AS (SELECT doc_id, string_agg(word, ',' ORDER BY place) AS words FROM placed WHERE place <= 12 GROUP BY doc_id)
 {" UNION ALL ".join(parts)}"""
 
 
@@ -312,8 +434,8 @@ def label_analysis(spark, d):
 
 def query_file(spark, d):
     """Three lookups: by hash, by a part of a name, by a path; the documents' sources serve as names."""
-    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("file_name"), F.col("lang").alias("sensitive_type"), F.lit("low").alias("risk_level"))
-    one = lambda n, **q: search.query_file(docs, "doc_id", **q).withColumn("n", F.lit(n))
+    docs = as_samples(spark, d).withColumn("risk_level", F.lit("low"))
+    one = lambda n, **q: search.query_file(docs, "sensitive_file_id", **q).withColumn("n", F.lit(n))
     return one(1, file_hash="0" * 64).unionByName(one(2, file_name="-7.txt")).unionByName(one(3, file_path="/a/b/-12.txt"))
 
 
@@ -335,13 +457,20 @@ def rule_apply(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, scan, confidence_hist, list_results, keyword_extract, rule_sync, rule_delete, tag_upsert, semantic_search, semantic_search_all, list_samples, find_samples, event_merge, top_users, trend, event_filter, zip_scan, library_scan, scan_summary, rule_generate, label_analysis, query_file, embedding_ids, clean_text, rule_apply)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
+        rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
+        event_merge, event_alerts, event_filter, event_ranking, group_compare, top_users, trend, guarded_sql, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
+    )
+}
 
 _hits = "list_filter([" + ", ".join(f"'{w}'" for w in KEYWORDS) + "], lambda w: contains(text, w))"
 _cond = "(" + " OR ".join(f"contains(coalesce(text, ''), '{w}')" for w in COMBINED[0][1]) + ")", f"regexp_matches(coalesce(text, ''), '{COMBINED[1][1]}')"
 ORACLES = {
     "content_scan": content_sql(),
-    "regex_test": r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\b[A-Z][a-z]+\b')) AS INT) AS n_matches FROM conversations",
+    "regex_test": r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\b[A-Z][a-z]+\b')) AS INT) AS n_matches, array_to_string(regexp_extract_all(text, '\b[A-Z][a-z]+\b'), ',') AS matches, CAST(NULL AS VARCHAR) AS error FROM conversations",
     "simhash": SIMHASH_SQL,
     "near_duplicates": NEAR_SQL,
     "sha_match": "SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS sample_id FROM documents WHERE text IS NOT NULL",
@@ -350,25 +479,36 @@ ORACLES = {
     "keyword_match": f"SELECT doc_id, CAST(len({_hits}) AS INT) AS n_hits, array_to_string({_hits}, ',') AS hits FROM documents WHERE len({_hits}) >= 2",
     "combined_match": f"SELECT doc_id, {_cond[0]} AND {_cond[1]} AS \"both\", {_cond[0]} OR {_cond[1]} AS either FROM documents",
     "semantic_labels": "SELECT doc_id, concat_ws('/', CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') OR contains(lower(text), 'secrets') THEN 'secrets' END, CASE WHEN contains(lower(text), 'license') THEN 'licenses' END, CASE WHEN contains(lower(text), 'cc-by') OR contains(lower(text), 'code') THEN 'code' END) AS labels FROM documents",
-    "scan": scan_sql(),
-    "confidence_hist": f"SELECT source AS report_id, confidence_level, count(*) AS n_results FROM ({scan_sql()}) GROUP BY ALL",
-    "list_results": f"SELECT r.id, r.report_id, score, confidence_level, host_id, created_at FROM (SELECT doc_id AS id, source AS report_id, score, confidence_level FROM ({scan_sql()})) r JOIN (SELECT source AS report_id, max(doc_id) AS created_at, 'host-' || source AS host_id FROM documents GROUP BY source) p USING (report_id) WHERE confidence_level != 'clean' ORDER BY created_at DESC, id LIMIT 200",
+    "confidence_hist": f"SELECT report_id, confidence_level, count(*) AS n_results FROM ({REPORTED_SQL}) GROUP BY ALL",
+    "list_results": f"SELECT id, report_id, score, confidence_level, 'host-0' AS host_id, 100 - CAST(substr(report_id, 2) AS BIGINT) AS created_at FROM ({REPORTED_SQL}) WHERE confidence_level != 'clean' AND CAST(substr(report_id, 2) AS INT) % 2 = 0 ORDER BY created_at DESC, id LIMIT 200",
     "keyword_extract": KEYWORD_SQL,
     "rule_sync": f"SELECT rule_id, CASE WHEN enabled AND NOT deleted THEN 'live' ELSE 'deleted' END AS state, (SELECT max(version) FROM {rules_values()}) AS version FROM {rules_values()} WHERE (source = 'builtin' OR version > 4) AND ((enabled AND NOT deleted) OR version > 4)",
     "rule_delete": "SELECT rule_id, CASE rule_id WHEN 'rule_4' THEN 11 WHEN 'rule_5' THEN 12 ELSE version END AS version, CASE rule_id WHEN 'rule_4' THEN false WHEN 'rule_5' THEN true ELSE enabled END AS enabled, CASE rule_id WHEN 'rule_4' THEN true WHEN 'rule_5' THEN false ELSE deleted END AS deleted, CASE rule_id WHEN 'rule_5' THEN 'high' ELSE risk_level END AS risk_level FROM (VALUES "
     + ", ".join(f"('{r[0]}', '{r[3]}', {r[5]}, {r[6]}, {r[7]})" for r in RULES)
     + ") AS r(rule_id, risk_level, version, enabled, deleted)",
     "tag_upsert": "SELECT source AS file_path, sha256(text) AS file_hash, min(doc_id) AS first_detected_at, max(doc_id) + 100 AS last_detected_at, 20 AS match_score FROM documents GROUP BY ALL",
-    "semantic_search": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY round(score, 6) DESC, vec_id LIMIT 5",
+    "semantic_search": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 5",
     "semantic_search_all": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) <= 5",
-    "list_samples": "SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 50",
-    "find_samples": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed under') AND contains(lower(source), 'src1') ORDER BY doc_id DESC LIMIT 100",
+    "list_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 50",
+    "find_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) WHERE (contains(lower(text), 'licensed under') OR contains(lower(file_name), 'licensed under')) AND contains(lower(sensitive_type), 'e') AND risk_level = 'low' ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 100",
+    "lookup_hash": f"WITH s AS ({SAMPLES_SQL}) SELECT sensitive_file_id, file_name, sha256 FROM s WHERE sha256 = (SELECT arg_min(sha256, sensitive_file_id) FROM s WHERE sha256 IS NOT NULL) ORDER BY sensitive_file_id LIMIT 1",
+    "list_tags": "SELECT source || '/' || doc_id AS file_path, CAST(doc_id % 7 AS INT) AS match_score, true AS sensitive FROM documents WHERE doc_id % 3 = 0",
+    "rule_seed": f"SELECT rule_id, CASE rule_id WHEN 'builtin_passport' THEN 'low' ELSE risk_level END AS risk_level, enabled FROM (VALUES {', '.join(f"('{r[0]}', '{r[3]}', {r[6]})" for r in RULES if r[4] == 'builtin')}) AS r(rule_id, risk_level, enabled)",
+    "upload_check": "SELECT doc_id, CASE WHEN doc_id % 8 IN (1, 2, 3, 4, 6, 7) THEN 'bad_name' WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) > 3000 THEN 'too_large' END AS reason, CASE doc_id % 8 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 4 THEN 'critical' WHEN 5 THEN 'info' ELSE 'medium' END AS risk_level FROM documents",
+    "template_rules": template_sql(),
+    "feature_search": f"WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q WHERE vec_id % 5 != 1 AND vec_id % 7 != 2), t AS (SELECT vec_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 6) AS score, file_name, sensitive_type, risk_level FROM t LEFT JOIN ({SAMPLES_SQL}) ON sensitive_file_id = vec_id",
+    "file_labels": "WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, contains(t, 'token') OR contains(t, 'password') OR contains(t, 'secrets') AS s, contains(t, 'License') OR contains(t, 'license') OR contains(t, 'licenses') AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)) SELECT path, 's1' AS sensitive_file_id, 'secrets' AS semantic_label, CAST(1 AS BIGINT) AS n_samples FROM l WHERE s UNION ALL SELECT path, 's0', 'licenses', 2 FROM l WHERE l",
+    "event_alerts": EVENT_ALERTS_SQL,
+    "event_ranking": "SELECT user_id, n_events, CAST(rank() OVER (ORDER BY n_events DESC) AS INT) AS place FROM (SELECT user_id, count(*) AS n_events FROM events GROUP BY user_id)",
+    "group_compare": "WITH g AS (SELECT DISTINCT user_id, 'd' || (user_id % 3) AS department FROM events WHERE user_id % 10 != 9), m AS (SELECT department, count(*) AS n_members FROM g GROUP BY ALL) SELECT department, event_type, n_events, n_members, round(n_events / n_members, 6) AS per_member FROM (SELECT department, event_type, count(*) AS n_events FROM events LEFT JOIN g USING (user_id) GROUP BY ALL) LEFT JOIN m USING (department)",
+    "guarded_sql": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0 GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 20",
+    "zip_scan": zip_sql(),
     "event_merge": "SELECT user_id, event_type, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "top_users": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type = 'click' GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 10",
     "trend": "SELECT day, event_type, n AS n_events, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
     "event_filter": "SELECT user_id, event_type, event_id, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'info' ELSE 'high' END AS level, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'known' END AS reason, CASE WHEN user_id = 1 AND event_type = 'click' THEN 'high' END AS old_level FROM events WHERE event_type != 'view'",
     "library_scan": library_scan_sql(),
-    "scan_summary": f"SELECT count(*) AS total, count(*) FILTER (confidence_level = 'sensitive') AS sensitive, count(*) FILTER (confidence_level = 'suspected') AS suspected, count(*) FILTER (confidence_level = 'low_confidence') AS low_confidence FROM ({scan_sql()})",
+    "scan_summary": f"SELECT count(*) AS total, count(*) FILTER (confidence_level = 'sensitive') AS sensitive, count(*) FILTER (confidence_level = 'suspected') AS suspected, count(*) FILTER (confidence_level = 'low_confidence') AS low_confidence FROM ({library_scan_sql()})",
     "rule_generate": rule_generate_sql(),
     "label_analysis": f"SELECT doc_id, CASE WHEN l = '' THEN '{fixed.UNCLASSIFIED}' ELSE l END AS labels, CASE WHEN l = '' THEN '{fixed.UNCLASSIFIED}' ELSE l END AS sensitive_type, CASE WHEN contains(l, '运维账号') THEN 'high' WHEN l != '' THEN 'medium' ELSE 'low' END AS risk_level, 'rule-fallback' AS model_name FROM (SELECT doc_id, concat_ws('/', CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') THEN '运维账号' END, CASE WHEN contains(lower(text), 'license') THEN '保密协议' END) AS l FROM documents)",
     "query_file": """WITH d AS (SELECT doc_id, sha256(text) AS sha256, source || '-' || doc_id || '.TXT' AS file_name, lang AS sensitive_type FROM documents),

@@ -3,7 +3,9 @@
 import io
 import posixpath
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import UNSUPPORTED
 
+#: What broken, encrypted or odd archives and office files raise.
+ERRORS = (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, EOFError, LookupError, ValueError, TypeError, OverflowError, struct.error, ElementTree.ParseError)
 MAX_DEPTH, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 2, 200, 50 << 20, 100 << 20
 
 
@@ -21,30 +25,44 @@ def is_safe_member(name: str) -> bool:
     return not n.startswith("/") and ".." not in n.split("/")
 
 
-def members(path: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """(outer!inner, bytes) of an archive, nested ones included; a broken archive gives what was read before."""
+def members(path: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes, str | None]]:
+    """(outer!inner, bytes, error) of an archive, nested ones included. A member that can't be read is a row with the error, and so is a broken archive; the others go on."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            total = read = 0
-            for info in z.infolist():
-                if info.is_dir():
-                    continue
-                if read >= MAX_ENTRIES:
-                    return
-                if not is_safe_member(info.filename) or info.file_size > MAX_ENTRY:
-                    continue
-                total += info.file_size
-                if total > MAX_TOTAL:
-                    return
-                read += 1  # entries that are skipped above don't count
-                inner = z.read(info)
-                if info.filename.lower().endswith(".zip"):
-                    if depth + 1 < MAX_DEPTH:
-                        yield from members(f"{path}!{info.filename}", inner, depth + 1)
-                else:
-                    yield f"{path}!{info.filename}", inner
-    except (zipfile.BadZipFile, OSError, RuntimeError):
+        z = zipfile.ZipFile(io.BytesIO(data))
+        infos = z.infolist()
+    except ERRORS as e:
+        yield path, b"", told(e)
         return
+    with z:
+        total = read = 0
+        for info in infos:
+            if info.is_dir():
+                continue
+            if read >= MAX_ENTRIES:
+                return
+            if not is_safe_member(info.filename) or info.file_size > MAX_ENTRY:
+                continue
+            total += info.file_size
+            if total > MAX_TOTAL:
+                return
+            read += 1  # entries that are skipped above don't count
+            name = f"{path}!{info.filename}"
+            try:
+                with z.open(info) as f:
+                    inner = f.read(MAX_ENTRY + 1)
+            except ERRORS as e:
+                yield name, b"", told(e)
+                continue
+            if len(inner) > MAX_ENTRY:
+                continue
+            if not info.filename.lower().endswith(".zip"):
+                yield name, inner, None
+            elif depth + 1 < MAX_DEPTH:
+                yield from members(name, inner, depth + 1)
+
+
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:300]
 
 
 def decode(data: bytes) -> str:
@@ -104,22 +122,96 @@ def pdf_visible(data: bytes) -> str:
     return " ".join(re.findall(r"[\x20-\x7e一-鿿]{3,}", data.decode("utf-8", "replace")))
 
 
-def extract(path: str, data: bytes) -> tuple[str, str | None]:
-    """(text, reason why there is none)."""
+STREAM = re.compile(rb"(<<(?:(?!<<|stream).|<<(?:(?!>>).)*>>)*>>)\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z*'\"])(?:Tj|TJ|T\*|Td|TD|Tm|ET|['\"])(?![A-Za-z])", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_text(name: str, data: bytes) -> str:
+    """The text layer of a PDF: strings shown in its plain or deflated content streams, with the maps to Unicode that it holds.
+
+    An encrypted file, or one that is no PDF, raises ValueError; a file of pictures only has an empty text.
+    """
+    if not data.lstrip()[:5] == b"%PDF-":
+        raise ValueError("no PDF")
+    if b"/Encrypt" in data:
+        raise ValueError("encrypted PDF")
+    bodies = []
+    for head, raw in STREAM.findall(data):
+        if b"/Image" in head or b"/FontFile" in head:
+            continue
+        if b"FlateDecode" in head:
+            raw = zlib.decompressobj().decompress(raw, MAX_ENTRY)
+        elif b"/Filter" in head:
+            continue
+        bodies.append(raw)
+    names: dict[int, str] = {}
+    for body in bodies:
+        if b"beginbf" in body:
+            names |= unicode_map(body)
+    lines = ["".join(line) for body in bodies if b"BT" in body and b"beginbf" not in body for line in pdf_lines(body, names)]
+    return "\n".join(x.strip() for x in lines if x.strip())
+
+
+def unicode_map(body: bytes) -> dict[int, str]:
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
+        out |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", body, re.S):
+        for a, z, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            for i in range(min(int(z, 16) - int(a, 16) + 1, 1 << 16)):
+                out[int(a, 16) + i] = chr(min(int(to, 16) + i, 0x10FFFF))
+    return out
+
+
+def pdf_lines(body: bytes, names: dict[int, str]) -> Iterator[list[str]]:
+    """The strings shown, by line; a move of the text position or the end of a text object ends a line."""
+    line: list[str] = []
+    held: list[str] = []
+    for m in SHOWN.finditer(body):
+        x = m[0]
+        if x[:1] == b"(":
+            raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() and e[1][:1] < b"8" else b"" if e[1].strip() == b"" else ESCAPES.get(e[1], e[1]), x[1:-1], flags=re.S)
+            held.append(raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace"))
+        elif x[:1] == b"<":
+            digits = b"".join(x[1:-1].split())
+            codes = [int(digits[i : i + 4], 16) for i in range(0, len(digits) - 3, 4)]
+            held.append("".join(names.get(c, chr(c) if 31 < c < 0xD800 else "") for c in codes) if names else bytes.fromhex((digits + b"0")[: len(digits) + len(digits) % 2].decode()).decode("cp1252", "replace"))
+        elif x in (b"Tj", b"TJ"):
+            line += held
+            held = []
+        else:
+            if x in (b"'", b'"'):
+                yield line
+                line = held
+            elif line:
+                yield line
+                line = []
+            held = []
+    if line:
+        yield line
+
+
+def extract(path: str, data: bytes, pdf=pdf_text) -> tuple[str, str | None, str | None]:
+    """(text, why there is none, error). pdf: a reader (name, bytes) -> text; None if there is no reader."""
     suffix = posixpath.splitext(path.lower())[1]
     if suffix in UNSUPPORTED:
-        return "", "unsupported_format"
+        return "", "unsupported_format", None
+    text, error = "", None
     try:
         if suffix == ".docx":
-            return docx(data), None
-        if suffix == ".xlsx":
-            return xlsx(data), None
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
-        return "", f"extract_error: {e}"
-    if suffix == ".pdf":
-        text = pdf_visible(data)
-        return text, None if text else "pdf_text_empty"
-    return decode(data), None
+            text = docx(data)
+        elif suffix == ".xlsx":
+            text = xlsx(data)
+        elif suffix == ".pdf":
+            text = pdf(path, data) if pdf else ""
+        else:
+            text = decode(data)
+    except Exception as e:  # noqa: BLE001  one file, or a user's reader, must not end a scan
+        error = told(e)
+    reason = None if text or suffix != ".pdf" else "pdf_text_empty" if pdf else "pdf_reader_missing"
+    return text, reason, error
 
 
 def repaired(data: bytes) -> str:
@@ -143,8 +235,8 @@ def sample_text(name: str, data: bytes, pdf=None) -> tuple[str, str | None]:
             return docx_flat(data), None
         if suffix == ".xlsx":
             return xlsx(data), None
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
-        return "", f"extract_error: {e}"
+    except ERRORS as e:
+        return "", f"extract_error: {told(e)}"
     if suffix != ".pdf":
         return repaired(data), None
     text = pdf(name, data) if pdf else ""
@@ -224,44 +316,35 @@ def ocr_text(reply) -> str:
 
 
 def expand(files: DataFrame) -> DataFrame:
-    """(path, content) with archives replaced by their members; null content is empty."""
+    """(path, content, error) with archives replaced by their members; null content is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = members(path, data or b"") if path.lower().endswith(".zip") else [(path, data or b"")]
-                for p, x in found:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([x], pa.binary())], ["path", "content"])
+                found = members(path, data or b"") if path.lower().endswith(".zip") else [(path, data or b"", None)]
+                for p, x, e in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([x], pa.binary()), pa.array([e], pa.string())], ["path", "content", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")
 
 
-def file_texts(files: DataFrame, skip: str) -> DataFrame:
-    """files (path, content, ...) with `text` and `skip_reason` for `content`; rows where the boolean column `skip` holds are not read."""
+def file_texts(files: DataFrame, skip: str, pdf=pdf_text) -> DataFrame:
+    """files (path, content, error, ...) with text, skip_reason and extract_error for content and error; rows where the boolean column `skip` holds are not read."""
     names = files.columns
-    rest = [n for n in names if n != "content"]
+    rest = [n for n in names if n not in ("content", "error")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [("", None) if k else extract(p, x or b"") for p, x, k in zip(*(b.column(names.index(c)).to_pylist() for c in ("path", "content", skip)), strict=True)]
-            yield b.select(rest).append_column("text", pa.array([t for t, _ in got], pa.string())).append_column("skip_reason", pa.array([r for _, r in got], pa.string()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInArrow(run, schema + ", text string, skip_reason string")
-
+            got = [("", None, e) if k or e else extract(p, x or b"", pdf) for p, x, e, k in zip(*(b.column(names.index(c)).to_pylist() for c in ("path", "content", "error", skip)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in rest), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], [*rest, "text", "skip_reason", "extract_error"])
 
-def texts(files: DataFrame) -> DataFrame:
-    """(path, content) -> (path, text, skip_reason); an archive becomes its members. Null content is empty."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in rest)
+    return files.mapInArrow(run, schema + ", text string, skip_reason string, extract_error string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = data or b""
-                found = members(path, data) if path.lower().endswith(".zip") else [(path, data)]
-                out = [(p, *extract(p, x)) for p, x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["path", "text", "skip_reason"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string, skip_reason string")
+def texts(files: DataFrame, pdf=pdf_text) -> DataFrame:
+    """(path, content) -> (path, text, skip_reason, extract_error); an archive becomes its members. Null content is empty."""
+    return file_texts(expand(files).withColumn("known", F.lit(False)), "known", pdf).drop("known")
 
 
 def read_files(spark, root: str) -> DataFrame:

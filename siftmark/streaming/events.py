@@ -1,27 +1,86 @@
-"""The event pipeline: merge repeats in a time window, drop white-listed ones, lower known false positives, report.
+"""The event pipeline: drop repeated and white-listed events, merge alike ones in a time window, lower known false positives, report.
 
-Every step is one function for batch and streaming frames. Windows are tumbling, of one minute; late events count for ten.
+The steps over events are one function for batch and streaming frames. Windows are tumbling, of one minute; late events count
+for ten.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Alike events: the same of these in one window. Those a table lacks don't count.
+KEYS = ("user_id", "host_id", "process_name", "file_type", "sensitive_type", "operation")
+LATE = "10 minutes"
 
-def merge(events: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """One alert per user, type and window: how many events, their first and last time, and the sum of values."""
-    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events  # a watermark needs a zoned time
-    out = source.groupBy(F.window("ts", window).alias("w"), "user_id", "event_type").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("value").alias("total"))
-    return out.select("user_id", "event_type", F.col("w.start").alias("window_start"), "n_events", "first_ts", "last_ts", "total")
+
+def timed(events: DataFrame, late: str = LATE) -> DataFrame:
+    """A stream gets a watermark, for which its times need a zone; one that has a watermark keeps it."""
+    if not events.isStreaming or "EventTimeWatermark" in events._jdf.queryExecution().logical().toString():
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def once(events: DataFrame, late: str = LATE) -> DataFrame:
+    """One event of each event_id; events without one all stay. A stream remembers ids as long as events may be late."""
+    if events.isStreaming:
+        return timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
+    known = events.where("event_id IS NOT NULL").dropDuplicates(["event_id"])
+    return known.unionByName(events.where("event_id IS NULL"))
+
+
+def file_type(path: Column) -> Column:
+    """The suffix of a path's last part, in lower case; empty where it has none."""
+    return F.lower(F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"[^/]\.([^./]+)$", 1))
+
+
+def merge(events: DataFrame, window: str = "1 minute", late: str = LATE, keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
+    """One alert per keys and window: how many events, their first and last time, and the sum of values."""
+    source = timed(events, late)
+    out = source.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("value").alias("total"))
+    return out.select(*keys, F.col("w.start").alias("window_start"), "n_events", "first_ts", "last_ts", "total")
+
+
+def alerts(events: DataFrame, window: str = "1 minute", late: str = LATE, most_files: int = 100) -> DataFrame:
+    """One alert per user, host, process, file type, sensitive type, operation and window, with its files.
+
+    events: event_id, ts, risk_level, file_path, file_hash and those of KEYS that there are. An alert bears its least event
+    id, whether it stands for several, the number of its files and up to most_files of them by path (the number is of all),
+    the highest risk, and the time range. Files are cut to one row each before they meet, so that a busy process is no hot task.
+    """
+    source = timed(events.withColumn("file_type", file_type(F.col("file_path"))), late)
+    keys = [k for k in KEYS if k in source.columns]
+    rank = F.array_position(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), F.col("risk_level"))
+    if not events.isStreaming:
+        slot = F.window("ts", window).alias("w")
+        files = source.groupBy(slot, *keys, "file_path", "file_hash").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max(rank).alias("r"))
+        spread = files.withColumn("part", F.pmod(F.xxhash64("file_path", "file_hash"), F.lit(64)))
+        some = lambda c: F.slice(F.array_sort(c), 1, most_files)
+        first = spread.groupBy("w", *keys, "part").agg(F.min("event_id").alias("event_id"), F.sum("n").alias("n"), F.count("*").alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("r").alias("r"), some(F.collect_list(F.struct("file_path", "file_hash"))).alias("f"))
+        out = first.groupBy("w", *keys).agg(F.min("event_id").alias("event_id"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("r").alias("r"), some(F.flatten(F.collect_list("f"))).alias("f"))
+    else:  # a stream has one aggregation; files of a window are a set
+        out = source.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max(rank).alias("r"), F.collect_set(F.struct("file_path", "file_hash")).alias("s"))
+        out = out.withColumns({"k": F.size("s").cast("long"), "f": F.slice(F.array_sort("s"), 1, most_files)})
+    level = F.get(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), F.greatest(F.lit(1), F.col("r")).cast("int") - 1)
+    return out.select("event_id", *keys, F.col("w.start").alias("window_start"), (F.col("n") > 1).alias("is_merge_event"), F.col("n").alias("n_events"), F.col("k").alias("file_count"), F.col("f").alias("files"), F.col("a").alias("first_ts"), F.col("z").alias("last_ts"), level.alias("risk_level"))
 
 
 def allow(events: DataFrame, white_list: DataFrame, on: list[str]) -> DataFrame:
+    """Events that no row of the white list equals in the columns `on`."""
     return events.join(white_list, on, "left_anti")
 
 
+def allow_hours(events: DataFrame, white_list: DataFrame) -> DataFrame:
+    """Drops events that a row of the white list (user_id, from_hour, to_hour) covers: of that user, or of all where it is null, from one hour of the day up to another, also past midnight."""
+    hour, e, w = F.hour("ts"), events, white_list  # Spark broadcasts it while it is small
+    a, z = F.col("from_hour"), F.col("to_hour")
+    inside = F.when(a <= z, (hour >= a) & (hour < z)).otherwise((hour >= a) | (hour < z))
+    return e.alias("e").join(w.withColumnRenamed("user_id", "of_user"), (F.col("of_user").isNull() | (F.col("e.user_id") == F.col("of_user"))) & inside, "left_anti")
+
+
 def lower_false_positives(alerts: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    """known: the columns `on` and a reason. A known alert becomes `info` and keeps its old level and the reason."""
-    out = alerts.join(known.select(*on, "reason"), on, "left")
-    return out.withColumn("old_level", F.when(F.col("reason").isNotNull(), F.col("level"))).withColumn("level", F.when(F.col("reason").isNotNull(), "info").otherwise(F.col("level")))
+    """known: the columns `on` and a reason. A known alert becomes `info` and keeps its old level and the first reason; others stay as they are, each once."""
+    first = known.groupBy(*on).agg(F.min("reason").alias("reason"), F.lit(True).alias("_known"))
+    out = alerts.join(first, on, "left")
+    return out.withColumn("old_level", F.when(F.col("_known"), F.col("level"))).withColumn("level", F.when(F.col("_known"), "info").otherwise(F.col("level"))).drop("_known")
 
 
 def top_users(events: DataFrame, kind: str, n: int) -> DataFrame:
@@ -33,3 +92,18 @@ def trend(events: DataFrame) -> DataFrame:
     daily = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n_events"))
     days = daily.groupBy("day").agg(F.sum("n_events").alias("of_day"))
     return daily.join(days, "day").select("day", "event_type", "n_events", F.round(F.col("n_events") / F.col("of_day"), 6).alias("share"))
+
+
+def ranking(events: DataFrame, by: str) -> DataFrame:
+    """(by, n_events, place): most events first; equal numbers share a place."""
+    from pyspark.sql import Window
+
+    counted = events.groupBy(by).agg(F.count("*").alias("n_events"))
+    return counted.withColumn("place", F.rank().over(Window.orderBy(F.desc("n_events"))))
+
+
+def compare(events: DataFrame, groups: DataFrame, on: str, group: str) -> DataFrame:
+    """(group, event_type, n_events, n_members, per_member): events of each group's members by type; members without a group count as null."""
+    members = groups.groupBy(group).agg(F.count_distinct(on).alias("n_members"))
+    counted = events.groupBy(on, "event_type").agg(F.count("*").alias("n")).join(groups, on, "left").groupBy(group, "event_type").agg(F.sum("n").alias("n_events"))
+    return counted.join(members, group, "left").select(group, "event_type", "n_events", "n_members", F.round(F.col("n_events") / F.col("n_members"), 6).alias("per_member"))

@@ -83,12 +83,85 @@ def test_rules_and_sync(store):
 
 
 def test_a_late_commit_fails(spark, store):
+    """Two writers start from one snapshot: the second fails, and nothing of it is seen."""
     other = Store(spark, store.root)
-    old = other.manifest()
-    store.clear_tags()
-    other.manifest = lambda: old
+    snap = other.manifest()
+    edited = other.table("rules", snap).where("rule_id != 'builtin_email'")
+    assert store.update_rule("builtin_domain", enabled=False) == 2
     with pytest.raises(Conflict):
-        other.clear_tags()
+        other.commit(snap, {"rules": edited}, "rule_update", library_version=snap["version"] + 1)
+    assert store.version() == 2 and not store.table("rules").where("rule_id = 'builtin_domain'").first().enabled
+    assert store.table("rules").where("rule_id = 'builtin_email'").count() == 1
+
+
+def test_two_writers_at_once(spark, store):
+    """Both change a rule in threads; each change that was reported stands, under a version of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def change(rule):
+        try:
+            return Store(spark, store.root).update_rule(rule, risk_level="critical")
+        except Conflict:
+            return None
+
+    rules = ["builtin_email", "builtin_domain", "builtin_passport", "builtin_address"]
+    with ThreadPoolExecutor(4) as pool:
+        got = dict(zip(rules, pool.map(change, rules), strict=True))
+    done = [v for v in got.values() if v is not None]
+    assert done and len(set(done)) == len(done)
+    held = {r.rule_id: (r.risk_level, r.version) for r in store.table("rules").where(F.col("rule_id").isin(rules)).collect()}
+    assert all((held[r] == ("critical", v)) if v else held[r][0] != "critical" for r, v in got.items())
+
+
+def test_opening_seeds_missing_rules_only(spark, store):
+    store.update_rule("builtin_email", risk_level="low")
+    snap = store.manifest()
+    store.commit(snap, {"rules": store.table("rules", snap).where("rule_id != 'builtin_domain'")}, "test")
+    again = Store(spark, store.root)
+    assert again.table("rules").where("rule_id = 'builtin_domain'").count() == 1 and again.table("rules").where("rule_id = 'builtin_email'").first().risk_level == "low"
+    before = again.manifest()["commit"]
+    assert Store(spark, store.root).manifest()["commit"] == before
+
+
+def test_many_commits_are_rewritten(spark, store, monkeypatch):
+    from siftmark.operators import store as module
+
+    monkeypatch.setattr(module, "MOST_FOLDERS", 3)
+    for i in range(4):
+        store.report(spark.createDataFrame([(f"p{i}", "h", True, "t", "high", "f1", 90, "sensitive", "{}")], "file_path string, file_hash string, sensitive boolean, sensitive_type string, risk_level string, sensitive_file_id string, match_score int, confidence_level string, match_detail string"), "h1", "/", "now")
+    assert len(store.manifest()["tables"]["results"]) <= 3 and store.table("results").count() == 4
+
+
+def test_embeddings_and_models(spark, store):
+    rows = spark.createDataFrame([("a.txt", b"alpha text", "t", "low", ""), ("b.txt", b"beta words", "t", "low", "")], UPLOAD)
+    reply = json.dumps({"semantic_labels": ["L"], "sensitive_type": "t", "risk_level": "high", "explanation": "e"})
+    version, _ = store.ingest(rows, embed=lambda texts: [[1.0, 0.0] if "alpha" in t else None for t in texts], model="m", ask=lambda p: reply if "beta" in p else None)
+    assert version == 2
+    found = store.semantic_search([1.0, 0.1]).collect()
+    assert [r.file_name for r in found] == ["a.txt"] and found[0].score > 0.9
+    told = {r.sensitive_file_id: r for r in store.table("features").where("version = 2").collect()}
+    assert sorted((r.model_name, r.embedding_id[:4]) for r in told.values()) == [("m", ""), ("rule-fallback", "emb_")]
+
+    def broken(_):
+        raise RuntimeError("no service")
+
+    assert store.ingest(spark.createDataFrame([("c.txt", b"gamma", "t", "low", "")], UPLOAD), embed=broken, ask=broken)[0] == 3
+    assert store.table("features").where("version = 3").first().embedding is None
+
+
+def test_config_reaches_hosts(spark, store, tmp_path):
+    store.set_config(simhash_threshold=5, semantic_label_hints={"x": ["y"]})
+    local = Store(spark, f"{tmp_path}/host")
+    cli.sync(local, store)
+    made = cli.library_of(local)
+    assert (made.threshold, made.hints) == (5, {"x": ["y"]})
+
+
+def test_batch_limits(spark, store):
+    rows = [(f"{i}.txt", f"text {i}".encode(), "t", "low", "") for i in range(51)]
+    with pytest.raises(ValueError):
+        store.ingest_batch(spark.createDataFrame(rows, UPLOAD))
+    assert store.ingest_batch(spark.createDataFrame(rows[:3], UPLOAD))[0] == 2
 
 
 def test_zip_upload(spark, store):
@@ -195,3 +268,47 @@ def test_scan_of_odd_rows(spark):
     got = {r.path: (r.match_score, r.sensitive_file_id) for r in scanning.scan_texts(df, scanning.Library(rules, prints)).collect()}
     assert got == {"a": (0, None), "b": (0, None), "c": (70, "f1"), "d": (0, None)}  # texts without tokens have equal fingerprints
     assert scanning.scan_texts(df.where("false"), scanning.Library([], prints)).isEmpty()
+
+
+def test_a_scan_survives_bad_files(spark, tmp_path):
+    good = zipped(**{"in.txt": "13800138000 fine"})
+    corrupt = bytearray(zipped(**{"a.txt": "first " * 50, "b.txt": "second 13800138000"}))
+    corrupt[40:60] = b"\xff" * 20
+    sealed = bytearray(zipped(**{"s.txt": "sealed"}))
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        sealed[sealed.index(mark) + at] |= 1
+    doc = zipped(**{"word__document.xml": "<w:d xmlns:w='w'><w:p><w:t>Hello</w:t></w:p></w:d>"})
+    rows = [("good.zip", good), ("corrupt.zip", bytes(corrupt)), ("sealed.zip", bytes(sealed)), ("cut.zip", good[:40]), ("bad.docx", b"PK\x03\x04" + b"x" * 50), ("sealed.docx", bytes(sealed)), ("sheet.xlsx", doc), ("p.pdf", b"%PDF-1.4 stream"), ("ok.txt", b"13800138000 here")]
+    prints = spark.createDataFrame([("f1", "x", "0" * 16)], "sensitive_file_id string, sha256 string, simhash string")
+    rules = [{"rule_id": "r", "rule_type": "regex", "sensitive_type": "t", "risk_level": "high", "content": {"name": "mobile_phone", "pattern": r"\b1[3-9]\d{9}\b"}}]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: (r.match_score, json.loads(r.match_detail)) for r in scanning.scan_files(files, scanning.Library(rules, prints)).collect()}
+    assert got["good.zip!in.txt"][0] == 30 and got["ok.txt"][0] == 30
+    assert got["corrupt.zip!b.txt"][0] == 30 and "extract_error" in got["corrupt.zip!a.txt"][1]
+    for name in ("sealed.zip!s.txt", "cut.zip", "bad.docx", "sealed.docx"):
+        assert got[name][0] == 0 and got[name][1]["extract_error"], name
+    assert got["p.pdf"][0] == 0 and got["p.pdf"][1]["skip_reason"] == "pdf_text_empty"
+    assert got["good.zip!in.txt"][1]["regex_hits"][0]["pattern"] == rules[0]["content"]["pattern"]
+    no_reader = scanning.scan_files(files.where("path = 'p.pdf'"), scanning.Library(rules, prints), pdf=None).first()
+    assert json.loads(no_reader.match_detail)["skip_reason"] == "pdf_reader_missing"
+
+
+def test_a_large_library_of_few_patterns(spark):
+    """Twenty thousand rules over the builtin patterns and some words are one plan of bounded size, and give what each rule gives."""
+    rules = [{"rule_id": f"r{i}", "rule_type": "regex", "sensitive_type": n, "risk_level": r, "content": {"name": n, "pattern": p}} for i in range(1000) for n, p, r in BUILTIN_RULES]
+    rules += [{"rule_id": f"k{i}", "rule_type": "keyword", "sensitive_type": "w", "risk_level": "low", "content": {"keywords": ["alpha", f"w{i % 50}"], "min_hits": 2}} for i in range(1000)]
+    prints = spark.createDataFrame([("f1", "x", "0" * 16)], "sensitive_file_id string, sha256 string, simhash string")
+    df = spark.createDataFrame([("a", "call 13800138000 or b@c.de"), ("b", "alpha w7 w8"), ("c", "alpha")], "path string, text string")
+    got = {r.path: json.loads(r.match_detail) for r in scanning.scan_texts(df, scanning.Library(rules, prints)).collect()}
+    assert len(got["a"]["regex_hits"]) == 3000 and {h["rule_name"] for h in got["a"]["regex_hits"]} == {"mobile_phone", "email", "domain"}
+    assert [h["rule_id"] for h in got["b"]["keyword_hits"]] == [f"k{i}" for i in range(1000) if i % 50 in (7, 8)] and got["b"]["keyword_hits"][0]["keywords_matched"] == ["alpha", "w7"]
+    assert got["c"]["keyword_hits"] == []
+
+
+def test_label_details_of_a_known_sample(spark):
+    import hashlib
+
+    prints = spark.createDataFrame([("f1", hashlib.sha256(b"same").hexdigest(), "0" * 16)], "sensitive_file_id string, sha256 string, simhash string")
+    labels = spark.createDataFrame([("f1", ["L"], "emb_1")], "sensitive_file_id string, semantic_labels array<string>, embedding_id string")
+    detail = json.loads(scanning.scan_texts(spark.createDataFrame([("a", "same")], "path string, text string"), scanning.Library([], prints, labels)).first().match_detail)
+    assert detail["semantic_labels"] == ["L"] and detail["embedding_id"] == "emb_1" and detail["sha256_hit"]
