@@ -24,6 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import U64, column_place, map_file, mix, packed, partitions, mapped, prepare, release, shared_dir, shingle_lists, table, write_file
 
@@ -210,6 +211,26 @@ class Members:
         return out
 
 
+def joined_by(left: DataFrame, right: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """left.join(right, key), with the keys that many rows of left share spread over several tasks.
+
+    A key is frequent if it has more than a quarter of a task's even share of rows, so there are fewer than 4 n such keys, which
+    is all that comes to the driver. Their rows are dealt over salts by a hash of all columns, so that a task that runs again deals alike, and the rows of right that have them are copied to each.
+    """
+    counted = left.groupBy(key).count()  # summed per task before the shuffle
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    limit = max(16, total // (4 * n))
+    most = {r[key]: r["count"] for r in counted.where((F.col("count") > limit) & F.col(key).isNotNull()).collect()}
+    if not most:
+        return left.join(right, key, how)
+    salts = {k: min(n, -(-c // limit)) for k, c in most.items()}
+    given = left.sparkSession.createDataFrame(list(salts.items()), "hot_key long, salts int")
+    spread = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("salts"))).otherwise(0).cast("int")
+    a = left.join(F.broadcast(given), F.col(key) == F.col("hot_key"), "left").withColumn("salt", spread).drop("hot_key", "salts")
+    b = right.join(F.broadcast(given), F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("hot_key", "salts")
+    return a.join(b, [key, "salt"], how).drop("salt")
+
+
 def representatives(docs: DataFrame, base: DataFrame, classes: DataFrame, folder: str, n: int, schema: str, make) -> DataFrame:
     """make(class, text, set) rows, one per class of `classes` (column cls), from one document of it each.
 
@@ -256,7 +277,7 @@ def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, folder: str, n: i
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
         release()
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = joined_by(joined_by(pairs, left, "a", n), right, "b", n).select("a", "b", "x", "y")
     joined.mapInArrow(run, "a long, b long").write.parquet(f"{folder}/links")
     return docs.sparkSession.read.parquet(f"{folder}/links")
 
@@ -284,11 +305,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before, step = now, step + 1
 
 
-def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def apart(rows: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Of the rows (key, cls), those in groups with several components: key, cls, label, size of the group."""
     named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    return named.join(mixed, "key")
+    return joined_by(named, mixed, "key", n)
 
 
 def compared(rows: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
@@ -372,7 +393,7 @@ def classified(docs: DataFrame, folder: str) -> DataFrame:
     stars = shared.where("kind = 0").select("a", "b").distinct()
     links = linked(stars, docs, base, f"{folder}/one", n)
     labels = components(links, f"{folder}/stars-one")
-    apart(shared.where("kind = 1").selectExpr("a AS key", "b AS cls"), labels).write.parquet(f"{folder}/apart")
+    apart(shared.where("kind = 1").selectExpr("a AS key", "b AS cls"), labels, n).write.parquet(f"{folder}/apart")
     rest = spark.read.parquet(f"{folder}/apart")
     made = representatives(docs, base, rest, f"{folder}/sketches", n, "cls long, n long, bits binary", lambda c, x, s: (c, len(s), parity(s).tobytes()))
     made.write.parquet(f"{folder}/sketches/bits")
@@ -383,9 +404,9 @@ def classified(docs: DataFrame, folder: str) -> DataFrame:
         more, tried = linked(pairs, docs, base, f"{folder}/{step}", n), tried.unionByName(pairs)
         labels = components(labels.selectExpr("node AS a", "label AS b").unionByName(more), f"{folder}/stars-{step}")
         if step == "two":
-            apart(rest.select("key", "cls"), labels).write.parquet(f"{folder}/apart-two")
+            apart(rest.select("key", "cls"), labels, n).write.parquet(f"{folder}/apart-two")
             rest = spark.read.parquet(f"{folder}/apart-two")
-    named = base.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = joined_by(base, labels.withColumnRenamed("node", "cls"), "cls", n, "left")
     return named.select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("label"))
 
 
@@ -396,50 +417,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and link to texts with the same words. Repeated rows and copies are in one component; rows without id take part, and a
     component of such rows alone has a null id. Other columns of docs are not read.
     """
-    named = classified(docs, shared_dir(docs.sparkSession, "near-duplicates"))
+    folder, n = shared_dir(docs.sparkSession, "near-duplicates"), partitions(docs.sparkSession)
+    classified(docs, folder).write.parquet(f"{folder}/named")
+    named = docs.sparkSession.read.parquet(f"{folder}/named")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return joined_by(named, least, "label", n, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, less all but one of each component: that of the smallest doc_id.
 
-    Rows without text, or with white space only, all stay. Of repeated rows one stays. Rows without id stay only if their
-    component has no other. Texts are filtered where they are read, by memory-mapped files, and not shuffled.
+    Rows without text, or with white space only, all stay. Of rows that share an id and have the same set one stays, whatever
+    their case and white space. Rows without id stay only if their component has no other. Texts are filtered where they are
+    read, by memory-mapped files; only rows whose id is repeated are shuffled.
     """
     spark = docs.sparkSession
     folder, n = shared_dir(spark, "near-duplicates"), partitions(spark)
-    named = classified(docs, folder)
-    named.write.parquet(f"{folder}/named")
-    named = spark.read.parquet(f"{folder}/named")
-    kept = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("k")).select("k.doc_id", "k.cls")
-    kept.write.parquet(f"{folder}/kept")
+    classified(docs, folder).write.parquet(f"{folder}/named")
+    named = spark.read.parquet(f"{folder}/named").where("label IS NOT NULL")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NONE))
+    chosen = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("k")).select(key("k.doc_id").alias("id"), F.col("k.cls").alias("cls"))
+    times = named.groupBy(key("doc_id").alias("id"), "cls").agg(F.count("*").alias("times"))
+    chosen.join(times, ["id", "cls"]).write.parquet(f"{folder}/kept")
     kept = spark.read.parquet(f"{folder}/kept")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    members = Members.write(kept.select(key.bitwiseXOR(F.col("cls")).alias("id"), key.alias("by")), f"{folder}/keep", n)
     text, names = column_place(docs, "text"), docs.columns
-    clash = {c.lower() for c in names}
-    shard_name, id_name = (next(f"{x}{i}" for i in range(len(names) + 1) if f"{x}{i}" not in clash) for x in ("shard", "key"))
+    shard = F.pmod(F.xxhash64(key("doc_id")), F.lit(n)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Members(members.folder, members.n)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
-                shards, ids = (some.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                sets = list(shingle_sets(some.column(text).cast(pa.binary()).to_pylist()))
-                cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
-                keep = mine.has(shards, ids ^ cls) | np.array([not len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([some.column(i).filter(pa.array(keep)) for i in range(len(names))], names)
-        release()
+    def rows_of(docs: DataFrame, wanted: DataFrame, name: str, empty: bool) -> DataFrame:
+        """Rows of docs whose id and class are wanted, with the class behind them; also those without words, if empty."""
+        members = Members.write(wanted.select(F.col("id").bitwiseXOR(F.col("cls")).alias("id"), F.col("id").alias("by")), f"{folder}/{name}", n)
 
-    shard = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    out = mapped(docs.select("*", shard.alias(shard_name), key.alias(id_name)), run, docs.schema)
-    repeats = named.join(kept, (named.cls == kept.cls) & named.doc_id.eqNullSafe(kept.doc_id), "left_semi").groupBy("doc_id", "cls").count().where("count > 1")
-    if repeats.limit(1).count():
-        empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-        out = out.where(empty).unionByName(out.where(~empty).dropDuplicates(["doc_id", "text"]))
-    return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Members(members.folder, members.n)
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    some = b.slice(at, 1000)
+                    shards, ids = (some.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    sets = list(shingle_sets(some.column(text).cast(pa.binary()).to_pylist()))
+                    cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+                    bare = np.array([not len(s) for s in sets], bool)
+                    keep = pa.array((mine.has(shards, ids ^ cls) & ~bare) | (bare & empty))
+                    yield pa.RecordBatch.from_arrays([*(some.column(i).filter(keep) for i in range(len(names))), pa.array(cls).filter(keep)], [*(f"_{i}" for i in range(len(names))), "cls"])
+            release()
+
+        return mapped(docs.select("*", shard.alias("_shard"), key("doc_id").alias("_key")), run, StructType([StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)] + [StructField("cls", LongType())]))
+
+    single, several = kept.where("times = 1"), kept.where("times > 1")
+    out = rows_of(docs, single, "keep", True)
+    if not several.isEmpty():
+        ids = several.select(F.col("id").alias("_id")).distinct()
+        repeated = docs.join(ids, key("doc_id") == F.col("_id"), "left_semi")
+        place = column_place(docs, "doc_id")
+        out = out.unionByName(rows_of(repeated, several, "keep-one", False).dropDuplicates([f"_{place}", "cls"]))
+    return out.drop("cls").toDF(*names)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,17 @@ def test_stages_keep_the_columns(spark, odd_dir, empty_dir):
 def test_shingle_sets_match_plain_ones():
     for t in ("", "  ", "a", "A b", "a b c d e", "a b c d e f a b c d e f", "Éa é\x1cb　c d\xa0e f g h i"):
         assert len(next(jaccard.shingle_sets([t.encode()]))) == len(plain_set(t))
+
+
+def test_rows_that_share_an_id_and_a_set_are_one(spark):
+    rows = [(None, "A b c d e f"), (None, "a b c d e f"), (None, "a  b c d e f"), (5, "x y z u v w"), (5, "X y z u v w"), (5, "other words stand here now"), (6, ""), (6, ""), (7, "k l m n o p q"), (8, "k l m n o p q")]
+    got = [(r.doc_id, (r.text or "").lower().split()) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a b c d e f".split()), (5, "x y z u v w".split()), (5, "other words stand here now".split()), (6, []), (6, []), (7, "k l m n o p q".split())], key=str)
+
+
+def test_joins_of_frequent_keys(spark):
+    left = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1200)] + [(None, 7)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 10) for i in [1, *range(900, 1100)]], "k long, w long")
+    for how in ("inner", "left"):
+        want = Counter(tuple(r) for r in left.join(right, "k", how).collect())
+        assert Counter(tuple(r) for r in jaccard.joined_by(left, right, "k", 8, how).select("k", "v", "w").collect()) == want
