@@ -9,18 +9,17 @@ is rewritten as one by the commit that finds it so.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions.fixed import BUILTIN_RULES, LABEL_HINTS
 from ..sources import extract
+from ..sources.files import content, publish
 from . import generate, library, search
 
 SCHEMAS = {
@@ -70,40 +69,11 @@ class Store:
         last = self._last()
         if last is None:
             return {"commit": -1, "version": 0, "kind": "none", "tables": {}, "config": dict(CONFIG)}
-        stream = self.fs.open(self._path(self._manifest(last)))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(content(self.spark, self._manifest(last)))
 
     def _manifest(self, commit: int) -> str:
         return f"{self.root}/_manifests/{commit:012d}.json"
 
-    def _create(self, commit: int, text: str) -> bool:
-        """Writes a manifest that must not exist yet; False if it does. Local files are linked into place, which is one step; other stores create without overwriting."""
-        self.fs.mkdirs(self._path(f"{self.root}/_manifests"))
-        if self.fs.getScheme() == "file":
-            final = self._path(self._manifest(commit)).toUri().getPath()
-            mine = f"{final}.{uuid.uuid4().hex}"
-            with open(mine, "w", encoding="utf-8") as f:
-                f.write(text)
-            try:
-                os.link(mine, final)
-                return True
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(mine)
-        try:
-            out = self.fs.create(self._path(self._manifest(commit)), False)
-        except Py4JJavaError as e:
-            if "Exist" in e.java_exception.getClass().getName():
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
-
     def table(self, name: str, snap: dict | None = None) -> DataFrame:
         folders = (snap or self.manifest())["tables"].get(name, [])
         reader = self.spark.read.schema(SCHEMAS[name])
@@ -138,7 +108,7 @@ class Store:
                 tables[name] = [self._write(name, self.table(name, {"tables": tables}))]
         version = snap["version"] if library_version is None else library_version
         new = {"commit": snap["commit"] + 1, "version": version, "kind": kind, "tables": tables, "config": config or snap["config"]}
-        if not self._create(new["commit"], json.dumps(new, ensure_ascii=False)):
+        if not publish(self.spark, self._manifest(new["commit"]), json.dumps(new, ensure_ascii=False)):
             raise Conflict(f"commit {new['commit']}")
         return version
 

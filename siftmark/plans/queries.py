@@ -216,7 +216,7 @@ def upload_check(spark, d):
 def template_rules(spark, d):
     """The five templates over documents whose type or description names a trigger of one of them."""
     kinds = F.array(*[F.lit(t[5][0]) for t in fixed.TEMPLATES], F.lit("other"))
-    docs = read(spark, d, "documents").select("doc_id", "text", F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("sensitive_type"), F.lit("low").alias("risk_level"), F.when(F.col("doc_id") % 4 == 0, "不得披露").alias("description"))
+    docs = scanning.spread(read(spark, d, "documents")).select("doc_id", "text", F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("sensitive_type"), F.lit("low").alias("risk_level"), F.when(F.col("doc_id") % 4 == 0, "不得披露").alias("description"))
     return generate.rules(docs, "doc_id").where("rule_type = 'combined'").select("doc_id", "place", "rule_name", "sensitive_type", "risk_level", F.sha2("content", 256).alias("content_sha256"))
 
 

@@ -4,12 +4,15 @@ spark.read.format("filetree").option("path", uri).load() reads any store pyarrow
 subtrees on the executors; the driver lists the top folders only.
 """
 
+import os
 import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -116,5 +119,51 @@ def read_tree(spark: SparkSession, root: str, max_file: int = MAX_FILE) -> DataF
     return spark.read.format("filetree").option("path", root).option("maxFileSize", str(max_file)).load()
 
 
+def hadoop(spark: SparkSession, uri: str):
+    """The store's file system and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def publish(spark: SparkSession, uri: str, text: str) -> bool:
+    """Writes a small file that must not exist yet; False if it does.
+
+    Local files are linked into place, which is one step; other stores create without overwriting.
+    """
+    fs, path = hadoop(spark, uri)
+    fs.mkdirs(path.getParent())
+    if fs.getScheme() == "file":
+        final = path.toUri().getPath()
+        mine = f"{final}.{uuid.uuid4().hex}"
+        with open(mine, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(mine, final)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(mine)
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "Exist" in e.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def content(spark: SparkSession, uri: str) -> str:
+    """A small file's text."""
+    fs, path = hadoop(spark, uri)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def base_name(path: str) -> str:
     return posixpath.basename(path.replace("\\", "/"))
