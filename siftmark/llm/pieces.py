@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column_place, mapped, prepare, table, with_columns
+from .tokenizing import Chunks
 
 SPACE = "▁"
 
@@ -36,7 +37,7 @@ def joined_with(pieces: Iterable[str], char: str) -> set[str]:
     return found
 
 
-class Pieces:
+class Pieces(Chunks):
     """The pieces of a model file and their scores. kind: "unigram" takes the segmentation of greatest score sum; "bpe" the one that merging makes.
 
     Both run through the automaton once: at each position the output links give the pieces that end there, longest first, and
@@ -45,9 +46,10 @@ class Pieces:
     holds for exactly one piece at each position that a prefix's encoding can end in.
     """
 
-    most = 150_000
+    most = 400_000
 
     def __init__(self, model: str, kind: str = "bpe"):
+        super().__init__()
         m = sentencepiece.SentencePieceProcessor(model_file=model)
         n = m.get_piece_size()
         self.kind = kind
@@ -66,11 +68,13 @@ class Pieces:
         self.size = [len(self.piece.get(i, "")) for i in range(n)]
         self.chars = {p for p in self.id if len(p) == 1}
         #: Spaces and the word or the marks after them, line breaks, other spaces: no piece reaches from one chunk into the next.
-        word = "".join(map(re.escape, sorted(joined_with(self.id, "e") - {"\n", SPACE})))
+        beside = joined_with(self.id, "e") - {"\n", SPACE}
+        word = "".join(map(re.escape, sorted(beside)))
         self.cut = re.compile(f"{SPACE}*(?:[{word}]+|[^{word}{SPACE}\n]+)|\n|{SPACE}+")
+        self.kinds = np.array([3 if c == 10 else 0 if c == 32 else 1 if chr(c) in beside else 2 for c in range(256)], np.uint8)
         self.apart: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        size = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.shown, self.shown_size, self.shown_first = np.frombuffer(b"".join(self.bytes_of), np.uint8), size, np.cumsum(size) - size
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -149,30 +153,42 @@ class Pieces:
             ids += self.way(part) if known else [self.byte[v] for v in part.encode("utf-8", "replace")]
         return array("I", ids).tobytes()
 
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [self.chunk(c.replace(" ", SPACE)) for c in chunks]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids as the model's library gives them: a space before the text, and no other normalisation. Empty text has none."""
+        out = [b""] * len(texts)
+        mine: list[int] = []
+        raws: list[bytes] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            try:
+                raw = b" " + t.encode("latin-1")
+            except UnicodeEncodeError:
+                out[i] = b"".join(map(self.chunk, self.cut.findall(SPACE + t.replace(" ", SPACE))))
+                continue
+            mine.append(i)
+            raws.append(raw)
+            size += len(raw)
+            if size >= self.step:
+                for k, ids in zip(mine, self.plain(raws), strict=True):
+                    out[k] = ids
+                mine, raws, size = [], [], 0
+        for k, ids in zip(mine, self.plain(raws) if raws else (), strict=True):
+            out[k] = ids
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as the model's library gives them: a space before the text, and no other normalisation. Empty text has none.
-
-        Short chunks are remembered in two generations of bounded size, so that frequent ones stay.
-        """
-        if not text:
-            return b""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, older, out = self.known, self.older, []
-        for c in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(c)
-            if ids is None:
-                ids = older.get(c)
-                if ids is None:
-                    ids = self.chunk(c)
-                if len(c) < 64:
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return raw.removeprefix(" ")
+        e = np.frombuffer(ids, "<u4")
+        size = self.shown_size[e]
+        at = np.repeat(self.shown_first[e] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return self.shown[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -190,24 +206,51 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, f) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 some = b.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([f(x) for x in some.column(place).to_pylist()], t)], names)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(f(some.column(place).to_pylist()), t)], names)
 
     return mapped(kept, run, with_columns(kept, **{target: kind}))
 
 
 def encode(df: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of ids (little-endian unsigned 32-bit). Null and empty texts have no ids. A column of that name is replaced."""
-    return _mapped(df, text, ids, "binary", lambda x: load(model, kind).encode(x or ""))
+    return _mapped(df, text, ids, "binary", lambda xs: load(model, kind).encode_all([x or "" for x in xs]))
 
 
 def decode(df: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with a column of decoded text. Null ids decode to an empty text."""
-    return _mapped(df, ids, text, "string", lambda x: load(model, kind).decode(x or b""))
+    return _mapped(df, ids, text, "string", lambda xs: [load(model, kind).decode(x or b"") for x in xs])
+
+
+def both_ways(df: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text") -> DataFrame:
+    """df with the texts' ids and decoded text in two ways: by the scores alone (viterbi_ids, viterbi_text) and as the model's own merging gives them (ids, decoded).
+
+    One pass through Python; nulls and empty texts have no ids, columns of these names are replaced.
+    """
+    prepare(df.sparkSession)
+    added = {"viterbi_ids": "binary", "viterbi_text": "string", "ids": "binary", "decoded": "string"}
+    kept = df.drop(*added)
+    place, names = column_place(kept, text), [f"_{i}" for i in range(len(kept.columns) + len(added))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = [load(model, kind) for kind in ("unigram", "bpe")]
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                some = b.slice(i, 1000)
+                xs = [x or "" for x in some.column(place).to_pylist()]
+                made: list[pa.Array] = []
+                for m in by:
+                    ids = m.encode_all(xs)
+                    made += [pa.array(ids, pa.binary()), pa.array(map(m.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], names)
+
+    return mapped(kept, run, with_columns(kept, **added))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode all documents: ids by count and checksum, and whether the text comes back."""
+    """All documents encoded and decoded both ways: ids by count and checksum, and whether the text comes back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs))
-    back = F.col("decoded") == F.translate("text", SPACE, " ")
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), back.alias("round_trip"))
+    whole = F.translate("text", SPACE, " ")
+    out = []
+    for ids, text, name in (("viterbi_ids", "viterbi_text", "viterbi_"), ("ids", "decoded", "")):
+        out += [(F.octet_length(ids) / 4).cast("long").alias(f"{name}n_tokens"), F.crc32(ids).alias(f"{name}ids_crc32"), (F.col(text) == whole).alias(f"{name}round_trip")]
+    return both_ways(docs).select("doc_id", *out)

@@ -82,49 +82,36 @@ class Runs:
         return self.ids[np.repeat(self.first[entries] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
 
 
-class Encoder:
-    """encode(texts) -> ids, equal to the tokenizer's own on each whole text.
+class Chunks:
+    """Texts to ids by chunks: Latin-1 texts are cut, hashed and looked up in numpy, and only chunks that are not known reach each().
 
-    spaced: a word's ids depend on the space before it, and on case (byte-level BPE); else white space only separates, and
-    case is dropped. Plain texts are cut, hashed and looked up in numpy, and only chunks that are not known reach the
-    tokenizer; the memory of chunks is bounded. Chunks are told apart by 64-bit hashes and lengths.
+    kinds gives each byte's class: 0 joins the chunk that follows, or none if not spaced; 3 is a chunk by itself; runs of each
+    other class are chunks. The memory of chunks is bounded. They are told apart by 64-bit hashes and lengths.
     """
 
     most, step = 400_000, 1 << 17
+    kinds, spaced = CLASS, True
 
-    def __init__(self, name: str, spaced: bool, end: int | None = None):
-        self.tokenizer, self.spaced = load(name), spaced
-        self.tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
+    def __init__(self) -> None:
         self.runs = Runs()
         self.power, self.inverse = np.ones(1, U64), np.ones(1, U64)
-        self.separator = "\n" if spaced else " ~ "
-        mark = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
 
     def each(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk."""
-        if self.mark is None or len(chunks) < 20 or not all(map(BESIDE.fullmatch, chunks)):
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        e = self.tokenizer.encode_batch_fast([self.separator.join(chunks)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, "<u4")
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) != len(chunks) - 1:
-            raise RuntimeError("a separator was not kept apart")
-        raw, starts, ends = ids.tobytes(), (4 * np.append(0, at + 1)).tolist(), (4 * np.append(at, len(ids))).tolist()
-        return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
+        raise NotImplementedError
 
     def plain(self, raws: list[bytes]) -> list[bytes]:
-        """Ids of Latin-1 texts that PLAIN lets pass."""
+        """Ids of Latin-1 texts."""
         data = np.frombuffer(b"".join(raws), np.uint8)
         length = np.fromiter(map(len, raws), np.int64, len(raws))
         begin = np.cumsum(length) - length
-        kind = CLASS[data]
+        kind = self.kinds[data]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = kind[1:] != kind[:-1]
         edge[begin] = True
+        edge[np.flatnonzero(kind == 3)] = True
         if self.spaced:  # white space goes with what follows it in the same text
             after = np.flatnonzero(edge[:-1])
-            after = after[(after > 0) & (kind[after] != 0)]
+            after = after[(after > 0) & (kind[after] != 0) & (kind[after] != 3)]
             joins = after[kind[after - 1] == 0]
             edge[joins] = False
             edge[begin] = True
@@ -166,6 +153,34 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
+
+class Encoder(Chunks):
+    """encode(texts) -> ids, equal to the tokenizer's own on each whole text.
+
+    spaced: a word's ids depend on the space before it, and on case (byte-level BPE); else white space only separates, and
+    case is dropped.
+    """
+
+    def __init__(self, name: str, spaced: bool, end: int | None = None):
+        super().__init__()
+        self.tokenizer, self.spaced = load(name), spaced
+        self.tail = b"" if end is None else np.uint32(end).astype("<u4").tobytes()
+        self.separator = "\n" if spaced else " ~ "
+        mark = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
+        if self.mark is None or len(chunks) < 20 or not all(map(BESIDE.fullmatch, chunks)):
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        e = self.tokenizer.encode_batch_fast([self.separator.join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(chunks) - 1:
+            raise RuntimeError("a separator was not kept apart")
+        raw, starts, ends = ids.tobytes(), (4 * np.append(0, at + 1)).tolist(), (4 * np.append(at, len(ids))).tolist()
+        return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
+
     def odd(self, text: str) -> bytes:
         """Ids of any text, by chunks that white space parts, or whole."""
         chunks = [text] if ODD.search(text) or "<|" in text else CHUNK.findall(text) if self.spaced else text.split()

@@ -2,6 +2,7 @@
 
 import dataclasses
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -64,6 +65,36 @@ def test_sentencepiece_unigram_is_best():
         assert sum(p.score[x] for x in p.best(s)) == best(s)
 
 
+def plain_best_score(p, text):
+    """The best sum of scores over all segmentations of a text, by all pieces that end at each position."""
+    s, longest = "▁" + text.replace(" ", "▁"), max(map(len, p.score))
+    total = [0.0] + [float("-inf")] * len(s)
+    for end in range(1, len(s) + 1):
+        total[end] = max((total[a] + p.score[s[a:end]] for a in range(max(0, end - longest), end) if s[a:end] in p.score), default=float("-inf"))
+    return total[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abehlotr s\nThe", min_size=1, max_size=40))
+def test_viterbi_is_best_for_any_text(text):
+    p = pieces.load("piece_bpe_32k.model", "unigram")
+    ids = np.frombuffer(p.encode(text), "<u4").tolist()
+    assert math.isclose(sum(p.score[p.piece[i]] for i in ids), plain_best_score(p, text), rel_tol=1e-9)
+    assert p.decode(p.encode(text)) == text
+
+
+def test_viterbi_of_the_query_is_best(spark, sf_dir):
+    p = pieces.load("piece_bpe_32k.model", "unigram")
+    got = pieces.both_ways(spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500").select("doc_id", "text")).limit(40).collect()
+    known = [r for r in got if r.text and p.chars.issuperset(r.text.replace(" ", "▁"))]
+    assert known
+    for r in known:
+        assert math.isclose(sum(p.score[p.piece[i]] for i in np.frombuffer(r.viterbi_ids, "<u4").tolist()), plain_best_score(p, r.text), rel_tol=1e-9)
+    assert all(r.viterbi_text == r.text for r in got)
+    digest = {r.doc_id: r for r in pieces.op1_sentencepiece(spark, sf_dir).collect()}
+    assert all((digest[r.doc_id].viterbi_n_tokens, digest[r.doc_id].viterbi_ids_crc32) == (len(r.viterbi_ids) // 4, zlib.crc32(r.viterbi_ids)) for r in got)
+
+
 def test_packing(spark, tables, docs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.op2_packing(spark, tables).collect()
@@ -293,13 +324,28 @@ def test_rollup_survives_a_crash(spark, tmp_path):
     row = spark.createDataFrame([("a", "en", "t", 1, 5)], rollups.DELTA)
     assert r.totals().count() == 0
     assert r.commit("1", row, row) and not r.commit("1", row)
-    (tmp_path / "r/2").mkdir()
-    (tmp_path / "r/2/part-0.parquet").write_bytes(b"half a file")  # its writer died
+    (tmp_path / "r/data/dead").mkdir()
+    (tmp_path / "r/data/dead/part-0.parquet").write_bytes(b"half a file")  # its writer died
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 2, 10)]
     assert r.commit("2", row.selectExpr("source", "lang", "tokenizer", "-2L AS n_docs", "-10L AS n_tokens"))
     assert r.totals().count() == 0
 
 
+def test_rollup_of_writers_at_once_and_of_many_batches(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder, row = f"file://{tmp_path}/r", spark.createDataFrame([("a", "en", "t", 1, 5)], rollups.DELTA)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: rollups.Rollup(spark, folder).commit("same/batch", row), range(4)))
+    r = rollups.Rollup(spark, folder)
+    assert sum(done) == 1 and r.committed() == ["same/batch"] and [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 1, 5)]
+    r.most = 2
+    for i in range(5):
+        assert r.commit(f"b{i}", row)
+        assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", i + 2, 5 * i + 10)]
+    assert r._snapshot()[0] >= 0 and not r.commit("b1", row)
+
+
 def test_fingerprints(spark, tables, docs):
     got = fingerprints.op9_document_fingerprints(spark, tables).collect()
     order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
