@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import U64, column_place, map_file, mix, packed, partitions, mapped, prepare, release, shared_dir, shingle_lists, table, write_file
 
 FIRST_KEYS = 3  # of a band, for round one
-GROUP = 2048  # members of a group compared in one place; larger groups are cut into pairs of parts
+GROUP = 1024  # members of a group compared in one place; larger groups are cut into pairs of parts
 NONE = -(2**63)
 ALL_ONES = b"\xff" * 8  # of a blob of documents; other blobs start with a number of keys
 FALLBACK = U64(0xA5A5_5A5A_0F0F_F0F0)
@@ -236,7 +236,8 @@ def representatives(docs: DataFrame, base: DataFrame, classes: DataFrame, folder
 
     Only the documents whose ids are needed leave the scan; their ids are looked up in memory-mapped files.
     """
-    ids = base.join(classes.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    first = base.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))  # copies are summed up per task before they meet
+    ids = first.join(classes.select("cls").distinct(), "cls")
     wanted = Members.write(ids.select("doc_id"), f"{folder}/ids", n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

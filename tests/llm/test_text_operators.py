@@ -75,7 +75,7 @@ def plain_best_score(p, text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abehlotr s\nThe", min_size=1, max_size=40))
+@given(st.text(alphabet="abehlotr sTh", min_size=1, max_size=40))
 def test_viterbi_is_best_for_any_text(text):
     p = pieces.load("piece_bpe_32k.model", "unigram")
     ids = np.frombuffer(p.encode(text), "<u4").tolist()
