@@ -55,11 +55,13 @@ FAMILIES = (
     ("ruby", "ruby", ()),
     ("unlicense", "unlicense", ()),
 )
-#: Of each family with versions, what one of must stand in a text that names it.
+#: Of each family, what one of must stand in a text that names it.
 NAMES = {
     "apache": (" apache",), "gpl": (" gpl", "general public licen"), "lgpl": (" lgpl", "general public licen"), "agpl": (" agpl", " affero"), "gfdl": (" gfdl", "free documentation"), "mpl": (" mpl", "mozilla public"), "epl": (" epl", "eclipse public"),
     "cddl": (" cddl", "common development"), "eupl": (" eupl", "european union public"), "bsl": (" bsl", "boost software"), "artistic": (" artistic",), "afl": (" afl", "academic free"), "osl": (" osl", "open software"), "ofl": (" ofl", "open font"),
     "busl": (" busl", "business source"), "sspl": (" sspl", "server side public"), "elastic": ("elastic licen",), "cecill": (" cecill",), "zpl": (" zpl", "zope public"), "odbl": (" odbl", "database licen"),
+    "mit": (" mit ", " x11 ", " expat "), "isc": (" isc ",), "zlib": (" zlib ",), "bsd-2": ("bsd ",), "bsd-3": ("bsd ",), "bsd": ("bsd ",), "wtfpl": (" wtfpl ", "do what the"), "beerware": (" beer",), "postgresql": (" postgresql ",),
+    "python": ("python software foundation", " psf "), "php": (" php ",), "ruby": (" ruby ",), "unlicense": (" unlicense ",),
 }
 #: (label, regex, keyword): wordings that name no family.
 WORDINGS = (
@@ -115,12 +117,12 @@ def signatures() -> tuple[Signature, ...]:
         for number, suffix in versions:
             joined = f"{words}(?:(?: licen[sc]e)? (?:version |v ?)?|v?){number}"
             add(name + suffix, f"(?:the )?{joined}(?: or (?:any )?later)?(?: licen[sc]e)?", NAMES[name], 40, 0.85)
-            add(name + suffix, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{joined}", "under", 45, 0.95)
-            add(name + suffix, f"spdx license identifier {name} {number}(?: only| or later)?", "spdx", 90, 1.0)
-        add(name, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{words}(?: licen[sc]e)?", "under", 35, 0.9)
-        add(name, f"(?:the )?{words} licen[sc]e", "licen", 30, 0.75)
-        add(name, f"licen[sc]e (?:is )?{words}", "licen", 20, 0.6)
-        add(name, f"spdx license identifier {name.replace('-', ' ')}", "spdx", 85, 1.0)
+            add(name + suffix, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{joined}", NAMES[name], 45, 0.95)
+            add(name + suffix, f"spdx license identifier {name} {number}(?: only| or later)?", "spdx license identifier", 90, 1.0)
+        add(name, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{words}(?: licen[sc]e)?", NAMES[name], 35, 0.9)
+        add(name, f"(?:the )?{words} licen[sc]e", NAMES[name], 30, 0.75)
+        add(name, f"licen[sc]e (?:is )?{words}", NAMES[name], 20, 0.6)
+        add(name, f"spdx license identifier {name.replace('-', ' ')}", "spdx license identifier", 85, 1.0)
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
 
