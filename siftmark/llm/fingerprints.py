@@ -104,7 +104,8 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and the next document's.
 
     One shuffle: ranges of doc_id, whose first keys are known, so a row that opens a range is sent to the range before it too.
-    Null ids come first; equal ids are ordered by text.
+    Null ids come first; equal ids are ordered by text. Null text is empty, with an empty sketch; a table of one row is its own
+    next one, and an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     parts, bounds = ordered_parts(docs, "doc_id", partitions(spark))

@@ -416,7 +416,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have an empty set and stay alone under their own id. Texts of fewer than five words are one shingle
     and link to texts with the same words. Repeated rows and copies are in one component; rows without id take part, and a
-    component of such rows alone has a null id. Other columns of docs are not read.
+    component of such rows alone has a null id. A very long text sends keys in proportion to its shingles, and is compared whole.
+    An empty table gives no rows. Other columns of docs are not read.
     """
     folder, n = shared_dir(docs.sparkSession, "near-duplicates"), partitions(docs.sparkSession)
     classified(docs, folder).write.parquet(f"{folder}/named")

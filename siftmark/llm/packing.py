@@ -113,7 +113,8 @@ def pack(df: DataFrame, tokenizer: str, spaced: bool, end: int, limits: tuple[in
 
     An example's ids are its prompt's, if a column is named, its text's and the end id; the prompt bears no loss. Null texts are
     empty: just the end id. Each input partition is packed by itself, without a shuffle; its rest is closed at powers of two.
-    Repeated ids are packed as often as they occur. sequence_id is the partition's number times 2**32, plus a count.
+    Repeated ids are packed as often as they occur; of examples that fit equally well the one that waits longest goes first. An
+    empty table gives no rows. A very long example is cut over many sequences. sequence_id is the partition's number times 2**32, plus a count.
     """
     prepare(df.sparkSession)
     names = ["start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
