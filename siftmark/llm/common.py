@@ -107,16 +107,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A word's hash is a polynomial of its bytes, which prefix sums give for all words of many texts at once.
 RADIX = 0x9E3779B97F4A7C15
 WHITE = np.array([c in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
+TURN = 1 << 16  # bytes hashed at once
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """The first powers of the radix and of its inverse modulo 2**64, kept for later calls up to some MB."""
+    """The first powers of the radix and of its inverse modulo 2**64, kept for later calls up to 32 MB."""
     if len(_powers[0]) >= n:
         return _powers
     n = 1 << n.bit_length()
     made = [np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(r))])) for r in (RADIX, pow(RADIX, -1, 2**64))]
-    if n <= 1 << 23:
+    if n <= 1 << 21:
         _powers[:] = made
     return made
 
@@ -128,9 +129,17 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     white = WHITE[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = powers(len(data) + 1)
-    sums = np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)])])
-    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64)
+    h = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):  # in turns whose arrays stay in the processor's cache
+        low = starts[i]
+        k = max(i + 1, int(np.searchsorted(ends, low + TURN, "right")))
+        a, z = starts[i:k] - low, ends[i:k] - low
+        power, inverse = powers(int(z[-1]) + 1)
+        sums = np.zeros(int(z[-1]) + 1, U64)
+        np.cumsum((data[low : low + z[-1]].astype(U64) + U64(1)) * power[: z[-1]], out=sums[1:])
+        h[i:k] = (sums[z] - sums[a]) * inverse[a] + (z - a).astype(U64)
+        i = k
     last = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
     return mix(mix(h) + U64(1)), np.diff(np.concatenate([[0], np.searchsorted(starts, last)]))
 
