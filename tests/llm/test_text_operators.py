@@ -493,3 +493,19 @@ def test_the_cascade_skips_rules_behind_the_first_that_fails(spark):
     before = seen.value
     assert out.where("rejected_by = 'cheap'").count() == 90
     assert seen.value - before == 10
+
+
+def test_word_hashes_do_not_depend_on_the_turns(monkeypatch):
+    from siftmark.llm import common
+
+    raws = [b"", b" \n ", b"One two\tTHREE", b"x" * 300_000 + b" one", "é ½ one".encode(), b"word " * 50_000, b"one"]
+    h, n = common.word_hashes(raws)
+    assert n.tolist() == [len(r.split()) for r in raws]
+    for turn in (7, 1 << 30):
+        monkeypatch.setattr(common, "TURN", turn)
+        again = common.word_hashes(raws)
+        assert (again[0] == h).all() and again[1].tolist() == n.tolist()
+    words = [w.lower() for r in raws for w in r.split()]
+    by = dict(zip(words, h.tolist()))
+    assert [by[w] for w in words] == h.tolist() and len(set(by.values())) == len(by)
+    assert [x.tolist() for x in common.word_hashes([])] == [[], []]
