@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -104,44 +105,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-#: A word's hash is a polynomial of its bytes, which prefix sums give for all words of many texts at once.
-RADIX = 0x9E3779B97F4A7C15
 WHITE = np.array([c in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
-TURN = 1 << 16  # bytes hashed at once
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+TURN = 1 << 15  # words hashed at once
+SHORT = 64  # bytes; longer words are hashed one by one
+MASKS = np.array([*((1 << 8 * i) - 1 for i in range(8)), 2**64 - 1], U64)  # of the first i of eight bytes
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The first powers of the radix and of its inverse modulo 2**64, kept for later calls up to 32 MB."""
-    if len(_powers[0]) >= n:
-        return _powers
-    n = 1 << n.bit_length()
-    made = [np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(r))])) for r in (RADIX, pow(RADIX, -1, 2**64))]
-    if n <= 1 << 21:
-        _powers[:] = made
-    return made
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; for all places but the last seven."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of some spans of the bytes `data`, which go on for eight bytes behind the last span.
+
+    Eight bytes at a time are mixed into all spans that are not over yet; spans over SHORT bytes go to xxh3. Neither is a
+    polynomial, whose collisions modulo 2**64 can be written down.
+    """
+    h = size.astype(U64) * U64(0x9E3779B97F4A7C15)
+    words = eights(data)
+    live, k = (slice(None) if not len(size) or size.max() <= SHORT else np.flatnonzero(size <= SHORT)), 0
+    while k < SHORT:
+        left = size[live] - k
+        h[live] = mix(h[live] ^ (words[starts[live] + k] & MASKS[np.minimum(left, 8)]))
+        k += 8
+        live = np.flatnonzero((size > k) & (size <= SHORT)) if isinstance(live, slice) else live[left > 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return h
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, with A-Z as a-z, and how many words each text has."""
-    joined = b"\n".join([b"", *raws, b""]).translate(LOWER)
-    data = np.frombuffer(joined, np.uint8)
+    data = np.frombuffer(b"\n".join([b"", *raws, b"\n" * 8]).translate(LOWER), np.uint8)
     white = WHITE[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
+    starts, size = edge[0::2], edge[1::2] - edge[0::2]
     h = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):  # in turns whose arrays stay in the processor's cache
-        low = starts[i]
-        k = max(i + 1, int(np.searchsorted(ends, low + TURN, "right")))
-        a, z = starts[i:k] - low, ends[i:k] - low
-        power, inverse = powers(int(z[-1]) + 1)
-        sums = np.zeros(int(z[-1]) + 1, U64)
-        np.cumsum((data[low : low + z[-1]].astype(U64) + U64(1)) * power[: z[-1]], out=sums[1:])
-        h[i:k] = (sums[z] - sums[a]) * inverse[a] + (z - a).astype(U64)
-        i = k
+    for i in range(0, len(starts), TURN):  # in turns whose arrays stay in the processor's cache
+        h[i : i + TURN] = span_hashes(data, starts[i : i + TURN], size[i : i + TURN])
     last = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
-    return mix(mix(h) + U64(1)), np.diff(np.concatenate([[0], np.searchsorted(starts, last)]))
+    return h, np.diff(np.concatenate([[0], np.searchsorted(starts, last)]))
 
 
 def shingles(h: np.ndarray, width: int = 5) -> np.ndarray:

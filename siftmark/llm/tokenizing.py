@@ -11,6 +11,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .common import MASKS, SHORT, U64, eights, span_hashes
+
 #: Where the libraries' white-space classes may differ, or control characters join words: such texts are encoded whole.
 ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏    　﻿]")
 #: A cut before white space that follows other characters never parts a token of these tokenizers.
@@ -21,9 +23,6 @@ CUT = re.compile(r"(?<=\S)\s")
 PLAIN = re.compile(r"[^\t\n\x20-&(-~¡-©«-´¶-¹»-ÿ]")
 #: Class of a Latin-1 byte: 0 for white space, 1 for letters, 2 for others.
 CLASS = np.array([0 if c in b"\t\n " else 1 if re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ]", chr(c)) else 2 for c in range(256)], np.uint8)
-U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
-INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Chunks that may be encoded side by side in one text, as no token reaches over the separator, nor makes one with it.
 BESIDE = re.compile(r" ?[!-}]+")
 
@@ -35,13 +34,14 @@ def load(name: str) -> Tokenizer:
 
 
 class Runs:
-    """Chunk hashes and their ids in flat arrays: a table with linear probing, which whole batches ask at once."""
+    """Chunks, their hashes and their ids in flat arrays: a table with linear probing, which whole batches ask at once."""
 
     def __init__(self, bits: int = 20):
         self.bits = bits
         self.key, self.entry = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
         self.first, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-        self.n = self.used = 0
+        self.place, self.length, self.raw = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint8)
+        self.n = self.used = self.filled = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -55,18 +55,42 @@ class Runs:
             live, at = live[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """New distinct hashes, each with its ids."""
+    def same(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether each entry's chunk is the span of `data`, byte by byte."""
+        ok = self.length[entry] == length
+        mine, given = eights(self.raw), eights(data)
+        live, k = np.flatnonzero(ok & (length <= SHORT)), 0
+        while len(live):
+            left = length[live] - k
+            equal = (mine[self.place[entry[live]] + k] ^ given[starts[live] + k]) & MASKS[np.minimum(left, 8)] == 0
+            ok[live[~equal]] = False
+            live, k = live[equal & (left > 8)], k + 8
+        for i in np.flatnonzero(ok & (length > SHORT)).tolist():
+            at = self.place[entry[i]]
+            ok[i] = np.array_equal(self.raw[at : at + length[i]], data[starts[i] : starts[i] + length[i]])
+        return ok
+
+    def store(self, raws: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """Entries for chunks, each with its ids; the table does not lead to them."""
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        while self.n + len(h) > len(self.first):
-            self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
+        length = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat, raw = np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(raws), np.uint8)
+        while self.n + len(ids) > len(self.first):
+            self.first, self.size, self.place, self.length = (np.concatenate([x, x]) for x in (self.first, self.size, self.place, self.length))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        mine = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        while self.filled + len(raw) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, self.raw])
+        mine = np.arange(self.n, self.n + len(ids), dtype=np.int32)
         self.first[mine], self.size[mine] = self.used + np.cumsum(size) - size, size
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.n, self.used = self.n + len(h), self.used + len(flat)
+        self.place[mine], self.length[mine] = self.filled + np.cumsum(length) - length, length
+        self.ids[self.used : self.used + len(flat)], self.raw[self.filled : self.filled + len(raw)] = flat, raw
+        self.n, self.used, self.filled = self.n + len(ids), self.used + len(flat), self.filled + len(raw)
+        return mine
+
+    def add(self, h: np.ndarray, raws: list[bytes], ids: list[bytes]) -> None:
+        """New distinct hashes, each with its chunk and ids."""
+        mine = self.store(raws, ids)
         at = (h >> U64(64 - self.bits)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.entry[at] < 0)
@@ -86,7 +110,7 @@ class Chunks:
     """Texts to ids by chunks: Latin-1 texts are cut, hashed and looked up in numpy, and only chunks that are not known reach each().
 
     kinds gives each byte's class: 0 joins the chunk that follows, or none if not spaced; 3 is a chunk by itself; runs of each
-    other class are chunks. The memory of chunks is bounded. They are told apart by 64-bit hashes and lengths.
+    other class are chunks. The memory of chunks is bounded. They are found by hashes and told apart by their bytes.
     """
 
     most, step = 400_000, 1 << 17
@@ -94,14 +118,14 @@ class Chunks:
 
     def __init__(self) -> None:
         self.runs = Runs()
-        self.power, self.inverse = np.ones(1, U64), np.ones(1, U64)
 
     def each(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
     def plain(self, raws: list[bytes]) -> list[bytes]:
         """Ids of Latin-1 texts."""
-        data = np.frombuffer(b"".join(raws), np.uint8)
+        padded = np.frombuffer(b"".join([*raws, b"\n" * 8]), np.uint8)
+        data = padded[:-8]
         length = np.fromiter(map(len, raws), np.int64, len(raws))
         begin = np.cumsum(length) - length
         kind = self.kinds[data]
@@ -120,33 +144,32 @@ class Chunks:
         if not self.spaced:
             word = kind[starts] != 0
             starts, ends = starts[word], ends[word]
-        if len(self.power) <= len(data):
-            self.power = np.cumprod(np.concatenate([[U64(1)], np.full(len(data) + 1, BASE)]))
-            self.inverse = np.cumprod(np.concatenate([[U64(1)], np.full(len(data) + 1, INVERSE)]))
-        sums = np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * self.power[: len(data)])])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64)
-        h = (h ^ (h >> U64(32))) * BASE
-        h ^= h >> U64(29)
-        h *= BASE
+        size = ends - starts
+        h = span_hashes(padded, starts, size)
         entry = self.runs.find(h)
         lost = np.flatnonzero(entry < 0)
         if len(lost):
             new, one = np.unique(h[lost], return_index=True)
             one = lost[one]
-            if (self.runs.n + len(new) > self.most or self.runs.used > 1 << 23) and self.runs.n:
+            if (self.runs.n + len(new) > self.most or max(self.runs.used, self.runs.filled) > 1 << 23) and self.runs.n:
                 self.runs = Runs(max(20, (2 * len(new)).bit_length()))
                 return self.plain(raws)
             if 2 * (self.runs.n + len(new)) > 1 << self.runs.bits:
                 self.runs = Runs((2 * len(new)).bit_length() + 1)
                 return self.plain(raws)
-            text = data.tobytes().decode("latin-1")
-            chunks = [text[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            whole = data.tobytes()
+            spans = [whole[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            chunks = [x.decode("latin-1") for x in spans]
             beside = np.fromiter((BESIDE.fullmatch(c) is not None for c in chunks), bool, len(chunks))
             for some in (np.flatnonzero(beside), np.flatnonzero(~beside)):
                 for i in range(0, len(some), 4000):
-                    part = some[i : i + 4000]
-                    self.runs.add(new[part], self.each([chunks[k] for k in part.tolist()]))
+                    part = some[i : i + 4000].tolist()
+                    self.runs.add(new[part], [spans[k] for k in part], self.each([chunks[k] for k in part]))
             entry[lost] = self.runs.find(h[lost])
+        other = np.flatnonzero(~self.runs.same(entry, padded, starts, size))
+        if len(other):  # chunks whose hash another chunk has
+            spans = [padded[a:z].tobytes() for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
+            entry[other] = self.runs.store(spans, self.each([x.decode("latin-1") for x in spans]))
         ids, size = self.runs.flat(entry)
         at = 4 * np.concatenate([[0], np.cumsum(size)])
         cuts = at[np.searchsorted(starts, np.append(begin, len(data)))].tolist()
