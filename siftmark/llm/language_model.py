@@ -27,6 +27,7 @@ from .common import U64, map_file, mix, packed, partitions, prepare, release, sh
 
 END = U64(0x243F6A8885A308D3)  # the hash of the token after each text
 ORDER = 3
+MOST_TYPES = 2**32 - 2  # two more ids stand for the space behind a text and for unknown words
 STEPS, DEEPEST = 4096, 40.0  # of a logarithm: 12 bits from 1 down to exp(-40)
 CODE = 12
 STEP = 3 << 20  # bytes of text that are taken at once
@@ -497,6 +498,8 @@ def train(texts: DataFrame, folder: str, order: int = ORDER) -> Model:
     count_words(texts, f"{folder}/words", n).write.parquet(f"{folder}/word-files")
     files = {r["shard"]: r for r in spark.read.parquet(f"{folder}/word-files").collect()}
     vocabulary = Vocabulary(f"{folder}/words", [files[s]["types"] if s in files else 0 for s in range(n)])
+    if vocabulary.first[-1] > MOST_TYPES:
+        raise ValueError(f"{vocabulary.first[-1]} distinct words are more than the {MOST_TYPES} that ids of 32 bits can name")
     tokens = sum(r["tokens"] for r in files.values())
     hot, hot_counts = frequent(vocabulary, spark, tokens)
     count_grams(texts, vocabulary, hot, f"{folder}/trie", order, n).write.parquet(f"{folder}/trie-files")

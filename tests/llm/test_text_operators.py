@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftmark.llm import binary_ids, fingerprints, licenses, packing, pieces, quality, registry, rollups, secrets
@@ -509,3 +510,47 @@ def test_word_hashes_do_not_depend_on_the_turns(monkeypatch):
     by = dict(zip(words, h.tolist()))
     assert [by[w] for w in words] == h.tolist() and len(set(by.values())) == len(by)
     assert [x.tolist() for x in common.word_hashes([])] == [[], []]
+
+
+def test_words_that_polynomials_mix_up(spark, odd_dir):
+    from conftest import OTHER_TWIN, TWIN
+
+    from siftmark.llm import common, jaccard, language_model
+
+    words = [TWIN, OTHER_TWIN, *(TWIN[:k] for k in (8, 16, 64, 65, 1024)), *(OTHER_TWIN[:k] for k in (8, 16, 64, 65, 1024)), "a", "b", "a" * 8, "a" * 9, "\x00", "\x00\x00"]
+    assert len(set(common.word_hashes([w.encode() for w in words])[0].tolist())) == len(words)
+    by = {r.doc_id: r for r in jaccard.op10_ngram_jaccard(spark, odd_dir).where("doc_id BETWEEN 13 AND 16").collect()}
+    assert all(by[i].component_id == i for i in by) and len(by) == 4
+    by = {r.doc_id: r for r in fingerprints.op9_document_fingerprints(spark, odd_dir).where("doc_id BETWEEN 13 AND 16").collect()}
+    assert by[13].near_next == by[14].near_next == 0
+    model = language_model.train(spark.createDataFrame([(TWIN,)], "text string"), common.shared_dir(spark, "twins"))
+    n = {r.doc_id: r.n_known for r in language_model.score(spark.createDataFrame([(1, TWIN), (2, OTHER_TWIN)], "doc_id long, text string"), model).collect()}
+    assert n == {1: 2, 2: 1}  # the word and the end; the end only
+
+
+def test_chunks_of_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(tokenizing, "span_hashes", lambda data, starts, size: np.full(len(starts), 7, np.uint64))
+    coder = tokenizing.Encoder("byte_bpe_50k.json", True, 0)
+    texts = ["one two three one", "two " + "x" * 100 + " " + "x" * 99 + "y", "three two", "-" * 80]
+    for _ in range(2):
+        got = coder.encode(texts)
+        want = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*e.ids, 0] for e in want]
+
+
+def test_sampled_files_are_read_by_their_own_reader(spark, tmp_path):
+    spark.range(40).selectExpr("id", "'some, words' AS body").repartition(10).write.csv(f"{tmp_path}/a b", header=True)
+    df = spark.read.csv(f"{tmp_path}/a b", header=True).select(F.col("body").alias("text"), "id")
+    some = quality.some_files(df)
+    assert 0 < some.count() < 40 and {r.text for r in some.collect()} == {"some, words"}
+    assert quality.cascade(df).count() == 40
+    joined = df.join(df.select(F.col("id").alias("id")), "id")
+    assert quality.some_files(joined).count() == 40
+
+
+def test_too_many_words_for_the_ids(spark, monkeypatch):
+    from siftmark.llm import common, language_model
+
+    monkeypatch.setattr(language_model, "MOST_TYPES", 2)
+    with pytest.raises(ValueError, match="distinct words"):
+        language_model.train(spark.createDataFrame([("a b c",)], "text string"), common.shared_dir(spark, "many"))
