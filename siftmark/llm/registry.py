@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, fingerprints, jaccard, language_model, licenses, packing, pieces, quality, rollups, secrets
+from . import binary_ids, conversations, fingerprints, jaccard, language_model, licenses, packing, pieces, quality, rollups, secrets, sharding, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         rollups.op8_token_counts,
         fingerprints.op9_document_fingerprints,
         jaccard.op10_ngram_jaccard,
+        conversations.op11_conversation_trie,
+        sharding.op12_sharding,
+        whitening.op13_whitening,
     )
 }
-ORACLES = {"op3_quality_rules": quality.OP3_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op11_conversation_trie": conversations.OP11_SQL, "op12_sharding": sharding.op12_sql()}

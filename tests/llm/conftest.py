@@ -18,13 +18,19 @@ def odd_dir(spark, tmp_path_factory):
     rows = [(i, t, None if i == 7 else "en", "src0", len(t or ""), 1, "x", b"y") for i, t in ODD_ROWS]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, part int, p string, ids binary").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(3, 1, 0), (1, 0, 1), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    said = [(0, 1, "user", "Hi  there"), (0, None, "system", "first"), (0, 2, None, "no role"), (0, 3, "user", None), (0, 3, "user", None), (1, 0, "user", "own"), (1, 1, "a", "two\n words"), (1, 1, "a", "tie"), (2, 0, "system", "first"), (2, 1, "user", "Hi  there"), (20, 5, "", ""),
+            (None, 0, "user", "lost"), (25, 0, "user", "same"), (26, 0, "user", "same"), (27, 0, "user", "same"), (28, 0, "users", "ame"), (-7, 0, "user", "below"), (-7, 1, "user", "below"), (47, 0, "x", "base is absent"), *((33, k, "user", f"turn {k}") for k in range(300)), *((34, k, "user", f"turn {k}") for k in range(299)), (9_000_000_019, 0, "user", "far")]
+    spark.createDataFrame([(*x, "k", 1) for x in said], "conv_id long, turn long, role string, text string, key string, words int").write.parquet(f"{d}/conversations.parquet")
+    nan, inf = float("nan"), float("inf")
+    vectors = [(1, [1.0, 2.0, -3.0]), (2, [1.0, 2.0, -3.0]), (3, [1.004, 2.0, -3.0]), (4, [0.5, -0.01, 9.0]), (5, [-2.0, 7.5, 0.0]), (6, None), (7, [1.0, None, 2.0]), (8, [nan, 1.0, 1.0]), (9, [inf, 0.0, 0.0]), (10, []), (None, [3.0, 3.0, 3.0]), (5, [-2.0, 7.5, 0.0]), (11, [0.0, 0.0, 0.25]), (12, [4.0, -4.0, 1.0])]
+    spark.createDataFrame([(*x, 1, "w") for x in vectors], "vec_id long, embedding array<float>, label int, x string").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").where("false").write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
