@@ -15,6 +15,7 @@ POSIX = {
 REPEAT = re.compile(r"\{(\d+)(?:(,)(\d*))?\}")
 FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]+))?([:)])")
 NAMED = re.compile(r"\(\?P?<[A-Za-z_]\w*>")
+BACK = re.compile(r"\(\?P=(\w+)\)")
 ESCAPE = re.compile(r"\\(?:[pP](?:\{\^?\w+\}|\w)|x(?:\{[0-9A-Fa-f]+\}|[0-9A-Fa-f]{2})|[uU][0-9A-Fa-f]+|.)", re.S)
 
 
@@ -27,6 +28,7 @@ class Reader:
         self.p, self.i, self.dialect, self.sets = pattern, 0, dialect, SETS[dialect]
         self.word = f"[{self.sets['w']}]"
         self.lines = False  # whether $ ends lines
+        self.groups, self.names = 0, {}  # capturing groups so far, and which of them have names
 
     def java(self) -> str:
         out: list[str] = ["(?d)"]
@@ -101,9 +103,16 @@ class Reader:
 
     def group(self) -> str:
         m = NAMED.match(self.p, self.i)
-        if m:  # only whole matches count here, so names need not live
-            self.i = m.end()
+        if m:  # only whole matches count here, so names live on as numbers
+            self.i, self.groups = m.end(), self.groups + 1
+            self.names[m[0].split("<")[1][:-1]] = self.groups
             return "("
+        m = BACK.match(self.p, self.i)
+        if m and self.dialect == "python":
+            if m[1] not in self.names:
+                raise Refused(f"unknown group {m[1]}")
+            self.i = m.end()
+            return rf"(?:\{self.names[m[1]]})"
         m = FLAGS.match(self.p, self.i)
         if m and (m[1] or m[2] or m[3] == ":"):
             on, off = m[1], m[2] or ""
@@ -121,7 +130,7 @@ class Reader:
             n = 4 if self.p[self.i + 2] == "<" else 3
             self.i += n
             return self.p[self.i - n : self.i]
-        self.i += 1
+        self.i, self.groups = self.i + 1, self.groups + 1
         return "("
 
     def escape(self) -> tuple[str, bool]:
@@ -166,36 +175,52 @@ class Reader:
 
     def klass(self) -> tuple[str, bool]:
         self.i += 1
-        out, words, nested = [], True, False
+        out, words, complements = [], True, []  # complements: of which sets the class has all others
         negated = self.p.startswith("^", self.i)
         self.i += negated
-        first = True
+        first, kinds = True, []  # of the items: a character or a set
         while first or not self.p.startswith("]", self.i):
             if self.i >= len(self.p):
                 raise Refused("missing ]")
             first = False
             c = self.p[self.i]
             m = re.compile(r"\[:(\^?)(\w+):\]").match(self.p, self.i) if self.dialect == "re2" else None
+            ranged = kinds[-1:] == ["-"] and kinds[-2:-1] == ["char"] and kinds[-3:-2] != ["-"]  # a range whose end comes now
             if m:
                 if m[2] not in POSIX:
                     raise Refused(f"class {m[0]}")
                 self.i = m.end()
-                out.append(f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]])
+                if m[1]:
+                    complements.append(POSIX[m[2]])
+                else:
+                    out.append(POSIX[m[2]])
                 words &= m[2] in ("alnum", "alpha", "digit", "lower", "upper", "word", "xdigit") and not m[1]
-                nested |= bool(m[1])
+                kinds.append("set")
             elif c == "\\":
                 got, kind = self.one()
-                nested |= got.startswith("^")
-                out.append(f"[{got}]" if got.startswith("^") else got)
+                if got.startswith("^"):
+                    complements.append(got[1:])
+                else:
+                    out.append(got)
                 words &= kind in ("w", "d")
+                kinds.append("set" if kind in ("w", "d", "set") or got[:2] in (r"\p", r"\P") else "char")
             else:
                 self.i += 1
+                if c == "-" and kinds and kinds[-1] == "set" and not self.p.startswith("]", self.i):
+                    if self.dialect == "python":
+                        raise Refused("a range that starts with a set")
+                    c = r"\-"
                 out.append("\\" + c if c in "[]&^~#" or c.isspace() and c == " " else c)
                 words &= c.isascii() and (c.isalnum() or c == "_" or c == "-" and 1 < len(out) and not self.p.startswith("]", self.i))
+                kinds.append("-" if c == "-" else "char")
+            if ranged and kinds[-1] == "set":
+                raise Refused("a range that ends with a set")
         self.i += 1
-        if negated and nested:
-            raise Refused("a negated class inside a negated class")
-        return f"[{'^' * negated}{''.join(out)}]", words and not negated
+        if not complements:
+            return f"[{'^' * negated}{''.join(out)}]", words and not negated
+        if not negated:
+            return f"[{''.join(out)}{''.join(f'[^{x}]' for x in complements)}]", False
+        return "[" + "&&".join([*([f"[^{''.join(out)}]"] if out else []), *(f"[{x}]" for x in complements)]) + "]", False
 
 
 def to_java(pattern: str, dialect: str = "re2") -> str:

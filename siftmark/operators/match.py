@@ -6,8 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dialect
-from ..functions.dialect import to_java
+from ..functions import dialect, literals
+from ..functions.dialect import check, to_java
 from ..functions.fixed import BUILTIN_RULES, LABEL_HINTS
 from ..functions.hashing import is_card
 
@@ -18,10 +18,21 @@ def matches(text: Column, pattern: str, dialect: str = "re2", card: bool = False
     return F.filter(found, is_card) if card else found
 
 
+def match_count(text: Column, folded: Column, pattern: str, dialect: str = "re2", card: bool = False) -> Column:
+    """How many matches there are; the pattern runs only where one of the literals that its matches need stands in the folded text."""
+    n, may = F.size(matches(text, pattern, dialect, card)), literals.gate(folded, pattern, dialect)
+    return n if may is None else F.when(may, n).otherwise(0)
+
+
 def content_scan(df: DataFrame, key: str, text: str = "text", rules=BUILTIN_RULES, dialect: str = "re2") -> DataFrame:
-    """(key, rule_name, risk_level, match_count) of the rules that match; matched values stay inside."""
-    hits = [F.struct(F.lit(n).alias("rule_name"), F.lit(r).alias("risk_level"), F.size(matches(F.col(text), p, dialect, n == "bank_card")).alias("match_count")) for n, p, r in rules]
-    return df.select(key, F.inline(F.filter(F.array(*hits), lambda h: h.match_count > 0)))
+    """(key, rule_name, risk_level, match_count) of the rules that match; matched values stay inside, rules with a refused pattern match nothing."""
+    bad = check(df.sparkSession, [p for _, p, _ in rules], dialect)
+    t, folded = F.col("t"), F.col("folded")
+    hits = [F.struct(F.lit(n).alias("rule_name"), F.lit(r).alias("risk_level"), match_count(t, folded, p, dialect, n == "bank_card").alias("match_count")) for n, p, r in rules if p not in bad]
+    if not hits:
+        hits = [F.struct(F.lit("").alias("rule_name"), F.lit("").alias("risk_level"), F.lit(0).alias("match_count"))]
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t"), literals.folded(F.col(text)).alias("folded"))
+    return texts.select(F.col("k").alias(key), F.inline(F.filter(F.array(*hits), lambda h: h.match_count > 0)))
 
 
 def regex_test(text: Column, pattern: str, dialect_: str = "re2") -> Column:
@@ -41,9 +52,14 @@ def keyword_match(text: Column, words: list[str], min_hits: int = 1) -> Column:
     return F.size(keyword_hits(text, words)) >= max(1, min_hits) if words else F.lit(False)
 
 
-def combined_match(text: Column, conditions: list[tuple], logic: str = "AND", dialect: str = "re2") -> Column:
-    """conditions: ("keyword", words, least hits) or ("regex", pattern). Another logic or type of condition never holds."""
-    parts = [keyword_match(text, c[1], c[2]) if c[0] == "keyword" else F.regexp_like(text, F.lit(to_java(c[1], dialect))) if c[0] == "regex" else F.lit(False) for c in conditions]
+def pattern_match(text: Column, folded: Column | None, pattern: str, dialect: str = "re2") -> Column:
+    found, may = F.regexp_like(text, F.lit(to_java(pattern, dialect))), None if folded is None else literals.gate(folded, pattern, dialect)
+    return found if may is None else F.when(may, found).otherwise(F.lit(False))
+
+
+def combined_match(text: Column, conditions: list[tuple], logic: str = "AND", dialect: str = "re2", folded: Column | None = None) -> Column:
+    """conditions: ("keyword", words, least hits), ("regex", pattern) or ("holds", a column). Another logic or type of condition never holds."""
+    parts = [keyword_match(text, c[1], c[2]) if c[0] == "keyword" else c[1] if c[0] == "holds" else pattern_match(text, folded, c[1], dialect) if c[0] == "regex" else F.lit(False) for c in conditions]
     if not parts or logic not in ("AND", "OR"):
         return F.lit(False)
     return reduce(lambda a, b: a & b if logic == "AND" else a | b, parts)

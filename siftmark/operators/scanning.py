@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, literals
 from ..functions.fixed import LABEL_HINTS, SAMPLE_HIT
 from ..sources import extract
-from . import match, search
+from . import match, search, words
 
 RULE = "rule_id string, rule_name string, sensitive_type string, risk_level string"
 HITS = {
@@ -45,18 +45,38 @@ def constant(values: list, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), schema)
 
 
-def compiled(text: Column, rules: list[dict], dialect: str, bad: dict[str, str]) -> dict[str, Column]:
+#: A library with more distinct words than this looks them up in a table of their bytes, in one pass over each text.
+MANY = 256
+
+
+def word_lists(rules: list[dict], labels: dict[str, list[str]]) -> dict[str, tuple[list[str], int]]:
+    """By name, the lists of words that a library asks for, and how many of a list a text must hold."""
+    out = {f"rule {i}": (list(dict.fromkeys(r["content"]["keywords"])), max(1, r["content"].get("min_hits", 1))) for i, r in enumerate(rules) if r["rule_type"] == "keyword" and r["content"].get("keywords")}
+    for r in rules:
+        for x in r["content"].get("conditions", []) if r["rule_type"] == "combined" else []:
+            if x.get("type") == "keyword" and x["value"]:
+                out[condition(x)] = (x["value"], max(1, x.get("min_hits", 1)))
+    return out | {f"label {k}": (v, 1) for k, v in labels.items()}
+
+
+def condition(x: dict) -> str:
+    return f"condition {json.dumps([x['value'], x.get('min_hits', 1)], ensure_ascii=False)}"
+
+
+def compiled(text: Column, folded: Column, rules: list[dict], dialect: str, bad: dict[str, str], numbers: dict[str, int] | None = None) -> dict[str, Column]:
     """By kind, the rules that match, as an array in rule order; those with a bad pattern or without words never do.
 
     Each distinct pattern is evaluated once and each distinct word once, however many rules have it; the rules themselves are
-    constant data that the indices of what has matched select.
+    constant data that the indices of what has matched select. A pattern runs only over texts whose folded form has a literal
+    that it needs. numbers: of the word_lists(), where the columns held and hit
+    already tell which words and lists the text holds.
     """
     named = [(i, r, {"ord": i, "rule_id": r["rule_id"], "rule_name": r["content"].get("name", "" if r["rule_type"] == "regex" else r["rule_id"]), "sensitive_type": r["sensitive_type"], "risk_level": r["risk_level"]}) for i, r in enumerate(rules)]
     by_pattern: dict[tuple[str, bool], list[dict]] = {}
     for _, r, head in named:
         if r["rule_type"] == "regex" and r["content"].get("pattern") and r["content"]["pattern"] not in bad:
             by_pattern.setdefault((r["content"]["pattern"], head["rule_name"] == "bank_card"), []).append({**head, "pattern": r["content"]["pattern"]})
-    counts = F.array(*[F.size(match.matches(text, p, dialect, card)) for p, card in by_pattern]) if by_pattern else F.array().cast("array<int>")
+    counts = F.array(*[match.match_count(text, folded, p, dialect, card) for p, card in by_pattern]) if by_pattern else F.array().cast("array<int>")
     groups = constant(list(by_pattern.values()), f"array<array<struct<ord int, {RULE}, pattern string>>>")
     hit = F.filter(F.transform(counts, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda c: c.n > 0)
     fields = ("ord", "rule_id", "rule_name", "sensitive_type", "risk_level")
@@ -64,10 +84,14 @@ def compiled(text: Column, rules: list[dict], dialect: str, bad: dict[str, str])
 
     keyword = [({**head, "words": r["content"]["keywords"], "least": max(1, r["content"].get("min_hits", 1))}) for _, r, head in named if r["rule_type"] == "keyword" and r["content"].get("keywords")]
     conditions = [(head, r["content"]) for _, r, head in named if r["rule_type"] == "combined"]
-    words = list(dict.fromkeys([w for k in keyword for w in k["words"]] + [w for _, c in conditions for x in c.get("conditions", []) if x.get("type") == "keyword" for w in x["value"]]))
-    held = F.filter(constant(words, "array<string>"), lambda w: F.contains(text, w)) if words else F.array().cast("array<string>")
+    words = list(dict.fromkeys(w for k in keyword for w in k["words"]))
+    held = F.col("held") if numbers is not None else F.filter(constant(words, "array<string>"), lambda w: F.contains(text, w)) if words else F.array().cast("array<string>")
     own = lambda r: F.array_intersect(r.words, held)
     lists = constant(keyword, f"array<struct<ord int, {RULE}, words array<string>, least int>>")
+    if numbers is not None:  # only the rules whose list is hit are looked at
+        of_list = {numbers[f"rule {k['ord']}"]: i for i, k in enumerate(keyword)}
+        place = constant([of_list.get(n, -1) for n in range(len(numbers))], "array<int>")
+        lists = F.transform(F.filter(F.transform("hit", lambda n: F.get(place, n)), lambda i: i >= 0), lambda i: F.get(lists, i)) if keyword else lists
     found = F.transform(lists, lambda r: F.struct(*[r[f].alias(f) for f in fields], own(r).alias("keywords_matched"), r.least.alias("least"))) if keyword else None
     by_words = F.transform(F.filter(found, lambda r: F.size(r.keywords_matched) >= r.least), lambda r: F.struct(*[r[f].alias(f) for f in (*fields, "keywords_matched")])) if keyword else F.array().cast(HITS["keyword"])
 
@@ -77,7 +101,8 @@ def compiled(text: Column, rules: list[dict], dialect: str, bad: dict[str, str])
     holds = []
     for key in by_condition:
         parts, logic = json.loads(key)
-        holds.append(match.combined_match(text, [("keyword", x["value"], x.get("min_hits", 1)) if x.get("type") == "keyword" else ("regex", x["value"]) if x.get("type") == "regex" and x["value"] not in bad else ("never",) for x in parts], logic, dialect))
+        of = lambda x: ("holds", F.array_contains("hit", numbers[condition(x)])) if numbers is not None and x["value"] else ("keyword", x["value"], x.get("min_hits", 1))
+        holds.append(match.combined_match(text, [of(x) if x.get("type") == "keyword" else ("regex", x["value"]) if x.get("type") == "regex" and x["value"] not in bad else ("never",) for x in parts], logic, dialect, folded))
     groups2 = constant(list(by_condition.values()), f"array<array<struct<ord int, {RULE}>>>")
     true = F.filter(F.transform(F.array(*holds), lambda on, i: F.when(on, i)), lambda i: i.isNotNull()) if holds else F.array().cast("array<int>")
     combined = F.flatten(F.transform(true, lambda i: F.get(groups2, i))) if holds else F.array().cast(HITS["combined"])
@@ -134,15 +159,26 @@ def results(named: DataFrame, library: Library, dialect: str) -> DataFrame:
     """
     spark = named.sparkSession
     bad = match.dialect.check(spark, patterns(library.rules), dialect)
-    t = F.when(~F.col("sha_hit"), F.coalesce("text", F.lit(""))).otherwise("")
+    named = named.withColumn("searched", F.when(~F.col("sha_hit"), F.coalesce("text", F.lit(""))).otherwise("")).drop("text")
+    t = F.col("searched")
     hints = library.hints or LABEL_HINTS
     all_labels: list[str] = []
     if library.labels is not None:
         all_labels = [r[0] for r in library.labels.select(F.explode("semantic_labels").alias("x")).distinct().orderBy("x").collect()]
-    rules = compiled(t, library.rules, dialect, bad)
+    asked = word_lists(library.rules, {x: [*hints.get(x, []), x] for x in all_labels})
+    all_words, numbers = {w for ws, _ in asked.values() for w in ws}, None
+    if len(all_words) > MANY:
+        numbers = {k: i for i, k in enumerate(asked)}
+        named = words.sent(named, list(all_words), "searched", "held", list(asked.values()), "hit")
+        of_label = constant([x.removeprefix("label ") if x.startswith("label ") else None for x in asked], "array<string>")
+        labels_held = F.array_compact(F.transform("hit", lambda n: F.get(of_label, n)))
+    else:
+        labels_held = match.label_hits(t, all_labels, hints)
+    rules = compiled(F.col("searched"), F.col("folded"), library.rules, dialect, bad, numbers)
+    named = named.withColumn("folded", literals.folded(F.col("searched")))
     found = named.select(
         "path", "sha256", "sha_id", "sha_hit", "skip_reason", "extract_error", F.when(F.length(t) > 0, hashing.simhash(t)).alias("simhash"),
-        *[c.alias(k) for k, c in rules.items()], match.label_hits(t, all_labels, hints).alias("labels_held"),
+        *[c.alias(k) for k, c in rules.items()], labels_held.alias("labels_held"),
     )
     found = match.materialise(found)  # small rows without texts, read below more than once
     prints = library.fingerprints.select(F.col("sensitive_file_id").alias("sample_id"), hashing.simhash_bits(F.col("simhash")).alias("bits")).where("bits IS NOT NULL")

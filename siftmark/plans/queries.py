@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, hashing
 from ..functions.fixed import BUILTIN_RULES
-from ..operators import generate, library, match, scanning, search
+from ..operators import generate, library, match, scanning, search, words
 from ..operators.guard import guarded
 from ..sources import extract
 from ..streaming import events as ev
@@ -96,6 +96,23 @@ def keyword_match(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(hits).alias("n_hits"), F.array_join(hits, ",").alias("hits")).where("n_hits >= 2")
 
 
+def library_words(spark, d):
+    """All distinct words of documents as a library: how many of them each page holds, anywhere in its text."""
+    own = read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+    held = words.with_words(scanning.spread(read(spark, d, "pages").select("page_id", "html")), own, "page_id", "html")
+    return held.select("page_id", F.size("held").alias("n_words"), F.aggregate("held", F.lit(0), lambda n, w: n + F.length(w)).alias("n_chars"), F.array_min("held").alias("first_word"), F.array_max("held").alias("last_word"))
+
+
+#: A word without white space stands in a text if it is a part of one of the text's words.
+LIBRARY_WORDS_SQL = r"""
+WITH lib AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents),
+own AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '[^\x20\x09-\x0D]+')) AS t FROM pages),
+parts AS (SELECT DISTINCT t, substr(t, CAST(i AS INT), CAST(n AS INT)) AS word FROM (SELECT t, i, unnest(range(1, least(length(t) - i + 2, (SELECT max(length(word)) + 1 FROM lib)))) AS n FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT DISTINCT t FROM own)))),
+held AS (SELECT DISTINCT page_id, word FROM own JOIN parts USING (t) JOIN lib USING (word))
+SELECT page_id, CAST(count(word) AS INT) AS n_words, CAST(coalesce(sum(length(word)), 0) AS INT) AS n_chars, min(word) AS first_word, max(word) AS last_word FROM pages LEFT JOIN held USING (page_id) GROUP BY page_id
+"""
+
+
 def combined_match(spark, d):
     t = F.coalesce("text", F.lit(""))
     return read(spark, d, "documents").select("doc_id", match.combined_match(t, COMBINED).alias("both"), match.combined_match(t, COMBINED, "OR").alias("either"))
@@ -460,7 +477,7 @@ def rule_apply(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
+        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
         rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
         event_merge, event_alerts, event_filter, event_ranking, group_compare, top_users, trend, guarded_sql, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
@@ -477,6 +494,7 @@ ORACLES = {
     "duplicates": "SELECT doc_id, h AS sha256, f AS first_id FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER w AS n, first(doc_id) OVER w AS f FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)) WHERE n > 1",
     "fingerprint": f"SELECT item_id, sha256(text) AS sha256, simhash, CAST(octet_length(encode(text)) AS INT) AS text_length FROM benchmark JOIN ({SIMHASH_SQL.replace('doc_id', 'item_id').replace('documents', 'benchmark')}) USING (item_id)",
     "keyword_match": f"SELECT doc_id, CAST(len({_hits}) AS INT) AS n_hits, array_to_string({_hits}, ',') AS hits FROM documents WHERE len({_hits}) >= 2",
+    "library_words": LIBRARY_WORDS_SQL,
     "combined_match": f"SELECT doc_id, {_cond[0]} AND {_cond[1]} AS \"both\", {_cond[0]} OR {_cond[1]} AS either FROM documents",
     "semantic_labels": "SELECT doc_id, concat_ws('/', CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') OR contains(lower(text), 'secrets') THEN 'secrets' END, CASE WHEN contains(lower(text), 'license') THEN 'licenses' END, CASE WHEN contains(lower(text), 'cc-by') OR contains(lower(text), 'code') THEN 'code' END) AS labels FROM documents",
     "confidence_hist": f"SELECT report_id, confidence_level, count(*) AS n_results FROM ({REPORTED_SQL}) GROUP BY ALL",
