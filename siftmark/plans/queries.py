@@ -314,6 +314,58 @@ SELECT event_id, user_id, host_id, process_name, file_type, operation, window_st
 """.replace("\\\\", "\\")
 
 
+def event_allow(spark, d):
+    """Events whose file lies in no white-listed folder, and whose time in no white-listed range, of their user or of all."""
+    path = F.concat(F.lit("C:\\d"), (F.col("user_id") % 7).cast("string"), F.lit("\\s"), (F.col("event_id") % 9).cast("string"), F.lit("/f"), (F.col("event_id") % 50).cast("string"))
+    e = read(spark, d, "events").select("event_id", "ts", "user_id", path.alias("file_path"))
+    e = ev.allow_paths(e, spark.createDataFrame([("C:/d1",), ("C:\\d2\\s3\\",), ("C:\\d3\\s4\\f1",), ("C:/d",)], "prefix string"))
+    day = lambda n: F.expr(f"date_trunc('day', ts) + INTERVAL {n} HOURS")
+    of = e.groupBy("user_id").agg(F.min("ts").alias("ts")).where("user_id % 3 = 0")
+    own = of.select("user_id", day(5).alias("from_ts"), day(60).alias("to_ts"))
+    every = e.agg(F.min("ts").alias("ts")).select(F.lit(None).cast("long").alias("user_id"), day(100).alias("from_ts"), day(130).alias("to_ts"))
+    return ev.allow_times(e, own.unionByName(every)).select("event_id", "user_id")
+
+
+EVENT_ALLOW_SQL = r"""
+WITH p AS (SELECT event_id, ts, user_id, 'C:/d' || (user_id % 7) || '/s' || (event_id % 9) || '/f' || (event_id % 50) AS path FROM events),
+e AS (SELECT * FROM p WHERE NOT (starts_with(path, 'C:/d1/') OR starts_with(path, 'C:/d2/s3/') OR path = 'C:/d3/s4/f1')),
+own AS (SELECT user_id, date_trunc('day', min(ts)) AS d FROM e WHERE user_id % 3 = 0 GROUP BY user_id), every AS (SELECT date_trunc('day', min(ts)) AS d FROM e)
+SELECT event_id, e.user_id FROM e, every LEFT JOIN own ON own.user_id = e.user_id
+WHERE NOT (ts >= every.d + INTERVAL 100 HOURS AND ts < every.d + INTERVAL 130 HOURS) AND NOT coalesce(ts >= own.d + INTERVAL 5 HOURS AND ts < own.d + INTERVAL 60 HOURS, false)
+"""
+
+
+def departments(e):
+    """Users in three departments, some in none."""
+    return e.select("user_id").distinct().where("user_id % 10 != 9").withColumn("department", F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")))
+
+
+def event_reports(spark, d):
+    """Day, week and month reports, of all and by department and type."""
+    e = read(spark, d, "events")
+    return ev.reports(e, departments(e)).withColumn("total", F.round("total", 4))
+
+
+EVENT_REPORTS_SQL = """
+WITH e AS (SELECT user_id, event_type, value, CASE WHEN user_id % 10 != 9 THEN 'd' || (user_id % 3) END AS department, CAST(ts AS DATE) AS day, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(date_trunc('month', ts) AS DATE) AS month FROM events),
+g AS (SELECT day, week, month, department, event_type, grouping(day) AS gd, grouping(week) AS gw, grouping(department) AS gg, grouping(event_type) AS gt, count(*) AS n_events, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total
+  FROM e GROUP BY GROUPING SETS ((day), (week), (month), (day, department), (week, department), (month, department), (day, event_type), (week, event_type), (month, event_type), (day, department, event_type), (week, department, event_type), (month, department, event_type)))
+SELECT CASE WHEN gd = 0 THEN 'day' WHEN gw = 0 THEN 'week' ELSE 'month' END AS period, coalesce(day, week, month) AS start, department, event_type, gg = 0 AS of_group, gt = 0 AS of_type, n_events, n_users, total FROM g
+"""
+
+
+def risk_sessions(spark, d):
+    """Users' sessions of three events or more that follow each other within six hours."""
+    return ev.risk_sessions(read(spark, d, "events"), "6 hours", 3)
+
+
+RISK_SESSIONS_SQL = """
+WITH a AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max(value) AS highest FROM s GROUP BY user_id, k HAVING count(*) >= 3
+"""
+
+
 def event_ranking(spark, d):
     return ev.ranking(read(spark, d, "events"), "user_id")
 
@@ -321,8 +373,7 @@ def event_ranking(spark, d):
 def group_compare(spark, d):
     """Departments by user: a third of the users each, and some users without one."""
     e = read(spark, d, "events")
-    groups = e.select("user_id").distinct().where("user_id % 10 != 9").withColumn("department", F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")))
-    return ev.compare(e, groups, "user_id", "department")
+    return ev.compare(e, departments(e), "user_id", "department")
 
 
 def guarded_sql(spark, d):
@@ -479,7 +530,7 @@ QUERIES = {
     for f in (
         content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
         rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
-        event_merge, event_alerts, event_filter, event_ranking, group_compare, top_users, trend, guarded_sql, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
+        event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
 }
 
@@ -517,6 +568,9 @@ ORACLES = {
     "feature_search": f"WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q WHERE vec_id % 5 != 1 AND vec_id % 7 != 2), t AS (SELECT vec_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 6) AS score, file_name, sensitive_type, risk_level FROM t LEFT JOIN ({SAMPLES_SQL}) ON sensitive_file_id = vec_id",
     "file_labels": "WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, contains(t, 'token') OR contains(t, 'password') OR contains(t, 'secrets') AS s, contains(t, 'License') OR contains(t, 'license') OR contains(t, 'licenses') AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)) SELECT path, 's1' AS sensitive_file_id, 'secrets' AS semantic_label, CAST(1 AS BIGINT) AS n_samples FROM l WHERE s UNION ALL SELECT path, 's0', 'licenses', 2 FROM l WHERE l",
     "event_alerts": EVENT_ALERTS_SQL,
+    "event_allow": EVENT_ALLOW_SQL,
+    "event_reports": EVENT_REPORTS_SQL,
+    "risk_sessions": RISK_SESSIONS_SQL,
     "event_ranking": "SELECT user_id, n_events, CAST(rank() OVER (ORDER BY n_events DESC) AS INT) AS place FROM (SELECT user_id, count(*) AS n_events FROM events GROUP BY user_id)",
     "group_compare": "WITH g AS (SELECT DISTINCT user_id, 'd' || (user_id % 3) AS department FROM events WHERE user_id % 10 != 9), m AS (SELECT department, count(*) AS n_members FROM g GROUP BY ALL) SELECT department, event_type, n_events, n_members, round(n_events / n_members, 6) AS per_member FROM (SELECT department, event_type, count(*) AS n_events FROM events LEFT JOIN g USING (user_id) GROUP BY ALL) LEFT JOIN m USING (department)",
     "guarded_sql": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0 GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 20",

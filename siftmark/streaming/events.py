@@ -4,12 +4,15 @@ The steps over events are one function for batch and streaming frames. Windows a
 for ten.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import keyed
+
 #: Alike events: the same of these in one window. Those a table lacks don't count.
 KEYS = ("user_id", "host_id", "process_name", "file_type", "sensitive_type", "operation")
 LATE = "10 minutes"
+LEVELS = ("info", "low", "medium", "high", "critical")
 
 
 def timed(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -39,27 +42,28 @@ def merge(events: DataFrame, window: str = "1 minute", late: str = LATE, keys: t
     return out.select(*keys, F.col("w.start").alias("window_start"), "n_events", "first_ts", "last_ts", "total")
 
 
-def alerts(events: DataFrame, window: str = "1 minute", late: str = LATE, most_files: int = 100) -> DataFrame:
+def alerts(events: DataFrame, window: str = "1 minute", late: str = LATE, most_files: int | None = None) -> DataFrame:
     """One alert per user, host, process, file type, sensitive type, operation and window, with its files.
 
     events: event_id, ts, risk_level, file_path, file_hash and those of KEYS that there are. An alert bears its least event
-    id, whether it stands for several, the number of its files and up to most_files of them by path (the number is of all),
-    the highest risk, and the time range. Files are cut to one row each before they meet, so that a busy process is no hot task.
+    id, whether it stands for several, the number of its files and the files by path (all, or the first most_files), the
+    highest risk, and the time range. Files are cut to one row each and dealt over parts before they meet, so that a busy
+    process is no hot task. A stream keeps them as state until a window's watermark has passed, and then gives its alerts (append).
     """
     source = timed(events.withColumn("file_type", file_type(F.col("file_path"))), late)
     keys = [k for k in KEYS if k in source.columns]
-    rank = F.array_position(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), F.col("risk_level"))
-    if not events.isStreaming:
-        slot = F.window("ts", window).alias("w")
-        files = source.groupBy(slot, *keys, "file_path", "file_hash").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max(rank).alias("r"))
-        spread = files.withColumn("part", F.pmod(F.xxhash64("file_path", "file_hash"), F.lit(64)))
-        some = lambda c: F.slice(F.array_sort(c), 1, most_files)
-        first = spread.groupBy("w", *keys, "part").agg(F.min("event_id").alias("event_id"), F.sum("n").alias("n"), F.count("*").alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("r").alias("r"), some(F.collect_list(F.struct("file_path", "file_hash"))).alias("f"))
-        out = first.groupBy("w", *keys).agg(F.min("event_id").alias("event_id"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("r").alias("r"), some(F.flatten(F.collect_list("f"))).alias("f"))
-    else:  # a stream has one aggregation; files of a window are a set
-        out = source.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max(rank).alias("r"), F.collect_set(F.struct("file_path", "file_hash")).alias("s"))
-        out = out.withColumns({"k": F.size("s").cast("long"), "f": F.slice(F.array_sort("s"), 1, most_files)})
-    level = F.get(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), F.greatest(F.lit(1), F.col("r")).cast("int") - 1)
+    most = most_files or (1 << 31) - 1
+    some = lambda c: F.slice(F.array_sort(c), 1, most)
+    source = source.withColumn("r", F.array_position(F.array(*map(F.lit, LEVELS)), F.col("risk_level")).cast("int"))
+    sums = lambda k: [F.min("event_id").alias("event_id"), F.sum("n").alias("n"), k.alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("r").alias("r")]
+    if events.isStreaming:
+        out = keyed.whole(source, keys, window, most).withColumn("w", F.struct(F.col("window_start").alias("start")))
+    else:
+        files = source.groupBy(F.window("ts", window).alias("w"), *keys, "file_path", "file_hash").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max("r").alias("r"))
+        spread = files.withColumn("part", F.pmod(F.xxhash64("file_path", "file_hash"), F.lit(keyed.PARTS)))
+        first = spread.groupBy("w", *keys, "part").agg(*sums(F.count("*")), some(F.collect_list(F.struct("file_path", "file_hash"))).alias("f"))
+        out = first.groupBy("w", *keys).agg(*sums(F.sum("k")), some(F.flatten(F.collect_list("f"))).alias("f"))
+    level = F.get(F.array(*map(F.lit, LEVELS)), F.greatest(F.lit(1), F.col("r")).cast("int") - 1)
     return out.select("event_id", *keys, F.col("w.start").alias("window_start"), (F.col("n") > 1).alias("is_merge_event"), F.col("n").alias("n_events"), F.col("k").alias("file_count"), F.col("f").alias("files"), F.col("a").alias("first_ts"), F.col("z").alias("last_ts"), level.alias("risk_level"))
 
 
@@ -69,11 +73,55 @@ def allow(events: DataFrame, white_list: DataFrame, on: list[str]) -> DataFrame:
 
 
 def allow_hours(events: DataFrame, white_list: DataFrame) -> DataFrame:
-    """Drops events that a row of the white list (user_id, from_hour, to_hour) covers: of that user, or of all where it is null, from one hour of the day up to another, also past midnight."""
-    hour, e, w = F.hour("ts"), events, white_list  # Spark broadcasts it while it is small
-    a, z = F.col("from_hour"), F.col("to_hour")
-    inside = F.when(a <= z, (hour >= a) & (hour < z)).otherwise((hour >= a) | (hour < z))
-    return e.alias("e").join(w.withColumnRenamed("user_id", "of_user"), (F.col("of_user").isNull() | (F.col("e.user_id") == F.col("of_user"))) & inside, "left_anti")
+    """Drops events that a row of the white list (user_id, from_hour, to_hour) covers: of that user, or of all where it is null, from one hour of the day up to another, also past midnight.
+
+    A row becomes one for each hour, so that hours are joined as equals.
+    """
+    span = F.pmod(F.col("to_hour") - F.col("from_hour"), F.lit(24))
+    hours = F.when(span > 0, F.transform(F.sequence(F.lit(0), span - 1), lambda i: F.pmod(F.col("from_hour") + i, F.lit(24)))).when(F.col("from_hour") > F.col("to_hour"), F.sequence(F.lit(0), F.lit(23)))
+    rows = white_list.select("user_id", F.explode(hours).alias("_hour")).distinct()
+    e = events.withColumn("_hour", F.hour("ts"))
+    e = e.join(rows.where("user_id IS NULL").select("_hour"), "_hour", "left_anti")
+    return e.join(rows.where("user_id IS NOT NULL"), ["user_id", "_hour"], "left_anti").select(*events.columns)
+
+
+def slashes(path: Column) -> Column:
+    """A path with forward slashes only, without one at its end."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "(?<=.)/+$", "")
+
+
+def ancestors(path: Column) -> Column:
+    """A path and all folders above it."""
+    names = F.split(slashes(path), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
+    return F.transform(above, lambda p: F.when(p == "", "/").otherwise(p))
+
+
+def allow_paths(events: DataFrame, white_list: DataFrame, path: str = "file_path") -> DataFrame:
+    """Drops events whose file is, or lies below, a `prefix` of the white list; either kind of slash. Case counts, and prefixes are whole names.
+
+    The distinct paths, each with all folders above it, are joined to prefixes as equals; events meet the paths found. Null
+    paths and prefixes never match.
+    """
+    given = white_list.where("prefix IS NOT NULL").select(slashes(F.col("prefix")).alias("_folder")).distinct()
+    paths = events.where(F.col(path).isNotNull()).select(path).distinct()
+    listed = paths.withColumn("_folder", F.explode(ancestors(F.col(path)))).join(given, "_folder", "left_semi").select(path).distinct()
+    return events.join(listed, path, "left_anti").select(*events.columns)
+
+
+def allow_times(events: DataFrame, white_list: DataFrame, salts: int = 8) -> DataFrame:
+    """Drops events in a range of time (from_ts up to, not with, to_ts) of a white list's row, of its user or of all where user_id is null.
+
+    An interval join by buckets: a row becomes one for each day that it touches, a day's events are joined to these as equals,
+    and the range is compared behind that. A day's events are dealt over salts. Ranges without a bound or without length cover nothing.
+    """
+    day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86_400)
+    rows = white_list.where("from_ts < to_ts").withColumn("_day", F.explode(F.sequence(day("from_ts"), day("to_ts")))).withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    rows = rows.select(F.col("user_id").alias("_user"), "_day", "_salt", "from_ts", "to_ts")
+    e = events.withColumn("_day", day("ts")).withColumn("_salt", F.pmod(F.xxhash64("event_id", "ts"), F.lit(salts)).cast("int"))
+    for w, own in ((rows.where("_user IS NULL"), F.lit(True)), (rows.where("_user IS NOT NULL"), e["user_id"] == F.col("_user"))):
+        e = e.join(w, own & (e["_day"] == w["_day"]) & (e["_salt"] == w["_salt"]) & (e["ts"] >= w["from_ts"]) & (e["ts"] < w["to_ts"]), "left_anti")
+    return e.select(*events.columns)
 
 
 def lower_false_positives(alerts: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
@@ -95,11 +143,38 @@ def trend(events: DataFrame) -> DataFrame:
 
 
 def ranking(events: DataFrame, by: str) -> DataFrame:
-    """(by, n_events, place): most events first; equal numbers share a place."""
-    from pyspark.sql import Window
+    """(by, n_events, place): most events first; equal numbers share a place.
 
+    A place is one more than the groups with a larger number: numbers are summed up before they are put in order, and N events
+    have fewer than sqrt(2 N) different numbers of events.
+    """
     counted = events.groupBy(by).agg(F.count("*").alias("n_events"))
-    return counted.withColumn("place", F.rank().over(Window.orderBy(F.desc("n_events"))))
+    above = Window.orderBy(F.desc("n_events")).rowsBetween(Window.unboundedPreceding, -1)
+    places = counted.groupBy("n_events").agg(F.count("*").alias("_n")).select("n_events", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias("place"))
+    return counted.join(places, "n_events").select(by, "n_events", "place")
+
+
+def reports(events: DataFrame, groups: DataFrame, on: str = "user_id", group: str = "department") -> DataFrame:
+    """Day, week and month reports, of all and by group, with one row also for each event type and each whole period.
+
+    (period, start, group, event_type, n_events, n_users, total): group and event_type are null where a row sums over all, and
+    `of_group`, `of_type` tell such rows from members without a group. One aggregation over grouping sets.
+    """
+    e = events.join(groups.select(on, group), on, "left")
+    at = {p: F.to_date(F.date_trunc(p, "ts")) for p in ("day", "week", "month")}
+    e = e.select(on, group, "event_type", "value", *[c.alias(p) for p, c in at.items()])
+    sets = [[p, *more] for p in at for more in ([], [group], ["event_type"], [group, "event_type"])]
+    n_users = F.count_distinct(F.col(on))
+    made = e.groupingSets([[F.col(c) for c in s] for s in sets], *at, group, "event_type").agg(*[F.grouping(c).alias(f"_{c}") for c in (*at, group, "event_type")], F.count("*").alias("n_events"), n_users.alias("n_users"), F.sum("value").alias("total"))
+    period = F.when(F.col("_day") == 0, "day").when(F.col("_week") == 0, "week").otherwise("month")
+    return made.select(period.alias("period"), F.coalesce("day", "week", "month").alias("start"), group, "event_type", (F.col(f"_{group}") == 0).alias("of_group"), (F.col("_event_type") == 0).alias("of_type"), "n_events", "n_users", "total")
+
+
+def risk_sessions(events: DataFrame, gap: str = "30 minutes", least: int = 3, kinds: tuple[str, ...] | None = None, late: str = LATE) -> DataFrame:
+    """Users' sessions of at least `least` events (of some kinds, if given) that follow each other within `gap`; also of streams."""
+    e = timed(events if kinds is None else events.where(F.col("event_type").isin(*kinds)), late)
+    s = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("value").alias("highest"))
+    return s.where(F.col("n_events") >= least).select("user_id", "first_ts", "last_ts", "n_events", "highest")
 
 
 def compare(events: DataFrame, groups: DataFrame, on: str, group: str) -> DataFrame:
