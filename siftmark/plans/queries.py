@@ -525,12 +525,27 @@ def rule_apply(spark, d):
 
 
 
+def guarded_joins(spark, d):
+    """A user's SELECT with common tables, a subquery and a join, over the columns and rows that they may see."""
+    sql = """WITH seen AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type), most AS (SELECT user_id, max(n) AS n FROM seen GROUP BY user_id)
+SELECT s.user_id, s.event_type, s.n AS n_events, d.lang FROM seen s JOIN most m ON m.user_id = s.user_id AND m.n = s.n LEFT JOIN documents d ON d.doc_id = s.user_id WHERE s.user_id IN (SELECT user_id FROM events WHERE event_type = 'click')"""
+    tables = {"events": read(spark, d, "events"), "documents": read(spark, d, "documents")}
+    return guarded(spark, sql, tables, limit=1_000_000, masked=("lang",), where={"events": "user_id % 2 = 0", "documents": "source != 'src0'"}, columns={"events": ("user_id", "event_type"), "documents": ("doc_id", "lang")})
+
+
+GUARDED_JOINS_SQL = """
+WITH seen AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY ALL), most AS (SELECT user_id, max(n) AS n FROM seen GROUP BY user_id)
+SELECT s.user_id, s.event_type, s.n AS n_events, CASE WHEN length(lang) > 2 THEN lang[1] || '***' || lang[-1] WHEN lang IS NOT NULL THEN '***' END AS lang FROM seen s JOIN most m ON m.user_id = s.user_id AND m.n = s.n
+LEFT JOIN documents ON doc_id = s.user_id AND source != 'src0' WHERE s.user_id IN (SELECT user_id FROM events WHERE event_type = 'click')
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
         rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
-        event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
+        event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, guarded_joins, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
 }
 
@@ -574,6 +589,7 @@ ORACLES = {
     "event_ranking": "SELECT user_id, n_events, CAST(rank() OVER (ORDER BY n_events DESC) AS INT) AS place FROM (SELECT user_id, count(*) AS n_events FROM events GROUP BY user_id)",
     "group_compare": "WITH g AS (SELECT DISTINCT user_id, 'd' || (user_id % 3) AS department FROM events WHERE user_id % 10 != 9), m AS (SELECT department, count(*) AS n_members FROM g GROUP BY ALL) SELECT department, event_type, n_events, n_members, round(n_events / n_members, 6) AS per_member FROM (SELECT department, event_type, count(*) AS n_events FROM events LEFT JOIN g USING (user_id) GROUP BY ALL) LEFT JOIN m USING (department)",
     "guarded_sql": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0 GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 20",
+    "guarded_joins": GUARDED_JOINS_SQL,
     "zip_scan": zip_sql(),
     "event_merge": "SELECT user_id, event_type, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "top_users": "SELECT user_id, count(*) AS n_events FROM events WHERE event_type = 'click' GROUP BY user_id ORDER BY n_events DESC, user_id LIMIT 10",
