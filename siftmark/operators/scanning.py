@@ -125,16 +125,23 @@ def label_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
     return mine.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sensitive_file_id", "semantic_label", "n_samples"))).alias("label_hits"))
 
 
-def scan_files(files: DataFrame, library: Library, dialect: str = "re2", pdf=extract.pdf_text) -> DataFrame:
+#: Hashes of samples that are sent to all tasks; those of a larger library are joined to results, which have no contents.
+MOST_HASHES = 100_000
+
+
+def scan_files(files: DataFrame, library: Library, dialect: str = "re2", pdf="installed", models: dict | None = None) -> DataFrame:
     """files (path, content) to results. Archives count by their members, and a file equal to a sample is not read further.
 
     A file or member that can't be read is a result with the reason, and ends nothing else. Contents stay in their partitions:
-    they meet the samples' hashes by a join of the (path, sha256) that Spark broadcasts while the library is small.
+    up to MOST_HASHES of the samples' hashes go to all tasks, where a known file is not even opened. A larger library meets the
+    results of the scan, by hash, and a known file's result is then that of the sample alone. models: of encodings.
     """
     opened = extract.expand(files).withColumn("sha256", F.sha2("content", 256))
     first = library.fingerprints.groupBy("sha256").agg(F.min("sensitive_file_id").alias("sha_id"))
-    known = opened.join(first, "sha256", "left").withColumn("sha_hit", F.col("sha_id").isNotNull())
-    return results(extract.file_texts(known, "sha_hit", pdf), library, dialect)
+    few = first.limit(MOST_HASHES + 1).count() <= MOST_HASHES
+    known = opened.join(F.broadcast(first), "sha256", "left") if few else opened.withColumn("sha_id", F.lit(None).cast("string"))
+    read = extract.file_texts(known.withColumn("sha_hit", F.col("sha_id").isNotNull()), "sha_hit", pdf, models)
+    return results(read, library, dialect, None if few else first)
 
 
 def scan_texts(texts: DataFrame, library: Library, dialect: str = "re2") -> DataFrame:
@@ -150,12 +157,13 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(cores) if len(texts.inputFiles()) * 2 <= cores else texts
 
 
-def results(named: DataFrame, library: Library, dialect: str) -> DataFrame:
+def results(named: DataFrame, library: Library, dialect: str, later: DataFrame | None = None) -> DataFrame:
     """(path, file_hash, sensitive, sensitive_type, risk_level, sensitive_file_id, match_score, confidence_level, match_detail) by path.
 
     Matched values stay inside; match_detail is JSON of the rules that matched with their patterns and counts, the labels and
     embedding id of the sample that answers, why a file was skipped, and the patterns that were refused. The id is that of the
-    nearest fingerprint, else of the first labelled sample; equal distances go to the smaller id.
+    nearest fingerprint, else of the first labelled sample; equal distances go to the smaller id. later: the samples' ids by
+    hash (sha256, sha_id), where named does not have them yet.
     """
     spark = named.sparkSession
     bad = match.dialect.check(spark, patterns(library.rules), dialect)
@@ -180,6 +188,10 @@ def results(named: DataFrame, library: Library, dialect: str) -> DataFrame:
         "path", "sha256", "sha_id", "sha_hit", "skip_reason", "extract_error", F.when(F.length(t) > 0, hashing.simhash(t)).alias("simhash"),
         *[c.alias(k) for k, c in rules.items()], labels_held.alias("labels_held"),
     )
+    if later is not None:  # what else a known file holds does not count
+        found = found.drop("sha_id", "sha_hit").join(later, "sha256", "left").withColumn("sha_hit", F.col("sha_id").isNotNull())
+        keep = {"skip_reason": None, "extract_error": None, "simhash": None} | {k: F.array().cast(v) for k, v in HITS.items()} | {"labels_held": F.array().cast("array<string>")}
+        found = found.withColumns({c: F.when(F.col("sha_hit"), F.lit(None) if x is None else x).otherwise(F.col(c)) for c, x in keep.items()})
     found = match.materialise(found)  # small rows without texts, read below more than once
     prints = library.fingerprints.select(F.col("sensitive_file_id").alias("sample_id"), hashing.simhash_bits(F.col("simhash")).alias("bits")).where("bits IS NOT NULL")
     bits = found.where("simhash IS NOT NULL").select(F.concat(F.lit("\x00"), "path").alias("doc_id"), hashing.simhash_bits(F.col("simhash")).alias("bits"))

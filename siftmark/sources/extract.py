@@ -6,14 +6,16 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.fixed import UNSUPPORTED
+from . import encodings
 
 #: What broken, encrypted or odd archives and office files raise.
 ERRORS = (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, EOFError, LookupError, ValueError, TypeError, OverflowError, struct.error, ElementTree.ParseError)
@@ -65,15 +67,6 @@ def told(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"[:300]
 
 
-def decode(data: bytes) -> str:
-    for encoding in ("utf-8", "gb18030"):
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "ignore")
-
-
 def local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -99,6 +92,18 @@ def docx_flat(data: bytes) -> str:
     return " ".join(x for x in (t.strip() for t in docx_root(data).itertext()) if x)
 
 
+def sheets(z: zipfile.ZipFile) -> list[str]:
+    """A workbook's sheets in its own order, by its relations; by the numbers in their names where it has no such list."""
+    names = set(z.namelist())
+    number = lambda n: (int("0" + re.sub(r"\D", "", n.rpartition("/")[2])), n)
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        return sorted((x for x in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", x)), key=number)
+    target = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    told = [next((v for k, v in s.items() if local(k) == "id"), None) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(s.tag) == "sheet"]
+    paths = [target[i].lstrip("/") if target[i].startswith("/") else posixpath.normpath(f"xl/{target[i]}") for i in told if i in target]
+    return [p for p in paths if p in names and "/worksheets/" in p]
+
+
 def xlsx(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
@@ -106,7 +111,7 @@ def xlsx(data: bytes) -> str:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter() if local(t.tag) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(s.tag) == "si"]
         rows = []
-        for n in sorted(x for x in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", x)):
+        for n in sheets(z):
             for row in (r for r in ElementTree.fromstring(z.read(n)).iter() if local(r.tag) == "row"):
                 cells = []
                 for c in (c for c in row if local(c.tag) == "c"):
@@ -122,79 +127,17 @@ def pdf_visible(data: bytes) -> str:
     return " ".join(re.findall(r"[\x20-\x7e一-鿿]{3,}", data.decode("utf-8", "replace")))
 
 
-STREAM = re.compile(rb"(<<(?:(?!<<|stream).|<<(?:(?!>>).)*>>)*>>)\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
-SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z*'\"])(?:Tj|TJ|T\*|Td|TD|Tm|ET|['\"])(?![A-Za-z])", re.S)
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def pdf_text(name: str, data: bytes) -> str:
-    """The text layer of a PDF: strings shown in its plain or deflated content streams, with the maps to Unicode that it holds.
-
-    An encrypted file, or one that is no PDF, raises ValueError; a file of pictures only has an empty text.
-    """
-    if not data.lstrip()[:5] == b"%PDF-":
-        raise ValueError("no PDF")
-    if b"/Encrypt" in data:
-        raise ValueError("encrypted PDF")
-    bodies = []
-    for head, raw in STREAM.findall(data):
-        if b"/Image" in head or b"/FontFile" in head:
-            continue
-        if b"FlateDecode" in head:
-            raw = zlib.decompressobj().decompress(raw, MAX_ENTRY)
-        elif b"/Filter" in head:
-            continue
-        bodies.append(raw)
-    names: dict[int, str] = {}
-    for body in bodies:
-        if b"beginbf" in body:
-            names |= unicode_map(body)
-    lines = ["".join(line) for body in bodies if b"BT" in body and b"beginbf" not in body for line in pdf_lines(body, names)]
-    return "\n".join(x.strip() for x in lines if x.strip())
-
-
-def unicode_map(body: bytes) -> dict[int, str]:
-    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
-    out = {}
-    for block in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
-        out |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", block)}
-    for block in re.findall(rb"beginbfrange(.*?)endbfrange", body, re.S):
-        for a, z, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
-            for i in range(min(int(z, 16) - int(a, 16) + 1, 1 << 16)):
-                out[int(a, 16) + i] = chr(min(int(to, 16) + i, 0x10FFFF))
-    return out
+def pdf_reader() -> Callable[[str, bytes], str] | None:
+    """A reader of PDF text layers by the library that is installed, or None. An installed reader only: none is written here."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return None
+    return lambda name, data: "\n".join(filter(None, (page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)))
 
 
-def pdf_lines(body: bytes, names: dict[int, str]) -> Iterator[list[str]]:
-    """The strings shown, by line; a move of the text position or the end of a text object ends a line."""
-    line: list[str] = []
-    held: list[str] = []
-    for m in SHOWN.finditer(body):
-        x = m[0]
-        if x[:1] == b"(":
-            raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() and e[1][:1] < b"8" else b"" if e[1].strip() == b"" else ESCAPES.get(e[1], e[1]), x[1:-1], flags=re.S)
-            held.append(raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace"))
-        elif x[:1] == b"<":
-            digits = b"".join(x[1:-1].split())
-            codes = [int(digits[i : i + 4], 16) for i in range(0, len(digits) - 3, 4)]
-            held.append("".join(names.get(c, chr(c) if 31 < c < 0xD800 else "") for c in codes) if names else bytes.fromhex((digits + b"0")[: len(digits) + len(digits) % 2].decode()).decode("cp1252", "replace"))
-        elif x in (b"Tj", b"TJ"):
-            line += held
-            held = []
-        else:
-            if x in (b"'", b'"'):
-                yield line
-                line = held
-            elif line:
-                yield line
-                line = []
-            held = []
-    if line:
-        yield line
-
-
-def extract(path: str, data: bytes, pdf=pdf_text) -> tuple[str, str | None, str | None]:
-    """(text, why there is none, error). pdf: a reader (name, bytes) -> text; None if there is no reader."""
+def extract(path: str, data: bytes, pdf=None, models: encodings.Models | None = None) -> tuple[str, str | None, str | None]:
+    """(text, why there is none, error). pdf: a reader (name, bytes) -> text; None if there is no reader. models: of encodings."""
     suffix = posixpath.splitext(path.lower())[1]
     if suffix in UNSUPPORTED:
         return "", "unsupported_format", None
@@ -207,7 +150,7 @@ def extract(path: str, data: bytes, pdf=pdf_text) -> tuple[str, str | None, str
         elif suffix == ".pdf":
             text = pdf(path, data) if pdf else ""
         else:
-            text = decode(data)
+            text, error = encodings.decoded(data, models)
     except Exception as e:  # noqa: BLE001  one file, or a user's reader, must not end a scan
         error = told(e)
     reason = None if text or suffix != ".pdf" else "pdf_text_empty" if pdf else "pdf_reader_missing"
@@ -253,8 +196,8 @@ def sample_texts(samples: DataFrame, pdf=None) -> DataFrame:
             got = [sample_text(n or "", x or b"", pdf) for n, x in zip(b.column(names.index("file_name")).to_pylist(), b.column(names.index("content")).to_pylist(), strict=True)]
             yield b.append_column("text", pa.array([t for t, _ in got], pa.string())).append_column("extract_warning", pa.array([w for _, w in got], pa.string()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, schema + ", text string, extract_warning string").withColumn("text", clean(F.col("text")))
+    added = [StructField(n, StringType()) for n in ("text", "extract_warning")]
+    return kept.mapInArrow(run, StructType([*kept.schema, *added])).withColumn("text", clean(F.col("text")))
 
 
 def strict_members(data: bytes, most: int = 200, most_entry: int = 20 << 20, most_total: int = 100 << 20) -> dict[str, bytes]:
@@ -328,23 +271,24 @@ def expand(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")
 
 
-def file_texts(files: DataFrame, skip: str, pdf=pdf_text) -> DataFrame:
+def file_texts(files: DataFrame, skip: str, pdf="installed", models: encodings.Models | None = None) -> DataFrame:
     """files (path, content, error, ...) with text, skip_reason and extract_error for content and error; rows where the boolean column `skip` holds are not read."""
     names = files.columns
     rest = [n for n in names if n not in ("content", "error")]
+    kept = [*(f for f in files.schema if f.name in rest), *(StructField(n, StringType()) for n in ("text", "skip_reason", "extract_error"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [("", None, e) if k or e else extract(p, x or b"", pdf) for p, x, e, k in zip(*(b.column(names.index(c)).to_pylist() for c in ("path", "content", "error", skip)), strict=True)]
+            reader = pdf_reader() if pdf == "installed" else pdf
+            got = [("", None, e) if k or e else extract(p, x or b"", reader, models) for p, x, e, k in zip(*(b.column(names.index(c)).to_pylist() for c in ("path", "content", "error", skip)), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in rest), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], [*rest, "text", "skip_reason", "extract_error"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in rest)
-    return files.mapInArrow(run, schema + ", text string, skip_reason string, extract_error string")
+    return files.mapInArrow(run, StructType(kept))
 
 
-def texts(files: DataFrame, pdf=pdf_text) -> DataFrame:
+def texts(files: DataFrame, pdf="installed", models: encodings.Models | None = None) -> DataFrame:
     """(path, content) -> (path, text, skip_reason, extract_error); an archive becomes its members. Null content is empty."""
-    return file_texts(expand(files).withColumn("known", F.lit(False)), "known", pdf).drop("known")
+    return file_texts(expand(files).withColumn("known", F.lit(False)), "known", pdf, models).drop("known")
 
 
 def read_files(spark, root: str) -> DataFrame:

@@ -282,7 +282,7 @@ def test_a_scan_survives_bad_files(spark, tmp_path):
     prints = spark.createDataFrame([("f1", "x", "0" * 16)], "sensitive_file_id string, sha256 string, simhash string")
     rules = [{"rule_id": "r", "rule_type": "regex", "sensitive_type": "t", "risk_level": "high", "content": {"name": "mobile_phone", "pattern": r"\b1[3-9]\d{9}\b"}}]
     files = spark.createDataFrame(rows, "path string, content binary")
-    got = {r.path: (r.match_score, json.loads(r.match_detail)) for r in scanning.scan_files(files, scanning.Library(rules, prints)).collect()}
+    got = {r.path: (r.match_score, json.loads(r.match_detail)) for r in scanning.scan_files(files, scanning.Library(rules, prints), pdf=lambda name, data: "").collect()}
     assert got["good.zip!in.txt"][0] == 30 and got["ok.txt"][0] == 30
     assert got["corrupt.zip!b.txt"][0] == 30 and "extract_error" in got["corrupt.zip!a.txt"][1]
     for name in ("sealed.zip!s.txt", "cut.zip", "bad.docx", "sealed.docx"):

@@ -104,19 +104,12 @@ def test_simhash_tokens_are_letters_and_decimal_digits(spark):
     assert hashing.fnv1a_all(tokens).tolist() == [hashing.fnv1a(t) for t in tokens]
 
 
-def test_pdf_text_layer():
-    import zlib
-
-    page = b"BT /F1 12 Tf 72 700 Td (Hello \\(you\\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ T* <0041> Tj ET"
-    head = b"%PDF-1.4\n1 0 obj\n<< /Length 9 >>\nstream\n" + page.replace(b"<0041> Tj", b"") + b"\nendstream\n"
-    assert extract.pdf_text("a.pdf", head) == "Hello (you)\nWorld"
-    packed = zlib.compress(b"BT <00010002> Tj ET")
-    names = b"1 beginbfchar <0001> <5BA2> endbfchar 1 beginbfrange <0002> <0003> <6237> endbfrange"
-    mapped = b"%PDF-1.7\n<< /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\n<< >>\nstream\n" + names + b"\nendstream"
-    assert extract.pdf_text("b.pdf", mapped) == "客户"
-    for bad in (b"no", b"%PDF-1.4 /Encrypt"):
-        with pytest.raises(ValueError):
-            extract.pdf_text("c.pdf", bad)
+def test_pdf_needs_a_reader():
+    assert extract.extract("a.pdf", b"%PDF-1.4")[1] == "pdf_reader_missing"
+    assert extract.extract("a.PDF", b"%PDF-1.4", lambda name, data: "") == ("", "pdf_text_empty", None)
+    assert extract.extract("a.pdf", b"%PDF-1.4", lambda name, data: name + "!") == ("a.pdf!", None, None)
+    text, reason, error = extract.extract("a.pdf", b"", lambda name, data: 1 / 0)
+    assert (text, reason) == ("", "pdf_text_empty") and error.startswith("ZeroDivisionError")
 
 
 def test_card_checksums(spark):
