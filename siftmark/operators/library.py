@@ -39,6 +39,23 @@ def update(rules: DataFrame, rule_id: str, version: int, **fields) -> DataFrame:
     return rules.withColumns({k: F.when(mine, v).otherwise(F.col(k)) for k, v in new.items()})
 
 
+def change(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """Many updates at once. changes: rule_id, version, and any of the rules' other columns, null where they stay.
+
+    Of several changes of one rule that with the newest version counts. Enabling a rule brings it back, deleting one also
+    disables it. Rules that no change names stay; changes of rules that there are not do nothing.
+    """
+    given = [c for c in changes.columns if c not in ("rule_id", "version")]
+    last = changes.groupBy("rule_id").agg(F.max(F.struct("version", *given)).alias("new"))
+    both = rules.join(last, "rule_id", "left")
+    now = {c: F.coalesce(F.col("new")[c], F.col(c)) if c in ("version", *given) else F.col(c) for c in rules.columns}
+    if "deleted" in given:
+        now["enabled"] = F.when(F.col("new.deleted"), False).otherwise(now["enabled"])
+    if "enabled" in given:
+        now["deleted"] = F.when(F.col("new.enabled") & ~F.coalesce(F.col("new.deleted") if "deleted" in given else F.lit(None), F.lit(False)), False).otherwise(now["deleted"])
+    return both.select(*[c.alias(n) for n, c in now.items()])
+
+
 def delete(rules: DataFrame, rule_id: str, version: int) -> DataFrame:
     return update(rules, rule_id, version, enabled=False, deleted=True)
 

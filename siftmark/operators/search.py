@@ -1,15 +1,13 @@
 """Lookups, lists and similarity search."""
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONFIDENCE
 from ..functions.hashing import cosine, hamming
+from . import nearest
 
 
 def first_by_hash(files: DataFrame, library: DataFrame) -> DataFrame:
@@ -65,52 +63,9 @@ def semantic_search(vectors: DataFrame, query: list[float], top: int = 5, min_sc
     return scored.orderBy(F.desc("score"), "vec_id").limit(top)
 
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(dim, ids, unit): up to `size` vectors of one length, in id order, as packed unit vectors; null, empty and zero ones have no direction and go."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, size):
-                by: dict[int, list[tuple[int, list[float]]]] = {}
-                for i, x in zip(*(c.to_pylist() for c in b.slice(at, size).columns), strict=True):
-                    if i is not None and x and None not in x:
-                        by.setdefault(len(x), []).append((i, x))
-                for dim, some in by.items():
-                    some.sort(key=lambda r: r[0])
-                    m, ids = np.array([x for _, x in some], np.float64), np.array([i for i, _ in some], np.int64)
-                    norm = np.sqrt((m * m).sum(1))
-                    ok = norm != 0
-                    unit = m[ok] / norm[ok, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[ok].tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], ["dim", "ids", "unit"])
-
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(pack, "dim int, ids binary, unit binary")
-
-
 def semantic_search_all(vectors: DataFrame, queries: DataFrame, top: int = 5, min_score: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, score): semantic_search for each row of queries (vec_id, embedding; ids are unique) over all vectors.
-
-    Blocks of queries meet blocks of vectors; of each meeting, only `top` rows a query go on.
-    """
-    top = 5 if top <= 0 else min(top, 50)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for dim, q_ids, q, other, v_ids, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if dim != other:
-                    continue
-                q_ids, v_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(v_ids, np.int64)
-                score = np.frombuffer(q).reshape(-1, dim) @ np.frombuffer(v).reshape(-1, dim).T
-                place = np.where(np.isnan(score), np.inf, np.where(score >= min_score, np.floor(score * 1e6 + 0.5), -np.inf))  # NaN is the largest, as in Spark
-                best = np.argsort(-place, axis=1, kind="stable")[:, :top]
-                place, score = np.take_along_axis(place, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
-                ok = place > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.repeat(q_ids, best.shape[1]), v_ids[best].ravel(), score, place)], ["query_id", "vec_id", "score", "place"])
-
-    asked = blocks(queries, 256).select("dim", F.col("ids").alias("q_ids"), F.col("unit").alias("q"))
-    held = blocks(vectors, 2048).select(F.col("dim").alias("other"), F.col("ids").alias("v_ids"), F.col("unit").alias("v"))
-    found = asked.crossJoin(held).mapInArrow(meet, "query_id long, vec_id long, score double, place double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
-    return found.withColumn("n", rank).where(F.col("n") <= top).select("query_id", "vec_id", "score")
+    """(query_id, vec_id, score): semantic_search for each row of queries (vec_id, embedding; ids are unique) over all vectors."""
+    return nearest.search(vectors, queries, 5 if top <= 0 else min(top, 50), min_score)[0]
 
 
 def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id") -> DataFrame:

@@ -143,22 +143,43 @@ placed AS (SELECT doc_id, word, score, CAST(row_number() OVER (PARTITION BY doc_
 
 
 KEYWORD_SQL = f"""WITH {keyword_sql("coalesce(source, '')")} SELECT doc_id, word, score, place FROM placed WHERE place <= 12"""
-RULES = [(f"builtin_{n}", "regex", n, r, "builtin", 0, n != "domain", False) for n, _, r in BUILTIN_RULES] + [(f"rule_{i}", "keyword", "x", "medium", "sample", i, i % 3 > 0, i % 5 == 0) for i in range(1, 11)]
+
+
+def rules_of(spark, d):
+    """Documents as the rules of a store: each tenth is builtin, labels tell which are off or gone."""
+    marks = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    n = F.col("doc_id")
+    return read(spark, d, "documents").join(marks, "doc_id", "left").select(
+        F.concat(F.lit("rule_"), n.cast("string")).alias("rule_id"), F.when(n % 4 == 0, "regex").otherwise("keyword").alias("rule_type"), F.coalesce("lang", F.lit("")).alias("sensitive_type"), F.when(n % 3 == 0, "high").otherwise("low").alias("risk_level"),
+        F.when(n % 10 == 0, "builtin").otherwise("sample").alias("source"), (n % 50).cast("int").alias("version"), (F.coalesce("quality", F.lit(1)) == 1).alias("enabled"), (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"),
+    )
+
+
+RULES_SQL = """SELECT doc_id, 'rule_' || doc_id AS rule_id, CASE WHEN doc_id % 4 = 0 THEN 'regex' ELSE 'keyword' END AS rule_type, coalesce(lang, '') AS sensitive_type, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS risk_level,
+CASE WHEN doc_id % 10 = 0 THEN 'builtin' ELSE 'sample' END AS source, CAST(doc_id % 50 AS INT) AS version, coalesce(quality, 1) = 1 AS enabled, coalesce(toxic, 0) = 1 AS deleted
+FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)"""
 
 
 def rule_sync(spark, d):
-    live, deleted, newest = library.sync(spark.createDataFrame(RULES, library.RULE), 4)
+    """What a host at version 20 gets: live rules, ids that are gone, and the newest version."""
+    live, deleted, newest = library.sync(rules_of(spark, d), 20)
     rows = live.select("rule_id", F.lit("live").alias("state")).unionByName(deleted.select("rule_id", F.lit("deleted").alias("state")))
-    return rows.select("*", newest.scalar().alias("version"))
+    return rows.crossJoin(F.broadcast(newest))  # one row
 
 
-def rules_values() -> str:
-    return "(VALUES " + ", ".join(f"('{r[0]}', '{r[4]}', {r[5]}, {r[6]}, {r[7]})" for r in RULES) + ") AS r(rule_id, source, version, enabled, deleted)"
+def changes_of(spark, d):
+    """Labels as changes: toxic documents' rules are deleted, others come back with a higher risk; some labels repeat."""
+    at = read(spark, d, "labels").select(F.concat(F.lit("rule_"), F.col("doc_id").cast("string")).alias("rule_id"), "quality", "toxic")
+    return at.select("rule_id", (60 + F.col("quality")).cast("int").alias("version"), F.when(F.col("toxic") == 0, True).alias("enabled"), F.when(F.col("toxic") == 1, True).alias("deleted"), F.when(F.col("quality") == 1, "critical").alias("risk_level"))
+
+
+CHANGED_SQL = f"""r AS ({RULES_SQL}), c AS (SELECT DISTINCT ON (rule_id) rule_id, version, toxic, risk_level FROM (SELECT 'rule_' || doc_id AS rule_id, 60 + quality AS version, toxic, CASE WHEN quality = 1 THEN 'critical' END AS risk_level FROM labels) ORDER BY rule_id, version DESC, (toxic = 0) DESC),
+changed AS (SELECT r.doc_id, r.rule_id, r.source, r.rule_type, CAST(coalesce(c.version, r.version) AS INT) AS version, CASE c.toxic WHEN 1 THEN false WHEN 0 THEN true ELSE r.enabled END AS enabled, CASE c.toxic WHEN 1 THEN true WHEN 0 THEN false ELSE r.deleted END AS deleted, coalesce(c.risk_level, r.risk_level) AS risk_level FROM r LEFT JOIN c USING (rule_id))"""
 
 
 def rule_delete(spark, d):
-    rules = library.update(library.delete(spark.createDataFrame(RULES, library.RULE), "rule_4", 11), "rule_5", 12, enabled=True, risk_level="high")
-    return rules.select("rule_id", "version", "enabled", "deleted", "risk_level")
+    """Deletions and updates of many rules at once."""
+    return library.change(rules_of(spark, d), changes_of(spark, d)).select("rule_id", "version", "enabled", "deleted", "risk_level")
 
 
 def tag_upsert(spark, d):
@@ -213,9 +234,10 @@ def list_tags(spark, d):
 
 
 def rule_seed(spark, d):
-    """Builtin rules, of which one was edited and two are missing, after seeding; and again, which changes nothing."""
-    builtin = spark.createDataFrame([r for r in RULES if r[4] == "builtin"], library.RULE)
-    held = builtin.where("rule_id NOT IN ('builtin_email', 'builtin_domain')").withColumn("risk_level", F.when(F.col("rule_id") == "builtin_passport", "low").otherwise(F.col("risk_level")))
+    """A store that lacks some builtin rules and has edited others, after seeding; and again, which changes nothing."""
+    rules = rules_of(spark, d)
+    builtin = rules.where("source = 'builtin'")
+    held = rules.where("NOT (source = 'builtin' AND rule_type = 'regex')").withColumn("risk_level", F.when(F.col("version") == 30, "critical").otherwise(F.col("risk_level")))
     return library.seed(library.seed(held, builtin), builtin).select("rule_id", "risk_level", "enabled")
 
 
@@ -427,7 +449,7 @@ def library_scan(spark, d):
     return scanning.scan_texts(docs, scan_library(spark, d)).drop("match_detail")
 
 
-def library_scan_sql() -> str:
+def library_scan_sql(path: str = "CAST(doc_id AS VARCHAR)", known: str = "true") -> str:
     count = lambda words: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words)
     rx = lambda n, p: f"len(list_filter(regexp_extract_all(t, '{p}'), lambda m: {LUHN})) > 0" if n == "bank_card" else f"regexp_matches(t, '{p}')"
     label = lambda name: "(" + " OR ".join(f"contains(t, '{w}')" for w in [*HINTS[name], name]) + ")"
@@ -436,12 +458,12 @@ def library_scan_sql() -> str:
     grade = "".join(f" + CASE WHEN {rx(n, p)} THEN {30 if r in ('high', 'critical') else 15} ELSE 0 END" for n, p, r in BUILTIN_RULES)
     return f"""
 WITH ids AS (SELECT sha256(text) AS h, min('b' || item_id) AS sha_id FROM benchmark WHERE text IS NOT NULL GROUP BY 1),
-d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(text) AS file_hash, sha_id FROM documents LEFT JOIN ids ON sha256(text) = h),
+d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(text) AS file_hash, sha_id FROM documents LEFT JOIN ids ON sha256(text) = h AND {known}),
 sd AS (SELECT doc_id, CAST('0x' || simhash AS UBIGINT) AS b FROM ({SIMHASH_SQL})), sb AS (SELECT item_id, CAST('0x' || simhash AS UBIGINT) AS b FROM ({sims})),
 near AS (SELECT doc_id, arg_min('b' || item_id, (bit_count(CAST(xor(sd.b, sb.b) AS BIT)), 'b' || item_id)) AS near_id FROM sd JOIN sb ON bit_count(CAST(xor(sd.b, sb.b) AS BIT)) <= 3 GROUP BY doc_id),
 m AS (SELECT doc_id, t, file_hash, sha_id, CASE WHEN sha_id IS NULL AND t != '' THEN near_id END AS near_id, ({count(KEYWORDS)}) >= 3 AS k, ({count(COMBINED[0][1])}) >= 1 AND regexp_matches(t, '{COMBINED[1][1]}') AS c, {label("secrets")} AS ls, {label("licenses")} AS ll FROM d LEFT JOIN near USING (doc_id)),
 s AS (SELECT *, CASE WHEN sha_id IS NOT NULL THEN 100 ELSE least(100, (CASE WHEN near_id IS NOT NULL THEN 70 ELSE 0 END){grade} + (CASE WHEN k THEN 30 ELSE 0 END) + (CASE WHEN c THEN 50 ELSE 0 END) + least(30, (CASE WHEN ls THEN 20 ELSE 0 END) + (CASE WHEN ll THEN 40 ELSE 0 END))) END AS n FROM m)
-SELECT CAST(doc_id AS VARCHAR) AS path, file_hash, n >= 80 AS sensitive, CASE WHEN sha_id IS NOT NULL THEN '{fixed.SAMPLE_HIT}' WHEN k THEN 'words' WHEN c THEN 'both' {first} WHEN ll THEN 'licenses' WHEN ls THEN 'secrets' END AS sensitive_type,
+SELECT {path} AS path, file_hash, n >= 80 AS sensitive, CASE WHEN sha_id IS NOT NULL THEN '{fixed.SAMPLE_HIT}' WHEN k THEN 'words' WHEN c THEN 'both' {first} WHEN ll THEN 'licenses' WHEN ls THEN 'secrets' END AS sensitive_type,
   CASE WHEN n >= 80 THEN 'high' WHEN n >= 50 THEN 'medium' WHEN n >= 30 THEN 'low' ELSE 'info' END AS risk_level, coalesce(sha_id, near_id, CASE WHEN ll THEN 's0' WHEN ls THEN 's1' END) AS sensitive_file_id, CAST(n AS INT) AS match_score,
   CASE WHEN n >= 80 THEN 'sensitive' WHEN n >= 50 THEN 'suspected' WHEN n >= 30 THEN 'low_confidence' ELSE 'clean' END AS confidence_level FROM s"""
 
@@ -517,13 +539,45 @@ def clean_text(spark, d):
 
 
 def rule_apply(spark, d):
-    """A host's copy after an incremental sync."""
-    rules = spark.createDataFrame(RULES, library.RULE)
-    live, deleted, _ = library.sync(rules, 4)
-    cache = rules.where("version <= 6").withColumn("risk_level", F.lit("old"))
+    """A host's copy as of version 20, after the store has changed and the host synced."""
+    rules = rules_of(spark, d)
+    live, deleted, _ = library.sync(library.change(rules, changes_of(spark, d)), 20)
+    cache = rules.where("version <= 20").withColumn("risk_level", F.lit("old"))
     return library.apply(cache, live, deleted, False).select("rule_id", "risk_level", "version")
 
 
+def file_scan(spark, d):
+    """Documents as files, scanned: plain text, UTF-16, archives and archives in archives."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        def zipped(name: str, data: bytes) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr(name, data)
+            return out.getvalue()
+
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t, kind = text or "", i % 4
+                data = t.encode("utf-16" if kind == 1 else "utf-8")
+                if kind == 3:
+                    data = zipped("in.zip", zipped("d.txt", data))
+                elif kind == 2:
+                    data = zipped("d.txt", data)
+                rows.append((f"{i}.{'zip' if kind > 1 else 'txt'}", data))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    files = scanning.spread(read(spark, d, "documents").select("doc_id", "text")).mapInArrow(pack, "path string, content binary")
+    return scanning.scan_files(files, scan_library(spark, d)).drop("match_detail", "file_hash")
+
+
+def file_scan_sql() -> str:
+    path = "doc_id || CASE doc_id % 4 WHEN 2 THEN '.zip!d.txt' WHEN 3 THEN '.zip!in.zip!d.txt' ELSE '.txt' END"
+    return f"SELECT * EXCLUDE (file_hash) FROM ({library_scan_sql(path, 'doc_id % 4 != 1')})"
+
 
 def guarded_joins(spark, d):
     """A user's SELECT with common tables, a subquery and a join, over the columns and rows that they may see."""
@@ -543,7 +597,7 @@ LEFT JOIN documents ON doc_id = s.user_id AND source != 'src0' WHERE s.user_id I
 QUERIES = {
     f.__name__: f
     for f in (
-        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
+        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, file_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
         rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
         event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, guarded_joins, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
@@ -566,18 +620,16 @@ ORACLES = {
     "confidence_hist": f"SELECT report_id, confidence_level, count(*) AS n_results FROM ({REPORTED_SQL}) GROUP BY ALL",
     "list_results": f"SELECT id, report_id, score, confidence_level, 'host-0' AS host_id, 100 - CAST(substr(report_id, 2) AS BIGINT) AS created_at FROM ({REPORTED_SQL}) WHERE confidence_level != 'clean' AND CAST(substr(report_id, 2) AS INT) % 2 = 0 ORDER BY created_at DESC, id LIMIT 200",
     "keyword_extract": KEYWORD_SQL,
-    "rule_sync": f"SELECT rule_id, CASE WHEN enabled AND NOT deleted THEN 'live' ELSE 'deleted' END AS state, (SELECT max(version) FROM {rules_values()}) AS version FROM {rules_values()} WHERE (source = 'builtin' OR version > 4) AND ((enabled AND NOT deleted) OR version > 4)",
-    "rule_delete": "SELECT rule_id, CASE rule_id WHEN 'rule_4' THEN 11 WHEN 'rule_5' THEN 12 ELSE version END AS version, CASE rule_id WHEN 'rule_4' THEN false WHEN 'rule_5' THEN true ELSE enabled END AS enabled, CASE rule_id WHEN 'rule_4' THEN true WHEN 'rule_5' THEN false ELSE deleted END AS deleted, CASE rule_id WHEN 'rule_5' THEN 'high' ELSE risk_level END AS risk_level FROM (VALUES "
-    + ", ".join(f"('{r[0]}', '{r[3]}', {r[5]}, {r[6]}, {r[7]})" for r in RULES)
-    + ") AS r(rule_id, risk_level, version, enabled, deleted)",
+    "rule_sync": f"WITH r AS ({RULES_SQL}) SELECT rule_id, CASE WHEN enabled AND NOT deleted THEN 'live' ELSE 'deleted' END AS state, (SELECT max(version) FROM r) AS version FROM r WHERE (source = 'builtin' OR version > 20) AND ((enabled AND NOT deleted) OR version > 20)",
+    "rule_delete": f"WITH {CHANGED_SQL} SELECT rule_id, version, enabled, deleted, risk_level FROM changed",
     "tag_upsert": "SELECT source AS file_path, sha256(text) AS file_hash, min(doc_id) AS first_detected_at, max(doc_id) + 100 AS last_detected_at, 20 AS match_score FROM documents GROUP BY ALL",
     "semantic_search": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 5",
-    "semantic_search_all": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) <= 5",
+    "semantic_search_all": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5",
     "list_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 50",
     "find_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) WHERE (contains(lower(text), 'licensed under') OR contains(lower(file_name), 'licensed under')) AND contains(lower(sensitive_type), 'e') AND risk_level = 'low' ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 100",
     "lookup_hash": f"WITH s AS ({SAMPLES_SQL}) SELECT sensitive_file_id, file_name, sha256 FROM s WHERE sha256 = (SELECT arg_min(sha256, sensitive_file_id) FROM s WHERE sha256 IS NOT NULL) ORDER BY sensitive_file_id LIMIT 1",
     "list_tags": "SELECT source || '/' || doc_id AS file_path, CAST(doc_id % 7 AS INT) AS match_score, true AS sensitive FROM documents WHERE doc_id % 3 = 0",
-    "rule_seed": f"SELECT rule_id, CASE rule_id WHEN 'builtin_passport' THEN 'low' ELSE risk_level END AS risk_level, enabled FROM (VALUES {', '.join(f"('{r[0]}', '{r[3]}', {r[6]})" for r in RULES if r[4] == 'builtin')}) AS r(rule_id, risk_level, enabled)",
+    "rule_seed": f"SELECT rule_id, CASE WHEN version = 30 AND NOT (source = 'builtin' AND rule_type = 'regex') THEN 'critical' ELSE risk_level END AS risk_level, enabled FROM ({RULES_SQL})",
     "upload_check": "SELECT doc_id, CASE WHEN doc_id % 8 IN (1, 2, 3, 4, 6, 7) THEN 'bad_name' WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) > 3000 THEN 'too_large' END AS reason, CASE doc_id % 8 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 4 THEN 'critical' WHEN 5 THEN 'info' ELSE 'medium' END AS risk_level FROM documents",
     "template_rules": template_sql(),
     "feature_search": f"WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q WHERE vec_id % 5 != 1 AND vec_id % 7 != 2), t AS (SELECT vec_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 6) AS score, file_name, sensitive_type, risk_level FROM t LEFT JOIN ({SAMPLES_SQL}) ON sensitive_file_id = vec_id",
@@ -605,5 +657,7 @@ f AS (SELECT n, how, min(doc_id) AS i FROM q LEFT JOIN d ON CASE WHEN n = 1 THEN
 SELECT n, i IS NOT NULL AS sensitive, CASE WHEN i IS NOT NULL THEN how END AS match_type, i AS sensitive_file_id, file_name, sensitive_type, CASE WHEN i IS NOT NULL THEN 'low' END AS risk_level FROM f LEFT JOIN d ON doc_id = i""",
     "embedding_ids": "SELECT doc_id, 'emb_' || substr(sha256('model-a' || chr(0) || coalesce(text, '')), 1, 16) AS embedding_id, CAST(length(substr(text, 1, 4000)) AS INT) AS n_sent FROM documents",
     "clean_text": r"SELECT page_id, sha256(t) AS sha256, CAST(length(t) AS INT) AS n_chars FROM (SELECT page_id, trim(regexp_replace(replace(html, chr(0), ' '), '\s+', ' ', 'g')) AS t FROM pages)",
-    "rule_apply": f"WITH r AS (SELECT *, (source = 'builtin' OR version > 4) AND enabled AND NOT deleted AS live, (NOT enabled OR deleted) AND version > 4 AS gone FROM {rules_values()}) SELECT rule_id, CASE WHEN live THEN CASE WHEN source = 'builtin' THEN risk ELSE 'medium' END ELSE 'old' END AS risk_level, version FROM (SELECT r.*, b.risk FROM r LEFT JOIN (VALUES {', '.join(f"('builtin_{n}', '{r}')" for n, _, r in BUILTIN_RULES)}) AS b(id, risk) ON id = rule_id) WHERE live OR (version <= 6 AND NOT gone)",
+    "rule_apply": f"""WITH {CHANGED_SQL}, s AS (SELECT *, (source = 'builtin' OR version > 20) AND enabled AND NOT deleted AS live, (NOT enabled OR deleted) AND version > 20 AS gone FROM changed)
+SELECT rule_id, CASE WHEN live THEN s.risk_level ELSE 'old' END AS risk_level, CASE WHEN live THEN s.version ELSE r.version END AS version FROM s JOIN r USING (rule_id) WHERE live OR (r.version <= 20 AND NOT gone)""",
+    "file_scan": file_scan_sql(),
 }

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from siftmark.plans.queries import ORACLES, QUERIES
 
-TABLES = "documents embeddings pages benchmark conversations events".split()
+TABLES = "documents embeddings pages benchmark conversations events labels".split()
 
 
 def plain(v):
