@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, hashing
 from ..functions.fixed import BUILTIN_RULES
-from ..operators import generate, library, match, scanning, search, words
+from ..operators import generate, library, match, scanning, search, segment, words
 from ..operators.guard import guarded
 from ..sources import extract
 from ..streaming import events as ev
@@ -182,6 +182,19 @@ def rule_delete(spark, d):
     return library.change(rules_of(spark, d), changes_of(spark, d)).select("rule_id", "version", "enabled", "deleted", "risk_level")
 
 
+def segmentation(spark, d):
+    """Pages' words written without spaces, cut by a dictionary of all documents' words: how many words there were, and how many are found again."""
+    word = r"[a-z]+"
+    docs = read(spark, d, "documents").select(F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    counts = docs.select(F.explode(F.regexp_extract_all("t", F.lit(word), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    dictionary = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(segment.MOST_WORDS).collect()}
+    pages = read(spark, d, "pages").select("page_id", F.slice(F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(word), F.lit(0)), 1, 1 << 30).alias("words"))
+    runs = F.transform("words", lambda w, i: F.struct(F.floor(i / 8).alias("k"), w.alias("w")))
+    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 8))), lambda k: F.array_join(F.transform(F.filter(runs, lambda r: r.k == k), lambda r: r.w), ""))
+    cut = segment.segmented(pages.withColumn("runs", joined), "runs", dictionary)
+    return cut.select("page_id", F.size("words").cast("long").alias("n_words"), F.size("cut").cast("long").alias("n_cut"), (F.size("words") - F.size(F.array_except("words", "cut")) - (F.size("words") - F.size(F.array_distinct("words")))).cast("long").alias("n_found"))
+
+
 def tag_upsert(spark, d):
     docs = read(spark, d, "documents").select(F.col("source").alias("file_path"), F.sha2("text", 256).alias("file_hash"), F.col("doc_id").alias("at"))
     first = docs.groupBy("file_path", "file_hash").agg(F.min("at").alias("first_detected_at"), F.max("at").alias("last_detected_at")).withColumn("match_score", F.lit(10))
@@ -597,7 +610,7 @@ LEFT JOIN documents ON doc_id = s.user_id AND source != 'src0' WHERE s.user_id I
 QUERIES = {
     f.__name__: f
     for f in (
-        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, file_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract,
+        content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, file_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract, segmentation,
         rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
         event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, guarded_joins, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
