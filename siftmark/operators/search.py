@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import CONFIDENCE
 from ..functions.hashing import cosine, hamming
-from . import nearest
+from . import grams, nearest
 
 
 def first_by_hash(files: DataFrame, library: DataFrame) -> DataFrame:
@@ -68,11 +68,17 @@ def semantic_search_all(vectors: DataFrame, queries: DataFrame, top: int = 5, mi
     return nearest.search(vectors, queries, 5 if top <= 0 else min(top, 50), min_score)[0]
 
 
-def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id") -> DataFrame:
-    """Words in name or text and words in the type, both without regard to case, and the risk level, each if given; newest first, ties by key."""
+def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id", index: DataFrame | None = None) -> DataFrame:
+    """Words in name or text and words in the type, both without regard to case, and the risk level, each if given; newest first, ties by key.
+
+    index: the samples' grams.indexed(), by which words of three characters or more are looked up.
+    """
     has = lambda c, x: F.contains(F.lower(c), F.lit(x.lower()))
     out = samples
-    out = out.where(has("file_name", text) | has("text", text)) if text else out
+    if text and index is not None:
+        out = grams.holding(out, index, text, key)
+    elif text:
+        out = out.where(has("file_name", text) | has("text", text))
     out = out.where(has("sensitive_type", kind)) if kind else out
     out = out.where(F.col("risk_level") == risk) if risk else out
     return out.drop("text").orderBy(F.desc("uploaded_at"), key).limit(limit)
@@ -91,10 +97,10 @@ def lookup_hash(samples: DataFrame, sha256: str, key: str = "sample_id") -> Data
     return samples.where(F.col("sha256") == sha256).orderBy(key).limit(1)
 
 
-def query_file(samples: DataFrame, key: str, file_hash: str = "", file_name: str = "", file_path: str = "") -> DataFrame:
+def query_file(samples: DataFrame, key: str, file_hash: str = "", file_name: str = "", file_path: str = "", index: DataFrame | None = None) -> DataFrame:
     """One row: is such a file known? By hash if given, else by a part of the name, else by the last part of the path.
 
-    Names are compared without regard to case; the first sample by key answers.
+    Names are compared without regard to case; the first sample by key answers. index: the samples' grams.indexed().
     """
     file_hash, file_name, file_path = file_hash.strip(), file_name.strip(), file_path.strip()
     name = file_name or file_path.rstrip("/").rpartition("/")[2]
@@ -102,5 +108,6 @@ def query_file(samples: DataFrame, key: str, file_hash: str = "", file_name: str
         raise ValueError("a hash or a name is needed")
     how = "sha256" if file_hash else "filename_like" if file_name else "filepath_basename_like"
     held = F.col("sha256") == file_hash if file_hash else F.contains(F.lower("file_name"), F.lit(name.lower()))
-    first = samples.where(held).agg(F.min_by(F.struct(F.col(key).alias("sensitive_file_id"), "file_name", "sensitive_type", "risk_level"), key).alias("s"))
+    asked = samples.where(held) if file_hash or index is None else grams.holding(samples, index, name, key, ("file_name",))
+    first = asked.agg(F.min_by(F.struct(F.col(key).alias("sensitive_file_id"), "file_name", "sensitive_type", "risk_level"), key).alias("s"))
     return first.select(F.col("s").isNotNull().alias("sensitive"), F.when(F.col("s").isNotNull(), how).alias("match_type"), "s.*")

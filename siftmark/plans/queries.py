@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, hashing
 from ..functions.fixed import BUILTIN_RULES
-from ..operators import generate, library, match, scanning, search, segment, words
+from ..operators import generate, grams, library, match, scanning, search, segment, words
 from ..operators.guard import guarded
 from ..sources import extract
 from ..streaming import events as ev
@@ -232,6 +232,16 @@ def find_samples(spark, d):
     return search.find_samples(as_samples(spark, d), "LICENSED under", "E", "low")
 
 
+def indexed_samples(spark, d):
+    """Samples that hold words, found by an index of trigrams: as the plain search finds them, and names by a part of them."""
+    docs = as_samples(spark, d)
+    index = match.materialise(grams.indexed(docs, "sensitive_file_id"))
+    found = search.find_samples(docs, "LICENSED under", "E", "low", index=index).select("sensitive_file_id", F.lit("text").alias("by"))
+    named = search.query_file(docs, "sensitive_file_id", file_name="-17.t", index=index).select("sensitive_file_id", F.lit("name").alias("by"))
+    short = grams.holding(docs, index, "é", "sensitive_file_id").select("sensitive_file_id", F.lit("short").alias("by"))
+    return found.unionByName(named).unionByName(short)
+
+
 def lookup_hash(spark, d):
     """The sample with the content of the smallest document, and none for a hash of nothing."""
     docs = as_samples(spark, d)
@@ -611,7 +621,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_scan, regex_test, simhash, near_duplicates, sha_match, duplicates, fingerprint, keyword_match, library_words, combined_match, semantic_labels, library_scan, file_scan, confidence_hist, list_results, scan_summary, file_labels, keyword_extract, segmentation,
-        rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, lookup_hash, query_file, upload_check,
+        rule_sync, rule_delete, rule_apply, rule_seed, tag_upsert, list_tags, semantic_search, semantic_search_all, feature_search, list_samples, find_samples, indexed_samples, lookup_hash, query_file, upload_check,
         event_merge, event_alerts, event_filter, event_allow, event_reports, risk_sessions, event_ranking, group_compare, top_users, trend, guarded_sql, guarded_joins, zip_scan, rule_generate, template_rules, label_analysis, embedding_ids, clean_text,
     )
 }
@@ -640,6 +650,7 @@ ORACLES = {
     "semantic_search_all": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5",
     "list_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 50",
     "find_samples": f"SELECT * EXCLUDE (text) FROM ({SAMPLES_SQL}) WHERE (contains(lower(text), 'licensed under') OR contains(lower(file_name), 'licensed under')) AND contains(lower(sensitive_type), 'e') AND risk_level = 'low' ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 100",
+    "indexed_samples": f"WITH s AS ({SAMPLES_SQL}) SELECT * FROM (SELECT sensitive_file_id, 'text' AS by FROM s WHERE (contains(lower(text), 'licensed under') OR contains(lower(file_name), 'licensed under')) AND contains(lower(sensitive_type), 'e') AND risk_level = 'low' ORDER BY uploaded_at DESC, sensitive_file_id LIMIT 100) UNION ALL SELECT min(sensitive_file_id), 'name' FROM s WHERE contains(lower(file_name), '-17.t') UNION ALL SELECT sensitive_file_id, 'short' FROM s WHERE contains(lower(text), 'é') OR contains(lower(file_name), 'é')",
     "lookup_hash": f"WITH s AS ({SAMPLES_SQL}) SELECT sensitive_file_id, file_name, sha256 FROM s WHERE sha256 = (SELECT arg_min(sha256, sensitive_file_id) FROM s WHERE sha256 IS NOT NULL) ORDER BY sensitive_file_id LIMIT 1",
     "list_tags": "SELECT source || '/' || doc_id AS file_path, CAST(doc_id % 7 AS INT) AS match_score, true AS sensitive FROM documents WHERE doc_id % 3 = 0",
     "rule_seed": f"SELECT rule_id, CASE WHEN version = 30 AND NOT (source = 'builtin' AND rule_type = 'regex') THEN 'critical' ELSE risk_level END AS risk_level, enabled FROM ({RULES_SQL})",
