@@ -50,6 +50,14 @@ def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
     return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
+def keyed(df: DataFrame, run: Callable, key: str, others: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(key, kinds) of run over the columns key and others, found by place, for columns of any names; run calls the key's column `key`."""
+    places = [column_place(df, c) for c in (key, *others)]
+    rows = df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(*(f"_{i}" for i in places))
+    schema = StructType([StructField("key", df.schema[places[0]].dataType), *(StructField(n, _parse_datatype_string(k)) for n, k in kinds.items())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", df.columns[places[0]])
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share; set here only where unset (tests, local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,7 +11,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, table
+from .common import keyed, prepare, table
+from .license_wordings import WORDINGS
 
 #: A-Z become a-z and other ASCII characters than letters and digits become spaces, so that split() gives the words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -63,20 +64,6 @@ NAMES = {
     "mit": (" mit ", " x11 ", " expat "), "isc": (" isc ",), "zlib": (" zlib ",), "bsd-2": ("bsd ",), "bsd-3": ("bsd ",), "bsd": ("bsd ",), "wtfpl": (" wtfpl ", "do what the"), "beerware": (" beer",), "postgresql": (" postgresql ",),
     "python": ("python software foundation", " psf "), "php": (" php ",), "ruby": (" ruby ",), "unlicense": (" unlicense ",),
 }
-#: (label, regex, keyword): wordings that name no family.
-WORDINGS = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("zlib", "altered source versions must be plainly marked as such", "altered source"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", "(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", "public domain"),
-    ("gpl", "this program is free software you can redistribute it and or modify it", "free software"),
-    ("gpl", "you should have received a copy of the gnu general public license", "gnu general public"),
-    ("proprietary", "all rights reserved", "rights reserved"),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("proprietary", "no part of this (?:publication|document|work) may be reproduced", "may be reproduced"),
-)
 CC_PARTS = (("by", "attribution"), ("nc", "non ?commercial"), ("sa", "share ?alike"), ("nd", "no ?deriv(?:atives|s)?(?: works)?"))
 CC_KINDS = (("by", "nc", "nd"), ("by", "nc", "sa"), ("by", "nc"), ("by", "nd"), ("by", "sa"), ("by",))
 CC_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0")
@@ -93,7 +80,7 @@ class Signature:
 
 @cache
 def signatures() -> tuple[Signature, ...]:
-    """Some hundred rules by family, version and wording; the most specific first. A match starts and ends at a word's edge."""
+    """All rules: sentences and notices that are written out one by one, then names with their versions; the most specific first. A match starts and ends at a word's edge."""
     rules: list[Signature] = []
 
     def add(label: str, words: str, keywords: str | tuple[str, ...], priority: int, score: float) -> None:
@@ -190,7 +177,7 @@ def license_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     Null and empty texts have no words and no labels, score 0. Repeated rows are scanned alike, other columns are not carried.
     Detections are resolved by resolved(); base phrases always stay in base_labels and labels. A very long text costs time in
-    proportion to its length, also where it is full of hits.
+    proportion to its length, also where it is full of hits. An empty table gives no rows.
     """
     prepare(df.sparkSession)
 
@@ -209,10 +196,10 @@ def license_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))
             fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("detections", kind)]
             got = pa.Table.from_pylist(out, pa.schema(fields)).combine_chunks()
-            yield from pa.table([b.column(0), *got.columns], names=[id_column, *got.column_names]).to_batches()
+            yield from pa.table([b.column(0), *got.columns], names=["key", *got.column_names]).to_batches()
 
-    kind = dict(df.dtypes)[id_column]
-    return df.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<first:long,end:long,label:string,score:double>>")
+    kinds = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double", "detections": "array<struct<first:long,end:long,label:string,score:double>>"}
+    return keyed(df, run, id_column, ["text"], kinds)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

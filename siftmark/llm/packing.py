@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import keyed, prepare, table
 from .tokenizing import encoder
 
 
@@ -139,7 +139,7 @@ def pack(df: DataFrame, tokenizer: str, spaced: bool, end: int, limits: tuple[in
 
         def flush() -> pa.RecordBatch:
             kinds = [kind, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            rb = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [id_column, *names])
+            rb = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["key", *names])
             for c in out:
                 c.clear()
             return rb
@@ -159,8 +159,7 @@ def pack(df: DataFrame, tokenizer: str, spaced: bool, end: int, limits: tuple[in
             take(packer.finish())
             yield flush()
 
-    schema = f"{id_column} {dict(df.dtypes)[id_column]}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    return df.select(id_column, "text", *[prompt_column] * bool(prompt_column)).mapInArrow(run, schema)
+    return keyed(df, run, id_column, ["text", *[prompt_column] * bool(prompt_column)], {n: "binary" if n == "ids" else "long" for n in names})
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, column_place, mapped, prepare, table
+from .common import LOWER, column_place, keyed, mapped, prepare, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -141,7 +141,7 @@ def redact(raw: bytes, spans: list[tuple[int, int, str]], mark: str = "[SECRET]"
 def secret_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: base counts, the base spans' sha256 and all spans. Null and empty texts have none. Repeated rows are scanned alike.
 
-    A very long text costs time in proportion to its length, also where it is full of hits.
+    A very long text costs time in proportion to its length, also where it is full of hits. An empty table gives no rows.
     """
     prepare(df.sparkSession)
 
@@ -150,9 +150,9 @@ def secret_scan(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
             got = [scan(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS[:3]]
             sha = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, pa.array([joined(x) for _, x in got], pa.string())], [id_column, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, pa.array([joined(x) for _, x in got], pa.string())], ["key", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(id_column, "text").mapInArrow(run, f"{id_column} {dict(df.dtypes)[id_column]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return keyed(df, run, id_column, ["text"], {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"})
 
 
 def redacted(df: DataFrame) -> DataFrame:

@@ -479,6 +479,9 @@ def test_columns_with_odd_names(spark):
     assert quality.cascade(odd).first()[1] == "a b c d"
     assert pieces.decode(pieces.encode(odd)).first()["decoded"] == "a b c d"
     assert secrets.redacted(odd).columns == odd.columns
+    keys = odd.withColumnRenamed("doc_id", "my `key. x")
+    for out in (packing.pack(keys, "word_bpe_49k.json", False, 2, id_column="my `key. x"), licenses.license_scan(keys, "my `key. x"), secrets.secret_scan(keys, "my `key. x")):
+        assert out.columns[0] == "my `key. x" and out.first()[0] == 1
 
 
 def test_the_cascade_skips_rules_behind_the_first_that_fails(spark):
@@ -554,3 +557,43 @@ def test_too_many_words_for_the_ids(spark, monkeypatch):
     monkeypatch.setattr(language_model, "MOST_TYPES", 2)
     with pytest.raises(ValueError, match="distinct words"):
         language_model.train(spark.createDataFrame([("a b c",)], "text string"), common.shared_dir(spark, "many"))
+
+
+def plain_labels(text, rules):
+    """All matches of all rules, without gates, and of each pair of detections the one that goes."""
+    norm = b" " + b" ".join(text.encode().translate(licenses.NORMAL).split()) + b" "
+    found = [(m.start(), m.end(), r.label, r.score, r.priority) for r in rules for m in r.pattern.finditer(norm)]
+    phrases = {(m.start() + 1, m.end() - 1) for p, _ in licenses.BASE for m in re.finditer(rb"(?= %s )" % p.encode(), norm) for m in [re.compile(rb" %s " % p.encode()).match(norm, m.start())]}
+    level = lambda x: x[4] + 1000 * (any(x[0] <= a and z <= x[1] for a, z in phrases) and (x[0], x[1]) not in phrases)
+    kept = []
+    for x in sorted(found, key=lambda x: (-level(x), x[0], -x[1], x[2])):
+        if not any(x[0] < y[1] and y[0] < x[1] and (level(y) > level(x) or (y[0] <= x[0] and x[1] <= y[1])) for y in kept):
+            kept.append(x)
+    base = [label for p, label in licenses.BASE if f" {p} ".encode() in norm]
+    return ",".join(sorted({x[2] for x in kept} | set(base))), max([x[3] for x in kept] + [1.0] * bool(base), default=0.0)
+
+
+def test_license_labels_and_scores_against_a_plain_version(spark, tables, docs):
+    rules = licenses.signatures()
+    want = Counter((i, *plain_labels(t, rules)) for i, t in docs)
+    assert rows(licenses.op6_license_scan(spark, tables), "doc_id", "labels", "score") == want
+
+
+def test_every_written_signature_is_found_by_its_gate():
+    """Each pattern, spelled out by its first choices, is found in a text, and its keyword stands there."""
+    from siftmark.llm.license_wordings import WORDINGS
+
+    rules = licenses.signatures()
+    assert len(WORDINGS) > 180 and len(rules) > 480
+    for label, pattern, keyword in WORDINGS:
+        text = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\?", "", pattern)  # what may be missing is
+        while re.search(r"\(\?:([^()|]*)(?:\|[^()]*)?\)", text):
+            text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)", r"\1", text)
+        text = re.sub(r"\[(.)[^]]*\]", r"\1", text)
+        text = re.sub(r" ?\.\{0,\d+\}\?", " and ", text)
+        text = text.replace("\\w+", "name").replace("\\d", "3").replace("\\+\\+", "")
+        text = re.sub(r"(.)\?", r"\1", text)
+        text = re.sub(r"\s+", " ", text).strip()
+        found = licenses.scan(text.encode(), rules)[2]
+        assert keyword.strip() in f" {text} ", (label, text, keyword)
+        assert found, (label, text)
