@@ -1,9 +1,9 @@
 """Signatures of licenses by sentences of their texts and of the notices that name them, each written out by hand.
 
-Patterns run over words: lower-case letters and digits, one space apart. A keyword stands in every match of its pattern.
+Patterns run over words: lower-case letters and digits, one space apart. A keyword, or one of several, stands in every match of its pattern.
 """
 
-#: label, pattern, keyword.
+#: label, pattern, keyword or keywords.
 WORDINGS = (
     # permissive texts
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted"),
@@ -199,10 +199,10 @@ WORDINGS = (
     ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
     ("proprietary", "no part of this (?:publication|document|work) may be reproduced", "may be reproduced"),
     ("proprietary", "unauthori[sz]ed (?:copying|reproduction|distribution) of this (?:file|document|software|work) (?:via any medium )?is (?:strictly )?prohibited", "unauthori"),
-    ("proprietary", "this (?:software|document|file) (?:is|contains) (?:the )?(?:proprietary|confidential)(?: information| property)?", "this "),
-    ("proprietary", "may not be (?:copied|reproduced|distributed) without (?:the )?(?:prior )?(?:written )?(?:permission|consent)", "may not be "),
+    ("proprietary", "this (?:software|document|file) (?:is|contains) (?:the )?(?:proprietary|confidential)(?: information| property)?", ("proprietary", "confidential")),
+    ("proprietary", "may not be (?:copied|reproduced|distributed) without (?:the )?(?:prior )?(?:written )?(?:permission|consent)", ("may not be copied", "may not be reproduced", "may not be distributed")),
     ("evaluation", "for evaluation purposes only", "evaluation purposes only"),
-    ("academic-use", "for (?:academic|research|non commercial research) (?:use|purposes) only", "only"),
+    ("academic-use", "for (?:academic|research|non commercial research) (?:use|purposes) only", ("use only", "purposes only")),
     ("commercial", "(?:this software is )?licensed not sold", "licensed not sold"),
     ("commercial", "end user licen[sc]e agreement", "end user licen"),
 )

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -148,11 +149,37 @@ def resolved(found: list[tuple[int, int, str, float, int]], size: int) -> list[t
     return kept
 
 
+class Gate:
+    """One automaton over the keywords of all rules, which tells in one pass which rules a text may match."""
+
+    held: dict[int, Gate] = {}  # by the rules' place in memory; each holds its rules, so that no other takes that place
+
+    def __init__(self, rules: tuple[Signature, ...]):
+        self.rules, self.automaton = rules, ahocorasick.Automaton()
+        by: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            for k in r.keywords:
+                by.setdefault(k.decode("latin-1"), []).append(i)
+        for k, numbers in by.items():
+            self.automaton.add_word(k, (k, tuple(numbers)))
+        self.automaton.make_automaton()
+
+    @staticmethod
+    def of(rules: tuple[Signature, ...]) -> Gate:
+        if id(rules) not in Gate.held:
+            Gate.held[id(rules)] = Gate(rules)
+        return Gate.held[id(rules)]
+
+    def open(self, norm: bytes) -> list[Signature]:
+        """The rules of which a keyword stands in the words, in their order."""
+        found = {v for _, v in self.automaton.iter(norm.decode("latin-1"))}
+        return [self.rules[i] for i in sorted({i for _, numbers in found for i in numbers})]
+
+
 def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
     """Word count, base places and kept detections, as (first word, end word, label[, score])."""
     words = raw.translate(NORMAL).split()
     norm = b" " + b" ".join(words) + b" "
-    heard: dict[bytes, bool] = {}
     starts: list[int] = []
 
     def word(at: int) -> int:
@@ -162,12 +189,8 @@ def scan(raw: bytes, rules: tuple[Signature, ...]) -> tuple[int, list[tuple[int,
 
     base = [(word(at + 1), word(at + 1) + len(p.split()), label) for p, label in BASE for at in places(norm, f" {p} ".encode())]
     found: list[tuple[int, int, str, float, int]] = []
-    for r in rules:
-        for k in r.keywords:
-            if k not in heard:
-                heard[k] = k in norm
-        if any(heard[k] for k in r.keywords):
-            found.extend((m.start(), m.end(), r.label, r.score, r.priority) for m in r.pattern.finditer(norm))
+    for r in Gate.of(rules).open(norm):
+        found.extend((m.start(), m.end(), r.label, r.score, r.priority) for m in r.pattern.finditer(norm))
     kept = resolved(found, len(norm))
     return len(words), base, [(word(a), word(b - 1) + 1, label, s) for a, b, label, s, _ in sorted(kept)]
 

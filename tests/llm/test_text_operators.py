@@ -595,5 +595,5 @@ def test_every_written_signature_is_found_by_its_gate():
         text = re.sub(r"(.)\?", r"\1", text)
         text = re.sub(r"\s+", " ", text).strip()
         found = licenses.scan(text.encode(), rules)[2]
-        assert keyword.strip() in f" {text} ", (label, text, keyword)
+        assert any(k in f" {text} " for k in ([keyword] if isinstance(keyword, str) else keyword)), (label, text, keyword)
         assert found, (label, text)
