@@ -86,7 +86,8 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, spaced: bool, end: int
     """Encode documents and write their ids in ascending doc_id order; gives the manifest: file, uri, documents, ids.
 
     One shuffle, by ranges of doc_id. Null text is empty: just the end id. Null ids count as the smallest key, equal ids are
-    ordered by text. A lost task's file is written again with the same bytes. The manifest has a row per file.
+    ordered by text. A lost task's file is written again with the same bytes. The manifest has a row per file; an empty
+    table has no files. A very long text lies in one file, whose ids are in memory while it is written, in 2 or 4 bytes each.
     """
     prepare(df.sparkSession)
     bits = width(vocabulary)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, ordered_parts, partitions, prepare, shingle_lists, table
+from .common import U64, keyed, ordered_parts, partitions, prepare, shingle_lists, table
 
 K = 128
 RANGE = float(2**64)
@@ -62,15 +62,18 @@ def sketches(raws: list[bytes], k: int = K) -> list[Sketch]:
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", k: int = K) -> DataFrame:
-    """(id, n_shingles_estimate, fingerprint) per row. Null is empty text: an empty sketch. Equal texts have equal fingerprints."""
+    """(id, n_shingles_estimate, fingerprint) per row. Null is empty text: an empty sketch. Equal texts have equal fingerprints.
+
+    Repeated rows are sketched alike, and an empty table gives no rows. A very long text is sketched whole, as one array of its shingles.
+    """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = sketches([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.count() for s in made], pa.float64()), pa.array([s.text() for s in made], pa.string())], [id_column, "n_shingles", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.count() for s in made], pa.float64()), pa.array([s.text() for s in made], pa.string())], ["key", "n_shingles", "fingerprint"])
 
-    return df.select(id_column, "text").mapInArrow(run, f"{id_column} {dict(df.dtypes)[id_column]}, n_shingles double, fingerprint string")
+    return keyed(df, run, id_column, ["text"], {"n_shingles": "double", "fingerprint": "string"})
 
 
 def merged(prints: DataFrame, group: str, k: int = K) -> DataFrame:

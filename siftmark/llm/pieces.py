@@ -212,7 +212,11 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, f) -> DataFrame:
 
 
 def encode(df: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of ids (little-endian unsigned 32-bit). Null and empty texts have no ids. A column of that name is replaced."""
+    """df with a column of ids (little-endian unsigned 32-bit). Null and empty texts have no ids. A column of that name is replaced.
+
+    Of ways to cut a text that score alike the first found stays, so equal texts have equal ids. Repeated rows are encoded alike,
+    an empty table gives no rows. A text is encoded whole, however long: some ten arrays of its length are held meanwhile.
+    """
     return _mapped(df, text, ids, "binary", lambda xs: load(model, kind).encode_all([x or "" for x in xs]))
 
 
@@ -224,7 +228,8 @@ def decode(df: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe",
 def both_ways(df: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text") -> DataFrame:
     """df with the texts' ids and decoded text in two ways: by the scores alone (viterbi_ids, viterbi_text) and as the model's own merging gives them (ids, decoded).
 
-    One pass through Python; nulls and empty texts have no ids, columns of these names are replaced.
+    One pass through Python; nulls and empty texts have no ids, columns of these names are replaced. Ties, repeated rows, long
+    texts and empty tables as in encode().
     """
     prepare(df.sparkSession)
     added = {"viterbi_ids": "binary", "viterbi_text": "string", "ids": "binary", "decoded": "string"}

@@ -107,7 +107,7 @@ class Rollup:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents come in, those labelled toxic go out, and the others not in English are recounted with a newer tokenizer."""
+    """Totals after three batches (texts are counted whole, however long; repeated rows count as often as they occur; null text is empty): all documents come in, those labelled toxic go out, and the others not in English are recounted with a newer tokenizer."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_dir(spark, "token-counts")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")

@@ -167,20 +167,19 @@ def whitening(vectors: DataFrame, folder: str, most: int = 16) -> tuple[Whitenin
 
     Equal rows are summed up per task before they are shuffled. The distinct rows are written to the folder and read twice.
     """
-    spark = vectors.sparkSession
+    spark, vectors = vectors.sparkSession, vectors.toDF("x")
     vectors.distinct().write.parquet(f"{folder}/fit")
     fit = spark.read.parquet(f"{folder}/fit")
     model = Whitening.of(factored(fit, f"{folder}/factors"), most)
     if not len(model.vectors):
         return model, 0.0
-    place = fit.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = model.values(matrix(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.list_(pa.float64()))], [place])
+            yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.list_(pa.float64()))], ["x"])
 
-    made = factored(fit.mapInArrow(run, f"`{place}` array<double>"), f"{folder}/whitened")
+    made = factored(fit.mapInArrow(run, "x array<double>"), f"{folder}/whitened")
     return model, float(np.abs(made.covariance() - np.eye(len(model.vectors))).max())
 
 
