@@ -36,8 +36,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def sync(local: Store, server: Store) -> int:
-    """Brings a host's copy to the server's version: what the answer deletes goes, what it has replaces rows of the same key."""
+def sync(local: Store, server: Store) -> dict:
+    """Brings a host's copy to the server's version: what the answer deletes goes, what it has replaces rows of the same key. Returns what came."""
     snap = local.manifest()
     got = server.sync(snap["version"])
     full = got["full_sync"]
@@ -45,7 +45,10 @@ def sync(local: Store, server: Store) -> int:
     for name in ("fingerprints", "features"):
         new = got[name]
         tables[name] = new if full else local.table(name, snap).join(new, "sensitive_file_id", "left_anti").unionByName(new)
-    return local.commit(snap, tables, "sync", library_version=got["version"], config=got["config"])
+    counts = {"rules_count": got["rules"].count(), "deleted_rules_count": got["deleted"].count(), "fingerprints_count": got["fingerprints"].count(), "semantic_labels_count": got["features"].count()}
+    updated = full or any(counts.values()) or got["version"] > snap["version"] or got["config"] != snap["config"]
+    version = local.commit(snap, tables, "sync", library_version=got["version"], config=got["config"]) if updated else snap["version"]
+    return {"version": version, "updated": updated} | counts
 
 
 def library_of(store: Store) -> scanning.Library:
@@ -70,7 +73,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("siftmark").getOrCreate()
     local = Store(spark, a.db)
     if a.command == "sync":
-        return {"version": sync(local, Store(spark, a.server))}
+        counts = sync(local, Store(spark, a.server))
+        print(json.dumps(counts))
+        return counts
     if a.command == "list":
         shown(local.list_tags(a.sensitive_only), a.json)
         return {}

@@ -6,9 +6,11 @@ import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .match import masked as masked_value
+
 #: Nodes of a parsed SELECT; others, such as commands, writes and table functions, are refused.
 NODES = {
     "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "Union", "SetOperation", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation",
@@ -73,12 +75,6 @@ class Check:
             self.expression(child, scope)
 
 
-def hidden(value: Column) -> Column:
-    """A value's first and last character; nothing of values of one or two."""
-    text = value.cast("string")
-    return F.when(F.length(text) > 2, F.concat(F.substring(text, 1, 1), F.lit("***"), F.substring(text, -1, 1))).when(text.isNotNull(), F.lit("***"))
-
-
 def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int = 1000, masked: tuple[str, ...] = (), where: dict[str, str] | None = None, columns: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The rows of one SELECT over `tables` only, at most `limit`.
 
@@ -98,7 +94,7 @@ def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit:
         rows = df.where(where[name]) if where and name in where else df
         rights = None if columns is None or name not in columns else {c.lower() for c in columns[name]}
         of = lambda c: F.col("`" + c.replace("`", "``") + "`")
-        shown = [hidden(of(c)).alias(c) if c.lower() in low else of(c) for c in df.columns if rights is None or c.lower() in rights]
+        shown = [masked_value(of(c)).alias(c) if c.lower() in low else of(c) for c in df.columns if rights is None or c.lower() in rights]
         views[name] = f"guarded_{uuid.uuid4().hex}"
         rows.select(*shown).createOrReplaceTempView(views[name])
     try:

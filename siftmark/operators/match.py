@@ -18,10 +18,20 @@ def matches(text: Column, pattern: str, dialect: str = "re2", card: bool = False
     return F.filter(found, is_card) if card else found
 
 
+def gated(found: Column, folded: Column, pattern: str, dialect: str, other: Column) -> Column:
+    """found where one of the literals that the pattern's matches need stands in the folded text, else other: there it is not computed."""
+    may = literals.gate(folded, pattern, dialect)
+    return found if may is None else F.when(may, found).otherwise(other)
+
+
 def match_count(text: Column, folded: Column, pattern: str, dialect: str = "re2", card: bool = False) -> Column:
-    """How many matches there are; the pattern runs only where one of the literals that its matches need stands in the folded text."""
-    n, may = F.size(matches(text, pattern, dialect, card)), literals.gate(folded, pattern, dialect)
-    return n if may is None else F.when(may, n).otherwise(0)
+    return gated(F.size(matches(text, pattern, dialect, card)), folded, pattern, dialect, F.lit(0))
+
+
+def masked(value: Column) -> Column:
+    """A value's first and last character; nothing of values of one or two."""
+    text = value.cast("string")
+    return F.when(F.length(text) > 2, F.concat(F.substring(text, 1, 1), F.lit("***"), F.substring(text, -1, 1))).when(text.isNotNull(), F.lit("***"))
 
 
 def content_scan(df: DataFrame, key: str, text: str = "text", rules=BUILTIN_RULES, dialect: str = "re2") -> DataFrame:
@@ -53,8 +63,8 @@ def keyword_match(text: Column, words: list[str], min_hits: int = 1) -> Column:
 
 
 def pattern_match(text: Column, folded: Column | None, pattern: str, dialect: str = "re2") -> Column:
-    found, may = F.regexp_like(text, F.lit(to_java(pattern, dialect))), None if folded is None else literals.gate(folded, pattern, dialect)
-    return found if may is None else F.when(may, found).otherwise(F.lit(False))
+    found = F.regexp_like(text, F.lit(to_java(pattern, dialect)))
+    return found if folded is None else gated(found, folded, pattern, dialect, F.lit(False))
 
 
 def combined_match(text: Column, conditions: list[tuple], logic: str = "AND", dialect: str = "re2", folded: Column | None = None) -> Column:

@@ -15,7 +15,7 @@ from . import match, search, words
 
 RULE = "rule_id string, rule_name string, sensitive_type string, risk_level string"
 HITS = {
-    "regex": f"array<struct<ord int, {RULE}, pattern string, match_count int>>",
+    "regex": f"array<struct<ord int, {RULE}, pattern string, match_count int, matches array<string>>>",
     "keyword": f"array<struct<ord int, {RULE}, keywords_matched array<string>>>",
     "combined": f"array<struct<ord int, {RULE}>>",
 }
@@ -76,11 +76,12 @@ def compiled(text: Column, folded: Column, rules: list[dict], dialect: str, bad:
     for _, r, head in named:
         if r["rule_type"] == "regex" and r["content"].get("pattern") and r["content"]["pattern"] not in bad:
             by_pattern.setdefault((r["content"]["pattern"], head["rule_name"] == "bank_card"), []).append({**head, "pattern": r["content"]["pattern"]})
-    counts = F.array(*[match.match_count(text, folded, p, dialect, card) for p, card in by_pattern]) if by_pattern else F.array().cast("array<int>")
+    none = F.array().cast("array<string>")
+    lists_ = F.array(*[match.gated(match.matches(text, p, dialect, card), folded, p, dialect, none) for p, card in by_pattern]) if by_pattern else F.array().cast("array<array<string>>")
     groups = constant(list(by_pattern.values()), f"array<array<struct<ord int, {RULE}, pattern string>>>")
-    hit = F.filter(F.transform(counts, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda c: c.n > 0)
+    hit = F.transform(F.filter(F.transform(lists_, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda c: F.size(c.m) > 0), lambda c: F.struct(F.size(c.m).alias("n"), F.transform(c.m, match.masked).alias("m"), c.i.alias("i")))
     fields = ("ord", "rule_id", "rule_name", "sensitive_type", "risk_level")
-    regex = F.flatten(F.transform(hit, lambda c: F.transform(F.get(groups, c.i), lambda r: F.struct(*[r[f].alias(f) for f in fields], r.pattern.alias("pattern"), c.n.alias("match_count")))))
+    regex = F.flatten(F.transform(hit, lambda c: F.transform(F.get(groups, c.i), lambda r: F.struct(*[r[f].alias(f) for f in fields], r.pattern.alias("pattern"), c.n.alias("match_count"), c.m.alias("matches")))))
 
     keyword = [({**head, "words": r["content"]["keywords"], "least": max(1, r["content"].get("min_hits", 1))}) for _, r, head in named if r["rule_type"] == "keyword" and r["content"].get("keywords")]
     conditions = [(head, r["content"]) for _, r, head in named if r["rule_type"] == "combined"]
@@ -160,7 +161,8 @@ def spread(texts: DataFrame) -> DataFrame:
 def results(named: DataFrame, library: Library, dialect: str, later: DataFrame | None = None) -> DataFrame:
     """(path, file_hash, sensitive, sensitive_type, risk_level, sensitive_file_id, match_score, confidence_level, match_detail) by path.
 
-    Matched values stay inside; match_detail is JSON of the rules that matched with their patterns and counts, the labels and
+    match_detail is JSON of the rules that matched with their patterns, counts and matches, of which only the first and last
+    character of longer ones are shown, the labels and
     embedding id of the sample that answers, why a file was skipped, and the patterns that were refused. The id is that of the
     nearest fingerprint, else of the first labelled sample; equal distances go to the smaller id. later: the samples' ids by
     hash (sha256, sha_id), where named does not have them yet.

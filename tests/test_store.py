@@ -189,7 +189,10 @@ def test_command_line(spark, store, tmp_path, capsys):
     (t / "slides.pptx").write_bytes(b"x")
     (t / "nested" / "archive.zip").write_bytes(zipped(**{"docs__customer.txt": SAMPLE + "more", "..__evil.txt": SAMPLE}))
     db = ["--db", f"{tmp_path}/local"]
-    assert cli.main([*db, "sync", "--server", store.root], spark)["version"] == 1
+    came = cli.main([*db, "sync", "--server", store.root], spark)
+    assert came["version"] == 1 and came["updated"] and came["rules_count"] > len(BUILTIN_RULES) - 1 and came["deleted_rules_count"] == 0 and came["fingerprints_count"] == 2
+    again = cli.main([*db, "sync", "--server", store.root], spark)
+    assert again["version"] == 1 and not again["fingerprints_count"]
     counts = cli.main([*db, "scan", "--path", str(t), "--server", store.root, "--report", "--host-id", "h1", "--json"], spark)
     assert counts["total"] == 4 and counts["sensitive"] == 2
     local = Store(spark, f"{tmp_path}/local")
@@ -288,7 +291,8 @@ def test_a_scan_survives_bad_files(spark, tmp_path):
     for name in ("sealed.zip!s.txt", "cut.zip", "bad.docx", "sealed.docx"):
         assert got[name][0] == 0 and got[name][1]["extract_error"], name
     assert got["p.pdf"][0] == 0 and got["p.pdf"][1]["skip_reason"] == "pdf_text_empty"
-    assert got["good.zip!in.txt"][1]["regex_hits"][0]["pattern"] == rules[0]["content"]["pattern"]
+    (hit,) = got["good.zip!in.txt"][1]["regex_hits"]
+    assert hit["pattern"] == rules[0]["content"]["pattern"] and hit["match_count"] == 1 and hit["matches"] == ["1***0"]
     no_reader = scanning.scan_files(files.where("path = 'p.pdf'"), scanning.Library(rules, prints), pdf=None).first()
     assert json.loads(no_reader.match_detail)["skip_reason"] == "pdf_reader_missing"
 
