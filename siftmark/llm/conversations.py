@@ -176,16 +176,27 @@ ARROW = pa.schema(FIELDS)
 SCHEMA = "kind byte, id binary, parent binary, path long, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, words long, ends_sha256 string, ends binary"
 
 
-def name(key: bytes, depth: int) -> bytes:
-    """A node's id: its first `depth` turns."""
-    return hashlib.sha256(key[: WIDTH * depth]).digest()[:WIDTH]
+class Names:
+    """The ids of the nodes on a path, each by the hash of its turns; all of a path are made in one pass, and kept for its next node."""
+
+    def __init__(self) -> None:
+        self.key, self.ids = None, []
+
+    def of(self, key: bytes, depth: int) -> bytes:
+        if self.key is not key:
+            so_far = hashlib.sha256()
+            self.key, self.ids = key, [so_far.digest()[:WIDTH]]
+            for at in range(0, len(key), WIDTH):
+                so_far.update(key[at : at + WIDTH])
+                self.ids.append(so_far.digest()[:WIDTH])
+        return self.ids[depth]
 
 
 def nodes(ordered: Iterator[tuple[Sequence, int]], part: int) -> Iterator[list[tuple]]:
     """Rows of FIELDS from a task's sequences in order, in lists of bounded length."""
     rows: list[tuple] = []
     path: list[Node] = []  # from the root
-    key, first = b"", True
+    key, first, name = b"", True, Names().of
 
     def row(kind: int, depth: int, n: Node, **more) -> tuple:
         given = {"kind": kind, "depth": depth, "conv_id": n.conv, "n_convs": n.n, "n_children": n.children, "n_leaves": n.leaves, "saved_tokens": n.saved, "words": n.words, "ends_sha256": n.sha.hexdigest() if n.sha else NONE} | more
