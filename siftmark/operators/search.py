@@ -68,10 +68,11 @@ def semantic_search_all(vectors: DataFrame, queries: DataFrame, top: int = 5, mi
     return nearest.search(vectors, queries, 5 if top <= 0 else min(top, 50), min_score)[0]
 
 
-def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id", index: DataFrame | None = None) -> DataFrame:
+def find_samples(samples: DataFrame, text: str | None = None, kind: str | None = None, risk: str | None = None, limit: int = 100, key: str = "sensitive_file_id", index: DataFrame | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Words in name or text and words in the type, both without regard to case, and the risk level, each if given; newest first, ties by key.
 
-    index: the samples' grams.indexed(), by which words of three characters or more are looked up.
+    index: the samples' grams.indexed(), by which words of three characters or more are looked up. more: columns that are made
+    of the rows that are returned only, such as a text's hash.
     """
     has = lambda c, x: F.contains(F.lower(c), F.lit(x.lower()))
     out = samples
@@ -81,7 +82,7 @@ def find_samples(samples: DataFrame, text: str | None = None, kind: str | None =
         out = out.where(has("file_name", text) | has("text", text))
     out = out.where(has("sensitive_type", kind)) if kind else out
     out = out.where(F.col("risk_level") == risk) if risk else out
-    return out.drop("text").orderBy(F.desc("uploaded_at"), key).limit(limit)
+    return out.orderBy(F.desc("uploaded_at"), key).limit(limit).withColumns(more or {}).drop("text")
 
 
 def feature_search(features: DataFrame, samples: DataFrame, query: list[float], top: int = 5, min_score: float = 0.0, key: str = "sensitive_file_id") -> DataFrame:
