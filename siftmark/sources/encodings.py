@@ -1,6 +1,6 @@
 """Which encoding bytes are in: byte order marks, zero bytes, valid UTF-8, and else the likelihood of byte pairs under models.
 
-A model is a table of log probabilities of a byte behind another, as texts in that encoding have them. The models that are
+A model is a table of log probabilities of two neighbouring bytes, as texts in that encoding have them. The models that are
 there by default are fitted to texts made by rules: letters with and without marks in words, and the common characters of
 the Chinese sets in the order of their codes. fitted() makes models of a user's own texts.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 ENCODINGS = ("gb18030", "big5", "cp1252")
+PRIOR = {"gb18030": 4.0}  # in the logarithm: of texts too short to tell, this is likelier
 SAMPLE = 2000  # texts that models are fitted to, at most
 SAMPLE_CHARS = 4000  # of each
 
@@ -30,12 +31,10 @@ def pairs(data: bytes) -> np.ndarray:
 
 
 def model(texts: list[bytes], base: np.ndarray | None = None) -> np.ndarray:
-    """Log probabilities of a second byte, given the first; unseen pairs count as a fiftieth of one, or as in `base`."""
-    count = sum((np.bincount(pairs(t), minlength=1 << 16) for t in texts), np.zeros(1 << 16)).reshape(256, 256)
-    prior = np.full((256, 256), 1 / 256) if base is None else np.exp(base.reshape(256, 256).astype(np.float64))
-    total = count.sum(1, keepdims=True)
-    weight = 256 / 50 if base is None else 5.0
-    return np.log((count + weight * prior) / (total + weight)).astype(np.float32).ravel()
+    """Log probabilities of pairs; unseen ones count as half of one, or as in `base`."""
+    count = sum((np.bincount(pairs(t), minlength=1 << 16) for t in texts), np.zeros(1 << 16))
+    prior, weight = (1 / (1 << 16), 1 << 15) if base is None else (np.exp(base.astype(np.float64)), 20_000)
+    return np.log((count + weight * prior) / (count.sum() + weight)).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
@@ -44,7 +43,8 @@ def default() -> Models:
     plain = "etaoinshrdlu"
     latin = [" ".join(a + m + b for a in plain for b in plain) for m in marked] + [f" {m}{a} {a}{m} {a}{m}." for m in marked for a in plain] + ["«a» 5€ a–b „a“ ‚a‘ a’s 10° §1 £5 ¿a? ¡a! a… 2² ½"]
     gb = bytes(b for hi in range(0xB0, 0xD8) for lo in range(0xA1, 0xFF) for b in (hi, lo) if not (hi == 0xD7 and lo > 0xF9))
-    big5 = bytes(b for hi in range(0xA4, 0xC7) for lo in (*range(0x40, 0x7F), *range(0xA1, 0xFF)) for b in (hi, lo) if not (hi == 0xC6 and lo > 0x7E))
+    # Big5 goes by strokes, and characters of few strokes are the more frequent ones
+    big5 = bytes(b for hi in range(0xA4, 0xC7) for _ in range(4 if hi < 0xAE else 2 if hi < 0xB8 else 1) for lo in (*range(0x40, 0x7F), *range(0xA1, 0xFF)) for b in (hi, lo) if not (hi == 0xC6 and lo > 0x7E))
 
     def mixed(data: bytes) -> list[bytes]:
         """Characters in many orders, with the set's own marks and some ASCII between."""
@@ -97,7 +97,7 @@ def detect(data: bytes, models: Models | None = None) -> str | None:
         return "utf-8"
     given = models or default()
     both = pairs(data)
-    found = [(float(m[both].sum()), e) for e, m in given.items() if readable(data, e)]
+    found = [(float(m[both].sum()) + PRIOR.get(e, 0.0), e) for e, m in given.items() if readable(data, e)]
     return max(found)[1] if found else None
 
 
