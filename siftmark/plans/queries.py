@@ -189,8 +189,7 @@ def segmentation(spark, d):
     counts = docs.select(F.explode(F.regexp_extract_all("t", F.lit(word), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     dictionary = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(segment.MOST_WORDS).collect()}
     pages = read(spark, d, "pages").select("page_id", F.slice(F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(word), F.lit(0)), 1, 1 << 30).alias("words"))
-    runs = F.transform("words", lambda w, i: F.struct(F.floor(i / 8).alias("k"), w.alias("w")))
-    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 8))), lambda k: F.array_join(F.transform(F.filter(runs, lambda r: r.k == k), lambda r: r.w), ""))
+    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 8).cast("int"))), lambda k: F.array_join(F.slice("words", k * 8 + 1, F.lit(8)), ""))
     cut = segment.segmented(pages.withColumn("runs", joined), "runs", dictionary)
     return cut.select("page_id", F.size("words").cast("long").alias("n_words"), F.size("cut").cast("long").alias("n_cut"), (F.size("words") - F.size(F.array_except("words", "cut")) - (F.size("words") - F.size(F.array_distinct("words")))).cast("long").alias("n_found"))
 
