@@ -143,6 +143,13 @@ def test_near_by_hamming_against_all_pairs(spark):
     assert got == {i: m for i, m in want.items() if m[0] <= 3}
 
 
+def test_hamming_keys_are_not_broadcast(spark):
+    df = spark.range(50).selectExpr("id AS doc_id", "id * 7919 AS bits")  # its size is known, and small
+    near = search.near_by_hamming(df, df.withColumnRenamed("doc_id", "sample_id"))
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [b#" in plan and "BroadcastHashJoin [b#" not in plan
+
+
 @pytest.mark.parametrize("points, level, risk", [(100, "sensitive", "high"), (80, "sensitive", "high"), (79, "suspected", "medium"), (50, "suspected", "medium"), (49, "low_confidence", "low"), (30, "low_confidence", "low"), (29, "clean", "info")])
 def test_verdicts(spark, points, level, risk):
     assert one(spark, match.confidence(F.lit(points))) == level and one(spark, match.risk(F.lit(points))) == risk
