@@ -5,17 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from ..sources.shared import filesystem, map_file, shared_dir, write_file  # noqa: F401
+
 #: bytes.split() cuts at exactly 0x20 and 0x09-0x0D, the white space of the word rule; UTF-8 keeps other characters above 0x7F.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
@@ -58,47 +58,10 @@ def keyed(df: DataFrame, run: Callable, key: str, others: list[str], kinds: dict
     return rows.mapInArrow(run, schema).withColumnRenamed("key", df.columns[places[0]])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which driver and executors share; set here only where unset (tests, local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in uri or uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
-def write_file(uri: str, parts: list[bytes | np.ndarray]) -> None:
-    """Write under a name of this attempt, then rename, so that a retried task leaves one whole file."""
-    fs, path = filesystem(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    mine = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(mine) as out:
-        for x in parts:
-            out.write(memoryview(np.ascontiguousarray(x)).cast("B") if isinstance(x, np.ndarray) and x.size else bytes(x))
-    fs.move(mine, path)
-
-
-def map_file(uri: str) -> np.ndarray:
-    """The file's bytes: memory-mapped where the store is a mounted folder, else read."""
-    fs, path = filesystem(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), np.uint8)
-
-
 def release() -> None:
     """Give a task's freed memory back to the system, as a worker process lives on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -44,6 +44,25 @@ def test_words_sent_and_joined(spark, most):
     assert words.with_words(texts.where("false"), df, "k", most=most).count() == 0
 
 
+def test_words_in_files_equal_words_sent(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    urls = [(f"https://example.org/a/path/{i}{'/x' * (i % 30)}",) for i in range(500)]
+    own = docs.select(F.explode(F.split("text", " ")).alias("word")).where("word != ''").unionByName(spark.createDataFrame(urls, "word string"))
+    texts = docs.unionByName(spark.createDataFrame([(-1, " ".join(u for (u,) in urls[::7])), (-2, None)], docs.schema))
+    plain = {r.doc_id: r.held for r in words.with_words(texts, own, "doc_id", most=1 << 30).collect()}
+    monkeypatch.setattr(words, "STEP", 5000)
+    monkeypatch.setattr(words, "SHARD", 3000)
+    assert {r.doc_id: r.held for r in words.with_words(texts, own, "doc_id", most=0).collect()} == plain
+
+
+def test_a_library_of_megabytes_stays_away_from_the_driver(spark, monkeypatch):
+    own = spark.range(500_000).selectExpr("concat('word-', id) AS word")
+    monkeypatch.setattr(words, "sent", lambda *_: pytest.fail("sent"))
+    texts = spark.createDataFrame([(1, "a word-499999 b"), (2, "word-x")], "k long, text string")
+    got = {r.k: r.held for r in words.with_words(texts, own, "k").collect()}
+    assert got == {1: ["word-4", "word-49", "word-499", "word-4999", "word-49999", "word-499999"], 2: []}
+
+
 piece = st.recursive(
     st.sampled_from(["a", "b", "K", "s", "1", "[ab]", "[a-c]", r"\d", ".", r"\.", "x-", "[_-]", "客", r"\b", "^", "$", r"\w", "[^a]", "i"]),
     lambda x: st.one_of(st.lists(x, min_size=1, max_size=4).map("".join), st.lists(x, min_size=1, max_size=3).map(lambda v: f"({'|'.join(v)})"), x.map(lambda v: f"(?:{v})?"), x.map(lambda v: f"(?:{v}){{1,2}}"), x.map(lambda v: f"(?i:{v})"), x.map(lambda v: f"(?:{v})*"), x.map(lambda v: f"(?:{v})+"), x.map(lambda v: f"(?={v})")),
