@@ -39,23 +39,25 @@ def keywords(samples: DataFrame, key: str, text: str = "text", kind: str = "sens
     """
     t, k, d = (F.coalesce(F.col(c), F.lit("")) for c in (text, kind, description))
     whole = F.concat_ws(" ", t, k, d)
-    if dictionary is None:
-        words = F.explode(F.regexp_extract_all(whole, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
-        own = samples.select(key, words.alias("word")).where(meaningful(F.col("word"), stop_words)).groupBy(key, "word").agg(F.count("*").alias("score"))
-    else:
-        runs = lambda p: F.regexp_extract_all(whole, F.lit(p), F.lit(0))
-        cut = segment.segmented(samples.select(key, runs(segment.HAN).alias("runs"), runs(r"[\p{L}\p{Nd}&&[^\p{IsHan}]]+").alias("others")), "runs", dictionary)
-        kept = cut.select(key, F.filter(F.concat("cut", "others"), lambda w: meaningful(w, stop_words)).alias("words"))
-        each = kept.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("score"))
-        own = each.unionByName(segment.best_words(kept, key, "words").withColumnRenamed("points", "score"))
 
     def worth(x: Column) -> Column:
         held = lambda where, n: F.when(F.contains(F.lower(where), F.lower(x)), F.lit(n)).otherwise(F.lit(0))
         return F.struct(x.alias("word"), (held(whole, 80) + held(k, 30) + held(d, 40)).cast("long").alias("score"))
 
-    found = F.filter(F.transform(F.array(*map(F.lit, terms)), worth), lambda s: s.score > 0)
-    held = samples.select(key, F.inline(found)).where(meaningful(F.col("word"), stop_words))
-    both = own.unionByName(held).groupBy(key, "word").agg(F.sum("score").alias("score"))
+    found = F.filter(F.transform(F.array(*map(F.lit, terms)), worth), lambda s: s.score > 0) if terms else F.array().cast("array<struct<word string, score bigint>>")
+    points = lambda words: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("score")))
+    runs = lambda p: F.regexp_extract_all(whole, F.lit(p), F.lit(0))
+    near = samples.select(*dict.fromkeys((key, text, kind, description))).repartition(key)  # words are counted and ranked where their sample lies
+    if dictionary is None:
+        each = near.select(key, F.inline(F.concat(points(runs(r"[\p{L}\p{Nd}]+")), found)))
+        own = each.where(meaningful(F.col("word"), stop_words))
+    else:
+        cut = segment.segmented(near.select(key, runs(segment.HAN).alias("runs"), runs(r"[\p{L}\p{Nd}&&[^\p{IsHan}]]+").alias("others")), "runs", dictionary)
+        kept = cut.select(key, F.filter(F.concat("cut", "others"), lambda w: meaningful(w, stop_words)).alias("words"))
+        each = kept.select(key, F.inline(points(F.col("words"))))
+        held = samples.select(key, F.inline(found)).where(meaningful(F.col("word"), stop_words))
+        own = each.unionByName(segment.best_words(kept, key, "words").withColumnRenamed("points", "score")).unionByName(held)
+    both = own.groupBy(key, "word").agg(F.sum("score").alias("score"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "word"))
     return both.select("*", place.alias("place")).where(F.col("place") <= top)
 

@@ -58,3 +58,11 @@ def test_segmented_columns(spark):
     df = spark.createDataFrame([(1, ["ab", None, ""], "x"), (2, None, "y")], "id long, runs array<string>, `a b` string")
     out = segment.segmented(df, "runs", {"a": 1, "b": 1, "ab": 5})
     assert out.columns == ["id", "runs", "a b", "cut"] and {r.id: r.cut for r in out.collect()} == {1: ["ab"], 2: []}
+
+
+def test_keywords_move_samples_not_words(spark):
+    from siftmark.operators import generate
+
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('alpha beta gamma delta token ', id) AS text", "'a' AS sensitive_type", "'b' AS description")
+    plan = generate.keywords(rows, "doc_id", terms=["token"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(") == 1
