@@ -8,9 +8,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import literals
+from ..functions.dialect import to_java
 from ..functions.fixed import BUILTIN_RULES, BUSINESS_TERMS, EXPLANATION, HIGH_RISK_LABELS, KEYWORD_RULE, LABEL_HINTS, PLACEHOLDER, PROMPT, RISKS, STOP_WORDS, TEMPLATES, UNCLASSIFIED
 from . import segment
-from .match import infer_labels, matches
+from .match import gated, infer_labels, matches
 
 KINDS = ("regex", "keyword", "combined")
 
@@ -72,12 +74,14 @@ def rules(samples: DataFrame, key: str, text: str = "text", kind: str = "sensiti
     type_, level = filled(F.col(kind), UNCLASSIFIED), filled(F.col(risk), "medium")
     row = lambda place, name, how, risk_, content, when: F.when(when, F.struct(F.lit(place).alias("place"), name.alias("rule_name"), F.lit(how).alias("rule_type"), type_.alias("sensitive_type"), risk_.alias("risk_level"), content.alias("content")))
     text_of = lambda **x: F.lit(json.dumps(x, ensure_ascii=False))
-    made = [row(i, F.lit(n), "regex", higher_risk(level, F.lit(r)), text_of(name=n, pattern=p), F.size(matches(t, p, dialect, n == "bank_card")) > 0) for i, (n, p, r) in enumerate(BUILTIN_RULES)]
+    folded = F.col("_folded")
+    held = lambda p, card: gated(F.size(matches(t, p, dialect, True)) > 0 if card else F.regexp_like(t, F.lit(to_java(p, dialect))), folded, p, dialect, F.lit(False))
+    made = [row(i, F.lit(n), "regex", higher_risk(level, F.lit(r)), text_of(name=n, pattern=p), held(p, n == "bank_card")) for i, (n, p, r) in enumerate(BUILTIN_RULES)]
     for i, (n, words, least, pattern, r, triggers) in enumerate(templates):
         content = text_of(logic="AND", conditions=[{"type": "keyword", "value": words, "min_hits": least}, {"type": "regex", "value": pattern}])
         seen = F.exists(F.array(*map(F.lit, triggers)), lambda w: F.contains(t, w) | F.contains(d, w) | F.contains(type_, w))
         made.append(row(len(BUILTIN_RULES) + 1 + i, F.lit(n), "combined", higher_risk(level, F.lit(r)), content, seen))
-    out = samples.select(key, F.inline(F.array_compact(F.array(*made))))
+    out = samples.withColumn("_folded", literals.folded(t)).select(key, F.inline(F.array_compact(F.array(*made))))
     named = samples.select(key, text, type_.alias("_type"), level.alias("_risk"), description)
     best = keywords(named, key, text, "_type", description, terms, stop_words)
     words = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s.word).alias("_words"))  # at most `top` words

@@ -66,3 +66,13 @@ def test_keywords_move_samples_not_words(spark):
     rows = spark.range(40).selectExpr("id AS doc_id", "concat('alpha beta gamma delta token ', id) AS text", "'a' AS sensitive_type", "'b' AS description")
     plan = generate.keywords(rows, "doc_id", terms=["token"])._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(") == 1
+
+
+def test_patterns_of_rules_run_behind_their_literals(spark):
+    from siftmark.operators import generate
+
+    rows = spark.createDataFrame([(1, "mail me@example.org", "", "", ""), (2, "APIKEY: ABCDEFGH12345678901", "", "", ""), (3, None, None, None, None)], "doc_id long, text string, sensitive_type string, risk_level string, description string")
+    made = generate.rules(rows, "doc_id")
+    assert {r.doc_id for r in made.where("rule_type = 'regex' AND rule_name = 'email'").collect()} == {1}
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "_folded#" in plan
